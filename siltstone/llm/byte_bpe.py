@@ -30,7 +30,7 @@ from .common import Memo, map_arrow
 #: A run of white space and the run of other characters after it. No match of a splitting pattern that keeps
 #: white space in front of words crosses the end of such a chunk. (U+001C to U+001F count as no white space.)
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-MEMO_CHARS, MEMO_ENTRIES, STATES = 48, 200_000, 240_000
+MEMO_CHARS, MEMO_ENTRIES, STATES = 48, 400_000, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

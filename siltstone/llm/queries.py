@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing
+from . import byte_bpe, language_id, packing, secret_scan, token_counts
 from .common import table
 
 
@@ -22,9 +22,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by the 32k piece model."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    dictionaries = language_id.fit_dictionaries(docs.where(remainder != 2).select("doc_id", "text", "lang"))
+    found = language_id.identify(docs, dictionaries)
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; a document's source is its repository and its owner."""
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op2_byte_bpe": op2_byte_bpe, "op3_packing": op3_packing}
+    own = (op2_byte_bpe, op3_packing, op6_token_counts, op8_language_id, op9_secret_scan)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
