@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, packing, secret_scan, token_counts
+from . import byte_bpe, jaccard_join, language_id, packing, secret_scan, token_counts
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the 32k piece model."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
@@ -43,7 +48,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    own = (op2_byte_bpe, op3_packing, op6_token_counts, op8_language_id, op9_secret_scan)
+    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op6_token_counts, op8_language_id, op9_secret_scan)
     return {f.__name__: f for f in own}
 
 
