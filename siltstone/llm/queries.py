@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, packing, secret_scan, token_counts
+from . import byte_bpe, jaccard_join, language_id, packing, secret_scan, token_counts, vector_dedup
 from .common import table
 
 
@@ -46,9 +46,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors among equal labels, from a cosine of 0.98."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op6_token_counts, op8_language_id, op9_secret_scan)
+    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op6_token_counts, op8_language_id, op9_secret_scan, op10_vector_dedup)
     return {f.__name__: f for f in own}
 
 
