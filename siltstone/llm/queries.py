@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, packing, secret_scan, token_counts, vector_dedup
+from . import byte_bpe, jaccard_join, language_id, packing, perplexity_rules, secret_scan, token_counts, vector_dedup
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of its language's perplexity band."""
+    return perplexity_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the 32k piece model."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
@@ -53,7 +58,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op6_token_counts, op8_language_id, op9_secret_scan, op10_vector_dedup)
+    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op5_perplexity_rules, op6_token_counts, op8_language_id, op9_secret_scan, op10_vector_dedup)
     return {f.__name__: f for f in own}
 
 
