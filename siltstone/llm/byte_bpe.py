@@ -30,7 +30,7 @@ from .common import Memo, map_arrow
 #: A run of white space and the run of other characters after it. No match of a splitting pattern that keeps
 #: white space in front of words crosses the end of such a chunk. (U+001C to U+001F count as no white space.)
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-MEMO_CHARS, MEMO_ENTRIES, STATES = 48, 400_000, 500_000
+MEMO_CHARS, MEMO_ENTRIES, STATES = 48, 900_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -163,31 +163,27 @@ class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         self.transducer = Transducer(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.memo: Memo = Memo(MEMO_ENTRIES)
+        self.memo: Memo = Memo(MEMO_ENTRIES, MEMO_CHARS)
         size = max(self.transducer.bytes_of, default=-1) + 1
         self.tokens = [self.transducer.bytes_of.get(i, b"") for i in range(size)]
 
-    def chunk(self, text: str) -> bytes:
-        """Ids of one chunk as little-endian unsigned 32-bit integers."""
-        if len(text) <= MEMO_CHARS and (known := self.memo.find(text)) is not None:
-            return known
-        encode, ids = self.transducer.encode, []
-        for match in self.pattern.findall(text):
-            ids += encode(match.encode("utf-8", "replace"))
-        packed = np.array(ids, "<u4").tobytes()
-        if len(text) <= MEMO_CHARS:
-            self.memo.put(text, packed)
-        return packed
+    def compute(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as little-endian unsigned 32-bit integers."""
+        encode, split, found = self.transducer.encode, self.pattern.findall, []
+        for chunk in chunks:
+            ids: list[int] = []
+            for match in split(chunk):
+                ids += encode(match.encode("utf-8", "replace"))
+            found.append(array("I", ids).tobytes())
+        return found
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, packed; None and empty texts have none."""
+        return self.memo.join([CHUNK.findall(t or "") for t in texts], self.compute)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, packed; None and empty texts have none."""
-        if not text:
-            return b""
-        get, parts = self.memo.get, []
-        for piece in CHUNK.findall(text):
-            known = get(piece)
-            parts.append(self.chunk(piece) if known is None else known)
-        return b"".join(parts)
+        """Ids of a whole text, packed."""
+        return self.encode_batch([text])[0]
 
     def decode(self, packed: bytes) -> bytes:
         """Bytes of packed ids."""
@@ -260,7 +256,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         enc = encoder(path, pattern)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.frombuffer(enc.encode(t), "<i4") for t in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(packed, "<i4") for packed in enc.encode_batch(batch.column(1).to_pylist())]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
         return run
@@ -296,8 +292,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids_hash, text_hash, same = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                packed = enc.encode(text)
+            texts = batch.column(1).to_pylist()
+            for text, packed in zip(texts, enc.encode_batch(texts), strict=True):
                 machine, out, whole = Utf8Stream(), [], hashlib.sha256()
                 for i in range(0, len(packed), 1 << 16):
                     data = enc.decode(packed[i : i + (1 << 16)])

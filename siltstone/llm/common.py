@@ -80,25 +80,24 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-class Memo(dict):
-    """A two-generation cache: at most ``2 * limit`` entries, so a worker's memory stays bounded on any vocabulary."""
-
-    def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-    def find(self, key):
-        """The value of either generation, moved to the young one; None if it is in neither."""
-        value = self.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
+class Memo:
+    """A bounded cache of results by string: emptied when it is full, and never holding long strings for longer than a batch."""
+
+    def __init__(self, limit: int, longest: int) -> None:
+        self.limit, self.longest, self.known = limit, longest, {}
+
+    def join(self, lists: list[list[str] | None], compute: Callable[[list[str]], list[bytes]]) -> list[bytes | None]:
+        """For each list the joined results of its strings (None stays None); each unknown string is computed once."""
+        known = self.known  # a plain dict, of which set.difference looks up single keys
+        if len(known) > self.limit:
+            known.clear()
+        unknown = list(set().union(*(x for x in lists if x)).difference(known))
+        known.update(zip(unknown, compute(unknown), strict=True))
+        out = [None if x is None else b"".join(map(known.__getitem__, x)) for x in lists]
+        for s in unknown:
+            if len(s) > self.longest:
+                del known[s]
+        return out
 
 
 def components(nodes_edges: DataFrame, partitions: int | None = None) -> DataFrame:
