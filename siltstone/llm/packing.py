@@ -14,7 +14,6 @@ import zlib
 from array import array
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,9 +23,10 @@ from .byte_bpe import CHUNK, MEMO_CHARS
 from .common import Memo, map_arrow
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-MEMO_ENTRIES = 200_000
 #: Expected remainders in a group; FFD's waste is below a bin or two a group from here on.
 GROUP_PIECES = 4096
+#: Chunks whose ids a worker remembers; some 250 bytes each.
+MEMO_ENTRIES = 1_300_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, grp bigint"
 
 
@@ -75,25 +75,22 @@ class LibraryTokens:
         self.library = Tokenizer.from_file(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo = Memo(MEMO_ENTRIES)
+        self.memo = Memo(MEMO_ENTRIES, MEMO_CHARS)
+
+    def compute(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts, straight from the library."""
+        found = []
+        for i in range(0, len(texts), 4096):
+            found += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         chunks = [None if not t or (self.special and self.special.search(t)) else CHUNK.findall(t) for t in texts]
-        wanted = set().union(*(c for c in chunks if c))
-        known = {c: packed for c in wanted if (packed := self.memo.find(c)) is not None}
-        names = [c for c in wanted if c not in known]
-        for i in range(0, len(names), 4096):
-            for name, e in zip(names[i : i + 4096], self.library.encode_batch_fast(names[i : i + 4096], add_special_tokens=False), strict=True):
-                known[name] = packed = array("I", e.ids).tobytes()
-                if len(name) <= MEMO_CHARS:
-                    self.memo.put(name, packed)
-        out = []
-        for t, own in zip(texts, chunks, strict=True):
-            if own is not None:
-                out.append(b"".join(map(known.__getitem__, own)))
-            else:
-                out.append(array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if t else b"")
+        out = self.memo.join(chunks, self.compute)
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self.compute([t])[0] if t else b""
         return out
 
 
