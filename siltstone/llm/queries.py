@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, packing, perplexity_rules, secret_scan, token_counts, vector_dedup
+from . import byte_bpe, jaccard_join, language_id, packing, perplexity_rules, quality_knn, secret_scan, token_counts, vector_dedup
 from .common import table
 
 
@@ -37,6 +37,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
 
 
+def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of four fifths of the ids."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    space = quality_knn.fit_space(docs.where(fold != 0).select("doc_id", "text"), labels.where(fold != 0).select("doc_id", "quality"))
+    scored = quality_knn.score_documents(docs, space)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= quality_knn.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of the ids."""
     docs = table(spark, sf_dir, "documents")
@@ -58,7 +67,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op5_perplexity_rules, op6_token_counts, op8_language_id, op9_secret_scan, op10_vector_dedup)
+    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op5_perplexity_rules, op6_token_counts, op7_quality_knn, op8_language_id, op9_secret_scan, op10_vector_dedup)
     return {f.__name__: f for f in own}
 
 
