@@ -8,10 +8,15 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, packing, perplexity_rules, quality_knn, secret_scan, token_counts, vector_dedup
+from . import byte_bpe, jaccard_join, language_id, packing, perplexity_rules, quality_knn, secret_scan, site_style, token_counts, vector_dedup
 from .common import table
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, cut by its host's style tree."""
+    return site_style.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the multilingual ranks and decoded again."""
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), path("byte_bpe_multi_50k.tiktoken"), PATTERN)
@@ -67,7 +72,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    own = (op2_byte_bpe, op3_packing, op4_jaccard_join, op5_perplexity_rules, op6_token_counts, op7_quality_knn, op8_language_id, op9_secret_scan, op10_vector_dedup)
+    own = (op1_site_style, op2_byte_bpe, op3_packing, op4_jaccard_join, op5_perplexity_rules, op6_token_counts, op7_quality_knn, op8_language_id, op9_secret_scan, op10_vector_dedup)
     return {f.__name__: f for f in own}
 
 
