@@ -103,16 +103,16 @@ class Memo:
 def components(nodes_edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """Connected components of an undirected edge list (a, b): rows (id, component), the smallest id reachable.
 
-    Alternating large-star and small-star rounds (each a grouped minimum followed by a join, so a hub's
-    neighbours are spread over tasks by AQE's skewed-join handling); the edges are written to the shared
-    folder after each round. Empty input gives an empty result; self loops and repeated edges are harmless.
+    Alternating large-star and small-star rounds, each a grouped minimum followed by a join that adaptive
+    execution splits for hubs; the edges are written to the shared folder after each round. Empty input gives an empty result; self loops and repeated edges are harmless.
     """
     spark = nodes_edges.sparkSession
     edges = materialize(nodes_edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v").distinct())
     while True:
         # large star: every larger neighbour of u is linked to the smallest of u's neighbourhood
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that the join deals both sides itself and a hub's edges can be split
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour and u itself are linked to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import components, materialize, release, slices
 
@@ -395,14 +396,8 @@ def describe(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n bigint, id bigint")
 
 
-def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: components of the graph of similar 5-word shingle sets.
-
-    Two sets link when ``den * |A and B| >= num * |A or B|``. Null, empty and wordless texts have an empty set and
-    link with nothing; texts under five words are one shingle; repeated rows are in one class; whole texts of any
-    length count; an empty table gives no rows; other columns are never read. A shingle and a set are known by
-    64-bit hashes.
-    """
+def component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, id, component_id, component_class) of every row: id is its set's class, null if the set is empty."""
     spark = docs.sparkSession
     plan = Plan(*similarity)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -431,8 +426,53 @@ def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = (4, 5), id
     more = materialize(verified(others, texts, plan))
     release(texts)
     final = components(links.union(more))
-    home = classes.join(final, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("c"))
-    smallest = home.groupBy("c").agg(F.min("rep").alias("component_id"))
-    placed = home.join(smallest, "c").select("id", "component_id")
-    linked = each.where("n > 0").join(placed, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    grouped = materialize(final.join(classes, "id").select("id", "rep", F.col("component").alias("c")))
+    smallest = materialize(grouped.groupBy("c").agg(F.min(F.struct("rep", "id")).alias("least")))
+    moved = grouped.join(smallest, "c").select("id", "least")
+    least = F.coalesce("least", F.struct("rep", "id"))
+    placed = classes.join(moved, "id", "left").select("id", least["rep"].alias("component_id"), least["id"].alias("component_class"))
+    linked = each.where("n > 0").join(placed, "id").select("doc_id", "n", "id", "component_id", "component_class")
+    alone = each.where("n = 0").select("doc_id", "n", "id", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("component_class"))
+    return linked.unionByName(alone)
+
+
+def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: components of the graph of similar 5-word shingle sets.
+
+    Two sets link when ``den * |A and B| >= num * |A or B|``. Null, empty and wordless texts have an empty set and
+    link with nothing; texts under five words are one shingle; repeated rows are in one class; whole texts of any
+    length count; an empty table gives no rows; other columns are never read. A shingle and a set are known by
+    64-bit hashes.
+    """
+    return component_rows(docs, similarity, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that represent their components: the smallest id of each.
+
+    Rows without a shingle all stay. Of rows that repeat a representative's id and set one stays.
+    """
+    found = materialize(component_rows(docs, similarity, id_col, text_col))
+    stays = (F.col("n") == 0) | ((F.col("doc_id") == F.col("component_id")) & (F.col("id") == F.col("component_class")))
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty() or not found.where("doc_id is null").isEmpty()
+    if not repeated:
+        kept = found.where(stays).select(F.col("doc_id").alias("__kept"))
+        return docs.join(kept, docs[id_col].cast("bigint") == kept["__kept"], "left_semi")
+    # ids repeat: rows are told apart by id and class, and equal ones are merged with partial aggregation
+    at = docs.columns.index(text_col)
+    fields = docs.schema.fields
+    schema = StructType([*fields, StructField("__class", LongType())])
+
+    def classed(batches):
+        sh = shingler()
+        for piece in slices(batches):
+            sets = [sh.shingles(t) for t in piece.column(at).to_pylist()]
+            ids = pa.array([class_id(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*piece.schema.names, "__class"])
+
+    rows = docs.mapInArrow(classed, schema)
+    kept = found.where("n > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("id") == F.col("component_class"))).select(F.col("doc_id").alias("__kept"), F.col("id").alias("__id")).distinct()
+    same = rows[id_col].cast("bigint").eqNullSafe(kept["__kept"]) & (rows["__class"] == kept["__id"])
+    columns = [F.col(f"`{f.name}`") for f in fields]
+    one = rows.join(kept, same, "left_semi").groupBy(F.col(id_col).cast("bigint").alias("__kept"), "__class").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
+    return one.union(rows.where("__class is null").select(*columns))

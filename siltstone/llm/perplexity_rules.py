@@ -278,29 +278,57 @@ def scored_by_join(rows: DataFrame, top: DataFrame) -> DataFrame:
     return wide.drop("grams").join(sums, "row", "left").drop("row").withColumn("logp", F.coalesce("logp", F.lit(0.0)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, low, high) of every row.
-
-    A null or empty text has zero counts, fails the base rules and has no perplexity. A null language is a
-    language of its own. The bands are medians and quartiles of the documents that pass the base rules, over all
-    of them; a language with no spread keeps its median alone and what lies within a hundredth of it. Repeated
-    rows are each judged; an empty table gives no rows; whole texts count; other columns are never read.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+def fit(rows: DataFrame, broadcast_entries: int) -> tuple[object | None, list[DataFrame]]:
+    """The broadcast model of (doc_id, lang, text) rows, or None if it is too large for that, and its tables."""
     counts = materialize(count_windows(rows))
     tables = model_tables(counts)
-    if counts.count() <= broadcast_entries:
-        found = scored(rows, spark.sparkContext.broadcast(Model.gathered(tables)))
-    else:
-        found = scored_by_join(rows, tables[-1])
+    small = counts.count() <= broadcast_entries
+    return (rows.sparkSession.sparkContext.broadcast(Model.gathered(tables)) if small else None), tables
+
+
+def measured(rows: DataFrame, model, tables: list[DataFrame]) -> DataFrame:
+    """Written features with ``base_failed``, ``log_perplexity`` and the name of the band."""
+    found = scored(rows, model) if model is not None else scored_by_join(rows, tables[-1])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     ppl = F.when(F.col("n_bytes") > 0, -F.col("logp") / F.col("n_bytes"))
-    found = materialize(found.select("*", failed.alias("base_failed"), ppl.alias("log_perplexity"), F.coalesce("lang", F.lit("")).alias("band")))
+    return materialize(found.select("*", failed.alias("base_failed"), ppl.alias("log_perplexity"), F.coalesce("lang", F.lit("")).alias("band")))
+
+
+def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
+    """``found`` with the band's limits and ``kept``."""
     quarter = lambda q: F.percentile_approx("log_perplexity", F.lit(q), F.lit(10_000))
     bands = found.where("not base_failed").groupBy("band").agg(quarter(0.5).alias("mid"), quarter(0.25).alias("q1"), quarter(0.75).alias("q3"))
     spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.01))
     bands = bands.select("band", (F.col("mid") - lower * spread).alias("low"), (F.col("mid") + upper * spread).alias("high"))
-    out = found.join(bands, "band", "left")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_perplexity", "low", "high")
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    return found.join(bands, "band", "left").withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(doc_id, lang, text) of any table."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, low, high) of every row.
+
+    A null or empty text has zero counts, fails the base rules and has no perplexity. A null language is a
+    language of its own. The bands are medians and quartiles of the documents that pass the base rules, over all
+    of them; a language with no spread keeps what lies within some hundredths of its median. Repeated rows are
+    each judged; an empty table gives no rows; whole texts count; other columns are never read.
+    """
+    rows = named(docs, id_col, text_col, lang_col)
+    out = with_verdict(measured(rows, *fit(rows, broadcast_entries)), lower, upper)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high")
+
+
+def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`judge` keeps: rows are matched by id and text digest."""
+    rows = named(docs, id_col, text_col, lang_col)
+    model, tables = fit(rows, broadcast_entries)
+    digest = F.xxhash64("lang", "text")
+    keyed = rows.withColumn("doc_id", digest)  # texts, not ids, are judged
+    # written, so that the join deals both sides itself and copies of one text can be split
+    kept = materialize(with_verdict(measured(keyed, model, tables), lower, upper).where("kept").select(F.col("doc_id").alias("__kept")).distinct())
+    own = F.xxhash64(docs[lang_col].cast("string"), docs[text_col].cast("string"))
+    return docs.join(kept, own == kept["__kept"], "left_semi")

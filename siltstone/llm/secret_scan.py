@@ -106,7 +106,7 @@ def ownership(found: DataFrame) -> DataFrame:
 def judged(found: DataFrame, key: str) -> DataFrame:
     """(key, kind, start, stop, example) of every candidate in a written table of scanned rows."""
     each = found.where(F.size("candidates") > 0).select(key, F.explode("candidates").alias("c")).select(key, "c.*")
-    return each.join(ownership(found).select("hash", "example"), "hash")
+    return each.join(materialize(ownership(found).select("hash", "example")), "hash")  # written: a common value's rows can be split
 
 
 def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
