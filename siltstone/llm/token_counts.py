@@ -13,8 +13,10 @@ import re
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from .common import slices
 CHUNK = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 #: Frequent pre-tokens that are broadcast: their number and greatest length bound the broadcast at some 20 MB.
 HOT_WORDS, HOT_CHARS, TASK_WORDS = 262_144, 48, 65_536
-#: Documents whose pre-tokens are gathered before they are dealt into buckets.
+#: Documents of a block, whose pre-tokens are dealt into buckets together.
 GATHER = 2048
 
 
@@ -63,7 +65,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, buckets: int | N
     """(doc_id, n_bytes, n_tokens, over_limit) of every row.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are returned as often as they occur; an empty
-    table gives no rows; texts of any length are counted whole; other columns are never read.
+    table gives no rows; texts of any length are counted whole; other columns are never read. A document is known
+    by its block and place, so ``docs`` must be a scan that gives a task the same rows again when it is repeated.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -89,63 +92,68 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, buckets: int | N
     hot = hot.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(8).mapInArrow(counted, "word string, pieces bigint")
     known = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in hot.toArrow().columns), strict=True)))
 
-    fields = "bucket int, words array<string>, doc array<bigint>, hash array<bigint>, bytes array<bigint>, freq array<bigint>"
-    kinds = [pa.int32(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 4]
+    fields = "bucket int, block bigint, words binary, lengths binary, place binary, freq binary, doc array<bigint>, bytes array<bigint>, total array<bigint>"
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 3]
 
     def dealt(batches):
-        pieces = known.value
-
-        def flush(found: dict[int, list[tuple]]):
-            columns = list(zip(*((b, *map(list, zip(*own, strict=True))) for b, own in found.items()), strict=True)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
+        pieces, part, blocks = known.value, TaskContext.get().partitionId(), 0
+
+        def flush(base: list[tuple], found: dict[int, list[tuple]]):
+            block = part << 32 | blocks
+            lists = list(map(list, zip(*base, strict=True)))
+            out = [(block % n_buckets, block, b"", b"", b"", b"", *lists)]
+            for b, own in found.items():
+                words = [w.encode("utf-8") for w, _, _ in own]
+                sizes, place, freq = (np.array(x, k).tobytes() for x, k in (([len(w) for w in words], "<u4"), ([i for _, i, _ in own], "<u2"), ([f for _, _, f in own], "<u4")))
+                out.append((b, block, b"".join(words), sizes, place, freq, None, None, None))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
 
         held: dict[int, list[tuple]] = defaultdict(list)
-        n = size = 0
-        for part in slices(batches):
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                data = (text or "").encode("utf-8")
-                key, total = xxhash.xxh64_intdigest(data) - (1 << 63), 0
+        base: list[tuple] = []
+        size = 0
+        for piece in slices(batches):
+            for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                total = 0
                 for w, f in Counter(words_of(text)).items() if text else ():
                     p = pieces.get(w)
                     if p is not None:
                         total += p * f
                     else:
-                        held[xxhash.xxh32_intdigest(w) % n_buckets].append((w, doc, key, len(data), f))
-                held[(key ^ (doc or 0)) % n_buckets].append((None, doc, key, len(data), total))
-                n, size = n + 1, size + len(data)
-                if n >= GATHER or size > 1 << 24:
-                    yield flush(held)
+                        held[xxhash.xxh32_intdigest(w) % n_buckets].append((w, len(base), f))
+                base.append((doc, len((text or "").encode("utf-8")), total))
+                size += base[-1][1]
+                if len(base) >= GATHER or size > 1 << 24:
+                    yield flush(base, held)
                     held.clear()
-                    n = size = 0
-        yield flush(held)
+                    base, size, blocks = [], 0, blocks + 1
+        if base:
+            yield flush(base, held)
+
+    partial_fields = "block bigint, place binary, pieces binary, doc array<bigint>, bytes array<bigint>, total array<bigint>"
 
     def joined(table: pa.Table) -> pa.Table:
-        words: list[str | None] = []
-        sums: dict[tuple, list[int]] = {}
-        rest = []
-        for w, *others in zip(*(table.column(c).to_pylist() for c in ("words", "doc", "hash", "bytes", "freq")), strict=True):
-            words += w
-            rest.append(others)
-        distinct = list({w for w in words if w is not None})
-        pieces = dict(zip(distinct, piece_counts(path).count(distinct), strict=True))
-        i = 0
-        for docs_, hashes, sizes, freqs in rest:
-            for doc, h, b, f in zip(docs_, hashes, sizes, freqs, strict=True):
-                w = words[i]
-                i += 1
-                own = sums.get((doc, h, b))
-                if own is None:
-                    own = sums[doc, h, b] = [0, 0]
-                if w is None:
-                    own[0] += f
-                    own[1] += 1
-                else:
-                    own[0] += f * pieces[w]
-        keys = list(sums)
-        columns = [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], [v[0] for v in sums.values()], [v[1] for v in sums.values()]]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "hash", "n_bytes", "total", "copies"])
-
-    partial = rows.mapInArrow(dealt, fields).groupBy("bucket").applyInArrow(joined, "doc_id bigint, hash bigint, n_bytes bigint, total bigint, copies bigint")
-    whole = partial.groupBy("doc_id", "hash", "n_bytes").agg(F.sum("total").alias("total"), F.sum("copies").cast("int").alias("copies"))
-    n_tokens = (F.col("total") / F.col("copies")).cast("bigint")
-    return whole.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        lists = []
+        for data, sizes in zip(table.column("words").to_pylist(), table.column("lengths").to_pylist(), strict=True):
+            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+            lists.append([data[i:j] for i, j in zip([0, *ends], ends)])
+        distinct = list(set().union(*lists))
+        pieces = dict(zip(distinct, piece_counts(path).count([w.decode("utf-8") for w in distinct]), strict=True))
+        places, sums = [], []
+        for words, place, freq in zip(lists, table.column("place").to_pylist(), table.column("freq").to_pylist(), strict=True):
+            at, which = np.unique(np.frombuffer(place, "<u2"), return_inverse=True)
+            n = np.fromiter(map(pieces.__getitem__, words), np.float64, len(words)) * np.frombuffer(freq, "<u4")
+            places.append(at.astype("<u2").tobytes())
+            sums.append(np.bincount(which, n, len(at)).astype("<u8").tobytes())
+        columns = [table.column("block").combine_chunks(), pa.array(places, pa.binary()), pa.array(sums, pa.binary()), *(table.column(c).combine_chunks() for c in ("doc", "bytes", "total"))]
+        return pa.table(columns, names=[f.split()[0] for f in partial_fields.split(", ")])
+
+    def merged(table: pa.Table) -> pa.Table:
+        rows_ = table.to_pylist()
+        base = next(r for r in rows_ if r["doc"] is not None)
+        total = np.array(base["total"], np.int64)
+        for r in rows_:
+            total[np.frombuffer(r["place"], "<u2")] += np.frombuffer(r["pieces"], "<i8")
+        return pa.table([pa.array(base["doc"], pa.int64()), pa.array(base["bytes"], pa.int64()), pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    partial = rows.mapInArrow(dealt, fields).groupBy("bucket").applyInArrow(joined, partial_fields)
+    return partial.groupBy("block").applyInArrow(merged, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
