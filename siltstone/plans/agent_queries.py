@@ -78,10 +78,10 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("query_id", F.md5(agent.context(F.col("r"))).alias("digest"))
 
 
-@query(f"{_TOP} SELECT query_id, rank, '[' || rank || '] ' || doc_id || ' — score: ' || printf('%.4f', round(round(score, 6), 4)) AS citation FROM r WHERE rank <= 10")
+@query(f"{_TOP} SELECT query_id, rank, '[' || rank || '] ' || doc_id || ' — score: ' || printf('%.4f', round(score + 1e-9, 4)) AS citation FROM r WHERE rank <= 10")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation lines of all passages' best documents."""
-    a = agent.result_arrays(candidates(spark, sf_dir).withColumn("score", F.round(F.round("score", 6), 4)))
+    a = agent.result_arrays(candidates(spark, sf_dir).withColumn("score", F.round(F.col("score") + 1e-9, 4)))
     return a.select("query_id", F.posexplode(agent.citations(F.col("r"))).alias("i", "citation")).select("query_id", (F.col("i") + 1).cast("bigint").alias("rank"), "citation")
 
 

@@ -99,7 +99,7 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested(chunkers.size_filter(chunkers.semantic(v, ChunkConfig(min_chunk_size=10, breakpoint=0.5)), CONFIG))
 
 
-@query("""SELECT c_nationkey AS doc_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT n_regionkey AS c_nationkey FROM nation) GROUP BY c_nationkey""")
+@query("""SELECT c_nationkey::BIGINT AS doc_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT n_regionkey AS c_nationkey FROM nation) GROUP BY c_nationkey""")
 def chunk_table_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table chunks of each region's nations; the prose is too short to stay."""
     n = table(spark, sf_dir, "nation")

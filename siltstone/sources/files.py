@@ -132,7 +132,7 @@ class LoaderRegistry:
     def load(self, spark: SparkSession, path: str) -> DataFrame:
         """(source, doc_id, loader, text, tables, error, status) of all supported files under a path, sorted by source.
 
-        status is ok, failed (with an error), or skipped (blank after clean-up). Unknown extensions in a folder are
+        status is ok, failed (with an error), or skipped (blank after clean-up; files of 0 bytes give no row). Unknown extensions in a folder are
         ignored; a missing path gives one failed row.
         """
         schema = "source string, doc_id string, loader string, text string, tables array<array<array<string>>>, error string, status string"
