@@ -10,8 +10,9 @@ one-deletion variants is indexed there); that counts for two segments. Candidate
 
 Groups of copies stay cheap: equal sets are one class. Members of a segment's bucket are first compared with one
 of them only; after the links found so far are closed, the remaining pairs of a bucket are compared only if
-their components differ, which can't lose a connection between two components. Buckets are pre-aggregated in
-the same way before the shuffle, so no task meets a hot bucket whole.
+their components differ, which can't lose a connection between two components, and only if an upper bound of
+their overlap, from bitmaps, allows it. Buckets are pre-aggregated in the same way before the shuffle, so no task
+meets a hot bucket whole.
 """
 
 from __future__ import annotations
@@ -328,15 +329,103 @@ def bucket_pairs(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("part").applyInArrow(reduce, FOUND)
 
 
-def remaining_pairs(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket's probes and index entries whose components differ; ``labels`` is (id, component)."""
-    known = rest.join(labels, rest["b"] == labels["id"], "left").select("a", "b", "n", F.coalesce("component", "b").alias("c"))
-    # buckets within one component have nothing left; others are few
-    mixed = known.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("a")
-    open_ = known.join(mixed, "a")
-    probe, index = open_.where("n & 2 <> 0"), open_.where("n & 1 <> 0")
-    pairs = probe.select("a", F.col("b").alias("x"), F.col("c").alias("cx")).join(index.select("a", F.col("b").alias("y"), F.col("c").alias("cy")), "a").where("cx <> cy")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def signatures(texts: DataFrame) -> DataFrame:
+    """(id, size, bits): each class's set size and a bitmap of some eight to sixteen bits a shingle, a power of two in all."""
+
+    def run(batches):
+        sh = shingler()
+        for piece in slices(batches):
+            sets = [sh.shingles(t) for t in piece.column(1).to_pylist()]
+            bits = []
+            for x in sets:
+                width = max(256, 1 << (8 * len(x) - 1).bit_length())
+                flags = np.zeros(width, np.uint8)
+                flags[(mix(x ^ MIX_B) & U(width - 1)).astype(np.int64)] = 1
+                bits.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary())], names=["id", "size", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, size bigint, bits binary")
+
+
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of ``width`` bytes; longer ones are folded, which is a bitmap by fewer bits of the same hash."""
+    out = np.zeros((len(bits), width), np.uint8)
+    for row, b in zip(out, bits, strict=True):
+        np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0, out=row)
+    return out
+
+
+def overlaps(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common bits of all pairs of rows, by matrix products over slices of the bitmaps."""
+    total = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, left.shape[1], 512):
+        x, y = (np.unpackbits(side[:, i : i + 512], axis=1, bitorder="little").astype(np.float32) for side in (left, right))
+        total += x @ y.T
+    return total
+
+
+def open_groups(star: DataFrame, rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """(centre, id, c): members of stars and buckets whose components differ, under one member of each; ``labels`` is (id, component)."""
+    label = lambda df, on, name: df.join(labels.select(F.col("id").alias(on), F.col("component").alias(f"_{name}")), on, "left").withColumn(name, F.coalesce(f"_{name}", on)).drop(f"_{name}")
+    apart = label(label(star.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
+    known = label(rest.select("a", "b"), "b", "c")
+    mixed = materialize(known.groupBy("a").agg(F.min("b").alias("centre"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("a", "centre"))
+    rows = known.join(mixed, "a").select("centre", F.col("b").alias("id"), "c")
+    pairs = apart.select(F.col("a").alias("centre"), F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("c")), F.struct(F.col("b").alias("id"), F.col("cb").alias("c")))).alias("m"))
+    return rows.union(pairs.select("centre", "m.id", "m.c")).distinct()
+
+
+def possible_pairs(groups: DataFrame, bits: DataFrame, plan: Plan, every: bool) -> DataFrame:
+    """(a, b) within a group, of different components, whose bitmaps don't rule the similarity out.
+
+    Two sets share at most as many shingles as their bitmaps share bits, plus the smaller number of shingles that
+    fell on a bit already set. Groups are compared in blocks of bounded size; without ``every`` a member names
+    only its likeliest partner, else all that are possible.
+    """
+    num, den, block = plan.num, plan.den, 1024
+    groups = materialize(groups)
+    sizes = materialize(groups.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1"))
+    total = groups.count()
+    parts = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 8192)
+    n_blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    rows = groups.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    rows = rows.select("centre", "id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("centre", "i", "j"), F.lit(parts)).cast("int")).join(bits, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("centre", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        key = np.stack([table.column(c).to_numpy() for c in ("centre", "i", "j")])
+        head = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+        ids, comps, own, size = (table.column(c).to_numpy() for c in ("id", "c", "own", "size"))
+        bits_ = table.column("bits").to_pylist()
+        found = [np.empty((2, 0), np.int64)]
+        for start, stop in zip(head, [*head[1:], table.num_rows], strict=True):
+            i, j = key[1, start], key[2, start]
+            members = np.arange(start, stop)
+            left, right = members[own[start:stop] == i], members[own[start:stop] == j]
+            if not len(left) or not len(right) or (comps[members] == comps[start]).all():
+                continue
+            width = min(len(bits_[m]) for m in members)
+            x = folded([bits_[m] for m in left], width)
+            y = x if i == j else folded([bits_[m] for m in right], width)
+            spare = lambda side, b: size[side] - np.bitwise_count(b).sum(1, dtype=np.int64)
+            bound = overlaps(x, y) + np.minimum(spare(left, x)[:, None], spare(right, y)[None])
+            bound = np.minimum(bound, np.minimum(size[left][:, None], size[right][None]))
+            room = bound - num * (size[left][:, None] + size[right][None]) / (num + den)
+            ok = (room > -1e-3) & (comps[left][:, None] != comps[right][None])
+            if not every:
+                best = np.zeros_like(ok)
+                room = np.where(ok, room, -np.inf)
+                best[np.arange(len(left)), room.argmax(1)] = True
+                best[room.argmax(0), np.arange(len(right))] = True
+                ok &= best
+            p, q = np.nonzero(ok)
+            a, b = ids[left[p]], ids[right[q]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+        pairs = np.concatenate(found, axis=1)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return rows.groupBy("part").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
@@ -418,14 +507,15 @@ def component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, te
     first = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     links = materialize(verified(first, texts, plan))
     labels = materialize(components(links))
-    label = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    others = star.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    others = others.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    others = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(remaining_pairs(rest, labels)).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(verified(others, texts, plan))
+    bits = materialize(signatures(texts))
+    for every in (False, True):  # likeliest partners first: what they link needs no further comparison
+        pairs = materialize(possible_pairs(open_groups(star, rest, labels), bits, plan, every).join(tried, ["a", "b"], "left_anti"))
+        links = materialize(links.union(verified(pairs, texts, plan)))
+        tried = tried.union(pairs)
+        labels = materialize(components(links))
     release(texts)
-    final = components(links.union(more))
+    final = labels
     grouped = materialize(final.join(classes, "id").select("id", "rep", F.col("component").alias("c")))
     smallest = materialize(grouped.groupBy("c").agg(F.min(F.struct("rep", "id")).alias("least")))
     moved = grouped.join(smallest, "c").select("id", "least")
