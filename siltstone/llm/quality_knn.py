@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices
 
-#: The fit's bounds: sampled texts of label 0 and of label 1 (16 KB of counts each on the driver, 200 bytes broadcast).
+#: The fit's bounds: sampled texts of label 0 and of label 1 (16 KB of counts each on the driver; 200 bytes each are broadcast).
 SAMPLE_LOW, SAMPLE_HIGH = 1024, 2048
 #: Latent dimensions, voting neighbours, power of the similarity that weighs a vote.
 DIMENSIONS, NEIGHBOURS, POWER = 48, 15, 4
@@ -53,13 +53,16 @@ class Space:
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray) -> Space:
         """From the counts of at least one labelled text."""
-        order = np.lexsort(counts.T[::-1])  # any order of the rows gives the same space
-        counts, labels = counts[order], labels[order]
         weight = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
         a = cls.weighted(counts) * weight
         a /= np.linalg.norm(a, axis=1, keepdims=True)
-        _, v = np.linalg.eigh((a.T @ a).astype(np.float64)) if len(a) > 2048 else (None, np.linalg.svd(a, full_matrices=False)[2].T[:, ::-1])
-        space = cls(weight, v[:, -DIMENSIONS:].astype(np.float32), np.empty(0), labels.astype(np.float32))
+        # leading right singular vectors by subspace iteration: no matrix beyond the sample's own size
+        q = np.random.default_rng(0).standard_normal((a.shape[1], min(DIMENSIONS + 16, len(a)))).astype(np.float32)
+        for _ in range(12):
+            q, _ = np.linalg.qr(a.T @ (a @ q))
+        _, _, rotation = np.linalg.svd(a @ q, full_matrices=False)
+        v = (q @ rotation.T)[:, :DIMENSIONS]
+        space = cls(weight, v.astype(np.float32), np.empty(0), labels.astype(np.float32))
         return cls(weight, space.basis, space.project(counts), space.labels)
 
     def project(self, counts: np.ndarray) -> np.ndarray:
@@ -91,13 +94,22 @@ def fit_space(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def count(batches):
         for piece in slices(batches):
-            counts = [pattern_counts(t).astype("<u4").tobytes() for t in piece.column(1).to_pylist()]
+            counts = []
+            for t in piece.column(1).to_pylist():
+                c = pattern_counts(t)
+                at = np.flatnonzero(c)
+                counts.append(at.astype("<u4").tobytes() + c[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts, pa.binary())], names=["id", "counts"])
 
     found = rows.mapInArrow(count, "id bigint, counts binary").groupBy("id").agg(F.min("counts").alias("counts")).collect()
     if not found:
         return None
-    return Space.fit(np.stack([np.frombuffer(r[1], "<u4") for r in found]), np.array([wanted[r[0]] for r in found]))
+    found.sort()
+    counts = np.zeros((len(found), 4096), np.float32)
+    for row, r in zip(counts, found, strict=True):
+        at, n = np.frombuffer(r[1], "<u4").reshape(2, -1)
+        row[at] = n
+    return Space.fit(counts, np.array([wanted[r[0]] for r in found]))
 
 
 def score_documents(docs: DataFrame, space: Space | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
