@@ -35,6 +35,8 @@ NAME_PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that may stand within a block without ending it.
+PHRASING = INLINE | frozenset("script style template noscript iframe button select option textarea svg canvas object embed audio video".split())
 #: Elements that never hold an article's text.
 CUT = RAW | frozenset("head nav footer aside form button select option input svg canvas object embed dialog menu audio video".split())
 #: Words in a class, id, role or label that say the same.
@@ -91,7 +93,7 @@ class Page:
             text = " ".join(unescape("".join(self.pieces)).split())
             if text:
                 top = self.stack[-1]
-                while top.tag in INLINE and len(self.stack) > 1:
+                while top.tag in PHRASING and len(self.stack) > 1:
                     top = self.stack[-2] if top is self.stack[-1] else self.stack[self.stack.index(top) - 1]
                 self.blocks.append((text, top.paths, top.main))
             self.pieces.clear()
@@ -114,7 +116,7 @@ class Page:
     def start(self, tag: str, attributes: str) -> None:
         """Open an element."""
         stack = self.stack
-        if tag not in INLINE and tag not in VOID:
+        if tag not in PHRASING and tag not in VOID:
             if any(e.tag == "head" for e in stack) and tag not in RAW:
                 self.end("head")
             if stack[-1].tag == "p" or any(e.tag == "p" for e in stack[-4:]):
@@ -159,7 +161,7 @@ class Page:
             if tag == "br":
                 self.pieces.append(" ")
                 continue
-            if tag not in INLINE:
+            if tag not in PHRASING and (tag not in VOID or tag == "hr"):
                 self.flush()
             if m[1]:
                 self.end(tag)
