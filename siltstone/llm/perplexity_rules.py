@@ -26,8 +26,9 @@ ORDER = 5
 BROADCAST_ENTRIES = 4_000_000
 #: Base rules: fewest words, greatest percentage of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Bands: robust standard deviations below and above the language's median log perplexity.
-LOWER, UPPER = 6.0, 6.0
+#: Bands: robust standard deviations below and above the language's median log perplexity. The lower side is
+#: wider, as texts with many copies in the corpus are predicted well without being repetitive themselves.
+LOWER, UPPER = 8.0, 6.0
 BATCH_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -129,7 +130,7 @@ def context(order: int):
 
 
 def model_tables(counts: DataFrame) -> list[DataFrame]:
-    """For orders 1 to ORDER a table (key, logp, backoff) of interpolated modified Kneser-Ney probabilities.
+    """For orders 0 to ORDER a table (key, logp, backoff) of interpolated modified Kneser-Ney probabilities.
 
     ``backoff`` is the log weight of the key as a context (0 where it is none). Lower orders count the distinct
     bytes seen before a window instead of its occurrences.
@@ -159,7 +160,7 @@ def model_tables(counts: DataFrame) -> list[DataFrame]:
         lower = materialize(probs)
         tables.append(lower)
         gammas.append(gamma)
-    out = []
+    out = [gammas[0].select(F.col("ctx").alias("key"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("backoff"))]
     for n in range(1, ORDER + 1):
         table = tables[n - 1].select("key", F.log("p").alias("logp"))
         if n < ORDER:
@@ -172,7 +173,7 @@ def model_tables(counts: DataFrame) -> list[DataFrame]:
 
 
 class Model:
-    """Sorted key arrays with log probabilities and back-off weights, for each order."""
+    """Sorted key arrays with log probabilities and back-off weights, for each order from 0."""
 
     def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         self.orders = orders
@@ -191,7 +192,7 @@ class Model:
 
     def find(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log probability or NaN, back-off weight or 0) of keys of order n."""
-        have, logp, backoff = self.orders[n - 1]
+        have, logp, backoff = self.orders[n]
         if not len(have):
             return np.full(len(keys), np.nan), np.zeros(len(keys))
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
@@ -209,9 +210,8 @@ class Model:
             own = high[open_] | (keys[open_] & U((1 << (8 * n)) - 1))
             logp, _ = self.find(n, own)
             total[open_] = weight[open_] + logp
-            if n > 1:
-                ctx = high[open_] | ((keys[open_] & U((1 << (8 * n)) - 1)) >> U(8))
-                weight[open_] += self.find(n - 1, ctx)[1]
+            ctx = high[open_] | ((keys[open_] & U((1 << (8 * n)) - 1)) >> U(8))
+            weight[open_] += self.find(n - 1, ctx)[1]
         return np.where(np.isnan(total), weight - np.log(256.0), total)
 
 
