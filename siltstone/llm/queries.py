@@ -76,6 +76,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+REACH_SQL = "r(x, y) AS (SELECT id, id FROM nodes UNION SELECT r.x, e.b FROM r JOIN edges e ON e.a = r.y), c AS (SELECT x AS id, min(y) AS component_id FROM r GROUP BY x)"
+
+JACCARD_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, max(a.n) + max(b.n) AS t FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), nodes AS (SELECT doc_id AS id FROM documents), {REACH_SQL}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON c.id = s.doc_id"""
+
+VECTOR_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+g AS MATERIALIZED (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+edges AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM embeddings), {REACH_SQL}
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN (SELECT a, count(*) AS k FROM edges GROUP BY a) d ON d.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the operator."""
-    return {}
+    return {"op4_jaccard_join": JACCARD_SQL, "op10_vector_dedup": VECTOR_SQL}
