@@ -105,10 +105,13 @@ def fit_centroids(vectors: DataFrame, cells: int = 100, seed: int = 42, sample:
 
 
 def bucket_counts(docs: DataFrame, dim: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, v): how many tokens fall into each hash bucket."""
-    buckets = F.transform(T.tokens(F.col(text)), lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 4), 16, 10).cast("int") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double"))
-    return docs.select(F.col(doc_id).alias("doc_id"), buckets.alias("b")).select("doc_id", counts.alias("v"))
+    """(doc_id, v): how many tokens fall into each hash bucket; counted by partial aggregation, at most ``dim`` rows a document."""
+    bucket = F.conv(F.substring(F.sha2("t", 256), 1, 4), 16, 10).cast("int") % dim
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(T.tokens(F.col(text))).alias("t")).select("doc_id", bucket.alias("b"))
+    counts = each.groupBy("doc_id", "b").agg(F.count("b").cast("double").alias("n"))
+    maps = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))).alias("m"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    return maps.select("doc_id", v.alias("v"))
 
 
 def hashed_vectors(docs: DataFrame, dim: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -138,10 +138,10 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking(hybrid(spark, sf_dir))
 
 
-@query(f"{RRF_SQL} SELECT query_id, doc_id, rank, s AS sparse_rank, CASE WHEN s IS NULL THEN d END AS dense_rank FROM h WHERE rank <= 10")
+@query(f"{RRF_SQL} SELECT query_id, doc_id, rank, coalesce(s, 0)::BIGINT AS sparse_rank, coalesce(CASE WHEN s IS NULL THEN d END, 0)::BIGINT AS dense_rank FROM h WHERE rank <= 10")
 def rrf_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where fused results come from, the sparse arm's record winning."""
-    big = lambda c: F.col(c).cast("bigint").alias(c)
+    """Where fused results come from, the sparse arm's record winning; 0 stands for no rank."""
+    big = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return hybrid(spark, sf_dir, faithful=True).select("query_id", "doc_id", big("rank"), big("sparse_rank"), big("dense_rank"))
 
 
