@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import corpus, dense
+from ..operators import corpus, dense, embed
 from .registry import query, table
 
 
@@ -113,3 +113,17 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     level = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "lang").otherwise("lang_source")
     return r.select(level.alias("level"), "lang", "source", "n")
+
+
+@query("SELECT * FROM (VALUES ('text-embedding-3-small', 'openai', 1536, 2048), ('text-embedding-3-large', 'openai', 3072, 2048), ('embed-english-v3.0', 'cohere', 1024, 96), ('embed-multilingual-v3.0', 'cohere', 1024, 96), ('BAAI/bge-m3', 'local', 1024, 64), ('paraphrase-MiniLM-L6-v2', 'local', 384, 256), ('all-MiniLM-L6-v2', 'local', 384, 256)) t(model, provider, dimensions, max_batch)")
+def embed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known embedding models."""
+    return embed.models(spark)
+
+
+@query("SELECT * FROM (VALUES ('sparse', 'BM25 term matching'), ('dense', 'cosine of vectors'), ('hybrid', 'reciprocal rank fusion of both')) t(mode, description)")
+def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retrieval modes."""
+    from .. import api
+
+    return api.modes(spark)

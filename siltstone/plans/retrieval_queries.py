@@ -71,6 +71,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking(bm25.topk(corpus(spark, sf_dir), questions(spark, sf_dir), K))
 
 
+@query(f"""WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'zzqx unknownword' ELSE text END AS text FROM benchmark), {BM25_SQL}, a AS (SELECT q.query_id, d.doc_id, coalesce(b.score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN bm b ON b.query_id = q.query_id AND b.doc_id = d.doc_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM a) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM p WHERE rank <= 10""")
+def bm25_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents for every query, also where none holds its terms: zero scores fill up by id."""
+    unknown = F.when(F.col("query_id") % 3 == 0, F.lit("zzqx unknownword")).otherwise(F.col("text"))
+    return ranking(bm25.topk(corpus(spark, sf_dir), questions(spark, sf_dir).withColumn("text", unknown), K, pad=True))
+
+
 @query(f"SELECT vec_id, round({NORM_SQL}, 6) AS norm, round(v[1] / {NORM_SQL}, 6) AS first, round(v[64] / {NORM_SQL}, 6) AS last FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and normalised ends of every vector."""
