@@ -41,6 +41,8 @@ PHRASING = INLINE | frozenset("script style template noscript iframe button sele
 CUT = RAW | frozenset("head nav footer aside form button select option input svg canvas object embed dialog menu audio video".split())
 #: Words in a class, id, role or label that say the same.
 CUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal overlay sidebar menu navbar nav navigation breadcrumb breadcrumbs footer comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login search toolbar pagination widget complementary contentinfo".split())
+#: What cuts an article element itself: reader comments are often marked up as articles.
+COMMENT_WORDS = frozenset("comment comments disqus replies".split())
 MAIN_WORDS = frozenset(("main", "article"))
 #: A start tag closes an open element of these kinds, looked for up to the nearest of the second kinds.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -138,7 +140,7 @@ class Page:
         if tag in VOID:
             return
         article = tag in MAIN_WORDS or (not words.isdisjoint(MAIN_WORDS) and "role" in attributes.lower())
-        cut = parent.cut or hidden or tag in CUT or (tag == "header" and not parent.main) or (tag not in ("html", "body", "main") and not words.isdisjoint(CUT_WORDS))
+        cut = parent.cut or hidden or tag in CUT or (tag == "header" and not parent.main) or (tag not in ("html", "body", "main") and not words.isdisjoint(COMMENT_WORDS if tag == "article" else CUT_WORDS))
         path = parent.path if tag in INLINE else child_path(parent.path, name)
         if tag not in INLINE and not cut:
             self.parents[path] = parent.path
