@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import in_worker, materialize, slices, temporary, tidy
 
 U = np.uint64
 ORDER = 5
@@ -28,7 +28,9 @@ BROADCAST_ENTRIES = 4_000_000
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Bands: robust standard deviations below and above the language's median log perplexity. The lower side is
 #: wider, as texts with many copies in the corpus are predicted well without being repetitive themselves.
-LOWER, UPPER = 8.0, 6.0
+LOWER, UPPER = 5.0, 3.0
+#: A text's mean scatters more the shorter it is: bands widen by the root of 1 + SHORT_WORDS / words.
+SHORT_WORDS = 200
 BATCH_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -82,6 +84,8 @@ def count_windows(rows: DataFrame) -> DataFrame:
     """(key, n): how often each window occurs in all documents (text, lang)."""
 
     def run(batches):
+        in_worker("perplexity_rules")
+
         def merged(held):
             keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             return keys, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
@@ -114,7 +118,7 @@ def count_windows(rows: DataFrame) -> DataFrame:
             for i in range(0, len(keys), 1 << 18):
                 yield out(keys[i : i + (1 << 18)], n[i : i + (1 << 18)])
 
-    return rows.select("text", "lang").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.select("text", "lang").mapInArrow(tidy(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def suffix(order: int):
@@ -229,6 +233,7 @@ def scored(rows: DataFrame, model) -> DataFrame:
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
     def run(batches):
+        in_worker("perplexity_rules")
         m: Model = model.value
         for piece in slices(batches):
             texts = piece.column(2).to_pylist()
@@ -253,7 +258,7 @@ def scored(rows: DataFrame, model) -> DataFrame:
                 i = j
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts), pa.array(logp)], names=[*names, "logp"])
 
-    return rows.select("doc_id", "lang", "text").mapInArrow(run, f"{FEATURES}, logp double")
+    return rows.select("doc_id", "lang", "text").mapInArrow(tidy(run), f"{FEATURES}, logp double")
 
 
 def scored_by_join(rows: DataFrame, top: DataFrame) -> DataFrame:
@@ -271,7 +276,7 @@ def scored_by_join(rows: DataFrame, top: DataFrame) -> DataFrame:
             grams = pa.array([[{"key": int(k), "n": int(n)} for k, n in zip(ks.view(np.int64), ns, strict=True)] for ks, ns in found], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts), grams], names=[*(x.split()[0] for x in FEATURES.split(", ")), "grams"])
 
-    wide = rows.select("doc_id", "lang", "text").mapInArrow(with_windows, f"{FEATURES}, grams array<struct<key:bigint,n:bigint>>")
+    wide = rows.select("doc_id", "lang", "text").mapInArrow(tidy(with_windows), f"{FEATURES}, grams array<struct<key:bigint,n:bigint>>")
     wide = materialize(wide.withColumn("row", F.monotonically_increasing_id()))
     each = wide.select("row", F.explode("grams").alias("g")).select("row", "g.key", "g.n")
     sums = each.join(top.select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logp"))
@@ -279,11 +284,13 @@ def scored_by_join(rows: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, broadcast_entries: int) -> tuple[object | None, list[DataFrame]]:
-    """The broadcast model of (doc_id, lang, text) rows, or None if it is too large for that, and its tables."""
-    counts = materialize(count_windows(rows))
-    tables = model_tables(counts)
-    small = counts.count() <= broadcast_entries
-    return (rows.sparkSession.sparkContext.broadcast(Model.gathered(tables)) if small else None), tables
+    """The broadcast model of (doc_id, lang, text) rows, or None and the table of its highest order if it is too large for that."""
+    with temporary() as keep:
+        counts = materialize(count_windows(rows))
+        tables = model_tables(counts)
+        if counts.count() <= broadcast_entries:
+            return rows.sparkSession.sparkContext.broadcast(Model.gathered(tables)), []
+        return None, [keep(materialize(tables[-1]))]
 
 
 def measured(rows: DataFrame, model, tables: list[DataFrame]) -> DataFrame:
@@ -299,9 +306,11 @@ def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
     quarter = lambda q: F.percentile_approx("log_perplexity", F.lit(q), F.lit(10_000))
     bands = found.where("not base_failed").groupBy("band").agg(quarter(0.5).alias("mid"), quarter(0.25).alias("q1"), quarter(0.75).alias("q3"))
     spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.01))
-    bands = bands.select("band", (F.col("mid") - lower * spread).alias("low"), (F.col("mid") + upper * spread).alias("high"))
+    wide = F.col("spread") * F.sqrt(1 + SHORT_WORDS / F.greatest("n_words", F.lit(1)))
+    out = found.join(bands.select("band", "mid", spread.alias("spread")), "band", "left")
+    out = out.withColumn("low", F.col("mid") - lower * wide).withColumn("high", F.col("mid") + upper * wide)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return found.join(bands, "band", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return out.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
