@@ -18,14 +18,13 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_arrow
+from .common import Memo, in_worker, map_arrow
 
 #: A run of white space and the run of other characters after it. No match of a splitting pattern that keeps
 #: white space in front of words crosses the end of such a chunk. (U+001C to U+001F count as no white space.)
@@ -239,10 +238,9 @@ def decode_stream(encoder: Encoder, ids: Iterable[int]) -> Iterator[str]:
         yield text
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each worker process: its states and memo serve all its tasks."""
-    return Encoder(path, pattern)
+    return in_worker(("byte_bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

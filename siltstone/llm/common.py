@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are dropped at the end, but for those given to the yielded function."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                release(df)
+            elif _open:
+                _open[-1].append(df)
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -54,6 +82,8 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     atexit.register(clean)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
@@ -77,7 +107,51 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         for part in slices(batches):
             yield f(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: an executor's workers stay alive between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """A task's function over batches that leaves no freed memory behind in its worker."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of a group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return wrapped
+
+
+_slot: dict[object, object] = {}
+
+
+def in_worker(key: object, build: Callable[[], object] = lambda: None) -> object:
+    """What an operator keeps in a worker process over its tasks: one thing at a time, so that the memory of an
+    operator that ran before in the same process is given back first."""
+    if key not in _slot:
+        _slot.clear()
+        gc.collect()
+        trim()
+        _slot[key] = build()
+    return _slot[key]
 
 
 class Memo:
@@ -100,28 +174,28 @@ class Memo:
         return out
 
 
-def components(nodes_edges: DataFrame, partitions: int | None = None) -> DataFrame:
+def components(nodes_edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list (a, b): rows (id, component), the smallest id reachable.
 
     Alternating large-star and small-star rounds, each a grouped minimum followed by a join that adaptive
     execution splits for hubs; the edges are written to the shared folder after each round. Empty input gives an empty result; self loops and repeated edges are harmless.
     """
-    spark = nodes_edges.sparkSession
-    edges = materialize(nodes_edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v").distinct())
-    while True:
-        # large star: every larger neighbour of u is linked to the smallest of u's neighbourhood
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that the join deals both sides itself and a hub's edges can be split
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every smaller neighbour and u itself are linked to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        new = materialize(small.where("u <> v").distinct())
-        done = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        release(edges)
-        edges = new
-        if done:
-            break
+    with temporary() as keep:
+        edges = materialize(nodes_edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v").distinct())
+        while True:
+            # large star: every larger neighbour of u is linked to the smallest of u's neighbourhood
+            both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # written, so that the join deals both sides itself and a hub's edges can be split
+            least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            # small star: every smaller neighbour and u itself are linked to the smallest of them
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+            new = materialize(small.where("u <> v").distinct())
+            done = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
+            edges = new
+            if done:
+                break
+        keep(edges)
     labelled = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return labelled.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

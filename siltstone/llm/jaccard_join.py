@@ -17,8 +17,6 @@ meets a hot bucket whole.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, materialize, release, slices
+from .common import components, in_worker, materialize, slices, temporary, tidy, tidy_group
 
 U = np.uint64
 WORDS = 5
 #: Odd multipliers of a shingle's words and of the mixing steps.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 MIX_A, MIX_B, MIX_C = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xFF51AFD7ED558CCD)
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Documents (or bytes of text) whose keys are gathered and pre-aggregated together.
 GATHER_DOCS, GATHER_BYTES = 2048, 12 << 20
 #: Sets below this size are in bands whose one-deletion neighbourhoods are indexed.
@@ -78,10 +76,9 @@ class Shingler:
         return np.unique(mix(total))
 
 
-@lru_cache(maxsize=1)
 def shingler() -> Shingler:
     """One for each worker process."""
-    return Shingler()
+    return in_worker("jaccard_join", Shingler)
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -304,7 +301,7 @@ def key_blobs(rows: DataFrame, parts: int, plan: Plan, common) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return rows.select("text").mapInArrow(run, BLOB)
+    return rows.select("text").mapInArrow(tidy(run), BLOB)
 
 
 def bucket_pairs(blobs: DataFrame) -> DataFrame:
@@ -326,7 +323,7 @@ def bucket_pairs(blobs: DataFrame) -> DataFrame:
         columns = [np.concatenate(c).astype(np.int64) for c in ((pairs[0], rest_key), (pairs[1], rest_id), (n, rest_flag))]
         return pa.table([pa.array(kind), *map(pa.array, columns)], names=["kind", "a", "b", "n"])
 
-    return blobs.groupBy("part").applyInArrow(reduce, FOUND)
+    return blobs.groupBy("part").applyInArrow(tidy_group(reduce), FOUND)
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -344,7 +341,7 @@ def signatures(texts: DataFrame) -> DataFrame:
                 bits.append(np.packbits(flags, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary())], names=["id", "size", "bits"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, size bigint, bits binary")
+    return texts.select("id", "text").mapInArrow(tidy(run), "id bigint, size bigint, bits binary")
 
 
 def folded(bits: list[bytes], width: int) -> np.ndarray:
@@ -425,7 +422,7 @@ def possible_pairs(groups: DataFrame, bits: DataFrame, plan: Plan, every: bool)
         pairs = np.concatenate(found, axis=1)
         return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return rows.groupBy("part").applyInArrow(run, "a bigint, b bigint").distinct()
+    return rows.groupBy("part").applyInArrow(tidy_group(run), "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
@@ -451,7 +448,7 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
 
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def describe(rows: DataFrame) -> DataFrame:
@@ -482,11 +479,16 @@ def describe(rows: DataFrame) -> DataFrame:
                 held, size = [], 0
         yield common()
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, id bigint")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n bigint, id bigint")
 
 
 def component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, id, component_id, component_class) of every row: id is its set's class, null if the set is empty."""
+    """(doc_id, n, id, component_id, component_class) of every row, written: id is its set's class, null if the set is empty."""
+    with temporary() as keep:
+        return keep(materialize(_component_rows(docs, similarity, id_col, text_col)))
+
+
+def _component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     plan = Plan(*similarity)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -514,9 +516,7 @@ def component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, te
         links = materialize(links.union(verified(pairs, texts, plan)))
         tried = tried.union(pairs)
         labels = materialize(components(links))
-    release(texts)
-    final = labels
-    grouped = materialize(final.join(classes, "id").select("id", "rep", F.col("component").alias("c")))
+    grouped = materialize(labels.join(classes, "id").select("id", "rep", F.col("component").alias("c")))
     smallest = materialize(grouped.groupBy("c").agg(F.min(F.struct("rep", "id")).alias("least")))
     moved = grouped.join(smallest, "c").select("id", "least")
     least = F.coalesce("least", F.struct("rep", "id"))
@@ -542,7 +542,7 @@ def keep_representatives(docs: DataFrame, similarity: tuple[int, int] = (4, 5),
 
     Rows without a shingle all stay. Of rows that repeat a representative's id and set one stays.
     """
-    found = materialize(component_rows(docs, similarity, id_col, text_col))
+    found = component_rows(docs, similarity, id_col, text_col)
     stays = (F.col("n") == 0) | ((F.col("doc_id") == F.col("component_id")) & (F.col("id") == F.col("component_class")))
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty() or not found.where("doc_id is null").isEmpty()
     if not repeated:
@@ -560,7 +560,7 @@ def keep_representatives(docs: DataFrame, similarity: tuple[int, int] = (4, 5),
             ids = pa.array([class_id(x) if len(x) else None for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*piece.schema.names, "__class"])
 
-    rows = docs.mapInArrow(classed, schema)
+    rows = docs.mapInArrow(tidy(classed), schema)
     kept = found.where("n > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("id") == F.col("component_class"))).select(F.col("doc_id").alias("__kept"), F.col("id").alias("__id")).distinct()
     same = rows[id_col].cast("bigint").eqNullSafe(kept["__kept"]) & (rows["__class"] == kept["__id"])
     columns = [F.col(f"`{f.name}`") for f in fields]

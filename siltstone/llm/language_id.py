@@ -9,14 +9,13 @@ narrow margin is reported as a rejection.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import in_worker, map_arrow
 
 #: The fit's bounds: labelled texts sampled for each language, characters taken of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4000, 1 << 17
@@ -85,10 +84,9 @@ class Classifier:
         return ranked[0][1], min(1.0, 2 * margin) ** 0.5, margin < MARGIN
 
 
-@lru_cache(maxsize=2)
 def classifier(items: tuple[tuple[str, bytes], ...]) -> Classifier:
     """One classifier for each worker process."""
-    return Classifier(dict(items))
+    return in_worker(("language_id", items), lambda: Classifier(dict(items)))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

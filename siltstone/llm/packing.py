@@ -12,7 +12,6 @@ import os
 import re
 import zlib
 from array import array
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import CHUNK, MEMO_CHARS
-from .common import Memo, map_arrow
+from .common import Memo, in_worker, map_arrow
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Expected remainders in a group; FFD's waste is below a bin or two a group from here on.
 GROUP_PIECES = 4096
 #: Chunks whose ids a worker remembers; some 250 bytes each.
-MEMO_ENTRIES = 1_300_000
+MEMO_ENTRIES = 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, grp bigint"
 
 
@@ -94,10 +93,9 @@ class LibraryTokens:
         return out
 
 
-@lru_cache(maxsize=2)
 def library_tokens(path: str) -> LibraryTokens:
     """One tokenizer for each worker process."""
-    return LibraryTokens(path)
+    return in_worker(("packing", path), lambda: LibraryTokens(path))
 
 
 def mix(*values: int) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import in_worker, map_arrow, slices, tidy
 
 #: The fit's bounds: sampled texts of label 0 and of label 1 (16 KB of counts each on the driver; 200 bytes each are broadcast).
 SAMPLE_LOW, SAMPLE_HIGH = 1024, 2048
@@ -101,7 +101,7 @@ def fit_space(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 counts.append(at.astype("<u4").tobytes() + c[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts, pa.binary())], names=["id", "counts"])
 
-    found = rows.mapInArrow(count, "id bigint, counts binary").groupBy("id").agg(F.min("counts").alias("counts")).collect()
+    found = rows.mapInArrow(tidy(count), "id bigint, counts binary").groupBy("id").agg(F.min("counts").alias("counts")).collect()
     if not found:
         return None
     found.sort()
@@ -122,6 +122,8 @@ def score_documents(docs: DataFrame, space: Space | None, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def make():
+        in_worker("quality_knn")
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, s = batch.column(1).to_pylist(), shared.value
             scores = np.ones(len(texts)) if s is None or not texts else s.score(np.stack([pattern_counts(t) for t in texts]))
@@ -138,6 +140,7 @@ def filter_documents(docs: DataFrame, space: Space | None, threshold: float = TH
     shared, at = docs.sparkSession.sparkContext.broadcast(space), docs.columns.index(text_col)
 
     def run(batches):
+        in_worker("quality_knn")
         s = shared.value
         for piece in slices(batches):
             texts = piece.column(at).to_pylist()
@@ -146,4 +149,4 @@ def filter_documents(docs: DataFrame, space: Space | None, threshold: float = TH
             else:
                 yield piece.filter(pa.array(s.score(np.stack([pattern_counts(t) for t in texts])) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, map_arrow, materialize, slices
+from .common import SLICE, in_worker, map_arrow, materialize, slices, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -151,6 +151,7 @@ def redact_documents(docs: DataFrame, owner_col: str = "source", repo_col: str =
 
     def split(flagged: bool):
         def run(batches):
+            in_worker("secret_scan")
             for part in slices(batches, SLICE):
                 texts = part.column(columns.index(text_col)).to_pylist()
                 mask = []
@@ -159,7 +160,7 @@ def redact_documents(docs: DataFrame, owner_col: str = "source", repo_col: str =
                     mask.append(bool(base or extra_spans(t, base)) == flagged)
                 yield part.filter(pa.array(mask, pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
     flagged = materialize(split(True).select(F.struct(*columns).alias("d")).withColumn("row", F.monotonically_increasing_id()))
     base = flagged.select(F.col("row").alias("doc_id"), F.col(f"d.{owner_col}").cast("string").alias("o"), F.col(f"d.{repo_col}").cast("string").alias("r"), F.col(f"d.{text_col}").alias("t"))
@@ -178,4 +179,4 @@ def redact_documents(docs: DataFrame, owner_col: str = "source", repo_col: str =
                 out[chars_col] = pc.utf8_length(new).cast(out[chars_col].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
 
-    return split(False).unionByName(joined_rows.mapInArrow(clean, schema))
+    return split(False).unionByName(joined_rows.mapInArrow(tidy(clean), schema))

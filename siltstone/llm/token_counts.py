@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_worker, slices
 
 CHUNK = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 #: Frequent pre-tokens that are broadcast: their number and greatest length bound the broadcast at some 20 MB.
@@ -50,10 +49,9 @@ class PieceCounts:
         return found
 
 
-@lru_cache(maxsize=2)
 def piece_counts(path: str) -> PieceCounts:
     """One processor for each worker process."""
-    return PieceCounts(path)
+    return in_worker(("token_counts", path), lambda: PieceCounts(path))
 
 
 def words_of(text: str) -> list[str]:
