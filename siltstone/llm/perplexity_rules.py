@@ -306,8 +306,9 @@ def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
     quarter = lambda q: F.percentile_approx("log_perplexity", F.lit(q), F.lit(10_000))
     bands = found.where("not base_failed").groupBy("band").agg(quarter(0.5).alias("mid"), quarter(0.25).alias("q1"), quarter(0.75).alias("q3"))
     spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.01))
+    # a row a language, written: its size is known, so that it is broadcast while small, or else both sides can be split
+    out = found.join(materialize(bands.select("band", "mid", spread.alias("spread"))), "band", "left")
     wide = F.col("spread") * F.sqrt(1 + SHORT_WORDS / F.greatest("n_words", F.lit(1)))
-    out = found.join(bands.select("band", "mid", spread.alias("spread")), "band", "left")
     out = out.withColumn("low", F.col("mid") - lower * wide).withColumn("high", F.col("mid") + upper * wide)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
