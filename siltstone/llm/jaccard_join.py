@@ -513,9 +513,11 @@ def _component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, t
     bits = materialize(signatures(texts))
     for every in (False, True):  # likeliest partners first: what they link needs no further comparison
         pairs = materialize(possible_pairs(open_groups(star, rest, labels), bits, plan, every).join(tried, ["a", "b"], "left_anti"))
-        links = materialize(links.union(verified(pairs, texts, plan)))
         tried = tried.union(pairs)
-        labels = materialize(components(links))
+        more = materialize(verified(pairs, texts, plan)) if not pairs.isEmpty() else None
+        if more is not None and not more.isEmpty():
+            links = materialize(links.union(more))
+            labels = materialize(components(links))
     grouped = materialize(labels.join(classes, "id").select("id", "rep", F.col("component").alias("c")))
     smallest = materialize(grouped.groupBy("c").agg(F.min(F.struct("rep", "id")).alias("least")))
     moved = grouped.join(smallest, "c").select("id", "least")
