@@ -12,6 +12,8 @@ from ..functions import vector as V
 
 #: Queries that are broadcast at once (64 doubles each: some 5 MB); larger query frames are joined in blocks.
 QUERY_BLOCK = 10_000
+#: Mean share of the exact neighbours that an inverted file is calibrated for, so high that a handful of queries keeps the floor of 0.9 too, and vectors it is measured on.
+RECALL, CALIBRATION_QUERIES = 0.98, 500
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
@@ -70,16 +72,21 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return vectors.join(near.select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("cell")), "doc_id")
 
 
-def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
+def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, place: bool = False) -> DataFrame:
     """(doc_id, vec, cell) with the ``n`` nearest cells of each vector, found by expressions over the packed centroids.
 
+    With ``place`` also each cell's place, from 1 for the nearest.
+
     Centroids are few by construction (their number is the index's parameter) and ride along as one literal row.
     """
     packed = centroids.agg(F.collect_list(F.struct("cell", V.doubles(F.col("centre")).alias("centre"))).alias("cs"))
     v = V.doubles(F.col("vec"))
     scored = F.transform("cs", lambda c: F.struct((-F.round(V.cosine(v, c["centre"]), 9)).alias("s"), c["cell"].alias("cell")))
     near = F.slice(F.array_sort(scored), 1, n)
-    return vectors.crossJoin(F.broadcast(packed)).select(*vectors.columns, F.explode(near["cell"]).alias("cell"))
+    wide = vectors.crossJoin(F.broadcast(packed))
+    if not place:
+        return wide.select(*vectors.columns, F.explode(near["cell"]).alias("cell"))
+    return wide.select(*vectors.columns, F.posexplode(near["cell"]).alias("place", "cell")).withColumn("place", F.col("place") + 1)
 
 
 def ivf_topk(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, n_probe: int = 2, exclude_self: bool = False) -> DataFrame:
@@ -94,6 +101,26 @@ def ivf_topk(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: in
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def calibrated_probes(vectors: DataFrame, centroids: DataFrame, k: int = 10, recall: float = RECALL, sample: int = CALIBRATION_QUERIES) -> int:
+    """Fewest cells a query must look into so that, over a bounded sample of the vectors, ``recall`` of the exact top-k is found.
+
+    Each sampled vector's true neighbours are known by exact search; what counts is the place of their cells in the
+    sampled vector's order of cells. All cells if there is nothing to measure.
+    """
+    n = max(1, centroids.count())
+    queries = vectors.select(F.col("doc_id").alias("query_id"), "vec").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    true = exact_topk(vectors, queries, k, exclude_self=True).select("query_id", "doc_id")
+    cells = nearest_cells(vectors.select("doc_id", "vec"), centroids, 1).select("doc_id", "cell")
+    order = nearest_cells(queries, centroids, n, place=True).select("query_id", "cell", "place")
+    places = true.join(cells, "doc_id").join(order, ["query_id", "cell"]).groupBy("place").count().collect()  # at most a row a cell
+    total, found = sum(r["count"] for r in places), 0
+    for r in sorted(places, key=lambda r: r["place"]):
+        found += r["count"]
+        if found >= recall * total:
+            return r["place"]
+    return n
+
+
 def fit_centroids(vectors: DataFrame, cells: int = 100, seed: int = 42, sample: int = 50_000) -> DataFrame:
     """(cell, centre) by k-means over a bounded sample of the vectors."""
     from pyspark.ml.clustering import KMeans

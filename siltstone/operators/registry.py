@@ -14,20 +14,26 @@ class IndexRegistry:
 
     def __init__(self) -> None:
         self.indexes: dict[str, tuple[DataFrame, DataFrame | None]] = {}
+        self.probes: dict[str, int] = {}
 
     def build(self, corpus: str, vectors: DataFrame, backend: str = "flat", cells: int = 100) -> str:
-        """Register vectors; the inverted file's centroids are fitted on a bounded sample."""
+        """Register vectors; the inverted file's centroids and its number of probes are fitted on bounded samples."""
         if backend not in BACKENDS:
             raise ValueError(f"unknown backend {backend!r}; known: {BACKENDS}")
         have = vectors.where("vec is not null")
-        self.indexes[f"{corpus}:{backend}"] = (have, dense.fit_centroids(have, cells) if backend == "ivf" else None)
+        centroids = dense.fit_centroids(have, cells) if backend == "ivf" else None
+        self.indexes[f"{corpus}:{backend}"] = (have, centroids)
+        if centroids is not None:
+            self.probes[f"{corpus}:{backend}"] = dense.calibrated_probes(have, centroids)
         return f"{corpus}:{backend}"
 
     def get(self, corpus: str, backend: str = "flat") -> tuple[DataFrame, DataFrame | None]:
         """The index; KeyError if there is none."""
         return self.indexes[f"{corpus}:{backend}"]
 
-    def search(self, corpus: str, queries: DataFrame, k: int = 10, backend: str = "flat", n_probe: int = 8) -> DataFrame:
-        """(query_id, doc_id, score, rank)."""
+    def search(self, corpus: str, queries: DataFrame, k: int = 10, backend: str = "flat", n_probe: int | None = None) -> DataFrame:
+        """(query_id, doc_id, score, rank); an inverted file looks into ``n_probe`` cells, by default as many as its build measured to be needed."""
         vectors, centroids = self.get(corpus, backend)
-        return dense.exact_topk(vectors, queries, k) if centroids is None else dense.ivf_topk(vectors, queries, centroids, k, n_probe)
+        if centroids is None:
+            return dense.exact_topk(vectors, queries, k)
+        return dense.ivf_topk(vectors, queries, centroids, k, self.probes[f"{corpus}:{backend}"] if n_probe is None else n_probe)
