@@ -6,6 +6,14 @@ probabilities. The model is a set of sorted arrays of 64-bit keys (language hash
 log probabilities and back-off weights. It is broadcast while it is small; beyond a stated size the windows of
 the documents are joined to it instead. A document whose log perplexity lies outside its language's band around
 the median, measured in robust deviations over all documents, is rejected.
+
+Five bytes see spelling, not words. So words and pairs of words are counted too, each once a document, and a
+document's own counts are left out when it is scored: ``word_surprise`` is the mean negative log of the shares of its
+language's other documents that know its words and, given the word before, its pairs. Shares below ``FLOOR`` count
+as ``FLOOR``, so only windows in so large a share of documents are needed; their number doesn't grow with the corpus.
+They are found exactly: a window that reaches the share over all documents reaches it in at least one chunk of
+them, so the chunks' windows of that share are candidates, which a second pass counts. What is over the language's
+upper band is rejected.
 """
 
 from __future__ import annotations
@@ -31,6 +39,12 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 LOWER, UPPER = 5.0, 3.0
 #: A text's mean scatters more the shorter it is: bands widen by the root of 1 + SHORT_WORDS / words.
 SHORT_WORDS = 200
+#: Share of a language's other documents below which a window of words counts as unknown, and the weight of pairs.
+FLOOR, PAIR_WEIGHT = 0.01, 0.5
+#: Band of the word surprise: robust deviations above the median, least deviation, and its own widening for short texts.
+WORD_UPPER, WORD_SPREAD, WORD_SHORT = 4.0, 0.02, 50
+#: Candidates (8 bytes each) that are broadcast at once; with more, they are counted in several passes.
+CANDIDATE_BLOCK = 4_000_000
 BATCH_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -80,6 +94,191 @@ def windows(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarra
     return key[inside] | np.repeat(np.array(langs, U) << U(40), sizes), np.cumsum(sizes) - sizes
 
 
+BASE = U(0xD1342543DE82EF95)
+BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
+BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U)
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread bits over 64-bit keys, one to one."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+#: Windows of words are known by the high 52 bits of their hashes; the others number a chunk's texts.
+CHUNK_TEXTS = 1 << 12
+#: Text that is hashed at once: some 60 bytes of memory for each of it.
+GROUP_BYTES = 1 << 18
+HIGH = ~U(CHUNK_TEXTS - 1)
+_powers: list[np.ndarray] = [np.empty(0, U), np.empty(0, U)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of BASE and of its inverse, kept for groups of the usual size only."""
+    if n <= len(_powers[0]):
+        return _powers
+    size = max(n, 2 * GROUP_BYTES)
+    made = [np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b)])) for b in (BASE, BASE_INVERSE)]
+    if size <= 2 * GROUP_BYTES:
+        _powers[:] = made
+    return made
+
+
+def word_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the texts, keys of their words, keys of their pairs, each word's text): a text's first word is paired with its start.
+
+    Words are split at white space as by ``bytes.split`` and known by hashes of all their bytes.
+    """
+    parts, i = [], 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) < GROUP_BYTES):
+            size += len(texts[j])
+            j += 1
+        doc, word, pair, who = group_keys(texts[i:j], langs[i:j])
+        parts.append((doc, word, pair, who + i))
+        i = j
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (*(np.empty(0, U) for _ in range(3)), np.empty(0, np.int64))
+
+
+def group_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_keys` of some texts at once."""
+    seed = mixed(np.array(langs, U) + U(1))
+    data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+    space = IS_SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # the last byte is a space
+    if len(space) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, end = edges[::2], edges[1::2]
+    power, inverse = powers(len(data))
+    total = BYTE_VALUES[data]
+    total *= power[: len(data)]
+    np.cumsum(total, out=total)
+    word = mixed((total[end - 1] - np.where(start > 0, total[start - 1], U(0))) * inverse[start])
+    first = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    who = np.repeat(np.arange(len(texts)), np.diff(first))
+    before = np.concatenate([np.zeros(1, U), word[:-1]])[: len(word)]
+    before[first[:-1][np.diff(first) > 0]] = U(0)
+    own = seed[who]
+    return mixed(seed ^ U(1)) & HIGH, mixed(word ^ own) & HIGH, mixed(mixed(before + own) ^ word) & HIGH, who
+
+
+def document_counts(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, documents with it, documents of its language) of all windows of words of at most CHUNK_TEXTS texts, and of the languages."""
+    doc, word, pair, who = word_keys(texts, langs)
+    who = who.astype(U)
+    both = np.sort(np.concatenate([doc | np.arange(len(texts), dtype=U), word | who, pair | who]))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
+    key = both & HIGH
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    _, place, size = np.unique(np.array(langs, np.int64), return_inverse=True, return_counts=True)
+    return key[first], np.diff(np.append(first, len(key))), size[place][(both[first] & ~HIGH).astype(np.int64)]
+
+
+def text_chunks(batches, size: int):
+    """(texts, language keys) of (text, lang) batches in chunks of some ``size`` bytes; texts without words are left out."""
+    texts: list[bytes] = []
+    langs: list[int] = []
+    held = 0
+    for piece in slices(batches):
+        for text, lang in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+            data = (text or "").encode("utf-8")
+            if data.strip(SPACES):
+                texts.append(data)
+                langs.append(language_key(lang))
+                held += len(data)
+            if held >= size or len(texts) == CHUNK_TEXTS:
+                yield texts, langs
+                texts, langs, held = [], [], 0
+    if texts:
+        yield texts, langs
+
+
+class Words:
+    """Keys of the windows of words that matter, and the number of documents with each: a table with linear probing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.keys, self.n = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int64)
+        at, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.n[at[left]] == 0]
+            self.keys[at[free]], self.n[at[free]] = keys[free], n[free]  # of several for one place the last is in
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Documents with each key, 0 if it doesn't matter."""
+        at = (keys >> self.shift).astype(np.int64)
+        found, n = self.keys[at], self.n[at]
+        other = np.flatnonzero((found != keys) & (n > 0))
+        n[found != keys] = 0
+        while len(other):
+            at[other] = (at[other] + 1) & self.mask
+            found, m = self.keys[at[other]], self.n[at[other]]
+            hit = found == keys[other]
+            n[other[hit]] = m[hit]
+            other = other[~hit & (m > 0)]
+        return n
+
+    def surprise(self, texts: list[bytes], langs: list[int]) -> np.ndarray:
+        """Mean negative log share of each text's words and pairs among the other documents of its language; NaN without words."""
+        doc, word, pair, who = word_keys(texts, langs)
+        others = np.maximum(self.count(doc) - 1, 1)[who]
+        one, two = (np.maximum(self.count(k) - 1, 0) / others for k in (word, pair))
+        one, two = np.where(one < FLOOR, 0.0, one), np.where(two < FLOOR, 0.0, two)
+        before = np.concatenate([[1.0], one[:-1]])[: len(one)]
+        before[np.concatenate([[True], who[1:] != who[:-1]])[: len(one)]] = 1.0
+        share = (1 - PAIR_WEIGHT) * one + PAIR_WEIGHT * np.minimum(1.0, two / np.maximum(before, FLOOR))
+        n = np.bincount(who, minlength=len(texts))
+        total = np.bincount(who, -np.log(np.maximum(share, FLOOR)), minlength=len(texts))
+        return np.where(n > 0, total / np.maximum(n, 1), np.nan)
+
+
+def fit_words(rows: DataFrame, block: int = CANDIDATE_BLOCK):
+    """The broadcast :class:`Words` of (text, lang) rows: exact counts of all windows in at least ``FLOOR`` of a language's other documents."""
+    spark = rows.sparkSession
+
+    def candidates(batches):
+        in_worker("perplexity_rules")
+        for texts, langs in text_chunks(batches, 4 * BATCH_BYTES):
+            key, n, of = document_counts(texts, langs)
+            key = key[n >= FLOOR * of]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    with temporary():
+        found = materialize(rows.select("text", "lang").mapInArrow(tidy(candidates), "key bigint").distinct())
+        blocks = max(1, -(-found.count() // block))
+        keys, counts = [], []
+        for b in range(blocks):
+            part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
+            wanted = spark.sparkContext.broadcast(np.sort(part.toArrow().column("key").to_numpy().view(U)))
+
+            def exact(batches, wanted=wanted):
+                in_worker("perplexity_rules")
+                have = wanted.value
+                total = np.zeros(len(have), np.int64)
+                for texts, langs in text_chunks(batches, 4 * BATCH_BYTES):
+                    if not len(have):
+                        continue
+                    key, n, _ = document_counts(texts, langs)
+                    at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+                    hit = have[at] == key
+                    total[at[hit]] += n[hit]
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(have[seen].view(np.int64)), pa.array(total[seen])], names=["key", "n"])
+
+            # windows of one document only are unknown to all others
+            counted = rows.select("text", "lang").mapInArrow(tidy(exact), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+            keys.append(counted.column("key").to_numpy().view(U))
+            counts.append(counted.column("n").to_numpy())
+            wanted.destroy()
+    return spark.sparkContext.broadcast(Words(np.concatenate(keys), np.concatenate(counts)))
+
+
 def count_windows(rows: DataFrame) -> DataFrame:
     """(key, n): how often each window occurs in all documents (text, lang)."""
 
@@ -219,16 +418,26 @@ class Model:
         return np.where(np.isnan(total), weight - np.log(256.0), total)
 
 
-FEATURES = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint"
+FEATURES = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, word_surprise double"
 
 
-def features(texts: list[str | None]) -> list[pa.Array]:
-    """Columns of the base counts and the byte count."""
-    found = [(*base_counts(t), len((t or "").encode("utf-8"))) for t in texts]
-    return [pa.array([f[i] for f in found], pa.int64()) for i in range(6)]
+def features(texts: list[str | None], langs: list[int], words) -> list[pa.Array]:
+    """Columns of the base counts, the byte count and the word surprise (null without a model or words)."""
+    data = [(t or "").encode("utf-8") for t in texts]
+    found = [(*base_counts(t), len(d)) for t, d in zip(texts, data, strict=True)]
+    surprise = np.full(len(texts), np.nan)
+    i = 0
+    while words is not None and i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(data[j]) <= BATCH_BYTES):
+            size += len(data[j])
+            j += 1
+        surprise[i:j] = words.value.surprise(data[i:j], langs[i:j])
+        i = j
+    return [*(pa.array([f[i] for f in found], pa.int64()) for i in range(6)), pa.array(surprise, from_pandas=True)]
 
 
-def scored(rows: DataFrame, model) -> DataFrame:
+def scored(rows: DataFrame, model, words=None) -> DataFrame:
     """FEATURES and ``logp`` (sum over the text's bytes) of each row (doc_id, lang, text), by the broadcast model."""
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
@@ -256,12 +465,12 @@ def scored(rows: DataFrame, model) -> DataFrame:
                     sums = np.concatenate([[0.0], np.cumsum(values)])
                     logp[i:j] = sums[np.append(begin[1:], len(keys))] - sums[begin]
                 i = j
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts), pa.array(logp)], names=[*names, "logp"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts, langs, words), pa.array(logp)], names=[*names, "logp"])
 
     return rows.select("doc_id", "lang", "text").mapInArrow(tidy(run), f"{FEATURES}, logp double")
 
 
-def scored_by_join(rows: DataFrame, top: DataFrame) -> DataFrame:
+def scored_by_join(rows: DataFrame, top: DataFrame, words=None) -> DataFrame:
     """As :func:`scored`, for a model too large to broadcast: the documents' distinct windows are joined to the highest order.
 
     Every window of the counted corpus is in that table, so nothing backs off. A row is known by a number that
@@ -274,7 +483,7 @@ def scored_by_join(rows: DataFrame, top: DataFrame) -> DataFrame:
             data, langs = [(t or "").encode("utf-8") for t in texts], [language_key(x) for x in piece.column(1).to_pylist()]
             found = [np.unique(windows([d], [x])[0], return_counts=True) for d, x in zip(data, langs, strict=True)]
             grams = pa.array([[{"key": int(k), "n": int(n)} for k, n in zip(ks.view(np.int64), ns, strict=True)] for ks, ns in found], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts), grams], names=[*(x.split()[0] for x in FEATURES.split(", ")), "grams"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts, langs, words), grams], names=[*(x.split()[0] for x in FEATURES.split(", ")), "grams"])
 
     wide = rows.select("doc_id", "lang", "text").mapInArrow(tidy(with_windows), f"{FEATURES}, grams array<struct<key:bigint,n:bigint>>")
     wide = materialize(wide.withColumn("row", F.monotonically_increasing_id()))
@@ -293,9 +502,9 @@ def fit(rows: DataFrame, broadcast_entries: int) -> tuple[object | None, list[Da
         return None, [keep(materialize(tables[-1]))]
 
 
-def measured(rows: DataFrame, model, tables: list[DataFrame]) -> DataFrame:
+def measured(rows: DataFrame, model, tables: list[DataFrame], words) -> DataFrame:
     """Written features with ``base_failed``, ``log_perplexity`` and the name of the band."""
-    found = scored(rows, model) if model is not None else scored_by_join(rows, tables[-1])
+    found = scored(rows, model, words) if model is not None else scored_by_join(rows, tables[-1], words)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     ppl = F.when(F.col("n_bytes") > 0, -F.col("logp") / F.col("n_bytes"))
     return materialize(found.select("*", failed.alias("base_failed"), ppl.alias("log_perplexity"), F.coalesce("lang", F.lit("")).alias("band")))
@@ -303,14 +512,17 @@ def measured(rows: DataFrame, model, tables: list[DataFrame]) -> DataFrame:
 
 def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
     """``found`` with the band's limits and ``kept``."""
-    quarter = lambda q: F.percentile_approx("log_perplexity", F.lit(q), F.lit(10_000))
-    bands = found.where("not base_failed").groupBy("band").agg(quarter(0.5).alias("mid"), quarter(0.25).alias("q1"), quarter(0.75).alias("q3"))
-    spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.01))
+    quarters = [F.percentile_approx(c, F.lit(q), F.lit(10_000)).alias(f"{c}{i}") for c in ("log_perplexity", "word_surprise") for i, q in enumerate((0.25, 0.5, 0.75))]
+    bands = found.where("not base_failed").groupBy("band").agg(*quarters)
+    middle = [F.col(f"{c}1").alias(f"{c}_mid") for c in ("log_perplexity", "word_surprise")]
+    spread = [F.greatest((F.col(f"{c}2") - F.col(f"{c}0")) / 1.349, F.lit(least)).alias(f"{c}_spread") for c, least in (("log_perplexity", 0.01), ("word_surprise", WORD_SPREAD))]
     # a row a language, written: its size is known, so that it is broadcast while small, or else both sides can be split
-    out = found.join(materialize(bands.select("band", "mid", spread.alias("spread"))), "band", "left")
-    wide = F.col("spread") * F.sqrt(1 + SHORT_WORDS / F.greatest("n_words", F.lit(1)))
-    out = out.withColumn("low", F.col("mid") - lower * wide).withColumn("high", F.col("mid") + upper * wide)
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    out = found.join(materialize(bands.select("band", *middle, *spread)), "band", "left")
+    words = F.greatest("n_words", F.lit(1))
+    wide = F.col("log_perplexity_spread") * F.sqrt(1 + SHORT_WORDS / words)
+    out = out.withColumn("low", F.col("log_perplexity_mid") - lower * wide).withColumn("high", F.col("log_perplexity_mid") + upper * wide)
+    out = out.withColumn("word_high", F.col("word_surprise_mid") + WORD_UPPER * F.col("word_surprise_spread") * F.sqrt(1 + WORD_SHORT / words))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("word_surprise") <= F.col("word_high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -320,7 +532,8 @@ def named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, low, high) of every row.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, low, high,
+    word_surprise, word_high) of every row.
 
     A null or empty text has zero counts, fails the base rules and has no perplexity. A null language is a
     language of its own. The bands are medians and quartiles of the documents that pass the base rules, over all
@@ -328,8 +541,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each judged; an empty table gives no rows; whole texts count; other columns are never read.
     """
     rows = named(docs, id_col, text_col, lang_col)
-    out = with_verdict(measured(rows, *fit(rows, broadcast_entries)), lower, upper)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high")
+    out = with_verdict(measured(rows, *fit(rows, broadcast_entries), fit_words(rows)), lower, upper)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high", "word_surprise", "word_high")
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
@@ -339,6 +552,6 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest = F.xxhash64("lang", "text")
     keyed = rows.withColumn("doc_id", digest)  # texts, not ids, are judged
     # written, so that the join deals both sides itself and copies of one text can be split
-    kept = materialize(with_verdict(measured(keyed, model, tables), lower, upper).where("kept").select(F.col("doc_id").alias("__kept")).distinct())
+    kept = materialize(with_verdict(measured(keyed, model, tables, fit_words(rows)), lower, upper).where("kept").select(F.col("doc_id").alias("__kept")).distinct())
     own = F.xxhash64(docs[lang_col].cast("string"), docs[text_col].cast("string"))
     return docs.join(kept, own == kept["__kept"], "left_semi")

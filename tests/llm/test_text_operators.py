@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import language_id, perplexity_rules, quality_knn, secret_scan, site_style
 from siltstone.llm import queries as llm_queries
@@ -184,3 +185,49 @@ def test_secrets(spark):
     text = {r.doc_id: r.text for r in clean.collect()}
     assert text[20] == "see [SECRET] here" and live not in text[21] and example not in text[0] and "hunter2" not in text[0] and text[22] is None and text[30].startswith("Common9")
     assert secret_scan.find_secrets(d.limit(0)).count() == 0 and secret_scan.redact_documents(d.limit(0)).count() == 0
+
+
+def test_word_surprise_equals_plain_counts(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", "é", "an", "Cat,", f"w{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, " \n ", "the  of\tan\n\nthe\x0bof"]
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)] + [(999, "alone in its language", "xx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for block in (10**6, 50):  # also in several passes
+        words = perplexity_rules.fit_words(d, block).value
+        for lang in {r[2] for r in rows}:
+            own = [(r[1] or "").encode().split() for r in rows if r[2] == lang]
+            with_words = [w for w in own if w]
+            one = Counter(g for w in with_words for g in set(w))
+            two = Counter(g for w in with_words for g in set(zip([b"", *w[:-1]], w, strict=True)))
+            n = max(len(with_words) - 1, 1)
+            share = lambda c: s if (s := max(c - 1, 0) / n) >= perplexity_rules.FLOOR else 0.0
+            for w, text in zip(own, [(r[1] or "").encode() for r in rows if r[2] == lang], strict=True):
+                got = words.surprise([text], [perplexity_rules.language_key(lang)])[0]
+                if not w:
+                    assert np.isnan(got)
+                    continue
+                p = [0.5 * share(one[b]) + 0.5 * min(1, share(two[a, b]) / max(share(one[a]) if a else 1.0, perplexity_rules.FLOOR)) for a, b in zip([b"", *w[:-1]], w, strict=True)]
+                assert got == pytest.approx(-np.mean([math.log(max(x, perplexity_rules.FLOOR)) for x in p]), abs=1e-9)
+
+
+def test_rules_reject_what_is_labelled_bad(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    got = llm_queries.op5_perplexity_rules(spark, folder).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    rates = {r.quality: r.kept for r in got}
+    assert rates[1] > 0.995 and rates[0] < 0.05
+
+
+def test_word_order_counts(spark):
+    import random
+
+    rng = random.Random(5)
+    sentences = ["the old man went down to the sea", "a dog ran after him for an hour", "we saw the ship far out at noon", "it was late when she came home"]
+    texts = [" ".join(rng.choice(sentences) for _ in range(12)) for _ in range(100)]
+    words = perplexity_rules.fit_words(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")).value
+    shuffled = texts[0].split()
+    rng.shuffle(shuffled)
+    right, wrong = words.surprise([texts[0].encode(), " ".join(shuffled).encode()], [perplexity_rules.language_key("en")] * 2)
+    assert right < 0.4 * wrong
