@@ -10,7 +10,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,6 +176,51 @@ class Memo:
         return out
 
 
+U = np.uint64
+SPACES = b" \t\n\x0b\x0c\r"
+BASE = U(0xD1342543DE82EF95)
+BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
+BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U)
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
+#: Powers that a worker keeps; longer texts make their own.
+KEPT_POWERS = 1 << 19
+_powers: list[np.ndarray] = [np.empty(0, U), np.empty(0, U)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread bits over 64-bit keys, one to one."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of BASE and of its inverse."""
+    if n <= len(_powers[0]):
+        return _powers
+    size = max(n, KEPT_POWERS)
+    made = [np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b)])) for b in (BASE, BASE_INVERSE)]
+    if size <= KEPT_POWERS:
+        _powers[:] = made
+    return made
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of all bytes, split as by ``bytes.split``; where each text's words begin and the last ends)."""
+    data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+    space = IS_SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # the last byte is a space
+    if len(space) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, end = edges[::2], edges[1::2]
+    power, inverse = powers(len(data))
+    total = BYTE_VALUES[data]
+    total *= power[: len(data)]
+    np.cumsum(total, out=total)
+    word = mixed((total[end - 1] - np.where(start > 0, total[start - 1], U(0))) * inverse[start])
+    return word, np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+
+
 def components(nodes_edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list (a, b): rows (id, component), the smallest id reachable.
 

@@ -1,11 +1,13 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model of bytes, counted by Spark, and bands by language.
 
 Every document of the corpus is counted: five-byte windows (from the text's start, padded), each under its
-language. The table of windows gives all lower orders, the three discounts of every order, and interpolated
-probabilities. The model is a set of sorted arrays of 64-bit keys (language hash and bytes) with
-log probabilities and back-off weights. It is broadcast while it is small; beyond a stated size the windows of
-the documents are joined to it instead. A document whose log perplexity lies outside its language's band around
-the median, measured in robust deviations over all documents, is rejected.
+language and one of two folds by the text's hash. The table of windows gives all lower orders, the three discounts of
+every order, and interpolated probabilities, all by joins on distinct windows. A document is scored by the other
+fold's model, so neither its own counts nor those of its exact copies explain it. As every window that is scored was
+counted, the model comes down to one sorted array of 64-bit keys (language hash, fold and bytes) with log
+probabilities; it is broadcast while it is small, and joined to the documents' windows beyond a stated size. A
+document whose log perplexity per word (words that hold a letter or digit, so that ornaments cost and don't count)
+lies outside its language's band around the median, measured in robust deviations over all documents, is rejected.
 
 Five bytes see spelling, not words. So words and pairs of words are counted too, each once a document, and a
 document's own counts are left out when it is scored: ``word_surprise`` is the mean negative log of the shares of its
@@ -18,7 +20,9 @@ upper band is rejected.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker, materialize, slices, temporary, tidy
+from .common import SPACES, in_worker, materialize, mixed, release, slices, temporary, tidy, trim, word_hashes
 
 U = np.uint64
 ORDER = 5
-#: Model entries of the highest order up to which the model is broadcast (some 40 bytes each over all orders).
-BROADCAST_ENTRIES = 4_000_000
+#: Distinct windows (12 bytes each) up to which the model is broadcast.
+BROADCAST_ENTRIES = 8_000_000
 #: Base rules: fewest words, greatest percentage of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Bands: robust standard deviations below and above the language's median log perplexity. The lower side is
-#: wider, as texts with many copies in the corpus are predicted well without being repetitive themselves.
-LOWER, UPPER = 5.0, 3.0
+#: Bands: robust standard deviations below and above the language's median log perplexity per word, and the least
+#: deviation as a share of that median.
+LOWER, UPPER, LEAST_SPREAD = 4.0, 6.0, 0.01
 #: A text's mean scatters more the shorter it is: bands widen by the root of 1 + SHORT_WORDS / words.
-SHORT_WORDS = 200
+SHORT_WORDS = 800
 #: Share of a language's other documents below which a window of words counts as unknown, and the weight of pairs.
 FLOOR, PAIR_WEIGHT = 0.01, 0.5
 #: Band of the word surprise: robust deviations above the median, least deviation, and its own widening for short texts.
@@ -47,7 +51,10 @@ WORD_UPPER, WORD_SPREAD, WORD_SHORT = 4.0, 0.02, 50
 CANDIDATE_BLOCK = 4_000_000
 BATCH_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
-SPACES = b" \t\n\x0b\x0c\r"
+#: A word without letters and digits (all bytes beyond ASCII count as letters).
+ORNAMENT = re.compile(rb"(?<!\S)[^\s0-9A-Za-z\x80-\xff]+(?!\S)")
+#: The lowest bit above a window's bytes is its document's fold.
+FOLD = 1 << 40
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -75,8 +82,13 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def language_key(lang: str | None) -> int:
-    """The high 24 bits of a language's keys."""
-    return xxhash.xxh32_intdigest(lang or "") >> 8
+    """The high 24 bits of a language's keys, the last of them left for the fold."""
+    return xxhash.xxh32_intdigest(lang or "") >> 8 & ~1
+
+
+def fold_key(lang: str | None, data: bytes) -> int:
+    """The high 24 bits of a text's windows: its language and, by its hash, its fold."""
+    return language_key(lang) | xxhash.xxh32_intdigest(data) & 1
 
 
 def windows(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,36 +106,11 @@ def windows(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarra
     return key[inside] | np.repeat(np.array(langs, U) << U(40), sizes), np.cumsum(sizes) - sizes
 
 
-BASE = U(0xD1342543DE82EF95)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U)
-IS_SPACE = np.isin(np.arange(256), list(SPACES))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread bits over 64-bit keys, one to one."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 #: Windows of words are known by the high 52 bits of their hashes; the others number a chunk's texts.
 CHUNK_TEXTS = 1 << 12
 #: Text that is hashed at once: some 60 bytes of memory for each of it.
 GROUP_BYTES = 1 << 18
 HIGH = ~U(CHUNK_TEXTS - 1)
-_powers: list[np.ndarray] = [np.empty(0, U), np.empty(0, U)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """At least ``n`` powers of BASE and of its inverse, kept for groups of the usual size only."""
-    if n <= len(_powers[0]):
-        return _powers
-    size = max(n, 2 * GROUP_BYTES)
-    made = [np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b)])) for b in (BASE, BASE_INVERSE)]
-    if size <= 2 * GROUP_BYTES:
-        _powers[:] = made
-    return made
 
 
 def word_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,18 +133,7 @@ def word_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndar
 def group_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """:func:`word_keys` of some texts at once."""
     seed = mixed(np.array(langs, U) + U(1))
-    data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
-    space = IS_SPACE[data]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # the last byte is a space
-    if len(space) and not space[0]:
-        edges = np.concatenate([[0], edges])
-    start, end = edges[::2], edges[1::2]
-    power, inverse = powers(len(data))
-    total = BYTE_VALUES[data]
-    total *= power[: len(data)]
-    np.cumsum(total, out=total)
-    word = mixed((total[end - 1] - np.where(start > 0, total[start - 1], U(0))) * inverse[start])
-    first = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    word, first = word_hashes(texts)
     who = np.repeat(np.arange(len(texts)), np.diff(first))
     before = np.concatenate([np.zeros(1, U), word[:-1]])[: len(word)]
     before[first[:-1][np.diff(first) > 0]] = U(0)
@@ -280,7 +256,7 @@ def fit_words(rows: DataFrame, block: int = CANDIDATE_BLOCK):
 
 
 def count_windows(rows: DataFrame) -> DataFrame:
-    """(key, n): how often each window occurs in all documents (text, lang)."""
+    """(key, n): how often each window occurs in all documents (text, lang) of a language and fold."""
 
     def run(batches):
         in_worker("perplexity_rules")
@@ -300,7 +276,7 @@ def count_windows(rows: DataFrame) -> DataFrame:
             for text, lang in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 if text:
                     texts.append(text.encode("utf-8"))
-                    langs.append(language_key(lang))
+                    langs.append(fold_key(lang, texts[-1]))
                     size += len(texts[-1])
                 if size >= 4 * BATCH_BYTES:
                     held.append(np.unique(windows(texts, langs)[0], return_counts=True))
@@ -332,99 +308,87 @@ def context(order: int):
     return high.bitwiseOR(F.shiftright(F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1)), 8))
 
 
-def model_tables(counts: DataFrame) -> list[DataFrame]:
-    """For orders 0 to ORDER a table (key, logp, backoff) of interpolated modified Kneser-Ney probabilities.
+def cross_scores(counts: DataFrame) -> DataFrame:
+    """(key, logp) of every counted window: the log probability of its last byte by the other fold's modified Kneser-Ney model.
 
-    ``backoff`` is the log weight of the key as a context (0 where it is none). Lower orders count the distinct
-    bytes seen before a window instead of its occurrences.
+    Lower orders count the distinct bytes seen before a window instead of its occurrences. Probabilities are
+    interpolated: a window that the other fold lacks has its context's held-out weight times the next lower order's
+    probability, or that probability alone if the context is unknown too; below order 1 all bytes are alike. A context
+    has at most 256 windows and a window at most 256 that end in it, so no join meets a hot key.
     """
     counted = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         counted[n] = materialize(counted[n + 1].select(suffix(n + 1).alias("key")).groupBy("key").agg(F.count("*").alias("n")))
-    tables: list[DataFrame] = []
-    gammas: list[DataFrame] = []
-    lower = None
+    of = [F.count(F.when(F.col("n") == i, 1)) for i in range(1, 5)]
+    alike = {n: counted[n].agg(F.lit(n), *of) for n in counted}
+    often = {r[0]: r[1:] for r in reduce(DataFrame.union, alike.values()).collect()}
+    below = None
     for n in range(1, ORDER + 1):
-        table = counted[n]
-        of = [F.count(F.when(F.col("n") == i, 1)) for i in range(1, 5)]
-        n1, n2, n3, n4 = (float(x) for x in table.agg(*of).first())
+        n1, n2, n3, n4 = map(float, often[n])
         y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
         cut = [max(0.01, min(i - 0.01, i - (i + 1) * y * b / a if a and b else 0.5 * i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         discount = F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
-        by_context = table.withColumn("ctx", context(n)).groupBy("ctx").agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
-        gamma = materialize(by_context.select("ctx", "total", (F.col("held") / F.col("total")).alias("gamma")))
-        joined = table.withColumn("ctx", context(n)).join(gamma, "ctx")
-        own = (F.col("n") - discount) / F.col("total")
+        by_context = counted[n].groupBy(context(n).alias("ctx")).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
+        gamma = by_context.select("ctx", "total", (F.col("held") / F.col("total")).alias("gamma"))
+        asked = counted[n].select(F.col("key").bitwiseXOR(F.lit(FOLD)).alias("key"))
+        if n < ORDER:  # windows of both folds, for the next order's joins
+            asked = counted[n].select("key", "n").union(asked.withColumn("n", F.lit(None).cast("bigint"))).groupBy("key").agg(F.max("n").alias("n"))
+        else:
+            asked = asked.join(counted[n], "key", "left")
+        joined = asked.withColumn("ctx", context(n)).join(materialize(gamma), "ctx", "left")
         if n == 1:
-            probs = joined.select("key", (own + F.col("gamma") / 256.0).alias("p"))
+            joined = joined.withColumn("below", F.lit(1 / 256))
         else:
-            below = lower.select(F.col("key").alias("sfx"), F.col("p").alias("below"))
-            probs = joined.withColumn("sfx", suffix(n)).join(below, "sfx").select("key", (own + F.col("gamma") * F.col("below")).alias("p"))
-        lower = materialize(probs)
-        tables.append(lower)
-        gammas.append(gamma)
-    out = [gammas[0].select(F.col("ctx").alias("key"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("backoff"))]
-    for n in range(1, ORDER + 1):
-        table = tables[n - 1].select("key", F.log("p").alias("logp"))
+            joined = joined.withColumn("sfx", suffix(n)).join(below.select(F.col("key").alias("sfx"), F.col("p").alias("below")), "sfx")
+        own = F.coalesce((F.col("n") - discount) / F.col("total"), F.lit(0.0))
+        below = joined.select("key", (own + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
         if n < ORDER:
-            weights = gammas[n].select(F.col("ctx").alias("key"), F.log("gamma").alias("backoff"))
-            table = table.join(weights, "key", "full").select("key", "logp", F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
-        else:
-            table = table.withColumn("backoff", F.lit(0.0))
-        out.append(table)
-    return out
+            below = materialize(below)
+    return below.select(F.col("key").bitwiseXOR(F.lit(FOLD)).alias("key"), F.log("p").cast("float").alias("logp"))
 
 
 class Model:
-    """Sorted key arrays with log probabilities and back-off weights, for each order from 0."""
+    """Sorted keys of windows with the log probability that scores each."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.orders = orders
+    def __init__(self, keys: np.ndarray, logp: np.ndarray) -> None:
+        self.keys, self.logp = keys, logp
 
     @classmethod
-    def gathered(cls, tables: list[DataFrame]) -> Model:
-        """From Spark's tables, whose size was checked; NaN stands for a context that is no window of its order."""
-        orders = []
-        for t in tables:
-            a = t.toArrow()
-            key = a.column("key").to_numpy().view(U)
-            order = np.argsort(key)
-            logp, backoff = (np.asarray(a.column(c).to_numpy(), np.float64)[order].astype(np.float32) for c in ("logp", "backoff"))
-            orders.append((key[order], logp, backoff))
-        return cls(orders)
-
-    def find(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability or NaN, back-off weight or 0) of keys of order n."""
-        have, logp, backoff = self.orders[n]
-        if not len(have):
-            return np.full(len(keys), np.nan), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        hit = have[at] == keys
-        return np.where(hit, logp[at], np.nan), np.where(hit, backoff[at], 0.0)
+    def gathered(cls, scores: DataFrame) -> Model:
+        """From a table of checked size: executors sort and pack its key ranges, the driver only lays them end to end."""
+
+        def pack(batches):
+            held = list(batches)
+            if held:
+                table = pa.Table.from_batches(held)
+                yield pa.RecordBatch.from_arrays([table.column("key")[:1].combine_chunks(), *(pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in ("key", "logp"))], names=["first", "keys", "logps"])
+                trim()
+
+        ranges = max(1, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        packed = scores.repartitionByRange(ranges, "key").sortWithinPartitions("key").mapInArrow(pack, "first bigint, keys binary, logps binary")
+        rows = sorted(packed.collect(), key=lambda r: r[0])
+        return cls(np.frombuffer(b"".join(r[1] for r in rows), np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.float32))
 
     def score(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each window's last byte, backing off where a window was never seen."""
-        high = keys >> U(40) << U(40)
-        total, weight = np.full(len(keys), np.nan), np.zeros(len(keys))
-        for n in range(ORDER, 0, -1):
-            open_ = np.flatnonzero(np.isnan(total))
-            if not len(open_):
-                break
-            own = high[open_] | (keys[open_] & U((1 << (8 * n)) - 1))
-            logp, _ = self.find(n, own)
-            total[open_] = weight[open_] + logp
-            ctx = high[open_] | ((keys[open_] & U((1 << (8 * n)) - 1)) >> U(8))
-            weight[open_] += self.find(n - 1, ctx)[1]
-        return np.where(np.isnan(total), weight - np.log(256.0), total)
+        """The log probability of each window; one that was never counted is as unlikely as by chance."""
+        keys = keys.view(np.int64)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+        at = np.minimum(np.searchsorted(self.keys, ordered[first]), max(0, len(self.keys) - 1))
+        found = np.where(self.keys[at] == ordered[first], self.logp[at], -np.log(256.0)) if len(self.keys) else np.full(len(first), -np.log(256.0))
+        values = np.empty(len(keys))
+        values[order] = np.repeat(found, np.diff(np.append(first, len(keys))))
+        return values
 
 
-FEATURES = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, word_surprise double"
+FEATURES = "doc_id bigint, lang string, digest bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, n_lexical bigint, word_surprise double"
 
 
 def features(texts: list[str | None], langs: list[int], words) -> list[pa.Array]:
-    """Columns of the base counts, the byte count and the word surprise (null without a model or words)."""
+    """Columns of the base counts, the byte count, the words with letters or digits, and the word surprise (null without a model or words)."""
     data = [(t or "").encode("utf-8") for t in texts]
-    found = [(*base_counts(t), len(d)) for t, d in zip(texts, data, strict=True)]
+    found = [(*(c := base_counts(t)), len(d), c[0] - len(ORNAMENT.findall(d))) for t, d in zip(texts, data, strict=True)]
     surprise = np.full(len(texts), np.nan)
     i = 0
     while words is not None and i < len(texts):
@@ -434,7 +398,7 @@ def features(texts: list[str | None], langs: list[int], words) -> list[pa.Array]
             j += 1
         surprise[i:j] = words.value.surprise(data[i:j], langs[i:j])
         i = j
-    return [*(pa.array([f[i] for f in found], pa.int64()) for i in range(6)), pa.array(surprise, from_pandas=True)]
+    return [*(pa.array([f[i] for f in found], pa.int64()) for i in range(7)), pa.array(surprise, from_pandas=True)]
 
 
 def scored(rows: DataFrame, model, words=None) -> DataFrame:
@@ -448,6 +412,7 @@ def scored(rows: DataFrame, model, words=None) -> DataFrame:
             texts = piece.column(2).to_pylist()
             data = [(t or "").encode("utf-8") for t in texts]
             langs = [language_key(x) for x in piece.column(1).to_pylist()]
+            folds = list(map(fold_key, piece.column(1).to_pylist(), data))
             logp = np.zeros(len(texts))
             i = 0
             while i < len(texts):
@@ -455,59 +420,63 @@ def scored(rows: DataFrame, model, words=None) -> DataFrame:
                 while j < len(texts) and (j == i or size + len(data[j]) <= BATCH_BYTES):
                     size += len(data[j])
                     j += 1
-                keys, begin = windows(data[i:j], langs[i:j])
+                keys, begin = windows(data[i:j], folds[i:j])
                 if len(keys):
-                    order = np.argsort(keys)
-                    ordered = keys[order]
-                    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                    values = np.empty(len(keys))
-                    values[order] = np.repeat(m.score(ordered[first]), np.diff(np.append(first, len(keys))))
-                    sums = np.concatenate([[0.0], np.cumsum(values)])
+                    sums = np.concatenate([[0.0], np.cumsum(m.score(keys))])
                     logp[i:j] = sums[np.append(begin[1:], len(keys))] - sums[begin]
                 i = j
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts, langs, words), pa.array(logp)], names=[*names, "logp"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(3), *features(texts, langs, words), pa.array(logp)], names=[*names, "logp"])
 
-    return rows.select("doc_id", "lang", "text").mapInArrow(tidy(run), f"{FEATURES}, logp double")
+    return rows.select("doc_id", "lang", "text", "digest").mapInArrow(tidy(run), f"{FEATURES}, logp double")
 
 
-def scored_by_join(rows: DataFrame, top: DataFrame, words=None) -> DataFrame:
-    """As :func:`scored`, for a model too large to broadcast: the documents' distinct windows are joined to the highest order.
+def scored_by_join(rows: DataFrame, scores: DataFrame, words=None) -> DataFrame:
+    """As :func:`scored`, for a model too large to broadcast: the documents' distinct windows are joined to the scores.
 
-    Every window of the counted corpus is in that table, so nothing backs off. A row is known by a number that
-    the written features keep.
+    Every window of the counted corpus is in that table. A row is known by a number that the written features keep.
     """
 
     def with_windows(batches):
         for piece in slices(batches, 64):
             texts = piece.column(2).to_pylist()
-            data, langs = [(t or "").encode("utf-8") for t in texts], [language_key(x) for x in piece.column(1).to_pylist()]
-            found = [np.unique(windows([d], [x])[0], return_counts=True) for d, x in zip(data, langs, strict=True)]
+            data, langs = [(t or "").encode("utf-8") for t in texts], piece.column(1).to_pylist()
+            found = [np.unique(windows([d], [fold_key(x, d)])[0], return_counts=True) for d, x in zip(data, langs, strict=True)]
+            langs = list(map(language_key, langs))
             grams = pa.array([[{"key": int(k), "n": int(n)} for k, n in zip(ks.view(np.int64), ns, strict=True)] for ks, ns in found], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *features(texts, langs, words), grams], names=[*(x.split()[0] for x in FEATURES.split(", ")), "grams"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(3), *features(texts, langs, words), grams], names=[*(x.split()[0] for x in FEATURES.split(", ")), "grams"])
 
-    wide = rows.select("doc_id", "lang", "text").mapInArrow(tidy(with_windows), f"{FEATURES}, grams array<struct<key:bigint,n:bigint>>")
+    wide = rows.select("doc_id", "lang", "text", "digest").mapInArrow(tidy(with_windows), f"{FEATURES}, grams array<struct<key:bigint,n:bigint>>")
     wide = materialize(wide.withColumn("row", F.monotonically_increasing_id()))
     each = wide.select("row", F.explode("grams").alias("g")).select("row", "g.key", "g.n")
-    sums = each.join(top.select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logp"))
+    sums = each.join(scores, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logp"))
     return wide.drop("grams").join(sums, "row", "left").drop("row").withColumn("logp", F.coalesce("logp", F.lit(0.0)))
 
 
-def fit(rows: DataFrame, broadcast_entries: int) -> tuple[object | None, list[DataFrame]]:
-    """The broadcast model of (doc_id, lang, text) rows, or None and the table of its highest order if it is too large for that."""
+def fit(rows: DataFrame, broadcast_entries: int) -> tuple[object | None, DataFrame | None]:
+    """The broadcast model of (doc_id, lang, text) rows, or None and the table of scores if it is too large for that."""
     with temporary() as keep:
         counts = materialize(count_windows(rows))
-        tables = model_tables(counts)
+        scores = materialize(cross_scores(counts))
         if counts.count() <= broadcast_entries:
-            return rows.sparkSession.sparkContext.broadcast(Model.gathered(tables)), []
-        return None, [keep(materialize(tables[-1]))]
+            return rows.sparkSession.sparkContext.broadcast(Model.gathered(scores)), None
+        return None, keep(scores)
 
 
-def measured(rows: DataFrame, model, tables: list[DataFrame], words) -> DataFrame:
-    """Written features with ``base_failed``, ``log_perplexity`` and the name of the band."""
-    found = scored(rows, model, words) if model is not None else scored_by_join(rows, tables[-1], words)
+def measured(rows: DataFrame, broadcast_entries: int) -> DataFrame:
+    """Written features of (doc_id, lang, text) rows with ``base_failed``, ``log_perplexity`` and the name of the band; the models are given back."""
+    model, scores = fit(rows, broadcast_entries)
+    words = fit_words(rows)
+    found = scored(rows, model, words) if model is not None else scored_by_join(rows, scores, words)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    ppl = F.when(F.col("n_bytes") > 0, -F.col("logp") / F.col("n_bytes"))
-    return materialize(found.select("*", failed.alias("base_failed"), ppl.alias("log_perplexity"), F.coalesce("lang", F.lit("")).alias("band")))
+    ppl = F.when(F.col("n_bytes") > 0, -F.col("logp") / F.greatest("n_lexical", F.lit(1)))
+    out = materialize(found.select("*", failed.alias("base_failed"), ppl.alias("log_perplexity"), F.coalesce("lang", F.lit("")).alias("band")))
+    words.destroy()
+    if model is not None:
+        model.destroy()
+    else:
+        release(scores)
+    trim()
+    return out
 
 
 def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
@@ -515,7 +484,7 @@ def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
     quarters = [F.percentile_approx(c, F.lit(q), F.lit(10_000)).alias(f"{c}{i}") for c in ("log_perplexity", "word_surprise") for i, q in enumerate((0.25, 0.5, 0.75))]
     bands = found.where("not base_failed").groupBy("band").agg(*quarters)
     middle = [F.col(f"{c}1").alias(f"{c}_mid") for c in ("log_perplexity", "word_surprise")]
-    spread = [F.greatest((F.col(f"{c}2") - F.col(f"{c}0")) / 1.349, F.lit(least)).alias(f"{c}_spread") for c, least in (("log_perplexity", 0.01), ("word_surprise", WORD_SPREAD))]
+    spread = [F.greatest((F.col(f"{c}2") - F.col(f"{c}0")) / 1.349, least).alias(f"{c}_spread") for c, least in (("log_perplexity", LEAST_SPREAD * F.col("log_perplexity1")), ("word_surprise", F.lit(WORD_SPREAD)))]
     # a row a language, written: its size is known, so that it is broadcast while small, or else both sides can be split
     out = found.join(materialize(bands.select("band", *middle, *spread)), "band", "left")
     words = F.greatest("n_words", F.lit(1))
@@ -527,8 +496,9 @@ def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
 
 
 def named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(doc_id, lang, text) of any table."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, lang, text, digest of both) of any table."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    return rows.withColumn("digest", F.xxhash64("lang", "text"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
@@ -541,17 +511,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each judged; an empty table gives no rows; whole texts count; other columns are never read.
     """
     rows = named(docs, id_col, text_col, lang_col)
-    out = with_verdict(measured(rows, *fit(rows, broadcast_entries), fit_words(rows)), lower, upper)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high", "word_surprise", "word_high")
+    return with_verdict(measured(rows, broadcast_entries), lower, upper).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high", "word_surprise", "word_high")
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`judge` keeps: rows are matched by id and text digest."""
+    """The rows of ``docs``, with all their columns, that :func:`judge` keeps.
+
+    Rows are matched by id and by a 64-bit hash of language and text, so rows with one id (also a null one) and
+    different texts are judged each on its own; a null or empty text is rejected; an empty table gives no rows.
+    """
     rows = named(docs, id_col, text_col, lang_col)
-    model, tables = fit(rows, broadcast_entries)
-    digest = F.xxhash64("lang", "text")
-    keyed = rows.withColumn("doc_id", digest)  # texts, not ids, are judged
-    # written, so that the join deals both sides itself and copies of one text can be split
-    kept = materialize(with_verdict(measured(keyed, model, tables, fit_words(rows)), lower, upper).where("kept").select(F.col("doc_id").alias("__kept")).distinct())
+    # written, so that the join deals both sides itself
+    kept = materialize(with_verdict(measured(rows, broadcast_entries), lower, upper).where("kept").select("doc_id", "digest").distinct())
     own = F.xxhash64(docs[lang_col].cast("string"), docs[text_col].cast("string"))
-    return docs.join(kept, own == kept["__kept"], "left_semi")
+    return docs.join(kept, docs[id_col].cast("bigint").eqNullSafe(kept["doc_id"]) & (own == kept["digest"]), "left_semi")

@@ -52,11 +52,12 @@ def test_base_counts():
 
 
 def kneser_ney(texts):
-    """Plain dictionaries: modified Kneser-Ney of five bytes for one language."""
+    """Plain dictionaries: modified Kneser-Ney of five bytes over (group, text); scores a text by a group's model."""
     order = perplexity_rules.ORDER
-    counts = {order: Counter(w for t in texts for w in (b"\0" * (order - 1) + t)[0:0] or [(b"\0" * (order - 1) + t)[i : i + order] for i in range(len(t))])}
+    grams = lambda t: [(b"\0" * (order - 1) + t)[i : i + order] for i in range(len(t))]
+    counts = {order: Counter((f, g) for f, t in texts for g in grams(t))}
     for n in range(order - 1, 0, -1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
+        counts[n] = Counter((f, g[1:]) for f, g in counts[n + 1])
     discount = {}
     for n in counts:
         c = Counter(min(v, 5) for v in counts[n].values())
@@ -64,35 +65,39 @@ def kneser_ney(texts):
         discount[n] = [max(0.01, min(i - 0.01, i - (i + 1) * y * c[i + 1] / c[i] if c[i + 1] and c[i] else 0.5 * i)) for i in (1, 2, 3)]
     total, held = defaultdict(float), defaultdict(float)
     for n in counts:
-        for g, c in counts[n].items():
-            total[g[:-1], n] += c
-            held[g[:-1], n] += discount[n][min(c, 3) - 1]
+        for (f, g), c in counts[n].items():
+            total[f, g[:-1], n] += c
+            held[f, g[:-1], n] += discount[n][min(c, 3) - 1]
 
-    def p(g):
+    def p(f, g):
         n = len(g)
-        lower = p(g[1:]) if n > 1 else 1 / 256
-        ctx = (g[:-1], n)
+        lower = p(f, g[1:]) if n > 1 else 1 / 256
+        ctx = (f, g[:-1], n)
         if ctx not in total:
             return lower
-        c = counts[n].get(g, 0)
+        c = counts[n].get((f, g), 0)
         return max(c - (discount[n][min(c, 3) - 1] if c else 0), 0) / total[ctx] + held[ctx] / total[ctx] * lower
 
-    return lambda t: sum(math.log(p((b"\0" * (order - 1) + t)[i : i + order])) for i in range(len(t)))
+    return lambda f, t: sum(math.log(p(f, g)) for g in grams(t))
 
 
 def test_perplexity_equals_plain_model(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "zzz qqq"]
-    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    texts = [*(f"the cat sat on the mat {i}" for i in range(4)), "the dog sat on the log", "a cat and a dog", "zzz qqq", "ein Hund", "the cat sat on the mat 1"]
+    langs = ["en"] * 7 + ["de", "en"]
+    d = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))] + [(99, "", "en"), (98, None, None)], "doc_id long, text string, lang string")
     rows = perplexity_rules.named(d, "doc_id", "text", "lang")
-    model, tables = perplexity_rules.fit(rows, 10**6)
-    want = kneser_ney([t.encode() for t in texts])
-    assert tables == []
-    for found in (perplexity_rules.scored(rows, model), perplexity_rules.scored_by_join(rows, perplexity_rules.fit(rows, 0)[1][-1])):
-        for r in found.collect():
-            assert r.logp == pytest.approx(want(texts[r.doc_id].encode()), rel=1e-4)
-    unseen = b"the frog sat"
-    keys, _ = perplexity_rules.windows([unseen], [perplexity_rules.language_key("en")])
-    assert model.value.score(keys).sum() == pytest.approx(want(unseen), rel=1e-4)
+    model, table = perplexity_rules.fit(rows, 10**6)
+    assert table is None
+    # discounts are of all languages and folds together, all else of the other fold of a text's language
+    data = [t.encode() for t in texts]
+    fold = [perplexity_rules.fold_key(x, t) for x, t in zip(langs, data, strict=True)]
+    assert len(set(fold[:7])) == 2
+    plain = kneser_ney([(f, t) for f, t in zip(fold, data, strict=True)])
+    for found in (perplexity_rules.scored(rows, model), perplexity_rules.scored_by_join(rows, perplexity_rules.fit(rows, 0)[1])):
+        got = {r.doc_id: r.logp for r in found.collect()}
+        assert got.pop(99) == got.pop(98) == 0
+        for i, logp in got.items():
+            assert logp == pytest.approx(plain(fold[i] ^ 1, data[i]), rel=1e-5)
 
 
 def test_rules_reject_outliers_and_keep_the_rest(spark):
