@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,16 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (local tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one is set where it is unset and the master is local.
+
+    On a cluster each executor has its own disks, so an unset folder is an error there.
+    """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended until no column of ``taken`` has it in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Hadoop, so that any shared store works."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -44,6 +58,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 _open: list[list[DataFrame]] = []
+_scratch: dict[str, SparkSession] = {}
 
 
 @contextmanager
@@ -75,13 +90,7 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
-    def clean() -> None:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
-
-    atexit.register(clean)
+    _scratch[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
     if _open:
@@ -91,9 +100,23 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Drop a table made by :func:`materialize` that no later plan reads."""
+    _scratch.pop(df._siltstone_path, None)
     drop_path(df.sparkSession, df._siltstone_path)
 
 
+def release_scratch() -> None:
+    """Drop all tables that are left: for long sessions, when no result of an operator is to be read any more. Also done when the interpreter ends."""
+    while _scratch:
+        path, spark = _scratch.popitem()
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session may have ended before the interpreter
+            continue
+
+
+atexit.register(release_scratch)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into at most ``size`` rows."""
     for batch in batches:

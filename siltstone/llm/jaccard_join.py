@@ -22,9 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, in_worker, materialize, slices, temporary, tidy, tidy_group
+from .common import components, fresh, in_worker, materialize, slices, temporary, tidy, tidy_group
 
 U = np.uint64
 WORDS = 5
@@ -34,6 +33,8 @@ MIX_A, MIX_B, MIX_C = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xFF51AFD7
 MEMO_WORDS = 200_000
 #: Documents (or bytes of text) whose keys are gathered and pre-aggregated together.
 GATHER_DOCS, GATHER_BYTES = 2048, 12 << 20
+#: Keys of buckets (17 bytes each) that meet in one reducing group, and bytes of bitmaps compared in one.
+PART_KEYS, PART_BYTES = 1 << 18, 16 << 20
 #: Sets below this size are in bands whose one-deletion neighbourhoods are indexed.
 SMALL = 28
 #: Common shingles: share of documents from which one is common, and how many are broadcast at most (8 bytes each).
@@ -376,18 +377,23 @@ def possible_pairs(groups: DataFrame, bits: DataFrame, plan: Plan, every: bool)
     """(a, b) within a group, of different components, whose bitmaps don't rule the similarity out.
 
     Two sets share at most as many shingles as their bitmaps share bits, plus the smaller number of shingles that
-    fell on a bit already set. Groups are compared in blocks of bounded size; without ``every`` a member names
-    only its likeliest partner, else all that are possible.
+    fell on a bit already set. Groups are compared in blocks of bounded size. A group's largest component has blocks
+    of its own, which meet the others' blocks only, so what one component holds isn't compared with itself. Without
+    ``every`` a member names only its likeliest partner, else all that are possible.
     """
     num, den, block = plan.num, plan.den, 1024
     groups = materialize(groups)
-    sizes = materialize(groups.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1"))
-    total = groups.count()
-    parts = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 8192)
-    n_blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    rows = groups.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    held = groups.groupBy("centre", "c").agg(F.count("*").alias("n")).groupBy("centre")
+    held = held.agg(F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("most")).where(F.col("total") > F.col("most.n"))
+    blocks_of = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sizes = materialize(held.select("centre", F.col("most.c").alias("major"), blocks_of(F.col("most.n")).alias("ours"), blocks_of(F.col("total") - F.col("most.n")).alias("others")))
+    major, every_block = F.col("c") == F.col("major"), F.col("ours") + F.col("others")
+    own = F.when(major, F.pmod(F.xxhash64("id"), F.col("ours"))).otherwise(F.col("ours") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    rows = groups.join(sizes, "centre").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(major, F.col("ours")).otherwise(F.lit(0)), every_block - 1)))
     rows = rows.select("centre", "id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("centre", "i", "j"), F.lit(parts)).cast("int")).join(bits, "id")
+    total = rows.join(bits.select("id", "size"), "id").agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-2 * total // PART_BYTES))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("centre", "i", "j"), F.lit(parts))).join(bits, "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("centre", "ascending"), ("i", "ascending"), ("j", "ascending")])
@@ -452,7 +458,7 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 
 
 def describe(rows: DataFrame) -> DataFrame:
-    """(doc_id, n, id) of each row, and (count, -1, shingle) of shingles that are common within a gathered batch."""
+    """(doc_id, n, id, digest) of each row (doc_id, text, digest), and (count, -1, shingle, null) of shingles that are common within a gathered batch."""
 
     def run(batches):
         sh = shingler()
@@ -463,7 +469,7 @@ def describe(rows: DataFrame) -> DataFrame:
             x, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
             often = n >= max(3, COMMON_SHARE * len(held))
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array(n[often]), pa.array(np.full(k, -1, np.int64)), pa.array(x[often].view(np.int64))], names=["doc_id", "n", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(n[often]), pa.array(np.full(k, -1, np.int64)), pa.array(x[often].view(np.int64)), pa.nulls(k, pa.int64())], names=["doc_id", "n", "id", "digest"])
 
         for piece in slices(batches):
             n, ids = [], []
@@ -473,17 +479,26 @@ def describe(rows: DataFrame) -> DataFrame:
                 ids.append(class_id(s) if len(s) else None)
                 held.append(s)
                 size += len(s)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n", "id"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), piece.column(2)], names=["doc_id", "n", "id", "digest"])
             if size > 1 << 20:
                 yield common()
                 held, size = [], 0
         yield common()
 
-    return rows.mapInArrow(tidy(run), "doc_id bigint, n bigint, id bigint")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n bigint, id bigint, digest bigint")
+
+
+def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, digest of the text) of any table: what tells rows with one id apart."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
 
 
 def component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, id, component_id, component_class) of every row, written: id is its set's class, null if the set is empty."""
+    """(doc_id, n, id, digest, component_id, chosen) of every row, written.
+
+    id is its set's class, null if the set is empty; ``chosen`` marks the row (or equal rows) that stands for its
+    component: the smallest id's, ids before nulls, then by class and digest.
+    """
     with temporary() as keep:
         return keep(materialize(_component_rows(docs, similarity, id_col, text_col)))
 
@@ -491,21 +506,26 @@ def component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, te
 def _component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     plan = Plan(*similarity)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = digested(docs, id_col, text_col)
     described = materialize(describe(rows))
     each = described.where("n >= 0")
-    classes = materialize(each.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep")))
-    least = COMMON_SHARE * each.count()
-    often = described.where("n < 0").groupBy("id").agg(F.sum("doc_id").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "id").limit(COMMON_MOST)
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "digest"))
+    classes = materialize(each.where("n > 0").groupBy("id").agg(first_row.alias("r"), F.max("n").alias("n")).select("id", "r.none", "r.rep", "r.digest", "n"))
+    n_docs = each.count()
+    # a set has about a key for every second shingle, and some for its neighbourhoods
+    n_keys = classes.agg(F.sum(F.col("n") / 2 + 12)).first()[0] or 0
+    parts = max(1, -(-int(n_keys) // PART_KEYS))
+    often = described.where("n < 0").groupBy("id").agg(F.sum("doc_id").alias("c")).where(F.col("c") >= COMMON_SHARE * n_docs).orderBy(F.desc("c"), "id").limit(COMMON_MOST)
     common = spark.sparkContext.broadcast(np.array([r[0] for r in often.select("id").collect()], np.int64).view(U))
     found = materialize(bucket_pairs(key_blobs(rows, parts, plan, common)))
+    common.destroy()
     star = materialize(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")))
     rest = found.where("kind = 1").select("a", "b", "n")
-    # texts of the classes that any candidate names
+    # texts of the classes that any candidate names, each once
     named = star.select(F.col("a").alias("id")).union(star.select("b")).union(rest.select("b")).distinct()
-    wanted = classes.join(named, "id", "left_semi").select("id", F.col("rep").alias("doc_id"))
-    texts = materialize(rows.join(wanted, "doc_id").select("id", "text"))
+    wanted = materialize(classes.join(named, "id", "left_semi").select("id", "rep", F.col("digest").alias("of")))
+    same = rows["doc_id"].eqNullSafe(wanted["rep"]) & (rows["digest"] == wanted["of"])
+    texts = materialize(rows.join(wanted, same).select("id", "text").dropDuplicates(["id"]))
     first = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     links = materialize(verified(first, texts, plan))
     labels = materialize(components(links))
@@ -518,13 +538,15 @@ def _component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, t
         if more is not None and not more.isEmpty():
             links = materialize(links.union(more))
             labels = materialize(components(links))
-    grouped = materialize(labels.join(classes, "id").select("id", "rep", F.col("component").alias("c")))
-    smallest = materialize(grouped.groupBy("c").agg(F.min(F.struct("rep", "id")).alias("least")))
+    place = F.struct("none", "rep", "id", "digest")
+    grouped = materialize(labels.join(classes, "id").select("id", F.col("component").alias("c"), place.alias("place")))
+    smallest = materialize(grouped.groupBy("c").agg(F.min("place").alias("least")))
     moved = grouped.join(smallest, "c").select("id", "least")
-    least = F.coalesce("least", F.struct("rep", "id"))
-    placed = classes.join(moved, "id", "left").select("id", least["rep"].alias("component_id"), least["id"].alias("component_class"))
-    linked = each.where("n > 0").join(placed, "id").select("doc_id", "n", "id", "component_id", "component_class")
-    alone = each.where("n = 0").select("doc_id", "n", "id", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("component_class"))
+    # written, so that the rows of a class of many copies can be split in the join
+    placed = materialize(classes.join(moved, "id", "left").select("id", F.coalesce("least", place).alias("p")).select("id", F.col("p.rep").alias("component_id"), F.col("p.id").alias("class"), F.col("p.digest").alias("of")))
+    chosen = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("id") == F.col("class")) & (F.col("digest") == F.col("of"))
+    linked = each.where("n > 0").join(placed, "id").select("doc_id", "n", "id", "digest", "component_id", chosen.alias("chosen"))
+    alone = each.where("n = 0").select("doc_id", "n", "id", "digest", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
     return linked.unionByName(alone)
 
 
@@ -542,29 +564,20 @@ def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = (4, 5), id
 def keep_representatives(docs: DataFrame, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that represent their components: the smallest id of each.
 
-    Rows without a shingle all stay. Of rows that repeat a representative's id and set one stays.
+    Rows without a shingle (null, empty and wordless texts) all stay. Of rows that repeat a representative's id and
+    text one stays; rows with one id, or without, and different texts are told apart by a 64-bit hash of the text.
+    An empty table gives no rows; further columns may have any names.
     """
     found = component_rows(docs, similarity, id_col, text_col)
-    stays = (F.col("n") == 0) | ((F.col("doc_id") == F.col("component_id")) & (F.col("id") == F.col("component_class")))
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty() or not found.where("doc_id is null").isEmpty()
-    if not repeated:
-        kept = found.where(stays).select(F.col("doc_id").alias("__kept"))
-        return docs.join(kept, docs[id_col].cast("bigint") == kept["__kept"], "left_semi")
-    # ids repeat: rows are told apart by id and class, and equal ones are merged with partial aggregation
-    at = docs.columns.index(text_col)
-    fields = docs.schema.fields
-    schema = StructType([*fields, StructField("__class", LongType())])
-
-    def classed(batches):
-        sh = shingler()
-        for piece in slices(batches):
-            sets = [sh.shingles(t) for t in piece.column(at).to_pylist()]
-            ids = pa.array([class_id(x) if len(x) else None for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*piece.schema.names, "__class"])
-
-    rows = docs.mapInArrow(tidy(classed), schema)
-    kept = found.where("n > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("id") == F.col("component_class"))).select(F.col("doc_id").alias("__kept"), F.col("id").alias("__id")).distinct()
-    same = rows[id_col].cast("bigint").eqNullSafe(kept["__kept"]) & (rows["__class"] == kept["__id"])
-    columns = [F.col(f"`{f.name}`") for f in fields]
-    one = rows.join(kept, same, "left_semi").groupBy(F.col(id_col).cast("bigint").alias("__kept"), "__class").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
-    return one.union(rows.where("__class is null").select(*columns))
+    own_id, own_digest = docs[id_col].cast("bigint"), F.xxhash64(docs[text_col].cast("string"))
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        kept = materialize(which.select("doc_id", "digest").distinct())
+        return docs.join(kept, own_id.eqNullSafe(kept["doc_id"]) & (own_digest == kept["digest"]), "left_semi")
+
+    chosen = found.where("chosen")
+    if found.where("n > 0").groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        return rows_of(chosen)
+    names = [fresh("row_id", docs.columns), fresh("row_digest", docs.columns)]
+    several = rows_of(chosen.where("n > 0")).withColumns(dict(zip(names, (F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))), strict=True)))
+    return several.dropDuplicates(names).drop(*names).union(rows_of(chosen.where("n = 0")))

@@ -1,56 +1,96 @@
 """Language identification by compression: the language whose zstandard dictionary makes a text smallest.
 
-Each language's dictionary is raw content: letters of a bounded sample of its labelled texts. A text is reduced
-to lower-case letters and single spaces, cut into blocks (so that the dictionary, not the text itself, explains
+Each language's dictionary is raw content: letters of a bounded sample of its labelled texts, its bytes shared out
+evenly and taken all over each whole text. A text is reduced to lower-case letters (with their combining marks) and single spaces, cut into blocks (so that the dictionary, not the text itself, explains
 most of each), and every block of the whole text is compressed with every dictionary. The smallest sum wins; a
 narrow margin is reported as a rejection.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_worker, map_arrow
+from .common import in_worker, map_arrow, materialize, slices, temporary, tidy
 
-#: The fit's bounds: labelled texts sampled for each language, characters taken of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4000, 1 << 17
+#: The fit's bounds: labelled texts sampled for each language, bytes of a dictionary, bytes of a piece of a text.
+SAMPLE_DOCS, DICTIONARY_BYTES, PIECE_BYTES = 400, 1 << 17, 512
 BLOCK = 1500
 #: Compression levels of texts longer than a block and of short ones, where every byte counts.
 LEVEL, SHORT_LEVEL = 3, 9
 #: A best size within this share of the second best is a narrow margin.
 MARGIN = 0.01
 UNDETERMINED = "und"
-NO_LETTER = re.compile(r"[\W\d_]+")
+NO_LETTER, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case letters of a text, other runs as one space; empty without letters."""
-    return NO_LETTER.sub(" ", text or "").strip().lower().encode("utf-8")
+    """Lower-case letters and marks of a text, other runs as one space; empty without letters."""
+    if not text or not LETTER.search(text):
+        return b""
+    return NO_LETTER.sub(" ", text).strip().lower().encode("utf-8")
+
+
+def quota(lengths: list[int], budget: int) -> int:
+    """The largest number of bytes that each text may give, so that all together give at most ``budget``."""
+    left = budget
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) >= left:
+            return left // (len(lengths) - k)
+        left -= n
+    return budget
+
+
+def spread(data: bytes, size: int) -> bytes:
+    """``size`` bytes of a text in pieces that lie evenly over the whole of it, or all of a shorter text."""
+    if len(data) <= size:
+        return data
+    n = max(1, size // PIECE_BYTES)
+    piece = size // n
+    return b" ".join(data[at : at + piece - 1] for at in ((len(data) - piece) * i // max(1, n - 1) for i in range(n)))
 
 
 def fit_dictionaries(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Raw-content dictionaries of all languages that label a text with letters in ``docs``, the commonest first.
 
-    Only ids and labels are ordered (by a hash of the id); the few sampled texts are then read by id. Null labels
-    and texts teach nothing.
+    Of each language the SAMPLE_DOCS rows with the smallest id hashes are sampled (ties by id, then by text hash; equal
+    rows count once): their ids are found first, each task keeping so many at most, then their texts are read and
+    reduced where they are. Null labels and texts teach nothing; nor does a language whose sampled texts hold no letter.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.length(text_col).isNotNull())
-    langs = [r[0] for r in known.groupBy(F.col(lang_col).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").collect()]
-    wanted = {}
-    for lang in langs:
-        ids = known.where(F.col(lang_col) == lang).select(id_col, F.xxhash64(id_col).alias("h")).orderBy("h", id_col).limit(SAMPLE_DOCS)
-        wanted |= {r[0]: (r[1], lang) for r in ids.collect()}
-    rows = known.where(F.col(id_col).isin(list(wanted))).select(id_col, lang_col, F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).collect()
-    texts: dict[str, dict[bytes, None]] = {}
-    for r in sorted((x for x in rows if wanted[x[0]][1] == x[1]), key=lambda x: (wanted[x[0]][0], x[0], x[2])):
-        if t := letters(r[2]):
-            texts.setdefault(str(r[1]), {})[t] = None
-    return {lang: b" ".join(texts[lang])[-DICTIONARY_BYTES:] for lang in langs if lang in texts}
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("digest", F.xxhash64("text"))
+    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest")
+    wanted = known.select("id", "lang", "digest").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS).distinct()
+
+    def reduced(batches):
+        in_worker("language_id")
+        for piece in slices(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(map(letters, piece.column(2).to_pylist()), pa.binary())], names=["lang", "place", "data"])
+
+    with temporary():
+        wanted = wanted.groupBy("id", "lang", "digest").agg(F.min("place").alias("place"))  # at most SAMPLE_DOCS rows a language
+        mine = F.broadcast(wanted.select(F.col("id").alias("i"), F.col("lang").alias("l"), F.col("digest").alias("d"), "place"))
+        rows = known.join(mine, F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.col("digest") == F.col("d")))
+        once = rows.select("lang", "place", "text").dropDuplicates(["lang", "place"])
+        sample = materialize(once.mapInArrow(tidy(reduced), "lang string, place int, data binary").where("length(data) > 0"))
+        lengths: dict[str, list[int]] = {}
+        for r in sample.select("lang", F.length("data")).collect():
+            lengths.setdefault(r[0], []).append(r[1])
+        share = {lang: quota(n, DICTIONARY_BYTES) for lang, n in lengths.items()}
+
+        def pieces(batches):
+            for piece in slices(batches):
+                data = [spread(d, share[x]) for x, d in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(data, pa.binary())], names=["lang", "place", "data"])
+
+        texts: dict[str, list[tuple[int, bytes]]] = {}
+        for r in sample.mapInArrow(tidy(pieces), "lang string, place int, data binary").collect():
+            texts.setdefault(r[0], []).append((r[1], bytes(r[2])))
+    return {x: b" ".join(d for _, d in sorted(texts[x]))[:DICTIONARY_BYTES] for x in langs if x in texts}
 
 
 class Classifier:

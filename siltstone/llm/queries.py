@@ -61,7 +61,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document; a document's source is its repository and its owner."""
+    """Secrets in every document; its source owns it, and each document is a repository of its own."""
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 

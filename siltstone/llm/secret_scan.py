@@ -1,9 +1,10 @@
 """Secret scanning with corpus-wide ownership frequency.
 
 One pass finds candidates: the base patterns' matches and other long mixed tokens of high entropy. Hashes of
-their values are counted by distinct repositories and owners over the whole corpus. A value that many owners
-hold is an example that was copied from some manual; one that few hold looks live. Live-looking tokens outside
-the base patterns become spans of their own kind.
+their values are counted by distinct repositories and owners over the whole corpus. A value in several repositories
+of several owners is an example that was copied from some manual; one that few owners hold, or that never leaves a
+repository, is somebody's own. If it looks random too, it is taken for live, and its value (inside a base match, or on
+its own) becomes a span of the kind ``live``.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 NAMES = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "live")
-#: Bits a character that a token outside the base patterns must reach; distinct owners from which a value is an example.
-MIN_ENTROPY, EXAMPLE_OWNERS = 3.3, 4
-CANDIDATE = "array<struct<kind:int,start:bigint,stop:bigint,hash:bigint>>"
+#: Bits a character that a token outside the base patterns must reach, and a base value too unless this share of its
+#: length's most is less; distinct owners and repositories from which a value is an example.
+MIN_ENTROPY, ENTROPY_SHARE, EXAMPLE_OWNERS, EXAMPLE_REPOS = 3.3, 0.75, 4, 4
+CANDIDATE = "array<struct<kind:int,start:bigint,stop:bigint,value_start:bigint,random:boolean,hash:bigint>>"
 
 
 def entropy(token: str) -> float:
@@ -37,6 +39,11 @@ def entropy(token: str) -> float:
     return -sum(n / len(token) * math.log2(n / len(token)) for n in Counter(token).values())
 
 
+def looks_random(value: str) -> bool:
+    """Whether a base value has the entropy of a generated one, as far as its length allows."""
+    return entropy(value) >= min(MIN_ENTROPY, ENTROPY_SHARE * math.log2(len(value)))
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, int, str]]:
     """(start, kind number, end, value) of the base patterns, by start and kind; ends are exclusive code points."""
     if not text:
@@ -84,8 +91,8 @@ def scan(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id",
                 counts.append([kinds[k] for k in range(3)])
                 texts.append(joined([s[:3] for s in base]))
                 digests.append(hashlib.sha256(texts[-1].encode()).hexdigest())
-                candidates.append([{"kind": k, "start": a, "stop": b, "hash": value_hash(v)} for a, k, b, v in base + extra_spans(text, base)])
-            kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.int64())]))
+                candidates.append([{"kind": k, "start": a, "stop": b, "value_start": b - len(v), "random": k == 3 or looks_random(v), "hash": value_hash(v)} for a, k, b, v in base + extra_spans(text, base)])
+            kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("value_start", pa.int64()), ("random", pa.bool_()), ("hash", pa.int64())]))
             columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(candidates, kind)]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "owner", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "base_text", "candidates"])
 
@@ -100,27 +107,31 @@ def ownership(found: DataFrame) -> DataFrame:
     each = found.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), F.explode("candidates.hash").alias("hash"))
     held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_hash = held.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"), F.sum("n").alias("n_uses"))
-    return by_hash.withColumn("example", F.col("n_owners") >= EXAMPLE_OWNERS)
+    return by_hash.withColumn("example", (F.col("n_owners") >= EXAMPLE_OWNERS) & (F.col("n_repos") >= EXAMPLE_REPOS))
 
 
 def judged(found: DataFrame, key: str) -> DataFrame:
-    """(key, kind, start, stop, example) of every candidate in a written table of scanned rows."""
+    """(key, kind, start, stop, value_start, random, hash, example) of every candidate in a written table of scanned rows."""
     each = found.where(F.size("candidates") > 0).select(key, F.explode("candidates").alias("c")).select(key, "c.*")
     return each.join(materialize(ownership(found).select("hash", "example")), "hash")  # written: a common value's rows can be split
 
 
-def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) of every row.
 
-    ``spans`` holds the base spans and the live-looking tokens. Null and empty texts have none; repeated rows are
-    each returned and count once an owner; an empty table gives no rows; whole texts are read; other columns never.
+    ``spans`` holds the base spans and a ``live`` span for each live-looking value; of two base matches with one value
+    in one place there is one. Null and empty texts have none; null owners or repositories are one unknown one;
+    repeated rows are each returned and count once an owner and repository; an empty table gives no rows; whole texts
+    are read; other columns never.
     """
     found = materialize(scan(docs, owner_col, repo_col, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    verdicts = judged(found, "row").where("kind < 3 or not example")
     kinds = F.array(*map(F.lit, KINDS))
-    span = F.struct("start", "kind", F.concat_ws(":", kinds[F.col("kind")], "start", "stop").alias("said"), "example")
-    by_row = verdicts.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("s"))
-    by_row = by_row.select("row", F.array_join("s.said", ",").alias("said"), F.size(F.filter("s", lambda x: ~x.example)).alias("n_live"), F.size(F.filter("s", lambda x: x.example)).alias("n_example"))
+    span = lambda start, kind: F.struct(start.alias("start"), kind.alias("kind"), F.concat_ws(":", kinds[kind], start, "stop").alias("said"))
+    base = F.when(F.col("kind") < 3, span(F.col("start"), F.col("kind")))
+    live = F.when(F.col("random") & ~F.col("example"), span(F.col("value_start"), F.lit(3)))
+    copied = F.count(F.when(F.col("example") & (F.col("kind") < 3), 1)).alias("n_example")
+    by_row = judged(found, "row").groupBy("row").agg(F.collect_set(live).alias("live"), F.collect_list(base).alias("base"), copied)
+    by_row = by_row.select("row", F.array_join(F.array_sort(F.concat("base", "live"))["said"], ",").alias("said"), F.size("live").alias("n_live"), "n_example")
     out = found.join(by_row, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("said", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
@@ -141,42 +152,45 @@ def redact(text: str, spans: list[tuple[int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_documents(docs: DataFrame, owner_col: str = "source", repo_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def redact_documents(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns of ``docs`` with secrets replaced in the text and the character count renewed.
 
-    Base spans are always replaced, other tokens only if they look live. Only documents with candidates are
-    written and joined; the others pass through. Null and empty texts pass; repeated rows are each treated.
+    Base spans are always replaced, other tokens only if they look live; overlapping ones become one. Only documents
+    with candidates are written and joined; the others pass through. Null and empty texts pass; whole texts of any
+    length are read; repeated rows are each treated alike; null owners and repositories are one unknown one; an empty
+    table gives no rows; further columns may have any names and pass unread.
     """
     columns = docs.columns
+    at = columns.index(text_col)
 
     def split(flagged: bool):
         def run(batches):
             in_worker("secret_scan")
             for part in slices(batches, SLICE):
-                texts = part.column(columns.index(text_col)).to_pylist()
                 mask = []
-                for t in texts:
+                for t in part.column(at).to_pylist():
                     base = base_spans(t)
                     mask.append(bool(base or extra_spans(t, base)) == flagged)
                 yield part.filter(pa.array(mask, pa.bool_()))
 
         return docs.mapInArrow(tidy(run), docs.schema)
 
-    flagged = materialize(split(True).select(F.struct(*columns).alias("d")).withColumn("row", F.monotonically_increasing_id()))
-    base = flagged.select(F.col("row").alias("doc_id"), F.col(f"d.{owner_col}").cast("string").alias("o"), F.col(f"d.{repo_col}").cast("string").alias("r"), F.col(f"d.{text_col}").alias("t"))
+    # a row is one struct beside the operator's own columns, so no name can clash
+    flagged = materialize(split(True).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d")).withColumn("row", F.monotonically_increasing_id()))
+    field = lambda c: F.col("d").getField(c)
+    base = flagged.select(F.col("row").alias("doc_id"), field(owner_col).cast("string").alias("o"), field(repo_col).cast("string").alias("r"), field(text_col).alias("t"))
     found = materialize(scan(base, "o", "r", "doc_id", "t"))
     spans = judged(found, "doc_id").where("kind < 3 or not example").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "example")).alias("s"))
-    joined_rows = flagged.join(spans.withColumnRenamed("doc_id", "row"), "row", "left").select("d.*", F.col("s").alias("__spans"))
-    schema = joined_rows.drop("__spans").schema
+    joined_rows = flagged.join(spans.withColumnRenamed("doc_id", "row"), "row", "left").select("d", "s")
 
     def clean(batches):
         for part in slices(batches, SLICE):
-            texts, spans_ = part.column(columns.index(text_col)).to_pylist(), part.column(len(columns)).to_pylist()
-            new = pa.array([redact(t, [(x["start"], x["stop"], x["example"]) for x in s]) if s else t for t, s in zip(texts, spans_, strict=True)], part.column(columns.index(text_col)).type)
-            out = {c: part.column(i) for i, c in enumerate(columns)}
-            out[text_col] = new
-            if chars_col in out:
-                out[chars_col] = pc.utf8_length(new).cast(out[chars_col].type)
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
-
-    return split(False).unionByName(joined_rows.mapInArrow(tidy(clean), schema))
+            fields = part.column(0).flatten()
+            new = [redact(t, [(x["start"], x["stop"], x["example"]) for x in s]) if s else t for t, s in zip(fields[at].to_pylist(), part.column(1).to_pylist(), strict=True)]
+            fields[at] = pa.array(new, fields[at].type)
+            if chars_col in columns:
+                k = columns.index(chars_col)
+                fields[k] = pc.utf8_length(fields[at]).cast(fields[k].type)
+            yield pa.RecordBatch.from_arrays(fields, names=columns)
+
+    return split(False).union(joined_rows.mapInArrow(tidy(clean), docs.schema))

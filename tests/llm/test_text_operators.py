@@ -236,3 +236,86 @@ def test_word_order_counts(spark):
     rng.shuffle(shuffled)
     right, wrong = words.surprise([texts[0].encode(), " ".join(shuffled).encode()], [perplexity_rules.language_key("en")] * 2)
     assert right < 0.4 * wrong
+
+
+def test_ownership_separates_examples_from_live(spark):
+    """Planted values: in repositories of many owners, in many repositories of one owner, in one repository of many owners, and predictable ones."""
+    values = {"copied": "Qz81kLm2Xv9TtR44bNc7", "own": "Hs72Jk1lPq0ZxWv38mTy", "shared": "Ua55Rt9cVb2NmQw81xLe"}
+    rows = [(i, f"api_key = {values['copied']}", f"o{i}", f"r{i}") for i in range(6)]
+    rows += [(10 + i, f"api_key = {values['own']}", "o1", f"r{i}") for i in range(6)]
+    rows += [(20 + i, f"api_key = {values['shared']}", f"o{i}", "r9") for i in range(6)]
+    rows += [(30, "token = aaaaaaaa", "o1", "r1"), (31, f"token: 0123456789abcdef0123456789abcdef {values['own']}", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r for r in secret_scan.find_secrets(d, repo_col="repo").collect()}
+    for i in range(6):
+        assert (got[i].spans, got[i].n_live, got[i].n_example) == ("assign:0:30", 0, 1)
+        assert got[10 + i].spans == got[20 + i].spans == "assign:0:30,live:10:30"
+    assert (got[30].spans, got[30].n_live, got[30].n_example) == ("assign:0:16", 0, 0)
+    assert got[31].spans == "assign:0:39,hex:7:39,live:7:39,live:40:60"
+    seen = secret_scan.ownership(secret_scan.scan(d, "source", "repo"))
+    by_hash = {r["hash"]: (r.n_owners, r.n_repos, r.n_uses, r.example) for r in seen.collect()}
+    assert [by_hash[secret_scan.value_hash(values[k])] for k in ("copied", "own", "shared")] == [(6, 6, 6, True), (2, 7, 7, False), (6, 1, 6, False)]
+
+
+def test_redaction_with_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "password = Abc123xyz", "s", 20, "a", 1, "b"), (2, "clean", None, 5, None, 2, None), (3, None, "s", None, "c", 3, "d")], "doc_id long, text string, source string, n_chars long, __spans string, row long, d string")
+    got = {r.doc_id: r for r in secret_scan.redact_documents(d).collect()}
+    assert secret_scan.redact_documents(d).columns == d.columns and len(got) == 3
+    assert (got[1].text, got[1].n_chars, got[1]["__spans"], got[1].row, got[1].d) == ("[SECRET]", 8, "a", 1, "b")
+    assert got[2].text == "clean" and got[3].text is None
+
+
+def test_language_by_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dictionaries = language_id.fit_dictionaries(docs)
+    assert all(0 < len(d) <= language_id.DICTIONARY_BYTES for d in dictionaries.values())
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, dictionaries).collect()}
+    for r in docs.collect():
+        data = language_id.letters(r.text)
+        blocks = [data[i : i + language_id.BLOCK] for i in range(0, len(data), language_id.BLOCK)]
+        size = {}
+        for lang, content in dictionaries.items():
+            level = language_id.SHORT_LEVEL if len(blocks) < 2 else language_id.LEVEL
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            c = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = sum(len(c.compress(b)) for b in blocks)
+        assert got[r.doc_id] == (min(dictionaries, key=lambda x: size[x]) if data else "und")
+
+
+def test_letters_and_dictionary_shares(spark):
+    assert [language_id.letters(t) for t in ("½ ² ⅷ 12 _", "\u0301", "A\u0301b 1c", "नमस्ते!")] == [b"", b"", "a\u0301b c".encode(), "नमस्ते".encode()]
+    assert language_id.quota([10, 10, 100], 50) == 30 and language_id.quota([5, 5], 50) == 50
+    data = bytes(range(256)) * 40
+    assert len(language_id.spread(data, 1024)) <= 1024 and language_id.spread(data, 1 << 20) == data
+    late = "123 " * 9000 + "zebra " * 300
+    d = spark.createDataFrame([(i, late, "xx") for i in range(3)] + [(None, late, "xx"), (9, "alpha beta", "yy")] * 2, "doc_id long, text string, lang string")
+    found = language_id.fit_dictionaries(d)
+    assert list(found) == ["xx", "yy"] and b"zebra" in found["xx"] and found["yy"] == b"alpha beta"
+
+
+def test_vote_equals_plain_neighbours(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    space = quality_knn.fit_space(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality_knn.score_documents(docs, space).collect()}
+    for r in docs.limit(40).collect():
+        x = quality_knn.Space.weighted(quality_knn.term_counts([r.text]), space.weight)[0] @ space.basis
+        cos = [float(np.dot(x, v) / max(np.linalg.norm(x), 1e-12)) for v in space.vectors]
+        near = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[: quality_knn.NEIGHBOURS]
+        votes = [max(cos[i], 1e-9) ** quality_knn.POWER for i in near]
+        assert got[r.doc_id] == pytest.approx(sum(v * space.labels[i] for v, i in zip(votes, near, strict=True)) / sum(votes), abs=0.02)
+
+
+def test_vote_takes_tied_neighbours_in_order():
+    n = quality_knn.NEIGHBOURS
+    space = quality_knn.Space(np.ones(3 * quality_knn.TERMS, np.float32), np.ones((3 * quality_knn.TERMS, 1), np.float32), np.ones((2 * n, 1), np.float32), np.repeat([1.0, 0.0], n).astype(np.float32))
+    assert space.score(["some words", "", None]).tolist() == [1.0, 1.0, 1.0]
+
+
+def test_terms_count_words_and_sequences():
+    counts = quality_knn.term_counts(["One one two", None, "x " * 200_000])
+    t = quality_knn.TERMS
+    assert counts[:, t : 2 * t].sum(1).tolist() == [3, 0, 200_000] and counts[0, t : 2 * t].max() == 2
+    assert counts[0, 2 * t :].sum() == 12 and len(list(quality_knn.blocks(["a" * quality_knn.BLOCK_BYTES] * 3))) == 3
