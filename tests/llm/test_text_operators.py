@@ -319,3 +319,84 @@ def test_terms_count_words_and_sequences():
     t = quality_knn.TERMS
     assert counts[:, t : 2 * t].sum(1).tolist() == [3, 0, 200_000] and counts[0, t : 2 * t].max() == 2
     assert counts[0, 2 * t :].sum() == 12 and len(list(quality_knn.blocks(["a" * quality_knn.BLOCK_BYTES] * 3))) == 3
+
+
+def plain_tree(pages):
+    """Low branches of (url, html) pages by plain recursion over whole trees."""
+    seen = defaultdict(lambda: defaultdict(Counter))
+    parent, hint = {}, {}
+    for url, html in pages:
+        host = site_style.host_of(url)
+        for path, above, kind, feature, says in site_style.Page(html).features() if host and html else ():
+            seen[host, path][kind][feature] += 1
+            parent[host, path] = above
+            hint[host, path] = max(says, hint.get((host, path), 0))
+
+    def entropy(c):
+        n = sum(c.values())
+        return -sum(x / n * math.log(x / n) for x in c.values()) if n else 0.0
+
+    def value(host, path):
+        layouts, texts, fillings = (seen[host, path][k] for k in range(3))
+        h, m = hint[host, path], sum(fillings.values())
+        shown = (1 - 0.9 ** max(1, len(layouts))) * min(1, entropy(layouts) / math.log(16))
+        if m:
+            content = (0, 0, 0, 0.6, 1)[h]
+            if m > 1:
+                spread = np.mean([math.log(n) for n in texts.values()]) / math.log(m)
+                content = max(0, 1 - spread) * (0.5 + 0.5 * min(1, entropy(fillings) / math.log(min(m, 16))))
+            shown = (m * (shown + 0.9 ** max(1, len(layouts)) * content) + 2 * (0, 0, 0, 0.6, 1)[h]) / (m + 2)
+        own = (0.3, 0.3, 0.3, 1, 3)[h] * shown
+        return max([own, *(value(host, p) for (x, p), above in parent.items() if x == host and above == path)])
+
+    return {(h, p) for h, p in parent if seen[h, p][2] and value(h, p) < site_style.THRESHOLD}
+
+
+def test_tree_equals_plain_recursion(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    pages = []
+    for host, n in (("a.example", 25), ("b.example", 6), ("c.example", 1)):
+        for i in range(n):
+            menu = "".join(f"<li><a href=x>{word()}</a></li>" for _ in range(rng.randint(4, 6)))
+            body = "".join(f"<p>{prose(rng.randint(3, 200))}</p>" for _ in range(rng.randint(1, 6)))
+            extra = f"<div class=promo><p>{prose(300 * (i % 3) + 5)}</p></div>" if i % 2 else ""
+            pages.append((f"http://{host}/{i}", f"<body><nav><ul>{menu}</ul></nav><div class=box><b>All rights</b> held</div><div class=story><h1>{prose(5)}</h1>{body}</div>{extra}<div class=tail>{word()} {word()}</div></body>"))
+    found = site_style.low_branches(site_style.style_counts(spark.createDataFrame(pages, "url string, html string"))).collect()
+    assert {(r.host, r.path) for r in found} == plain_tree(pages)
+    got = {r.url: r.text for r in site_style.extract_pages(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    for url, html in pages:
+        story = re.search(r"<div class=story>(.*?)</div>", html)[1]
+        want = "\n\n".join(re.findall(r">([^<]+)<", story))
+        if "a.example" in url:  # the menu's ever-new words are a template
+            assert want in got[url] and "All rights" not in got[url] and re.search("<a href=x>(.*?)<", html)[1] not in got[url].split()[:1]
+        assert want in got[url]
+
+
+def test_tree_decides_on_whole_data(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in site_style.extract_pages(pages).collect()}
+    off = {r.page_id: r.text for r in site_style.extract_pages(pages, threshold=-1.0).collect()}
+    assert sum(got[i] != off[i] for i in got) > 0.9 * len(got)
+    for i, page in html.items():
+        article = re.sub(r"</?(?:p|h1)>", "\0", re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1])
+        blocks = (" ".join(site_style.unescape(re.sub(r"<[^>]*>", " " if "<br>" in b else "", b)).split()) for b in article.split("\0"))
+        assert got[i] == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("html", ['<div class="layout with-sidebar"><article><p>A b</p></article></div>', '<div id="main-nav-wrapper"><p>A b</p></div>', '<section class="social"><p>A b</p></section>', '<div style="overflow:hidden"><p>A b</p></div>', '<p title="hidden gem">A b</p>', '<div data-hidden="x">A b</div>', "<nav>x</nav><p title=it's>A</p> b", "<form><div class='search-results'>A b</div></form>", '<div class="cookie-notice">x</div><main>A b</main>'])
+def test_names_never_cut_the_article(html):
+    assert site_style.Page(html).text().replace("\n\n", " ") == "A b"
+
+
+def test_parsing_is_linear():
+    import time
+
+    began = time.time()
+    for html in ("<div>" * 60_000 + "x", '<a "' * 60_000, '<a x="' * 60_000, "<li><div>" * 30_000, "<!" * 60_000, "<p><b>" * 30_000, "</div>" * 60_000):
+        site_style.Page(html).text()
+    assert time.time() - began < 20
