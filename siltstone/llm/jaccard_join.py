@@ -525,7 +525,9 @@ def _component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, t
     named = star.select(F.col("a").alias("id")).union(star.select("b")).union(rest.select("b")).distinct()
     wanted = materialize(classes.join(named, "id", "left_semi").select("id", "rep", F.col("digest").alias("of")))
     same = rows["doc_id"].eqNullSafe(wanted["rep"]) & (rows["digest"] == wanted["of"])
-    texts = materialize(rows.join(wanted, same).select("id", "text").dropDuplicates(["id"]))
+    texts = rows.join(wanted, same).select("id", "text")
+    repeated = each.where("n > 0").groupBy("doc_id", "digest").count().where("count > 1")
+    texts = materialize(texts if repeated.isEmpty() else texts.dropDuplicates(["id"]))
     first = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     links = materialize(verified(first, texts, plan))
     labels = materialize(components(links))

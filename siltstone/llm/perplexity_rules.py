@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, in_worker, materialize, mixed, release, slices, temporary, tidy, trim, word_hashes
+from .common import SPACES, in_worker, materialize, mixed, slices, temporary, tidy, trim, word_hashes
 
 U = np.uint64
 ORDER = 5
@@ -142,7 +142,10 @@ def group_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.nda
 
 
 def document_counts(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, documents with it, documents of its language) of all windows of words of at most CHUNK_TEXTS texts, and of the languages."""
+    """(key, documents with it, documents of its language) of all windows of words of at most CHUNK_TEXTS texts, and of the languages; texts without words don't count."""
+    wordy = [i for i, t in enumerate(texts) if t.strip(SPACES)]
+    if len(wordy) < len(texts):
+        texts, langs = [texts[i] for i in wordy], [langs[i] for i in wordy]
     doc, word, pair, who = word_keys(texts, langs)
     who = who.astype(U)
     both = np.sort(np.concatenate([doc | np.arange(len(texts), dtype=U), word | who, pair | who]))
@@ -154,22 +157,23 @@ def document_counts(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, n
 
 
 def text_chunks(batches, size: int):
-    """(texts, language keys) of (text, lang) batches in chunks of some ``size`` bytes; texts without words are left out."""
+    """(texts, language keys, language and fold keys) of (text, lang) batches in chunks of some ``size`` bytes; empty texts are left out."""
     texts: list[bytes] = []
     langs: list[int] = []
+    folds: list[int] = []
     held = 0
     for piece in slices(batches):
         for text, lang in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-            data = (text or "").encode("utf-8")
-            if data.strip(SPACES):
+            if data := (text or "").encode("utf-8"):
                 texts.append(data)
                 langs.append(language_key(lang))
+                folds.append(fold_key(lang, data))
                 held += len(data)
             if held >= size or len(texts) == CHUNK_TEXTS:
-                yield texts, langs
-                texts, langs, held = [], [], 0
+                yield texts, langs, folds
+                texts, langs, folds, held = [], [], [], 0
     if texts:
-        yield texts, langs
+        yield texts, langs, folds
 
 
 class Words:
@@ -214,49 +218,43 @@ class Words:
         return np.where(n > 0, total / np.maximum(n, 1), np.nan)
 
 
-def fit_words(rows: DataFrame, block: int = CANDIDATE_BLOCK):
-    """The broadcast :class:`Words` of (text, lang) rows: exact counts of all windows in at least ``FLOOR`` of a language's other documents."""
-    spark = rows.sparkSession
+def fit_words(rows: DataFrame, block: int = CANDIDATE_BLOCK, found: DataFrame | None = None):
+    """The broadcast :class:`Words` of (text, lang) rows: exact counts of all windows of words in at least ``FLOOR`` of a language's other documents.
 
-    def candidates(batches):
-        in_worker("perplexity_rules")
-        for texts, langs in text_chunks(batches, 4 * BATCH_BYTES):
-            key, n, of = document_counts(texts, langs)
-            key = key[n >= FLOOR * of]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
-
-    with temporary():
-        found = materialize(rows.select("text", "lang").mapInArrow(tidy(candidates), "key bigint").distinct())
-        blocks = max(1, -(-found.count() // block))
-        keys, counts = [], []
-        for b in range(blocks):
-            part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
-            wanted = spark.sparkContext.broadcast(np.sort(part.toArrow().column("key").to_numpy().view(U)))
-
-            def exact(batches, wanted=wanted):
-                in_worker("perplexity_rules")
-                have = wanted.value
-                total = np.zeros(len(have), np.int64)
-                for texts, langs in text_chunks(batches, 4 * BATCH_BYTES):
-                    if not len(have):
-                        continue
-                    key, n, _ = document_counts(texts, langs)
-                    at = np.minimum(np.searchsorted(have, key), len(have) - 1)
-                    hit = have[at] == key
-                    total[at[hit]] += n[hit]
-                seen = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(have[seen].view(np.int64)), pa.array(total[seen])], names=["key", "n"])
-
-            # windows of one document only are unknown to all others
-            counted = rows.select("text", "lang").mapInArrow(tidy(exact), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-            keys.append(counted.column("key").to_numpy().view(U))
-            counts.append(counted.column("n").to_numpy())
-            wanted.destroy()
+    ``found`` is the written table of :func:`count_windows`, which names the candidates.
+    """
+    spark = rows.sparkSession
+    found = (materialize(count_windows(rows)) if found is None else found).where("kind = 1").select("key")
+    blocks = max(1, -(-found.count() // block))
+    keys, counts = [], []
+    for b in range(blocks):
+        part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
+        wanted = spark.sparkContext.broadcast(np.sort(part.toArrow().column("key").to_numpy().view(U)))
+
+        def exact(batches, wanted=wanted):
+            in_worker("perplexity_rules")
+            have = wanted.value
+            total = np.zeros(len(have), np.int64)
+            for texts, langs, _ in text_chunks(batches, 4 * BATCH_BYTES):
+                if not len(have):
+                    continue
+                key, n, _ = document_counts(texts, langs)
+                at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+                hit = have[at] == key
+                total[at[hit]] += n[hit]
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(have[seen].view(np.int64)), pa.array(total[seen])], names=["key", "n"])
+
+        # windows of one document only are unknown to all others
+        counted = rows.select("text", "lang").mapInArrow(tidy(exact), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+        keys.append(counted.column("key").to_numpy().view(U))
+        counts.append(counted.column("n").to_numpy())
+        wanted.destroy()
     return spark.sparkContext.broadcast(Words(np.concatenate(keys), np.concatenate(counts)))
 
 
 def count_windows(rows: DataFrame) -> DataFrame:
-    """(key, n): how often each window occurs in all documents (text, lang) of a language and fold."""
+    """(kind, key, n): how often each byte window occurs in all documents (text, lang) of a language and fold (kind 0), and the windows of words that reach ``FLOOR`` in a chunk of documents (kind 1)."""
 
     def run(batches):
         in_worker("perplexity_rules")
@@ -265,35 +263,26 @@ def count_windows(rows: DataFrame) -> DataFrame:
             keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             return keys, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
 
-        def out(keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+        def out(kind, keys, n):
+            for i in range(0, len(keys), 1 << 18):
+                part = keys[i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + (1 << 18)])], names=["kind", "key", "n"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        texts: list[bytes] = []
-        langs: list[int] = []
-        size = 0
-        for piece in slices(batches):
-            for text, lang in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                if text:
-                    texts.append(text.encode("utf-8"))
-                    langs.append(fold_key(lang, texts[-1]))
-                    size += len(texts[-1])
-                if size >= 4 * BATCH_BYTES:
-                    held.append(np.unique(windows(texts, langs)[0], return_counts=True))
-                    texts, langs, size = [], [], 0
-                    if len(held) >= 8:
-                        held = [merged(held)]
-                    if len(held[0][0]) > 2_000_000:
-                        yield out(*merged(held))
-                        held = []
-        if texts:
-            held.append(np.unique(windows(texts, langs)[0], return_counts=True))
+        for texts, langs, folds in text_chunks(batches, 4 * BATCH_BYTES):
+            held.append(np.unique(windows(texts, folds)[0], return_counts=True))
+            key, n, of = document_counts(texts, langs)
+            often = n >= FLOOR * of
+            yield from out(1, key[often], n[often])
+            if len(held) >= 8:
+                held = [merged(held)]
+            if len(held[0][0]) > 2_000_000:
+                yield from out(0, *merged(held))
+                held = []
         if held:
-            keys, n = merged(held)
-            for i in range(0, len(keys), 1 << 18):
-                yield out(keys[i : i + (1 << 18)], n[i : i + (1 << 18)])
+            yield from out(0, *merged(held))
 
-    return rows.select("text", "lang").mapInArrow(tidy(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.select("text", "lang").mapInArrow(tidy(run), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def suffix(order: int):
@@ -335,14 +324,14 @@ def cross_scores(counts: DataFrame) -> DataFrame:
             asked = counted[n].select("key", "n").union(asked.withColumn("n", F.lit(None).cast("bigint"))).groupBy("key").agg(F.max("n").alias("n"))
         else:
             asked = asked.join(counted[n], "key", "left")
-        joined = asked.withColumn("ctx", context(n)).join(materialize(gamma), "ctx", "left")
+        joined = asked.withColumn("ctx", context(n)).join(gamma, "ctx", "left")
         if n == 1:
             joined = joined.withColumn("below", F.lit(1 / 256))
         else:
             joined = joined.withColumn("sfx", suffix(n)).join(below.select(F.col("key").alias("sfx"), F.col("p").alias("below")), "sfx")
         own = F.coalesce((F.col("n") - discount) / F.col("total"), F.lit(0.0))
         below = joined.select("key", (own + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
-        if n < ORDER:
+        if n == 3:  # so far the tables are small
             below = materialize(below)
     return below.select(F.col("key").bitwiseXOR(F.lit(FOLD)).alias("key"), F.log("p").cast("float").alias("logp"))
 
@@ -452,20 +441,26 @@ def scored_by_join(rows: DataFrame, scores: DataFrame, words=None) -> DataFrame:
     return wide.drop("grams").join(sums, "row", "left").drop("row").withColumn("logp", F.coalesce("logp", F.lit(0.0)))
 
 
-def fit(rows: DataFrame, broadcast_entries: int) -> tuple[object | None, DataFrame | None]:
-    """The broadcast model of (doc_id, lang, text) rows, or None and the table of scores if it is too large for that."""
+def fit(rows: DataFrame, broadcast_entries: int, found: DataFrame | None = None) -> tuple[object | None, DataFrame | None]:
+    """The broadcast model of (doc_id, lang, text) rows, or None and the table of scores if it is too large for that; ``found`` as in :func:`fit_words`."""
     with temporary() as keep:
-        counts = materialize(count_windows(rows))
+        counts = (materialize(count_windows(rows)) if found is None else found).where("kind = 0").select("key", "n")
         scores = materialize(cross_scores(counts))
-        if counts.count() <= broadcast_entries:
+        if scores.count() <= broadcast_entries:
             return rows.sparkSession.sparkContext.broadcast(Model.gathered(scores)), None
         return None, keep(scores)
 
 
 def measured(rows: DataFrame, broadcast_entries: int) -> DataFrame:
-    """Written features of (doc_id, lang, text) rows with ``base_failed``, ``log_perplexity`` and the name of the band; the models are given back."""
-    model, scores = fit(rows, broadcast_entries)
-    words = fit_words(rows)
+    """Written features of (doc_id, lang, text, digest) rows with ``base_failed``, ``log_perplexity`` and the name of the band; the models are given back."""
+    with temporary() as keep:
+        return keep(_measured(rows, broadcast_entries))
+
+
+def _measured(rows: DataFrame, broadcast_entries: int) -> DataFrame:
+    counted = materialize(count_windows(rows))
+    words = fit_words(rows, found=counted)
+    model, scores = fit(rows, broadcast_entries, counted)
     found = scored(rows, model, words) if model is not None else scored_by_join(rows, scores, words)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     ppl = F.when(F.col("n_bytes") > 0, -F.col("logp") / F.greatest("n_lexical", F.lit(1)))
@@ -473,9 +468,6 @@ def measured(rows: DataFrame, broadcast_entries: int) -> DataFrame:
     words.destroy()
     if model is not None:
         model.destroy()
-    else:
-        release(scores)
-    trim()
     return out
 
 
