@@ -34,7 +34,7 @@ MEMO_WORDS = 200_000
 #: Documents (or bytes of text) whose keys are gathered and pre-aggregated together.
 GATHER_DOCS, GATHER_BYTES = 2048, 12 << 20
 #: Keys of buckets (17 bytes each) that meet in one reducing group, and bytes of bitmaps compared in one.
-PART_KEYS, PART_BYTES = 1 << 18, 16 << 20
+PART_KEYS, PART_BYTES = 1 << 20, 16 << 20
 #: Sets below this size are in bands whose one-deletion neighbourhoods are indexed.
 SMALL = 28
 #: Common shingles: share of documents from which one is common, and how many are broadcast at most (8 bytes each).
@@ -523,7 +523,7 @@ def _component_rows(docs: DataFrame, similarity: tuple[int, int], id_col: str, t
     rest = found.where("kind = 1").select("a", "b", "n")
     # texts of the classes that any candidate names, each once
     named = star.select(F.col("a").alias("id")).union(star.select("b")).union(rest.select("b")).distinct()
-    wanted = materialize(classes.join(named, "id", "left_semi").select("id", "rep", F.col("digest").alias("of")))
+    wanted = classes.join(named, "id", "left_semi").select("id", "rep", F.col("digest").alias("of"))
     same = rows["doc_id"].eqNullSafe(wanted["rep"]) & (rows["digest"] == wanted["of"])
     texts = rows.join(wanted, same).select("id", "text")
     repeated = each.where("n > 0").groupBy("doc_id", "digest").count().where("count > 1")
