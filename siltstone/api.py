@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import agent, attacks, bm25, chunkers, corpus, embed, evaluate, fusion
@@ -53,13 +54,24 @@ class Workspace:
     def corpora(self) -> DataFrame:
         """All corpora."""
         if not self._exists("corpora"):
-            return self.spark.createDataFrame([], self.CORPORA)
+            if not self._exists("corpora-old"):
+                return self.spark.createDataFrame([], self.CORPORA)
+            return self.spark.read.schema(self.CORPORA).parquet(f"{self.path}/corpora-old")  # a swap was cut short
         return self.spark.read.schema(self.CORPORA).parquet(f"{self.path}/corpora")
 
     def _store(self, rows: DataFrame) -> None:
         """Replace the corpora table, a row a corpus; written aside first, as it is read from itself."""
-        held = rows.collect()  # the registry of corpora, not their contents
-        self.spark.createDataFrame(held, self.CORPORA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/corpora")
+        new, old, now = (self._path(f"corpora{x}") for x in ("-new", "-old", ""))
+        rows.coalesce(1).write.mode("overwrite").parquet(new.toString())
+        fs = now.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        if fs.exists(now):
+            fs.rename(now, old)
+        fs.rename(new, now)
+        fs.delete(old, True)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def chunks(self, corpus_id: str) -> DataFrame:
         """A corpus' chunks in order."""
@@ -137,7 +149,7 @@ class Workspace:
         each = evaluate.per_query(run.select("query_id", "doc_id", "rank"), wanted, named.select("query_id"))
         return attacks.report(each.join(named, "query_id").select("attack", F.col("ndcg_at_10").alias("ndcg")))
 
-    def answer(self, corpus_id: str, queries: DataFrame, top_k: int = 10, mode: str = "hybrid") -> DataFrame:
-        """Analysis, extractive answer, citations and confidence of every query."""
-        found = self.retrieve(corpus_id, queries, mode, top_k).select("query_id", "doc_id", "score", "rank")
-        return agent.answer_queries(queries, found.join(self.units(corpus_id), "doc_id"))
+    def answer(self, corpus_id: str, queries: DataFrame, top_k: int = 10, mode: str = "hybrid", expand: Callable[[Column], Column] | None = None, decompose: Callable[[Column, Column], Column] = agent.sub_queries) -> DataFrame:
+        """Analysis, extractive answer, citations and confidence of every query; models that rewrite or cut up queries plug in as expressions."""
+        found = self.retrieve(corpus_id, agent.expanded(queries, expand), mode, top_k).select("query_id", "doc_id", "score", "rank")
+        return agent.answer_queries(queries, found.join(self.units(corpus_id), "doc_id"), decompose)

@@ -47,9 +47,10 @@ def token_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def first_tokens(text: Column, n: int) -> Column:
-    """The text's first ``n`` words."""
-    return F.array_join(F.slice(words(text), 1, n), " ")
+def windows(t: Column, n: int) -> Column:
+    """64-bit hashes of the distinct windows of ``n`` tokens, of all tokens if there are fewer; none without tokens."""
+    cut = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))
+    return F.when(F.size(t) >= n, F.array_distinct(cut)).when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def sentences(text: Column) -> Column:

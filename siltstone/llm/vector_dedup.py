@@ -23,6 +23,8 @@ from .common import components, materialize, slices
 
 #: Vectors that a cell holds on average, the windows' half width in standard deviations of a pair at the threshold.
 CELL_ROWS, WIDTH = 16, 1.5
+#: Rows of tables (25 bytes each, but for those seen from two slabs) that meet in one task's group.
+PART_ROWS = 1 << 16
 SEED = 20_250_101
 
 
@@ -62,7 +64,7 @@ def directions(dim: int, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
 
 def matrix(column: pa.ListArray) -> np.ndarray:
     """Rows of a list column of equal lengths as doubles."""
-    return np.stack([np.asarray(v, np.float64) for v in column.to_pylist()]) if len(column) else np.empty((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64) if len(column) else np.empty((0, 1))
 
 
 def table_rows(vectors: DataFrame, tables: Tables, parts: int) -> DataFrame:
@@ -144,8 +146,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.
     different lengths never link. Repeated rows are equal vectors; an empty table gives no rows; other columns are
     never read.
     """
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col("v")
     good = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -153,6 +153,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.
     classes = materialize(rows.where("class is not null").groupBy("class", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     size = classes.agg(F.count("*"), F.countDistinct("label")).first()
     tables = calibrate(size[0] / max(1, size[1]), cosine, recall)
+    parts = max(1, -(-size[0] * tables.count // PART_ROWS))
     inputs = classes.select("rep", "label", "v", F.size("v").alias("dim"))
     hit = collisions(table_rows(inputs, tables, parts), tables).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= tables.least)
     links = materialize(verified(hit.select("a", "b"), classes, cosine))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,13 +121,26 @@ def bands(value: Column, limits: tuple[tuple[float, str], ...], rest: str) -> Co
     return out
 
 
-def answer_queries(queries: DataFrame, results: DataFrame) -> DataFrame:
-    """One row a query (query_id, text): analysis, sources, answer, confidence and trace; queries without results too."""
+def sources(r: Column) -> Column:
+    """The first ten results as structs of id, rank, beginning of the text and score."""
+    return F.transform(F.slice(r, 1, 10), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["rank"].alias("rank"), F.substring(x["text"], 1, 300).alias("text"), F.round(x["score"], 4).alias("score")))
+
+
+def expanded(queries: DataFrame, expand: Callable[[Column], Column] | None) -> DataFrame:
+    """Queries (query_id, text) with the text that is to be retrieved: ``expand`` stands for a model that rewrites it; nulls and no model leave it."""
+    return queries if expand is None else queries.withColumn("text", F.coalesce(expand(F.col("text")), F.col("text")))
+
+
+def answer_queries(queries: DataFrame, results: DataFrame, decompose: Callable[[Column, Column], Column] = sub_queries) -> DataFrame:
+    """One row a query (query_id, text): analysis, sources, answer, confidence and trace; queries without results too.
+
+    ``decompose`` gives the sub-queries of a text and its type, as a model would.
+    """
     kind = query_type(F.col("text"))
-    q = queries.select("query_id", "text", kind.alias("query_type"), detect_domain(F.col("text")).alias("domain"), sub_queries(F.col("text"), kind).alias("sub_queries"))
+    q = queries.select("query_id", "text", kind.alias("query_type"), detect_domain(F.col("text")).alias("domain"), decompose(F.col("text"), kind).alias("sub_queries"))
     r = F.coalesce("r", F.expr("array()").cast("array<struct<rank:int,doc_id:bigint,text:string,score:double>>"))
     joined = q.join(result_arrays(results), "query_id", "left").withColumn("r", r)
     out = joined.withColumn("answer", extractive_answer(F.col("r"))).withColumn("confidence", confidence(F.transform("r", lambda x: x["score"])))
     out = out.withColumn("model_confidence", stated_confidence(F.col("answer")))
     trace = F.array(F.concat(F.lit("analyze type="), "query_type", F.lit(" domain="), "domain"), F.concat(F.lit("retrieve n="), F.size("r").cast("string")), F.concat(F.lit("format confidence="), F.col("confidence").cast("string")))
-    return out.select("query_id", "query_type", "domain", "sub_queries", context(F.col("r")).alias("context"), "answer", citations(F.col("r")).alias("citations"), "confidence", "model_confidence", hallucination_risk(F.col("confidence"), F.col("model_confidence")).alias("hallucination_risk"), trace.alias("trace"))
+    return out.select("query_id", "query_type", "domain", "sub_queries", context(F.col("r")).alias("context"), "answer", citations(F.col("r")).alias("citations"), sources(F.col("r")).alias("sources"), "confidence", "model_confidence", hallucination_risk(F.col("confidence"), F.col("model_confidence")).alias("hallucination_risk"), trace.alias("trace"))

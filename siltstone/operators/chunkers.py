@@ -61,9 +61,8 @@ def fixed(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     if step < 0:
         rows, step = rows.limit(0), 1
     count = 1 + F.greatest(F.lit(0), F.ceil((F.size("w") - config.chunk_size) / F.lit(step))).cast("int")
-    out = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_index"))
-    window = F.array_join(F.slice("w", F.col("chunk_index") * step + 1, config.chunk_size), " ")
-    return shaped(out.select("doc_id", "chunk_index", window.alias("text")), "fixed", config.chunk_overlap)
+    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.array_join(F.slice("w", k * step + 1, config.chunk_size), " "))
+    return shaped(rows.select("doc_id", F.posexplode(windows).alias("chunk_index", "text")), "fixed", config.chunk_overlap)
 
 
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", " ", "")
@@ -132,10 +131,12 @@ def sentence_window(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     """A chunk around every sentence, ``window`` sentences to each side; windows below the least size are skipped."""
     w = config.window
     rows = docs.select("doc_id", T.sentences(F.col("text")).alias("s"))
-    rows = rows.select("doc_id", "s", F.posexplode("s").alias("i", "anchor"))
-    first, last = F.greatest(F.col("i") - w, F.lit(0)), F.least(F.col("i") + w, F.size("s") - 1)
-    text = F.array_join(F.slice("s", first + 1, last - first + 1), " ")
-    out = rows.select("doc_id", F.col("i").alias("chunk_index"), text.alias("text"), "anchor", first.alias("window_start"), last.alias("window_end"))
+
+    def around(anchor: Column, i: Column) -> Column:
+        first, last = F.greatest(i - w, F.lit(0)), F.least(i + w, F.size("s") - 1)
+        return F.struct(i.alias("chunk_index"), F.array_join(F.slice("s", first + 1, last - first + 1), " ").alias("text"), anchor.alias("anchor"), first.alias("window_start"), last.alias("window_end"))
+
+    out = rows.select("doc_id", F.explode(F.transform("s", around)).alias("x")).select("doc_id", "x.*")
     out = out.withColumn("token_count", T.token_count(F.col("text"))).where(F.col("token_count") >= config.min_chunk_size)
     return out.withColumn("strategy", F.lit("sentence_window")).withColumn("overlap_prev", F.lit(0))
 
@@ -143,25 +144,20 @@ def sentence_window(docs: DataFrame, config: ChunkConfig) -> DataFrame:
 def section_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, section, heading, body) of every section that has a body; text before the first heading is an introduction.
 
-    A document's lines stay in one row: an array fold cuts them at headings, so nothing is shuffled.
+    A document's lines stay in one row and are cut at the places of its headings, so nothing is shuffled and no text is
+    copied more than once.
     """
-    lines = F.split("text", "\n")
     trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    empty = F.struct(F.lit("Introduction").alias("heading"), F.lit("").alias("body"), F.lit(0).alias("lines"))
-    start = F.struct(F.expr("array()").cast("array<struct<heading:string,body:string,lines:int>>").alias("done"), empty.alias("open"))
-
-    def step(acc, line):
-        heading = trimmed(line)
-        closed = F.when(acc["open"]["lines"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        opened = F.struct(heading.alias("heading"), F.lit("").alias("body"), F.lit(0).alias("lines"))
-        longer = F.struct(acc["open"]["heading"].alias("heading"), F.when(acc["open"]["lines"] == 0, line).otherwise(F.concat(acc["open"]["body"], F.lit("\n"), line)).alias("body"), (acc["open"]["lines"] + 1).alias("lines"))
-        head = heading.rlike(T.HEADING_PATTERN)
-        return F.struct(F.when(head, closed).otherwise(acc["done"]).alias("done"), F.when(head, opened).otherwise(longer).alias("open"))
+    rows = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    places = F.transform("lines", lambda x, i: F.when(trimmed(x).rlike(T.HEADING_PATTERN), i))
+    rows = rows.select("doc_id", "lines", F.concat(F.array(F.lit(-1)), F.array_compact(places)).alias("at"))
 
-    def finish(acc):
-        return F.when(acc["open"]["lines"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+    def section(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("at", k + 1), F.size("lines"))
+        heading = F.when(at < 0, "Introduction").otherwise(trimmed(F.get("lines", at)))
+        return F.struct(heading.alias("heading"), F.array_join(F.slice("lines", at + 2, end - at - 1), "\n").alias("body"))
 
-    sections = docs.select("doc_id", F.posexplode(F.aggregate(lines, start, step, finish)).alias("section", "s"))
+    sections = rows.select("doc_id", F.posexplode(F.transform("at", section)).alias("section", "s"))
     return sections.select("doc_id", "section", F.col("s.heading").alias("heading"), trimmed(F.col("s.body")).alias("body")).where("body <> ''")
 
 

@@ -12,6 +12,8 @@ from ..functions import vector as V
 
 #: Queries that are broadcast at once (64 doubles each: some 5 MB); larger query frames are joined in blocks.
 QUERY_BLOCK = 10_000
+#: Queries whose scores with a batch of vectors are held at once.
+TILE = 256
 #: Mean share of the exact neighbours that an inverted file is calibrated for, so high that a handful of queries keeps the floor of 0.9 too, and vectors it is measured on.
 RECALL, CALIBRATION_QUERIES = 0.98, 500
 
@@ -36,6 +38,24 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_of(best_s: np.ndarray, best_d: np.ndarray, s: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of each query, among those so far and new ones; equal scores (9 decimals) go to the smaller id.
+
+    A partition finds each query's k-th score; only what reaches it is sorted, a query at a time where ties make it more.
+    """
+    s, d = np.concatenate([best_s, s], 1), np.concatenate([best_d, np.broadcast_to(docs, (len(s), len(docs)))], 1)
+    if s.shape[1] <= k:
+        return s, d
+    exact = np.round(s, 9)
+    least = np.partition(exact, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    out_s, out_d = np.empty((len(s), k)), np.empty((len(s), k), np.int64)
+    for i in range(len(s)):
+        at = np.flatnonzero(exact[i] >= least[i])
+        at = at[np.lexsort((d[i, at], -exact[i, at]))[:k]]
+        out_s[i], out_d[i] = s[i, at], d[i, at]
+    return out_s, out_d
+
+
 def _block_topk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     spark = vectors.sparkSession
     rows = queries.select("query_id", V.doubles(F.col("vec"))).toArrow()  # at most QUERY_BLOCK rows
@@ -47,31 +67,28 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bo
     def run(batches):
         ids, q, q_len = shared.value
         best_s, best_d = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        best = [(best_s[t : t + TILE], best_d[t : t + TILE]) for t in range(0, len(ids), TILE)]
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 docs = part.column(0).to_numpy()
                 v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1).astype(np.float64)
-                s = (q @ v.T) / (q_len[:, None] * np.linalg.norm(v, axis=1)[None] + V.EPSILON)
-                if exclude_self:
-                    s[ids[:, None] == docs[None]] = -np.inf
-                s, d = np.concatenate([best_s, s], 1), np.concatenate([best_d, np.broadcast_to(docs, (len(ids), len(docs)))], 1)
-                order = np.lexsort((d, -np.round(s, 9)), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-        found = best_s.shape[1]
-        s, d, qs = best_s.ravel(), best_d.ravel(), np.repeat(ids, found)
+                v_len = np.linalg.norm(v, axis=1)
+                for n, t in enumerate(range(0, len(ids), TILE)):
+                    s = (q[t : t + TILE] @ v.T) / (q_len[t : t + TILE, None] * v_len[None] + V.EPSILON)
+                    if exclude_self:
+                        s[ids[t : t + TILE, None] == docs[None]] = -np.inf
+                    best[n] = best_of(*best[n], s, docs, k)
+        found = best[0][0].shape[1] if best else 0
+        s = np.concatenate([b[0] for b in best]).ravel() if best else np.empty(0)
+        d = np.concatenate([b[1] for b in best]).ravel() if best else np.empty(0, np.int64)
+        qs = np.repeat(ids, found)
         ok = np.isfinite(s)
         yield pa.RecordBatch.from_arrays([pa.array(qs[ok], pa.int64()), pa.array(d[ok], pa.int64()), pa.array(s[ok])], names=["query_id", "doc_id", "score"])
 
     return vectors.select(F.col("doc_id").cast("bigint"), "vec").where(F.col("vec").isNotNull()).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each vector with its nearest centroid's cell; centroids are (cell, centre), a small fitted table."""
-    near = exact_topk(centroids.select(F.col("cell").alias("doc_id"), F.col("centre").alias("vec")), vectors.select(F.col("doc_id").alias("query_id"), "vec"), 1)
-    return vectors.join(near.select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("cell")), "doc_id")
-
-
 def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, place: bool = False) -> DataFrame:
     """(doc_id, vec, cell) with the ``n`` nearest cells of each vector, found by expressions over the packed centroids.
 

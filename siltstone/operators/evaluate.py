@@ -104,3 +104,10 @@ def proxies(pairs: DataFrame) -> DataFrame:
     sets = pairs.select("id", *(F.array_distinct(T.tokens(F.col(c))).alias(c) for c in ("question", "context", "answer", "truth")))
     share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
     return sets.select("id", share("answer", "context").alias("faithfulness_proxy"), share("context", "question").alias("context_precision_proxy"), share("truth", "context").alias("context_recall_proxy"), share("question", "answer").alias("answer_relevance_proxy"))
+
+
+def answer_targets(means: DataFrame) -> DataFrame:
+    """(metric, value, target, met) of one row of answer metrics, under their own names or as proxies; missing values meet nothing."""
+    have = {m: c for m in RAG_TARGETS for c in (m, f"{m}_proxy") if c in means.columns}
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"), F.lit(RAG_TARGETS[m]).alias("target"), F.coalesce(F.col(c) >= RAG_TARGETS[m], F.lit(False)).alias("met")) for m, c in have.items()))
+    return means.select(F.explode(rows).alias("x")).select("x.*")

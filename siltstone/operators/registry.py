@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import benchmarks
 from . import dense
 
-BACKENDS = ("flat", "ivf")
+#: Backend name to a function that fits its centroids (None: search is exact). Others plug in by :func:`register`.
+BACKENDS: dict[str, Callable[[DataFrame, int], DataFrame | None]] = {"flat": lambda vectors, cells: None, "ivf": lambda vectors, cells: dense.fit_centroids(vectors, cells)}
+
+
+def register(name: str, fit: Callable[[DataFrame, int], DataFrame | None]) -> None:
+    """Add a backend, or replace one: ``fit`` gives (cell, centre) rows of vectors and a number of cells, or None for exact search."""
+    BACKENDS[name] = fit
 
 
 class IndexRegistry:
@@ -19,9 +28,9 @@ class IndexRegistry:
     def build(self, corpus: str, vectors: DataFrame, backend: str = "flat", cells: int = 100) -> str:
         """Register vectors; the inverted file's centroids and its number of probes are fitted on bounded samples."""
         if backend not in BACKENDS:
-            raise ValueError(f"unknown backend {backend!r}; known: {BACKENDS}")
+            raise ValueError(f"unknown backend {backend!r}; known: {sorted(BACKENDS)}")
         have = vectors.where("vec is not null")
-        centroids = dense.fit_centroids(have, cells) if backend == "ivf" else None
+        centroids = BACKENDS[backend](have, cells)
         self.indexes[f"{corpus}:{backend}"] = (have, centroids)
         if centroids is not None:
             self.probes[f"{corpus}:{backend}"] = dense.calibrated_probes(have, centroids)
@@ -37,3 +46,21 @@ class IndexRegistry:
         if centroids is None:
             return dense.exact_topk(vectors, queries, k)
         return dense.ivf_topk(vectors, queries, centroids, k, self.probes[f"{corpus}:{backend}"] if n_probe is None else n_probe)
+
+    def save(self, corpus: str, backend: str, path: str) -> None:
+        """Store an index as tables: vectors, centroids and the number of probes."""
+        vectors, centroids = self.get(corpus, backend)
+        benchmarks.write_vectors(vectors, f"{path}/vectors")
+        if centroids is not None:
+            benchmarks.write_vectors(centroids.selectExpr("*", f"{self.probes[f'{corpus}:{backend}']} n_probe"), f"{path}/centroids")
+
+    def load(self, spark: SparkSession, corpus: str, backend: str, path: str) -> str:
+        """Register a stored index again, without fitting; backends with centroids have a second table."""
+        key, centroids = f"{corpus}:{backend}", None
+        stored = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/centroids")
+        if stored.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(stored):
+            rows = benchmarks.read_vectors(spark, f"{path}/centroids")
+            self.probes[key] = rows.first()["n_probe"]
+            centroids = rows.drop("n_probe")
+        self.indexes[key] = (benchmarks.read_vectors(spark, f"{path}/vectors"), centroids)
+        return key

@@ -104,11 +104,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     both = u.join(a, ["conv_id", "turn"])
-    return both.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "question", F.concat("question", F.lit(" "), F.substring("answer", 1, 100)).alias("context"), "answer", F.when(F.col("turn") % 2 == 0, F.col("answer")).alias("truth"))
+    w = F.split("answer", " ")
+    second_half = F.array_join(F.slice(w, (F.size(w) / 2).cast("int") + 1, F.size(w)), " ")  # the context supports half of each answer
+    return both.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "question", F.concat("question", F.lit(" "), second_half).alias("context"), "answer", F.when(F.col("turn") % 2 == 0, F.col("answer")).alias("truth"))
 
 
 _SHARE = lambda a, b: f"CASE WHEN len({a}) > 0 THEN round(len(list_intersect({a}, {b}))::DOUBLE / len({a}), 6) END"
-_PAIRS = f"""WITH p AS (SELECT u.conv_id || ':' || u.turn AS id, u.text AS question, u.text || ' ' || substring(a.text, 1, 100) AS context, a.text AS answer, CASE WHEN u.turn % 2 = 0 THEN a.text END AS truth FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+_PAIRS = f"""WITH p AS (SELECT u.conv_id || ':' || u.turn AS id, u.text AS question, u.text || ' ' || array_to_string(list_slice(string_split(a.text, ' '), 1 + len(string_split(a.text, ' ')) // 2, len(string_split(a.text, ' '))), ' ') AS context, a.text AS answer, CASE WHEN u.turn % 2 = 0 THEN a.text END AS truth FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
 t AS (SELECT id, {", ".join(f"list_distinct({TOKENS_SQL.format(c)}) AS {c}" for c in ("question", "context", "answer", "truth"))} FROM p),
 s AS (SELECT id, {_SHARE("answer", "context")} AS faithfulness_proxy, {_SHARE("context", "question")} AS context_precision_proxy, {_SHARE("truth", "context")} AS context_recall_proxy, {_SHARE("question", "answer")} AS answer_relevance_proxy FROM t)"""
 _PROXIES = ["faithfulness_proxy", "context_precision_proxy", "context_recall_proxy", "answer_relevance_proxy"]
@@ -126,3 +128,12 @@ def ragas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the proxies; missing ones don't count."""
     p = evaluate.proxies(pairs(spark, sf_dir))
     return p.select(*(F.round(c, 6).alias(c) for c in _PROXIES)).agg(*(F.round(F.avg(c), 5).alias(c) for c in _PROXIES), F.count("*").alias("n"))
+
+
+_TARGETS = " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}_proxy), 5) AS value, {t}::DOUBLE AS target, coalesce(round(avg({m}_proxy), 5) >= {t}, false) AS met FROM s" for m, t in evaluate.RAG_TARGETS.items())
+
+
+@query(f"{_PAIRS} {_TARGETS}")
+def ragas_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proxies' means against the targets of answers."""
+    return evaluate.answer_targets(ragas_aggregate(spark, sf_dir))

@@ -83,7 +83,13 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested(chunkers.chunk(docs(spark, sf_dir), "recursive", CONFIG))
 
 
-@query()
+_PARAGRAPHS = f"SELECT doc_id, pos, p, {WORDS_SQL.format('p')} AS w FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(p) <> ''"
+_CLAIMS = f"list_filter(flatten(list_transform({SENTENCES_SQL.format('p')}, lambda s: list_transform(string_split(s, ';'), lambda c: trim(c)))), lambda c: c <> '')"
+
+
+@query(rf"""WITH para AS ({_PARAGRAPHS}), c AS (SELECT doc_id, pos, unnest(range(len(x))) AS k, unnest(x) AS t FROM (SELECT doc_id, pos, CASE WHEN len(w) < 30 THEN [trim(p)] ELSE {_CLAIMS} END AS x FROM para)),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS i, t, len({WORDS_SQL.format('t')}) AS w FROM c)
+SELECT doc_id, i::BIGINT AS chunk_index, w::BIGINT AS token_count, md5(t) AS digest FROM n WHERE w BETWEEN 10 AND 1024""")
 def chunk_propositional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of every paragraph (a line is a paragraph here), by the offline clause splitter."""
     d = docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -99,13 +105,23 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested(chunkers.size_filter(chunkers.semantic(v, ChunkConfig(min_chunk_size=10, breakpoint=0.5)), CONFIG))
 
 
-@query("""SELECT c_nationkey::BIGINT AS doc_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT n_regionkey AS c_nationkey FROM nation) GROUP BY c_nationkey""")
+WHOLE = ChunkConfig(chunk_size=1_000_000, chunk_overlap=0, min_chunk_size=1, max_chunk_size=1_000_000)
+
+
+@query(rf"""WITH p AS (SELECT doc_id, regexp_replace(replace(text, '[TABLE]', ''), '^\s+|\s+$', '', 'g') AS t FROM documents), c AS (SELECT doc_id, 0 AS i, t FROM p WHERE len({WORDS_SQL.format("t")}) > 0
+UNION ALL SELECT d.doc_id, (len({WORDS_SQL.format("p.t")}) > 0)::INT, 'TABLE 1:' || chr(10) || 'Headers: doc | lang' || chr(10) || d.doc_id || ' | ' || coalesce(d.lang, '-') FROM documents d JOIN p ON p.doc_id = d.doc_id
+UNION ALL SELECT d.doc_id, (len({WORDS_SQL.format("p.t")}) > 0)::INT + 1, 'TABLE 3:' || chr(10) || 'Headers: source' || chr(10) || coalesce(d.source, '-') FROM documents d JOIN p ON p.doc_id = d.doc_id WHERE d.doc_id % 2 = 0)
+SELECT doc_id, i::BIGINT AS chunk_index, len({WORDS_SQL.format("t")})::BIGINT AS token_count, md5(t) AS digest FROM c""")
 def chunk_table_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table chunks of each region's nations; the prose is too short to stay."""
-    n = table(spark, sf_dir, "nation")
-    rows = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.array("n_name", F.col("n_nationkey").cast("string")))).alias("rows"))
-    d = rows.select("doc_id", F.lit("Some words [TABLE] x [/TABLE] here.").alias("text"), F.array("rows").alias("tables"))
-    return chunkers.chunk(d, "table_aware", CONFIG).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Prose and tables of every document: table blocks are put before and after its text, of its three tables the second is empty, and for odd ids the third."""
+    d = table(spark, sf_dir, "documents")
+    block = "[TABLE]\nsome | cells\n[/TABLE]"
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    none = F.array().cast("array<array<string>>")
+    first = F.array(F.array(F.lit("doc"), F.lit("lang")), F.array(cell("doc_id"), cell("lang")))
+    third = F.when(F.col("doc_id") % 2 == 0, F.array(F.array(F.lit("source")), F.array(cell("source")))).otherwise(none)
+    made = d.select("doc_id", F.concat(F.lit(block), F.replace("text", F.lit("[TABLE]"), F.lit("")), F.lit(block)).alias("text"), F.array(first, none, third).alias("tables"))
+    return digested(chunkers.chunk(made, "table_aware", WHOLE))
 
 
 @query("SELECT source AS corpus_id, count(*)::BIGINT AS doc_count, sum(n)::BIGINT AS chunk_count, sum(t)::BIGINT AS total_tokens, round_even(sum(t) / greatest(sum(n), 1), 1) AS avg_tokens FROM (SELECT d.doc_id, source, count(c.doc_id) AS n, coalesce(sum(token_count), 0) AS t FROM documents d LEFT JOIN (SELECT * FROM (" + _FIXED + ") WHERE token_count BETWEEN 10 AND 1024) c ON c.doc_id = d.doc_id GROUP BY d.doc_id, source) GROUP BY source")

@@ -25,6 +25,15 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.fingerprint(documents(spark, sf_dir))
 
 
+@query("SELECT source AS corpus_id, count(*)::BIGINT AS n, count(DISTINCT md5(printf('%s/%010d', source, doc_id) || text))::BIGINT AS n_contents FROM documents GROUP BY source")
+def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and distinct contents of every corpus whose bounded fingerprint is the same when its rows come in another order."""
+    d = documents(spark, sf_dir)
+    whole = corpus.content_fingerprint(d)
+    shuffled = corpus.content_fingerprint(d.repartition(7, "text")).withColumnRenamed("fingerprint", "again")
+    return whole.join(shuffled, "corpus_id").where("fingerprint = again").join(d.groupBy("corpus_id").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("source", "text")).alias("n_contents")), "corpus_id").select("corpus_id", "n", "n_contents")
+
+
 @query(f"SELECT corpus_id, fingerprint, coalesce(corpus_id NOT LIKE '%3', false) AS skipped FROM ({_FP})")
 def idempotent_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpora ingested again: those whose stored fingerprint (changed for some) is the same are skipped."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import attacks, bm25, dense, evaluate, report
 from .registry import query, table
-from .retrieval_queries import BM25_SQL, DENSE_SQL, OVERLAP_SQL, Q_SQL, corpus, overlap_arm, probes, questions, rounded, vectors
+from .retrieval_queries import BM25_SQL, DENSE_SQL, HASHED_SQL, Q_SQL, corpus, hashed_arm, probes, questions, rounded, vectors
+from .text_queries import TOKENS_SQL
 
 METRICS = [*(f"ndcg_at_{k}" for k in evaluate.NDCG_CUTS), "mrr", *(f"precision_at_{k}" for k in evaluate.PRECISION_CUTS), *(f"recall_at_{k}" for k in evaluate.RECALL_CUTS), "map_at_10", "hit_rate_at_10"]
 
@@ -38,20 +40,31 @@ def label_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 LABEL_SQL = f"WITH {DENSE_SQL}, run AS (SELECT * FROM dn WHERE rank <= 10), qs AS (SELECT vec_id AS query_id FROM v WHERE vec_id % 100 = 0), qrels AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, 1.0 AS grade FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), {metrics_sql('run', 'qrels', 'qs')}"
 
 
+#: Words of a window, and the share of a passage's windows that a relevant document holds.
+WINDOW, SHARE = 8, 0.5
+
+
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded qrels of passages: documents that hold a passage's first 60 characters, one grade higher if of good quality.
+    """Graded qrels of passages: documents that hold half of a passage's windows of eight words, one grade higher if of good quality.
 
-    Passages are a bounded query set; documents are scanned once against all of their beginnings.
+    An equi-join on hashes of windows; both sides are cut up whole, and a document's windows are filtered by the
+    passages' before they are counted.
     """
-    b = questions(spark, sf_dir).select("query_id", F.substring("text", 1, 60).alias("head"))
-    d = corpus(spark, sf_dir)
-    heads = b.agg(F.collect_list(F.struct("query_id", "head")).alias("hs"))  # one row of the query set
-    hits = d.crossJoin(F.broadcast(heads)).select("doc_id", F.explode(F.filter("hs", lambda h: F.contains(F.col("text"), h["head"]))).alias("h")).select("doc_id", "h.query_id")
+    cut = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("t")).select(key, T.windows(F.col("t"), WINDOW).alias("g"))
+    passages = cut(questions(spark, sf_dir), "query_id").withColumn("n", F.size("g")).select("query_id", "n", F.explode("g").alias("g"))
+    held = cut(corpus(spark, sf_dir), "doc_id").select("doc_id", F.explode("g").alias("g"))
+    hits = held.join(passages, "g").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= SHARE)
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return hits.join(good, "doc_id", "left").select("query_id", "doc_id", (1.0 + F.coalesce("quality", F.lit(0))).alias("grade"))
 
 
-KNOWN_SQL = "qrels AS (SELECT b.item_id AS query_id, d.doc_id, 1.0 + coalesce(l.quality, 0) AS grade FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 60)) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)"
+def _windows_sql(key: str, relation: str) -> str:
+    joined = "list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))"
+    return f"SELECT {key}, unnest(CASE WHEN len(t) >= 8 THEN list_distinct({joined}) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM (SELECT {key}, {TOKENS_SQL.format('text')} AS t FROM {relation})"
+
+
+KNOWN_SQL = f"""pw AS MATERIALIZED ({_windows_sql('item_id', 'benchmark')}), pn AS (SELECT item_id, count(*) AS n FROM pw GROUP BY item_id), dw AS ({_windows_sql('doc_id', 'documents')}),
+qrels AS MATERIALIZED (SELECT item_id AS query_id, h.doc_id, 1.0 + coalesce(l.quality, 0) AS grade FROM (SELECT item_id, doc_id, count(*) AS k FROM pw JOIN dw USING (g) GROUP BY ALL) h JOIN pn USING (item_id) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = h.doc_id WHERE k::DOUBLE / n >= 0.5)"""
 
 
 def _columns(names: list[str]) -> str:
@@ -122,7 +135,7 @@ def graded_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graded_scores(spark, sf_dir), *METRICS)
 
 
-_MODES = f"WITH {Q_SQL}, {BM25_SQL}, {OVERLAP_SQL}, {KNOWN_SQL}, modes AS (SELECT 'sparse' AS mode, query_id, doc_id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'overlap', query_id, doc_id, rank FROM ov WHERE rank <= 10), hit AS (SELECT mode, m.query_id, min(rank) AS r FROM modes m JOIN qrels USING (query_id, doc_id) GROUP BY ALL), n AS (SELECT count(*) AS n FROM q)"
+_MODES = f"WITH {Q_SQL}, {BM25_SQL}, {HASHED_SQL}, {KNOWN_SQL}, modes AS (SELECT 'sparse' AS mode, query_id, doc_id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM hv WHERE rank <= 10), hit AS (SELECT mode, m.query_id, min(rank) AS r FROM modes m JOIN qrels USING (query_id, doc_id) GROUP BY ALL), n AS (SELECT count(*) AS n FROM q)"
 
 
 def mode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +143,7 @@ def mode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = corpus(spark, sf_dir), questions(spark, sf_dir)
     qrels = known_items(spark, sf_dir)
     out = None
-    for mode, run in (("sparse", bm25.topk(d, q, 10)), ("overlap", overlap_arm(d, q, 10))):
+    for mode, run in (("sparse", bm25.topk(d, q, 10)), ("dense", hashed_arm(d, q, 10))):
         one = evaluate.aggregate(evaluate.per_query(run.select("query_id", "doc_id", "rank"), qrels, q.select("query_id"))).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out
@@ -174,7 +187,12 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(evaluate.weaknesses({"ndcg_at_10": a, "recall_at_10": b, "precision_at_10": a, "mrr": b}), ",").alias("weak"))
 
 
-@query()
+def _advice_sql() -> str:
+    weak = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{report.ADVICE[m]}' AS advice FROM g WHERE {m} < {evaluate.WEAK[m]}" for m in evaluate.WEAK if m in evaluate.AGGREGATED)
+    return f"g AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in evaluate.AGGREGATED)} FROM m), w AS ({weak}) SELECT * FROM w UNION ALL SELECT 'none', a FROM (VALUES ('validate on an outside benchmark'), ('tune the embedding model on the domain')) t(a) WHERE NOT EXISTS (SELECT * FROM w)"
+
+
+@query(f"{_GRADED}, {_advice_sql()}")
 def evaluation_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advice for the graded BM25 evaluation."""
     return report.advice(evaluate.aggregate(graded_scores(spark, sf_dir)))
@@ -247,22 +265,34 @@ def attack_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_attack(spark, sf_dir, "irrelevant_injection")
 
 
-@query()
+def _typo_sql() -> str:
+    keys = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in attacks.ADJACENT_KEYS.items())
+    hexed = lambda at, n: f"('0x' || substring(h, {at}, {n}))::INT"
+    return f"""SELECT query_id, string_agg(CASE WHEN s THEN after || c WHEN coalesce(lag_s, false) THEN '' WHEN kind = 1 THEN '' WHEN kind = 2 THEN c || c WHEN kind = 3 AND near IS NOT NULL THEN near[1 + {hexed(7, 2)} % len(near)] ELSE c END, '' ORDER BY i) AS attacked FROM (
+SELECT *, lag(s) OVER w AS lag_s FROM (SELECT *, kind = 0 AND coalesce(lag(kind) OVER w, -1) <> 0 AND lead(c) OVER w IS NOT NULL AS s, lead(c) OVER w AS after FROM (
+SELECT *, CASE WHEN {hexed(1, 4)} < {attacks.TYPO_RATE} * 65536 THEN {hexed(5, 2)} % 4 ELSE -1 END AS kind, CASE lower(c) {keys} END AS near FROM (
+SELECT query_id, i, c, md5('{attacks.SEED}:' || i || ':' || c) AS h FROM (SELECT query_id, unnest(range(len(cs))) AS i, unnest(cs) AS c FROM (SELECT query_id, string_split(text, '') AS cs FROM rq)))) WINDOW w AS (PARTITION BY query_id ORDER BY i)) WINDOW w AS (PARTITION BY query_id ORDER BY i)) GROUP BY query_id"""
+
+
+@query(f"WITH {_RQ} {_typo_sql()}")
 def attack_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded misspellings."""
     return one_attack(spark, sf_dir, "typo_noise")
 
 
-NAMES = ["query_truncation", "semantic_trap", "irrelevant_injection", "domain_shift"]
+NAMES = list(attacks.ATTACKS)
 
 
-@query(f"""WITH {_RQ}, vs AS (SELECT query_id, 'clean' AS attack, text FROM rq UNION ALL SELECT query_id, 'query_truncation', {TRUNCATED_SQL} FROM rq UNION ALL SELECT query_id, 'semantic_trap', {TRAP_SQL} FROM rq UNION ALL SELECT query_id, 'irrelevant_injection', {INJECT_SQL} FROM rq UNION ALL SELECT query_id, 'domain_shift', '{attacks.DOMAIN_PREFIXES["legal"]}' || text FROM rq),
+_ROBUST = f"""WITH {_RQ}, vs AS (SELECT query_id, 'clean' AS attack, text FROM rq UNION ALL SELECT query_id, 'query_truncation', {TRUNCATED_SQL} FROM rq UNION ALL SELECT query_id, 'semantic_trap', {TRAP_SQL} FROM rq UNION ALL SELECT query_id, 'irrelevant_injection', {INJECT_SQL} FROM rq UNION ALL SELECT query_id, 'domain_shift', '{attacks.DOMAIN_PREFIXES["legal"]}' || text FROM rq UNION ALL SELECT query_id, 'synonym_substitution', {_synonym_sql()} FROM rq UNION ALL SELECT query_id, 'typo_noise', attacked FROM ({_typo_sql()})),
 q AS (SELECT query_id || ':' || attack AS query_id, text FROM vs), {BM25_SQL}, {KNOWN_SQL},
 run AS (SELECT split_part(query_id, ':', 1)::BIGINT AS qid, split_part(query_id, ':', 2) AS attack, doc_id, rank FROM bm WHERE rank <= 10),
 hit AS (SELECT attack, qid, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM run JOIN qrels ON qrels.query_id = qid AND qrels.doc_id = run.doc_id GROUP BY ALL),
 ideal AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(i + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM qrels) WHERE i <= 10 GROUP BY query_id),
 nd AS (SELECT vs.attack, coalesce(dcg / idcg, 0) AS ndcg FROM vs LEFT JOIN hit ON hit.attack = vs.attack AND hit.qid = vs.query_id LEFT JOIN ideal ON ideal.query_id = vs.query_id),
-a AS (SELECT attack, avg(ndcg) AS x FROM nd GROUP BY attack), b AS (SELECT x AS base FROM a WHERE attack = 'clean')
+a AS (SELECT attack, avg(ndcg) AS x FROM nd GROUP BY attack), b AS (SELECT x AS base FROM a WHERE attack = 'clean')"""
+
+
+@query(f"""{_ROBUST}
 SELECT attack, round(base, 6) AS baseline_ndcg, round(x, 6) AS attacked_ndcg, round(CASE WHEN base > 0 THEN (x - base) / base * 100 ELSE 0 END, 6) AS degradation_pct, abs(CASE WHEN base > 0 THEN (x - base) / base * 100 ELSE 0 END) < 5 AS is_robust FROM a, b WHERE attack <> 'clean'""")
 def robustness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval of all clean and attacked queries in one plan, compared by attack."""
@@ -274,3 +304,9 @@ def robustness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = evaluate.per_query(run, qrels, named.select("query_id")).join(named, "query_id").select("attack", F.col("ndcg_at_10").alias("ndcg"))
     r = attacks.report(scores)
     return rounded(r.select("attack", "baseline_ndcg", "attacked_ndcg", "degradation_pct", "is_robust"), "baseline_ndcg", "attacked_ndcg", "degradation_pct")
+
+
+@query(f"""{_ROBUST}, o AS (SELECT coalesce(round(avg(x) / max(base) * 100, 4), 0) AS v FROM a, b WHERE attack <> 'clean' AND base > 0) SELECT v AS overall_robustness, CASE WHEN v >= 90 THEN 'robust' WHEN v >= 75 THEN 'moderate' ELSE 'fragile' END AS band FROM o""")
+def robustness_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean attacked over clean gain of all six attacks."""
+    return rounded(attacks.overall(robustness_report(spark, sf_dir)), "overall_robustness", digits=4)

@@ -30,3 +30,8 @@ def read_chunks(spark: SparkSession, path: str, corpus_id: str | None = None, em
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """An index as a table: ids, texts and vectors; nothing is pickled."""
     vectors.write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """An index that :func:`write_vectors` stored."""
+    return spark.read.parquet(path)

@@ -90,3 +90,19 @@ def test_index_registry(spark):
         r.build("c", v, "psychic")
     with pytest.raises(KeyError):
         r.search("d", q)
+
+
+def test_stored_indexes(spark, tmp_path):
+    from siltstone.operators import registry
+
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "doc_id long, vec array<double>")
+    queries = vectors.limit(5).withColumnRenamed("doc_id", "query_id")
+    registry.register("few", lambda v, cells: registry.dense.fit_centroids(v, 3))
+    one, two = registry.IndexRegistry(), registry.IndexRegistry()
+    for backend in ("flat", "few"):
+        one.build("c", vectors, backend)
+        one.save("c", backend, str(tmp_path / backend))
+        two.load(spark, "c", backend, str(tmp_path / backend))
+        rows = [sorted((r.query_id, r.doc_id, r.rank) for r in x.search("c", queries, 3, backend).collect()) for x in (one, two)]
+        assert rows[0] == rows[1] and len(rows[0]) == 15
+    del registry.BACKENDS["few"]

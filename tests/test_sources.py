@@ -94,3 +94,18 @@ def test_mmr_prefers_difference(spark):
     rows = [(1, 10, "a b c", 1.0, 1), (1, 11, "a b c", 0.99, 2), (1, 12, "x y z", 0.9, 3)]
     c = spark.createDataFrame(rows, "query_id long, doc_id long, text string, score double, rank int")
     assert [r.doc_id for r in rerank.mmr(c, 3).orderBy("rank").collect()] == [10, 12, 11]
+
+
+def test_typos_follow_their_definition(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import attacks
+
+    texts = ["Compare revenue, growth and é😀 risk!\nlines", "a", "aaaa bbbb cccc dddd " * 20]
+    q = spark.createDataFrame([(t,) for t in texts], "text string")
+    for rate in (0.15, 1.0, 0.0):
+        got = [r.t for r in q.select(attacks.typos(F.col("text"), rate).alias("t")).collect()]
+        assert got == [attacks.misspell(t, rate) for t in texts]
+    assert got == texts
+    some = q.select(attacks.synonyms(F.lit("big revenue"), 0.5, F.col("text")).alias("t")).distinct().collect()
+    assert {r.t for r in some} <= {"big revenue", "substantial revenue", "big income", "substantial income"}
