@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: The perplexity bands and the classifier can't be expressed in SQL; tests hold the pipeline against brute force.
+#: The perplexity bands and the classifier can't be expressed in SQL; tests hold each stage against its operator, which has tests of its own.
 ORACLE_SQL: str | None = None
 
 
