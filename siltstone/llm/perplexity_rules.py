@@ -14,8 +14,9 @@ document's own counts are left out when it is scored: ``word_surprise`` is the m
 language's other documents that know its words and, given the word before, its pairs. Shares below ``FLOOR`` count
 as ``FLOOR``, so only windows in so large a share of documents are needed; their number doesn't grow with the corpus.
 They are found exactly: a window that reaches the share over all documents reaches it in at least one chunk of
-them, so the chunks' windows of that share are candidates, which a second pass counts. What is over the language's
-upper band is rejected.
+them, so the chunks' windows of that share are candidates, which a second pass counts. A text may be marked with a
+wrong language or mix several, so ``mixed_surprise`` gives each window the largest of its shares in any language. What
+is over its language's upper band even so is rejected.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ HIGH = ~U(CHUNK_TEXTS - 1)
 def word_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys of the texts, keys of their words, keys of their pairs, each word's text): a text's first word is paired with its start.
 
-    Words are split at white space as by ``bytes.split`` and known by hashes of all their bytes.
+    Words are split at white space as by ``bytes.split`` and known by hashes of all their bytes. A key is that of the
+    window in any language, turned by its language's mask.
     """
     parts, i = [], 0
     while i < len(texts):
@@ -130,19 +132,24 @@ def word_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (*(np.empty(0, U) for _ in range(3)), np.empty(0, np.int64))
 
 
+def language_seed(langs) -> np.ndarray:
+    """What tells the languages' keys apart; its high bits are a language's mask."""
+    return mixed(np.array(langs, U) + U(1))
+
+
 def group_keys(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """:func:`word_keys` of some texts at once."""
-    seed = mixed(np.array(langs, U) + U(1))
+    seed = language_seed(langs)
     word, first = word_hashes(texts)
     who = np.repeat(np.arange(len(texts)), np.diff(first))
     before = np.concatenate([np.zeros(1, U), word[:-1]])[: len(word)]
     before[first[:-1][np.diff(first) > 0]] = U(0)
-    own = seed[who]
-    return mixed(seed ^ U(1)) & HIGH, mixed(word ^ own) & HIGH, mixed(mixed(before + own) ^ word) & HIGH, who
+    own = (seed & HIGH)[who]
+    return mixed(seed ^ U(1)) & HIGH, (mixed(word) & HIGH) ^ own, (mixed(mixed(before + U(1)) ^ word) & HIGH) ^ own, who
 
 
-def document_counts(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, documents with it, documents of its language) of all windows of words of at most CHUNK_TEXTS texts, and of the languages; texts without words don't count."""
+def document_counts(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, documents with it, documents of its language, its language) of all windows of words of at most CHUNK_TEXTS texts, and of the languages; texts without words don't count."""
     wordy = [i for i, t in enumerate(texts) if t.strip(SPACES)]
     if len(wordy) < len(texts):
         texts, langs = [texts[i] for i in wordy], [langs[i] for i in wordy]
@@ -152,8 +159,10 @@ def document_counts(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, n
     both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
     key = both & HIGH
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    _, place, size = np.unique(np.array(langs, np.int64), return_inverse=True, return_counts=True)
-    return key[first], np.diff(np.append(first, len(key))), size[place][(both[first] & ~HIGH).astype(np.int64)]
+    lang = np.array(langs, np.int64)
+    _, place, size = np.unique(lang, return_inverse=True, return_counts=True)
+    text = (both[first] & ~HIGH).astype(np.int64)
+    return key[first], np.diff(np.append(first, len(key))), size[place][text], lang[text]
 
 
 def text_chunks(batches, size: int):
@@ -176,46 +185,85 @@ def text_chunks(batches, size: int):
         yield texts, langs, folds
 
 
-class Words:
-    """Keys of the windows of words that matter, and the number of documents with each: a table with linear probing, a quarter full at most."""
+class Places:
+    """Where each of some distinct keys stands: a table with linear probing, a quarter full at most."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray) -> None:
         bits = max(4, int(4 * len(keys)).bit_length())
-        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
-        self.keys, self.n = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int64)
+        self.shift, self.mask, self.none = U(64 - bits), (1 << bits) - 1, len(keys)
+        self.keys, self.place = np.zeros(1 << bits, U), np.full(1 << bits, self.none, np.int64)
         at, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
         while len(left):
-            free = left[self.n[at[left]] == 0]
-            self.keys[at[free]], self.n[at[free]] = keys[free], n[free]  # of several for one place the last is in
+            free = left[self.place[at[left]] == self.none]
+            self.keys[at[free]], self.place[at[free]] = keys[free], free  # of several for one place the last is in
             left = left[self.keys[at[left]] != keys[left]]
             at[left] = (at[left] + 1) & self.mask
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Documents with each key, 0 if it doesn't matter."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, the number of keys if it isn't there."""
         at = (keys >> self.shift).astype(np.int64)
-        found, n = self.keys[at], self.n[at]
-        other = np.flatnonzero((found != keys) & (n > 0))
-        n[found != keys] = 0
+        found, place = self.keys[at], self.place[at]
+        other = np.flatnonzero((found != keys) & (place < self.none))
+        place[found != keys] = self.none
         while len(other):
             at[other] = (at[other] + 1) & self.mask
-            found, m = self.keys[at[other]], self.n[at[other]]
+            found, p = self.keys[at[other]], self.place[at[other]]
             hit = found == keys[other]
-            n[other[hit]] = m[hit]
-            other = other[~hit & (m > 0)]
-        return n
+            place[other[hit]] = p[hit]
+            other = other[~hit & (p < self.none)]
+        return place
+
+
+class Words:
+    """Keys of the windows of words that matter, the number of documents with each, and each window's two largest shares among the languages."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, langs: np.ndarray) -> None:
+        self.places, self.n = Places(keys), np.append(n, 0)
+        seed = language_seed(langs)
+        share = n / np.maximum(self.count(mixed(seed ^ U(1)) & HIGH), 1)
+        free = keys ^ (seed & HIGH)
+        order = np.lexsort((-share, free))
+        free, share, langs = free[order], share[order], langs[order]
+        first = np.flatnonzero(np.concatenate([[True], free[1:] != free[:-1]])[: len(free)])
+        several = np.diff(np.append(first, len(free))) > 1
+        self.anywhere = Places(free[first])
+        self.best, self.best_lang = np.append(share[first], 0.0), np.append(langs[first], -1)
+        self.second = np.append(np.where(several, share[np.minimum(first + 1, len(share) - 1)], 0.0), 0.0)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Documents with each key, 0 if it doesn't matter."""
+        return self.n[self.places.find(keys)]
+
+    def elsewhere(self, keys: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """The largest share of each window, by its key in its language, in the other languages; 0 below ``FLOOR``."""
+        at = self.anywhere.find(keys ^ (language_seed(langs) & HIGH))
+        share = np.where(self.best_lang[at] == langs, self.second[at], self.best[at])
+        return np.where(share < FLOOR, 0.0, share)
 
     def surprise(self, texts: list[bytes], langs: list[int]) -> np.ndarray:
         """Mean negative log share of each text's words and pairs among the other documents of its language; NaN without words."""
+        return self.surprises(texts, langs)[0]
+
+    def surprises(self, texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`surprise`, and the same with each window's largest share in any language, where that is less surprising."""
         doc, word, pair, who = word_keys(texts, langs)
         others = np.maximum(self.count(doc) - 1, 1)[who]
         one, two = (np.maximum(self.count(k) - 1, 0) / others for k in (word, pair))
         one, two = np.where(one < FLOOR, 0.0, one), np.where(two < FLOOR, 0.0, two)
-        before = np.concatenate([[1.0], one[:-1]])[: len(one)]
-        before[np.concatenate([[True], who[1:] != who[:-1]])[: len(one)]] = 1.0
-        share = (1 - PAIR_WEIGHT) * one + PAIR_WEIGHT * np.minimum(1.0, two / np.maximum(before, FLOOR))
+        first = np.concatenate([[True], who[1:] != who[:-1]])[: len(one)]
+        own = known(one, two, first)
+        lang = np.array(langs, np.int64)[who]
+        mixture = np.maximum(own, known(*(np.maximum(x, self.elsewhere(k, lang)) for x, k in ((one, word), (two, pair))), first))
         n = np.bincount(who, minlength=len(texts))
-        total = np.bincount(who, -np.log(np.maximum(share, FLOOR)), minlength=len(texts))
-        return np.where(n > 0, total / np.maximum(n, 1), np.nan)
+        total = (np.bincount(who, -np.log(np.maximum(share, FLOOR)), minlength=len(texts)) for share in (own, mixture))
+        return tuple(np.where(n > 0, t / np.maximum(n, 1), np.nan) for t in total)
+
+
+def known(one: np.ndarray, two: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The weighted share of words and, given the word before, of pairs; ``first`` marks the texts' first words."""
+    before = np.concatenate([[1.0], one[:-1]])[: len(one)]
+    before[first] = 1.0
+    return (1 - PAIR_WEIGHT) * one + PAIR_WEIGHT * np.minimum(1.0, two / np.maximum(before, FLOOR))
 
 
 def fit_words(rows: DataFrame, block: int = CANDIDATE_BLOCK, found: DataFrame | None = None):
@@ -226,7 +274,7 @@ def fit_words(rows: DataFrame, block: int = CANDIDATE_BLOCK, found: DataFrame |
     spark = rows.sparkSession
     found = (materialize(count_windows(rows)) if found is None else found).where("kind = 1").select("key")
     blocks = max(1, -(-found.count() // block))
-    keys, counts = [], []
+    keys, counts, languages = [], [], []
     for b in range(blocks):
         part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
         wanted = spark.sparkContext.broadcast(np.sort(part.toArrow().column("key").to_numpy().view(U)))
@@ -234,23 +282,25 @@ def fit_words(rows: DataFrame, block: int = CANDIDATE_BLOCK, found: DataFrame |
         def exact(batches, wanted=wanted):
             in_worker("perplexity_rules")
             have = wanted.value
-            total = np.zeros(len(have), np.int64)
+            total, language = np.zeros(len(have), np.int64), np.zeros(len(have), np.int64)
             for texts, langs, _ in text_chunks(batches, 4 * BATCH_BYTES):
                 if not len(have):
                     continue
-                key, n, _ = document_counts(texts, langs)
+                key, n, _, lang = document_counts(texts, langs)
                 at = np.minimum(np.searchsorted(have, key), len(have) - 1)
                 hit = have[at] == key
                 total[at[hit]] += n[hit]
+                language[at[hit]] = lang[hit]
             seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(have[seen].view(np.int64)), pa.array(total[seen])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(have[seen].view(np.int64)), pa.array(total[seen]), pa.array(language[seen])], names=["key", "n", "lang"])
 
         # windows of one document only are unknown to all others
-        counted = rows.select("text", "lang").mapInArrow(tidy(exact), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+        counted = rows.select("text", "lang").mapInArrow(tidy(exact), "key bigint, n bigint, lang bigint").groupBy("key").agg(F.sum("n").alias("n"), F.max("lang").alias("lang")).where("n > 1").toArrow()
         keys.append(counted.column("key").to_numpy().view(U))
         counts.append(counted.column("n").to_numpy())
+        languages.append(counted.column("lang").to_numpy())
         wanted.destroy()
-    return spark.sparkContext.broadcast(Words(np.concatenate(keys), np.concatenate(counts)))
+    return spark.sparkContext.broadcast(Words(*map(np.concatenate, (keys, counts, languages))))
 
 
 def count_windows(rows: DataFrame) -> DataFrame:
@@ -271,7 +321,7 @@ def count_windows(rows: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for texts, langs, folds in text_chunks(batches, 4 * BATCH_BYTES):
             held.append(np.unique(windows(texts, folds)[0], return_counts=True))
-            key, n, of = document_counts(texts, langs)
+            key, n, of, _ = document_counts(texts, langs)
             often = n >= FLOOR * of
             yield from out(1, key[often], n[often])
             if len(held) >= 8:
@@ -371,23 +421,23 @@ class Model:
         return values
 
 
-FEATURES = "doc_id bigint, lang string, digest bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, n_lexical bigint, word_surprise double"
+FEATURES = "doc_id bigint, lang string, digest bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, n_lexical bigint, word_surprise double, mixed_surprise double"
 
 
 def features(texts: list[str | None], langs: list[int], words) -> list[pa.Array]:
-    """Columns of the base counts, the byte count, the words with letters or digits, and the word surprise (null without a model or words)."""
+    """Columns of the base counts, the byte count, the words with letters or digits, and the two word surprises (null without a model or words)."""
     data = [(t or "").encode("utf-8") for t in texts]
     found = [(*(c := base_counts(t)), len(d), c[0] - len(ORNAMENT.findall(d))) for t, d in zip(texts, data, strict=True)]
-    surprise = np.full(len(texts), np.nan)
+    surprise = np.full((2, len(texts)), np.nan)
     i = 0
     while words is not None and i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(data[j]) <= BATCH_BYTES):
             size += len(data[j])
             j += 1
-        surprise[i:j] = words.value.surprise(data[i:j], langs[i:j])
+        surprise[:, i:j] = words.value.surprises(data[i:j], langs[i:j])
         i = j
-    return [*(pa.array([f[i] for f in found], pa.int64()) for i in range(7)), pa.array(surprise, from_pandas=True)]
+    return [*(pa.array([f[i] for f in found], pa.int64()) for i in range(7)), *(pa.array(x, from_pandas=True) for x in surprise)]
 
 
 def scored(rows: DataFrame, model, words=None) -> DataFrame:
@@ -483,7 +533,7 @@ def with_verdict(found: DataFrame, lower: float, upper: float) -> DataFrame:
     wide = F.col("log_perplexity_spread") * F.sqrt(1 + SHORT_WORDS / words)
     out = out.withColumn("low", F.col("log_perplexity_mid") - lower * wide).withColumn("high", F.col("log_perplexity_mid") + upper * wide)
     out = out.withColumn("word_high", F.col("word_surprise_mid") + WORD_UPPER * F.col("word_surprise_spread") * F.sqrt(1 + WORD_SHORT / words))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("word_surprise") <= F.col("word_high")), F.lit(False))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("mixed_surprise") <= F.col("word_high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -495,7 +545,7 @@ def named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, low, high,
-    word_surprise, word_high) of every row.
+    word_surprise, mixed_surprise, word_high) of every row.
 
     A null or empty text has zero counts, fails the base rules and has no perplexity. A null language is a
     language of its own. The bands are medians and quartiles of the documents that pass the base rules, over all
@@ -503,7 +553,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each judged; an empty table gives no rows; whole texts count; other columns are never read.
     """
     rows = named(docs, id_col, text_col, lang_col)
-    return with_verdict(measured(rows, broadcast_entries), lower, upper).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high", "word_surprise", "word_high")
+    return with_verdict(measured(rows, broadcast_entries), lower, upper).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high", "word_surprise", "mixed_surprise", "word_high")
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:

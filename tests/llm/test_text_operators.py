@@ -225,6 +225,30 @@ def test_rules_reject_what_is_labelled_bad(spark):
     assert rates[1] > 0.995 and rates[0] < 0.05
 
 
+def test_wrong_and_mixed_languages_are_not_surprising(spark):
+    import random
+
+    rng = random.Random(7)
+    say = {lang: lambda lang=lang: " ".join(f"{lang}{min(rng.randint(0, 30), rng.randint(0, 30))}" for _ in range(60)) for lang in ("en", "de")}
+    rows = [(say[lang](), lang) for lang in ("en", "de") for _ in range(150)]
+    rows += [(say["de"](), "en"), (say["en"]() + " " + say["de"](), "en"), (" ".join(f"x{i}" for i in range(60)), "en")]
+    words = perplexity_rules.fit_words(spark.createDataFrame(rows, "text string, lang string")).value
+    own, mixture = words.surprises([t.encode() for t, _ in rows], [perplexity_rules.language_key(x) for _, x in rows])
+    assert (mixture <= own).all()
+    usual = own[:300].max()
+    assert (own[300:] > usual).all()
+    assert (mixture[300:302] <= usual).all() and mixture[302] > usual  # made-up words stay surprising
+
+    # the shares of single words by hand: two languages that share a word, the text's own count left out
+    rows = [("a b", "en"), ("a", "en"), ("b", "en"), ("b", "de"), ("b c", "de"), ("c", "xx")]
+    words = perplexity_rules.fit_words(spark.createDataFrame(rows, "text string, lang string")).value
+    key = perplexity_rules.language_key
+    _, word, _, _ = perplexity_rules.word_keys([b"a b c"], [key("en")])
+    assert words.elsewhere(word, np.full(3, key("en"))).tolist() == [0.0, 1.0, 0.0]  # "c" is in one text only of each language
+    _, word, _, _ = perplexity_rules.word_keys([b"a b c"], [key("de")])
+    assert words.elsewhere(word, np.full(3, key("de"))).tolist() == pytest.approx([2 / 3, 2 / 3, 0.0])
+
+
 def test_word_order_counts(spark):
     import random
 
