@@ -8,6 +8,8 @@ narrow margin is reported as a rejection.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 import regex
 import zstandard
@@ -57,14 +59,23 @@ def fit_dictionaries(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc
     """Raw-content dictionaries of all languages that label a text with letters in ``docs``, the commonest first.
 
     Of each language the SAMPLE_DOCS rows with the smallest id hashes are sampled (ties by id, then by text hash; equal
-    rows count once): their ids are found first, each task keeping so many at most, then their texts are read and
-    reduced where they are. Null labels and texts teach nothing; nor does a language whose sampled texts hold no letter.
+    rows count once): counts by language and by the number of a hash's leading zeros tell below which power of two they
+    all lie, so only some SAMPLE_DOCS to twice as many ids of a language are sorted, however many it has; then their
+    texts are read and reduced where they are. Null labels and texts teach nothing; nor does a language whose sampled texts hold no letter.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("digest", F.xxhash64("text"))
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    # hashes are ordered as signed numbers: with the sign turned, the smaller ones have more leading zeros
+    zeros = 64 - F.length(F.bin(F.xxhash64("id").bitwiseXOR(F.lit(-1 << 63))))
+    known = known.withColumn("zeros", zeros)
+    counts: dict[str, Counter[int]] = {}
+    for lang, z, n in known.groupBy("lang", "zeros").count().collect():
+        counts.setdefault(lang, Counter())[z] = n
+    langs = sorted(counts, key=lambda x: (-counts[x].total(), x))
+    least = [(x, max((z for z in c if sum(n for y, n in c.items() if y >= z) >= SAMPLE_DOCS), default=0)) for x, c in counts.items()]
+    near = known.join(F.broadcast(docs.sparkSession.createDataFrame(least, "lang string, least int")), "lang").where("zeros >= least")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest")
-    wanted = known.select("id", "lang", "digest").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS).distinct()
+    wanted = near.select("id", "lang", "digest").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS).distinct()
 
     def reduced(batches):
         in_worker("language_id")
