@@ -49,8 +49,8 @@ def token_count(text: Column) -> Column:
 
 def windows(t: Column, n: int) -> Column:
     """64-bit hashes of the distinct windows of ``n`` tokens, of all tokens if there are fewer; none without tokens."""
-    cut = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))
-    return F.when(F.size(t) >= n, F.array_distinct(cut)).when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(F.array().cast("array<bigint>"))
+    bound = F.transform(F.array(t), lambda t: F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " "))))).when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(F.array().cast("array<bigint>")))
+    return F.get(bound, F.lit(0))  # tokens are the variable of a lambda, so no projection that is merged into this one computes them again for each window
 
 
 def sentences(text: Column) -> Column:

@@ -51,8 +51,8 @@ def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages' before they are counted.
     """
     cut = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("t")).select(key, T.windows(F.col("t"), WINDOW).alias("g"))
-    passages = cut(questions(spark, sf_dir), "query_id").withColumn("n", F.size("g")).select("query_id", "n", F.explode("g").alias("g"))
-    held = cut(corpus(spark, sf_dir), "doc_id").select("doc_id", F.explode("g").alias("g"))
+    passages = cut(questions(spark, sf_dir), "query_id").withColumn("n", F.size("g")).select("query_id", "n", F.explode_outer("g").alias("g")).where("g is not null")
+    held = cut(corpus(spark, sf_dir), "doc_id").select("doc_id", F.explode_outer("g").alias("g")).where("g is not null")  # unlike explode, it makes no filter that computes the windows at the scan
     hits = held.join(passages, "g").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= SHARE)
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return hits.join(good, "doc_id", "left").select("query_id", "doc_id", (1.0 + F.coalesce("quality", F.lit(0))).alias("grade"))
