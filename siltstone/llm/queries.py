@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, packing, perplexity_rules, quality_knn, secret_scan, site_style, token_counts, vector_dedup
+from . import byte_bpe, collocations, jaccard_join, language_id, packing, perplexity_rules, quality_knn, secret_scan, site_style, token_counts, topk_search, vector_dedup, word_runs
 from .common import table
 
 
@@ -70,9 +70,24 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 most associated phrases over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of them made periodic by their ids."""
+    return word_runs.digests(word_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector."""
+    return topk_search.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    own = (op1_site_style, op2_byte_bpe, op3_packing, op4_jaccard_join, op5_perplexity_rules, op6_token_counts, op7_quality_knn, op8_language_id, op9_secret_scan, op10_vector_dedup)
+    own = (op1_site_style, op2_byte_bpe, op3_packing, op4_jaccard_join, op5_perplexity_rules, op6_token_counts, op7_quality_knn, op8_language_id, op9_secret_scan, op10_vector_dedup, op11_collocations, op12_word_runs, op13_topk_search)
     return {f.__name__: f for f in own}
 
 
@@ -92,6 +107,20 @@ nodes AS (SELECT vec_id AS id FROM embeddings), {REACH_SQL}
 SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN (SELECT a, count(*) AS k FROM edges GROUP BY a) d ON d.a = vec_id"""
 
 
+COLLOCATION_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p), t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) x(k)), f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+inside AS (SELECT DISTINCT q.lang, q.f, array_to_string(string_split(q.phrase, ' ')[i:i + m - 1], ' ') AS phrase FROM f q, range(2, 5) y(m), range(1, 5) z(i) WHERE m < q.k AND i + m - 1 <= q.k),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND NOT EXISTS (FROM inside x WHERE x.lang = f.lang AND x.phrase = f.phrase AND x.f = f.f)),
+s AS (SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score, cut FROM c JOIN range(1, 5) x(cut) ON cut < c.k JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ') JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM b QUALIFY rank <= 2000"""
+
+TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the operator."""
-    return {"op4_jaccard_join": JACCARD_SQL, "op10_vector_dedup": VECTOR_SQL}
+    return {"op4_jaccard_join": JACCARD_SQL, "op10_vector_dedup": VECTOR_SQL, "op11_collocations": COLLOCATION_SQL, "op13_topk_search": TOPK_SQL}
