@@ -3,10 +3,11 @@
 Texts are cut into pieces at punctuation and line ends, pieces into words. Every word begins a suffix of at most
 ``LONGEST`` words of its piece. Two passes over the texts:
 
-1. All n-grams of one to ``LONGEST`` words are counted into 2**BITS hash buckets, a saturating count each. A bucket
-   below the least frequency holds no frequent n-gram, so a suffix is cut before the first n-gram that can't be
-   frequent. What is sent to all tasks is one bit a bucket (2 MB, at any input size). Once a corpus fills all
-   buckets nothing is cut any more and the second pass sends whole suffixes; results don't depend on it.
+1. All n-grams of one to ``LONGEST`` words are counted into hash buckets, a saturating count each. A bucket below
+   the least frequency holds no frequent n-gram, so a suffix is cut before the first n-gram that can't be frequent.
+   Buckets are as many as the texts' bytes ask for, at most 2**MOST_BITS; one bit of each (16 MB at most) is sent to
+   all tasks. A corpus far beyond 4 GB of text fills them, so ever less is cut there and the second pass sends
+   longer suffixes; results don't depend on it.
 2. The cut suffixes, counted within each task, are dealt by language and first word. Where one first word has more
    than 1/``HOT_PARTS`` of the rows, its suffixes are dealt by two words, and so on; a prefix that is dealt to
    several tasks gets a part of its count in each, and parts are summed.
@@ -29,8 +30,8 @@ from .common import BASE, BYTE_VALUES, U, materialize, mixed, powers, slices, te
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Buckets (a power of two) of the n-gram counts, buckets of a row, largest count of a bucket in a task.
-BITS, BLOCK, FULL = 24, 1 << 12, 255
+#: Buckets of the n-gram counts: powers of two, bytes of text for each; buckets of a row, largest count in a task.
+LEAST_BITS, MOST_BITS, BYTES, BLOCK, FULL = 16, 27, 32, 1 << 12, 255
 #: n-grams that are gathered before they are added to the buckets; suffixes that a task holds before it gives them out.
 GATHERED, HELD = 1 << 22, 300_000
 #: A prefix with more than this share of the rows is dealt by one word more.
@@ -76,8 +77,8 @@ class Words:
             yield h, inside
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - BITS)).astype(np.int32)
+def bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U(64 - bits)).astype(np.int32)
 
 
 def texts_of(piece: pa.RecordBatch) -> tuple[list[str], Words]:
@@ -86,50 +87,45 @@ def texts_of(piece: pa.RecordBatch) -> tuple[list[str], Words]:
     return langs, Words(texts, [xxhash.xxh64_intdigest(x) for x in langs])
 
 
-def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(block, at, n): a task's counts of buckets, by blocks; ``at`` is null where the block's counts are all given."""
-    counts: np.ndarray | None = None
+    counts = np.zeros(1 << bits, np.uint8)
     held: list[np.ndarray] = []
-    size = 0
 
-    def add() -> np.ndarray:
-        new = np.bincount(np.concatenate(held), minlength=1 << BITS)
-        if counts is not None:
-            new += counts
-        return np.minimum(new, FULL, out=new).astype(np.uint8)
+    def add() -> None:
+        new = np.concatenate(held)
+        new.sort()
+        first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+        at = new[first]
+        counts[at] = np.minimum(counts[at] + np.diff(first, append=len(new)), FULL)
+        held.clear()
 
     for piece in slices(batches, ROWS):
-        for h, inside in texts_of(piece)[1].grams():
-            held.append(bucket(h[inside]))
-            size += len(held[-1])
-        if size >= GATHERED:
-            counts, held, size = add(), [], 0
-    if counts is None:
-        at, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int32), return_counts=True)
-        n = np.minimum(n, FULL).astype(np.uint8)
-    else:
-        counts = add() if held else counts
-        at = np.flatnonzero(counts)
-        n = counts[at]
-    cuts = np.searchsorted(at, np.arange(0, (1 << BITS) + 1, BLOCK))
-    full = np.flatnonzero(np.diff(cuts))
+        held += [bucket(h[inside], bits) for h, inside in texts_of(piece)[1].grams()]
+        if sum(map(len, held)) >= GATHERED:
+            add()
+    if sum(map(len, held)):
+        add()
+    blocks = counts.reshape(-1, BLOCK)
+    full = np.concatenate([np.flatnonzero(b.any(1)) + i for i, b in ((i, blocks[i : i + 1024]) for i in range(0, len(blocks), 1024))])
     for some in np.array_split(full, max(1, len(full) // 512)):
         ats, ns = [], []
         for b in some:
-            place, many = (at[cuts[b] : cuts[b + 1]] - b * BLOCK).astype(np.uint16), n[cuts[b] : cuts[b + 1]]
-            if 3 * len(place) < BLOCK:
-                ats.append(place.tobytes())
-                ns.append(many.tobytes())
-            else:
-                every = np.zeros(BLOCK, np.uint8)
-                every[place] = many
-                ats.append(None)
-                ns.append(every.tobytes())
+            at = np.flatnonzero(blocks[b])
+            few = 3 * len(at) < BLOCK
+            ats.append(at.astype(np.uint16).tobytes() if few else None)
+            ns.append((blocks[b][at] if few else blocks[b]).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(ats, pa.binary()), pa.array(ns, pa.binary())], names=["block", "at", "n"])
 
 
+def bucket_bits(size: int) -> int:
+    """The power of two of the buckets for so many bytes of text."""
+    return min(MOST_BITS, max(LEAST_BITS, (size // BYTES).bit_length()))
+
+
 def frequent_buckets(rows: DataFrame, least: int) -> bytes:
     """One bit a bucket: do its n-grams occur ``least`` times together, or as often as a task counts?"""
+    bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def run(batches):
         counts: dict[int, np.ndarray] = {}
@@ -145,16 +141,17 @@ def frequent_buckets(rows: DataFrame, least: int) -> bytes:
         blocks = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([np.packbits(counts[b] >= min(least, FULL)).tobytes() for b in blocks], pa.binary())], names=["block", "bits"])
 
-    counted = rows.mapInArrow(tidy(sketch_rows), "block int, at binary, n binary").repartition("block").mapInArrow(tidy(run), "block int, bits binary")
-    bits = bytearray((1 << BITS) // 8)
-    for r in counted.collect():  # at most 4096 rows of 512 bytes
-        bits[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = r.bits
-    return bytes(bits)
+    counted = rows.mapInArrow(tidy(lambda b: sketch_rows(b, bits)), "block int, at binary, n binary").repartition("block").mapInArrow(tidy(run), "block int, bits binary")
+    out = bytearray((1 << bits) // 8)
+    for r in counted.collect():  # at most 32,768 rows of 512 bytes
+        out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = r.bits
+    return bytes(out)
 
 
-def suffix_rows(rows: DataFrame, bits: bytes) -> DataFrame:
+def suffix_rows(rows: DataFrame, frequent: bytes) -> DataFrame:
     """(lang, s, c): cut suffixes, each word followed by a space, with their counts within a task; an empty ``s`` counts all words."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    bits = (8 * len(frequent)).bit_length() - 1
 
     def given(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
         for lang, own in held.items():
@@ -164,7 +161,7 @@ def suffix_rows(rows: DataFrame, bits: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array([own[k] for k in some], pa.int64())], names=["lang", "s", "c"])
 
     def run(batches):
-        open_ = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        packed = np.frombuffer(shared.value, np.uint8)
         held: dict[str, dict[bytes, int]] = {}
         total: dict[str, int] = {}
         size = 0
@@ -176,7 +173,8 @@ def suffix_rows(rows: DataFrame, bits: bytes) -> DataFrame:
             alive = np.ones(len(w.word), bool)
             for h, inside in w.grams():
                 alive = alive & inside
-                alive[alive] = open_[bucket(h[alive])]
+                at = bucket(h[alive], bits)
+                alive[alive] = packed[at >> 3] << (at & 7).astype(np.uint8) & 0x80
                 key[alive] = h[alive]
                 length += alive
             at = np.flatnonzero(length)
