@@ -3,12 +3,11 @@
 Texts are cut into pieces at punctuation and line ends, pieces into words. Every word begins a suffix of at most
 ``LONGEST`` words of its piece. Two passes over the texts:
 
-1. All n-grams of one to ``LONGEST`` words are counted into hash buckets, a saturating count each. A bucket below
+1. All n-grams of one to ``SHORT`` words are counted into hash buckets, a saturating count each. A bucket below
    the least frequency holds no frequent n-gram, so a suffix is cut before the first n-gram that can't be frequent.
-   Buckets are as many as the texts' bytes ask for, at most 2**MOST_BITS; one bit of each (16 MB at most) is sent to
-   all tasks. A corpus far beyond 4 GB of text fills them, so ever less is cut there and the second pass sends
-   longer suffixes; results don't depend on it.
-2. The cut suffixes, counted within each task, are dealt by language and first word. Where one first word has more
+   One bit of each bucket (2 MB, at any input size) is sent to all tasks. A corpus of many GB of text fills the
+   buckets, so ever less is cut there and the second pass sends longer suffixes; results don't depend on it.
+2. The cut suffixes, counted first, are dealt by language and first word. Where one first word has more
    than 1/``HOT_PARTS`` of the rows, its suffixes are dealt by two words, and so on; a prefix that is dealt to
    several tasks gets a part of its count in each, and parts are summed.
 
@@ -19,6 +18,7 @@ is complete when it is popped. Frequent phrases are then joined to their parts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import BASE, BYTE_VALUES, U, materialize, mixed, powers, slices, temporary, tidy
 
-#: Words of the longest phrase.
-LONGEST = 5
-#: Buckets of the n-gram counts: powers of two, bytes of text for each; buckets of a row, largest count in a task.
-LEAST_BITS, MOST_BITS, BYTES, BLOCK, FULL = 16, 27, 32, 1 << 12, 255
-#: n-grams that are gathered before they are added to the buckets; suffixes that a task holds before it gives them out.
-GATHERED, HELD = 1 << 22, 300_000
+#: Words of the longest phrase, of the longest n-gram that is counted into buckets.
+LONGEST, SHORT = 5, 3
+#: Buckets (a power of two) of the n-gram counts, buckets of a row, largest count of a bucket in a task.
+BITS, BLOCK, FULL = 24, 1 << 12, 255
+#: n-grams that are gathered before they are added to the buckets.
+GATHERED = 1 << 22
 #: A prefix with more than this share of the rows is dealt by one word more.
 HOT_PARTS = 500
 #: Rows turned into words at once.
-ROWS = 512
+ROWS = 1024
 
 TABLE = bytes(0x0A if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 0x09 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -77,8 +77,8 @@ class Words:
             yield h, inside
 
 
-def bucket(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> U(64 - bits)).astype(np.int32)
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - BITS)).astype(np.int32)
 
 
 def texts_of(piece: pa.RecordBatch) -> tuple[list[str], Words]:
@@ -87,9 +87,9 @@ def texts_of(piece: pa.RecordBatch) -> tuple[list[str], Words]:
     return langs, Words(texts, [xxhash.xxh64_intdigest(x) for x in langs])
 
 
-def sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, at, n): a task's counts of buckets, by blocks; ``at`` is null where the block's counts are all given."""
-    counts = np.zeros(1 << bits, np.uint8)
+    counts = np.zeros(1 << BITS, np.uint8)
     held: list[np.ndarray] = []
 
     def add() -> None:
@@ -101,7 +101,7 @@ def sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
         held.clear()
 
     for piece in slices(batches, ROWS):
-        held += [bucket(h[inside], bits) for h, inside in texts_of(piece)[1].grams()]
+        held += [bucket(h[inside]) for h, inside in islice(texts_of(piece)[1].grams(), SHORT)]
         if sum(map(len, held)) >= GATHERED:
             add()
     if sum(map(len, held)):
@@ -118,14 +118,8 @@ def sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(ats, pa.binary()), pa.array(ns, pa.binary())], names=["block", "at", "n"])
 
 
-def bucket_bits(size: int) -> int:
-    """The power of two of the buckets for so many bytes of text."""
-    return min(MOST_BITS, max(LEAST_BITS, (size // BYTES).bit_length()))
-
-
 def frequent_buckets(rows: DataFrame, least: int) -> bytes:
     """One bit a bucket: do its n-grams occur ``least`` times together, or as often as a task counts?"""
-    bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def run(batches):
         counts: dict[int, np.ndarray] = {}
@@ -141,61 +135,50 @@ def frequent_buckets(rows: DataFrame, least: int) -> bytes:
         blocks = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([np.packbits(counts[b] >= min(least, FULL)).tobytes() for b in blocks], pa.binary())], names=["block", "bits"])
 
-    counted = rows.mapInArrow(tidy(lambda b: sketch_rows(b, bits)), "block int, at binary, n binary").repartition("block").mapInArrow(tidy(run), "block int, bits binary")
-    out = bytearray((1 << bits) // 8)
-    for r in counted.collect():  # at most 32,768 rows of 512 bytes
+    counted = rows.mapInArrow(tidy(sketch_rows), "block int, at binary, n binary").repartition("block").mapInArrow(tidy(run), "block int, bits binary")
+    out = bytearray((1 << BITS) // 8)
+    for r in counted.collect():  # at most 4096 rows of 512 bytes
         out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = r.bits
     return bytes(out)
 
 
 def suffix_rows(rows: DataFrame, frequent: bytes) -> DataFrame:
-    """(lang, s, c): cut suffixes, each word followed by a space, with their counts within a task; an empty ``s`` counts all words."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
-    bits = (8 * len(frequent)).bit_length() - 1
+    """(lang, s, c): cut suffixes, each word followed by a space, with their counts; an empty ``s`` counts all words.
 
-    def given(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        for lang, own in held.items():
-            keys = list(own)
-            for i in range(0, len(keys), 20_000):
-                some = keys[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array([own[k] for k in some], pa.int64())], names=["lang", "s", "c"])
+    Tasks count within a batch, Spark within a task before it shuffles and then over all tasks.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         packed = np.frombuffer(shared.value, np.uint8)
-        held: dict[str, dict[bytes, int]] = {}
-        total: dict[str, int] = {}
-        size = 0
         for piece in slices(batches, ROWS):
             langs, w = texts_of(piece)
-            for lang, n in zip(langs, w.counts.tolist(), strict=True):
-                total[lang] = total.get(lang, 0) + n
             key, length = np.zeros(len(w.word), U), np.zeros(len(w.word), np.int64)
-            alive = np.ones(len(w.word), bool)
-            for h, inside in w.grams():
+            alive = short = np.ones(len(w.word), bool)
+            for k, (h, inside) in enumerate(w.grams()):
                 alive = alive & inside
-                at = bucket(h[alive], bits)
-                alive[alive] = packed[at >> 3] << (at & 7).astype(np.uint8) & 0x80
+                if k < SHORT:
+                    at = bucket(h[alive])
+                    alive[alive] = packed[at >> 3] << (at & 7).astype(np.uint8) & 0x80
+                else:  # the n-gram of its last words must be frequent too
+                    alive &= np.append(short[k - SHORT + 1 :], np.zeros(k - SHORT + 1, bool))[: len(alive)]
+                short = alive if k == SHORT - 1 else short
                 key[alive] = h[alive]
                 length += alive
             at = np.flatnonzero(length)
             _, first, n = np.unique(key[at], return_index=True, return_counts=True)
             at = at[first]
             last = at + length[at] - 1
-            odd = np.concatenate([[0], np.cumsum(w.start[1:] - w.end[:-1] != 1)]) if len(at) else at
-            for lang, a, b, c, irregular in zip(w.doc[at].tolist(), w.start[at].tolist(), w.end[last].tolist(), n.tolist(), (odd[last] != odd[at]).tolist(), strict=True):
-                s = w.data[a:b] + b" "
-                if irregular:
-                    s = b" ".join(filter(None, s.split(b" "))) + b" "
-                own = held.setdefault(langs[lang], {})
-                own[s] = own.get(s, 0) + c
-            size = sum(map(len, held.values()))
-            if size >= HELD:
-                yield from given(held)
-                held = {}
-        yield from given(held)
-        yield from given({lang: {b"": n} for lang, n in total.items()})
-
-    return rows.mapInArrow(tidy(run), "lang string, s binary, c bigint")
+            suffixes = [w.data[a:b] + b" " for a, b in zip(w.start[at].tolist(), w.end[last].tolist(), strict=True)]
+            if len(at):
+                odd = np.concatenate([[0], np.cumsum(w.start[1:] - w.end[:-1] != 1)])
+                for i in np.flatnonzero(odd[last] != odd[at]).tolist():  # more than a space between words
+                    suffixes[i] = b" ".join(filter(None, suffixes[i].split(b" "))) + b" "
+            lang = pa.DictionaryArray.from_arrays(np.concatenate([w.doc[at], np.arange(len(langs))]).astype(np.int32), pa.array(langs, pa.string())).dictionary_decode()
+            counts = np.concatenate([n, w.counts])
+            yield pa.RecordBatch.from_arrays([lang, pa.array(suffixes + [b""] * len(langs), pa.binary()), pa.array(counts, pa.int64())], names=["lang", "s", "c"])
+
+    return rows.mapInArrow(tidy(run), "lang string, s binary, c bigint").groupBy("lang", "s").agg(F.sum("c").alias("c"))
 
 
 def prefix(k: int) -> Column:

@@ -72,7 +72,7 @@ def test_collocations_when_prefixes_are_hot(spark, monkeypatch):
     rng = random.Random(5)
     docs = [(f"the very same w{rng.randrange(40)} w{rng.randrange(40)}. the x{rng.randrange(9)} y", "en") for _ in range(1500)]
     df = spark.createDataFrame(docs, "text string, lang string").repartition(6)
-    bits = b"\xff" * (1 << 13)  # nothing is cut
+    bits = b"\xff" * (1 << 21)  # nothing is cut
     hot = collocations.hot_prefixes(collocations.suffix_rows(df.selectExpr("lang", "cast(text as binary) text"), bits).where("s <> X''"))
     assert len(hot) > 2 and hot[1]
     assert phrase_rows(collocations.collocations(df, 4, 2000)) == plain_collocations(docs, 4, 2000)
@@ -82,7 +82,7 @@ def test_collocations_when_all_buckets_are_full(spark, monkeypatch):
     """The buckets only save work."""
     docs = made_texts(9, 80)
     df = spark.createDataFrame(docs, "text string, lang string")
-    monkeypatch.setattr(collocations, "frequent_buckets", lambda rows, least: b"\xff" * (1 << 13))
+    monkeypatch.setattr(collocations, "frequent_buckets", lambda rows, least: b"\xff" * (1 << 21))
     assert phrase_rows(collocations.collocations(df, 3)) == plain_collocations(docs, 3, 2000)
 
 
@@ -95,7 +95,7 @@ def test_bucket_counts_of_large_tasks(spark, monkeypatch):
         monkeypatch.setattr(collocations, name, value)
     batch = rows.toArrow().combine_chunks().to_batches()[0]
     steps = np.zeros(8 * len(once), np.int64)
-    for out in collocations.sketch_rows(iter([batch]), 16):
+    for out in collocations.sketch_rows(iter([batch])):
         for block, at, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
             place = np.arange(collocations.BLOCK) if at is None else np.frombuffer(at, np.uint16).astype(np.int64)
             steps[block * collocations.BLOCK + place] += np.frombuffer(n, np.uint8)
