@@ -73,8 +73,9 @@ def split_recursively(text: str, config: ChunkConfig, depth: int = 0) -> list[st
     size = config.chunk_size
     if len(text.split()) <= size:
         return [text] if text.strip() else []
-    if depth == len(SEPARATORS):
-        return [" ".join(text.split()[:size])]
+    if depth == len(SEPARATORS):  # words parted by other white space than the separators
+        w = text.split()
+        return [" ".join(w[i : i + size]) for i in range(0, len(w), size)]
     sep = SEPARATORS[depth]
     parts = text.split(sep) if sep else [text[: len(text) // 2], text[len(text) // 2 :]]
     return merge_short([p for run in packed(parts, sep, size) for p in split_recursively(run, config, depth + 1)], config)

@@ -1,4 +1,4 @@
-"""File sources: whole folders of text, Markdown, HTML, DOCX and page-text files as document frames.
+"""File sources: whole folders of text, Markdown, HTML, DOCX and PDF files as document frames.
 
 Files are read by Spark's binary source, so any store works; routing goes by extension and priority. Errors are
 a column, never an exception: a bad file doesn't stop the rest.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import pdf_layout
 
 # --- fixed values: extensions, priorities, limits ---------------------------------------------------------------
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -64,15 +65,17 @@ def docx_rows(content: pd.Series) -> pd.DataFrame:
 
 
 def pdf_documents(pages: DataFrame) -> DataFrame:
-    """Documents (source, text, page_count, n_scanned, error) from page texts (source, page_no, text).
+    """Documents (source, text, tables, page_count, n_scanned, error) from pages (source, page_no, text; tables and error if there are any).
 
     Pages under a least length count as scanned; a document of scanned pages alone has an empty text and an error.
     """
-    cleaned = pages.select("source", "page_no", T.clean_pdf(F.col("text")).alias("text"))
+    given = lambda name, kind: F.col(name) if name in pages.columns else F.lit(None).cast(kind)
+    cleaned = pages.select("source", "page_no", T.clean_pdf(F.col("text")).alias("text"), given("tables", "array<array<array<string>>>").alias("tables"), given("error", "string").alias("failed"))
     scanned = F.length(F.trim("text")) < MIN_PAGE_CHARS
     parts = F.array_sort(F.collect_list(F.when(~scanned, F.struct("page_no", "text"))))
-    docs = cleaned.groupBy("source").agg(F.array_join(parts["text"], "\n\n").alias("text"), F.count("*").alias("page_count"), F.sum(scanned.cast("int")).alias("n_scanned"))
-    return docs.withColumn("error", F.when(F.col("page_count") == F.col("n_scanned"), F.lit("all pages are scanned")))
+    tables = F.flatten(F.array_sort(F.collect_list(F.when(F.size("tables") > 0, F.struct("page_no", "tables"))))["tables"])
+    docs = cleaned.groupBy("source").agg(F.array_join(parts["text"], "\n\n").alias("text"), tables.alias("tables"), F.count("*").alias("page_count"), F.sum(scanned.cast("int")).alias("n_scanned"), F.max("failed").alias("failed"))
+    return docs.withColumn("error", F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("page_count") == F.col("n_scanned"), F.lit("all pages are scanned"))).drop("failed")
 
 
 @dataclass(frozen=True)
@@ -94,13 +97,14 @@ def _docx(df: DataFrame) -> DataFrame:
     return df.withColumn("_d", parse_docx(F.col("content"))).withColumn("text", F.col("_d.text")).withColumn("tables", F.col("_d.tables")).withColumn("error", F.col("_d.error")).drop("_d")
 
 
-def _no_pdf(df: DataFrame) -> DataFrame:
-    return _plain(lambda c: c)(df).withColumn("text", F.lit(None).cast("string")).withColumn("error", F.lit("no PDF parser is installed; give page texts to pdf_documents"))
+def _pdf(df: DataFrame) -> DataFrame:
+    """Files are read page by page; a file's pages, of at most MAX_FILE_BYTES, meet again in one row."""
+    return pdf_documents(pdf_layout.read_pages(df)).withColumnRenamed("source", "path").withColumn("loader", F.lit("pdf"))
 
 
 def standard_loaders() -> list[Loader]:
     """The built-in formats."""
-    parse = {"pdf": _no_pdf, "docx": _docx, "html": _plain(T.html_text), "markdown": _plain(T.strip_markdown), "text": _plain(lambda c: c)}
+    parse = {"pdf": _pdf, "docx": _docx, "html": _plain(T.html_text), "markdown": _plain(T.strip_markdown), "text": _plain(lambda c: c)}
     return [Loader(n, tuple(e), p, parse[n]) for n, (p, e) in EXTENSIONS.items()]
 
 

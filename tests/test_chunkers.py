@@ -63,3 +63,15 @@ def test_overlap_hands_on_last_words():
     got = chunkers.merge_short(["a b c", "d e f"], ChunkConfig(chunk_size=9, chunk_overlap=2, min_chunk_size=1))
     assert got == ["a b c", "b c d e f"]
     assert chunkers.merge_short(["a", "b c"], ChunkConfig(min_chunk_size=2)) == ["a b c"]
+
+
+@pytest.mark.parametrize("gap", ["\t", " ", "\t\t\x0b"])
+def test_recursive_keeps_words_of_any_white_space(spark, gap):
+    """No word is lost where the text has none of the separators."""
+    words = [f"w{i}" for i in range(1000)]
+    docs = spark.createDataFrame([(1, gap.join(words)), (2, " ".join(words[:300]) + "\n\n" + gap.join(words[300:]))], "doc_id long, text string")
+    config = chunkers.ChunkConfig(chunk_size=100, chunk_overlap=0, min_chunk_size=1)
+    rows = chunkers.recursive(docs, config).orderBy("doc_id", "chunk_index").collect()
+    for doc in (1, 2):
+        held = [w for r in rows if r.doc_id == doc for w in r.text.split()]
+        assert sorted(held) == sorted(words) and all(r.token_count <= 100 for r in rows)
