@@ -79,8 +79,11 @@ def ranked(scored: DataFrame, k: int, digits: int = 9, score: str = "score") ->
 def topk(docs: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(), pad: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank). With ``pad``, documents without a query term fill up to k with score 0, by id."""
     found = ranked(scores(docs, queries, config), k)
-    if not pad:
-        return found
+    return padded(found, docs, queries, k) if pad else found
+
+
+def padded(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """A ranking filled up to ``k`` with documents of score 0, by id."""
     first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)  # zero scores among the first ids suffice
     have = found.groupBy("query_id").agg(F.collect_set("doc_id").alias("have"), F.count("*").alias("n"))
     short = queries.select("query_id").join(have, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)

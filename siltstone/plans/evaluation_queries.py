@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import attacks, bm25, dense, evaluate, report
+from ..operators import attacks, dense, evaluate, report
+from .indexes import corpus_index
 from .registry import query, table
 from .retrieval_queries import BM25_SQL, DENSE_SQL, HASHED_SQL, Q_SQL, corpus, hashed_arm, probes, questions, rounded, vectors
 from .text_queries import TOKENS_SQL
@@ -126,7 +127,7 @@ _GRADED = f"WITH {Q_SQL}, {BM25_SQL}, run AS (SELECT * FROM bm WHERE rank <= 10)
 
 def graded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
-    return evaluate.per_query(bm25.topk(corpus(spark, sf_dir), q, 10).select("query_id", "doc_id", "rank"), known_items(spark, sf_dir), q.select("query_id"))
+    return evaluate.per_query(corpus_index(spark, sf_dir).topk(q, 10).select("query_id", "doc_id", "rank"), known_items(spark, sf_dir), q.select("query_id"))
 
 
 @query(f"{_GRADED} SELECT query_id, {_columns(METRICS)} FROM m")
@@ -140,10 +141,10 @@ _MODES = f"WITH {Q_SQL}, {BM25_SQL}, {HASHED_SQL}, {KNOWN_SQL}, modes AS (SELECT
 
 def mode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metrics of two modes, one row each."""
-    d, q = corpus(spark, sf_dir), questions(spark, sf_dir)
+    q = questions(spark, sf_dir)
     qrels = known_items(spark, sf_dir)
     out = None
-    for mode, run in (("sparse", bm25.topk(d, q, 10)), ("dense", hashed_arm(d, q, 10))):
+    for mode, run in (("sparse", corpus_index(spark, sf_dir).topk(q, 10)), ("dense", hashed_arm(spark, sf_dir, q, 10))):
         one = evaluate.aggregate(evaluate.per_query(run.select("query_id", "doc_id", "rank"), qrels, q.select("query_id"))).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out
@@ -298,7 +299,7 @@ def robustness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval of all clean and attacked queries in one plan, compared by attack."""
     variants = attacks.attacked(robust_questions(spark, sf_dir), NAMES)
     keyed = variants.select(F.concat_ws(":", F.col("query_id").cast("string"), "attack").alias("query_id"), F.col("query_id").alias("qid"), "attack", "text")
-    run = bm25.topk(corpus(spark, sf_dir), keyed.select("query_id", "text"), 10).select("query_id", "doc_id", "rank")
+    run = corpus_index(spark, sf_dir).topk(keyed.select("query_id", "text"), 10).select("query_id", "doc_id", "rank")
     named = keyed.select("query_id", "qid", "attack")
     qrels = named.join(known_items(spark, sf_dir).withColumnRenamed("query_id", "qid"), "qid").select("query_id", "doc_id", "grade")
     scores = evaluate.per_query(run, qrels, named.select("query_id")).join(named, "query_id").select("attack", F.col("ndcg_at_10").alias("ndcg"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import bm25, dense, fusion, rerank
+from ..operators import agent, bm25, dense, fusion, rerank
+from ..operators.postings import PostingIndex
+from ..session import forget_at_end, shared_dir
+from .indexes import corpus_index
 from .registry import query, table
 from .text_queries import TOKENS_SQL
 
@@ -70,7 +75,29 @@ def bm25_corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q_SQL}, {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents of every benchmark passage."""
-    return ranking(bm25.topk(corpus(spark, sf_dir), questions(spark, sf_dir), K))
+    return ranking(corpus_index(spark, sf_dir).topk(questions(spark, sf_dir), K))
+
+
+@query(f"WITH t AS ({TERMS_SQL}) SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM t GROUP BY term")
+def stored_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms and document frequencies of the stored index, which the first query of a session builds."""
+    return corpus_index(spark, sf_dir).frequencies()
+
+
+@query(f"WITH {Q_SQL}, {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+def bm25_after_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents by an index of other texts, brought to those of the table by change sets.
+
+    At first every document holds another text or is one that is gone later; two change sets and a merge make it the
+    index of the table, whose rows it must give.
+    """
+    docs = corpus(spark, sf_dir)
+    path = f"{shared_dir(spark)}/upkeep-{uuid.uuid4().hex}"
+    forget_at_end(spark, path)
+    other = docs.select(F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 3 == 1, F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    index = PostingIndex(spark, path).build(other)
+    index.apply(docs.where("doc_id % 3 = 1"), other.where("doc_id < 0 and doc_id % 2 = 0").select("doc_id"))
+    return ranking(index.sync(docs).topk(questions(spark, sf_dir), K))
 
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'zzqx unknownword' ELSE text END AS text FROM benchmark), {BM25_SQL}, a AS (SELECT q.query_id, d.doc_id, coalesce(b.score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN bm b ON b.query_id = q.query_id AND b.doc_id = d.doc_id),
@@ -78,7 +105,8 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 def bm25_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten documents for every query, also where none holds its terms: zero scores fill up by id."""
     unknown = F.when(F.col("query_id") % 3 == 0, F.lit("zzqx unknownword")).otherwise(F.col("text"))
-    return ranking(bm25.topk(corpus(spark, sf_dir), questions(spark, sf_dir).withColumn("text", unknown), K, pad=True))
+    asked = questions(spark, sf_dir).withColumn("text", unknown)
+    return ranking(bm25.padded(corpus_index(spark, sf_dir).topk(asked, K), corpus(spark, sf_dir), asked, K))
 
 
 @query(f"SELECT vec_id, round({NORM_SQL}, 6) AS norm, round(v[1] / {NORM_SQL}, 6) AS first, round(v[64] / {NORM_SQL}, 6) AS last FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
@@ -119,10 +147,10 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking(dense.ivf_topk(vectors(spark, sf_dir), probes(spark, sf_dir), label_centres(spark, sf_dir), K, PROBES, exclude_self=True))
 
 
-def hashed_arm(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Dense arm over texts: cosines of the offline provider's vectors of documents and queries, exactly."""
-    q = queries.select(F.col("query_id").alias("doc_id"), "text")
-    return dense.exact_topk(dense.hashed_vectors(docs), dense.hashed_vectors(q).withColumnRenamed("doc_id", "query_id"), k)
+def hashed_arm(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
+    """Dense arm over texts: cosines of the offline provider's vectors, stored for documents, with those of queries, exactly."""
+    q = dense.hashed_vectors(queries.select(F.col("query_id").alias("doc_id"), "text"))
+    return dense.exact_topk(corpus_index(spark, sf_dir).vectors(), q.withColumnRenamed("doc_id", "query_id"), k)
 
 
 _BUCKETS = "SELECT {key}, b, count(*)::DOUBLE AS n FROM (SELECT {key}, ('0x' || substring(sha256(term), 1, 4))::INT % 64 AS b FROM (SELECT {key}, unnest({tokens}) AS term FROM {relation})) GROUP BY ALL"
@@ -136,9 +164,8 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 
 
 def hybrid(spark: SparkSession, sf_dir: str, faithful: bool = False) -> DataFrame:
-    d, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    n = fusion.fetch_size(K)
-    return fusion.rrf(bm25.topk(d, q, n), hashed_arm(d, q, n), K, faithful=faithful)
+    q, n = questions(spark, sf_dir), fusion.fetch_size(K)
+    return fusion.rrf(corpus_index(spark, sf_dir).topk(q, n), hashed_arm(spark, sf_dir, q, n), K, faithful=faithful)
 
 
 @query(f"{RRF_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM h WHERE rank <= 10")
@@ -154,10 +181,35 @@ def rrf_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir, faithful=True).select("query_id", "doc_id", big("rank"), big("sparse_rank"), big("dense_rank"))
 
 
+_PAIRED = "paired AS (SELECT item_id AS query_id, 'compare ' || text || ' versus ' || lead(text, 1, '') OVER (ORDER BY item_id) AS text FROM benchmark)"
+_CUT = r"list_filter(list_transform(regexp_split_to_array(text, '(?i)\s+(?:and|versus|vs)\s+'), lambda x: trim(x)), lambda x: x <> '')"
+_PARTS = f"""{_PAIRED}, cut AS (SELECT query_id, text, {_CUT} AS c FROM paired), parts AS (SELECT query_id AS whole, 0 AS part, text FROM cut UNION ALL SELECT query_id, unnest(range(1, len(c) + 1)), unnest(c) FROM cut WHERE len(c) > 1), q AS (SELECT whole || ':' || part AS query_id, text FROM parts)"""
+FAN_SQL = f"""{RRF_SQL.replace(Q_SQL, _PARTS, 1)}, r AS (SELECT split_part(query_id, ':', 1)::BIGINT AS whole, split_part(query_id, ':', 2)::INT AS part, doc_id, rank FROM h WHERE rank <= 20),
+u AS (SELECT whole AS query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(rank) AS best, count(*) AS n_parts, string_agg(part || ':' || rank, ',' ORDER BY part) AS parts FROM r GROUP BY ALL)"""
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of each passage with the next: queries that are cut into parts."""
+    q = questions(spark, sf_dir)
+    following = F.lead("text", 1, "").over(Window.orderBy("query_id"))  # the passages are few
+    return q.select("query_id", F.concat(F.lit("compare "), F.col("text"), F.lit(" versus "), following).alias("text"))
+
+
+@query(f"{FAN_SQL} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best, doc_id) AS rank, n_parts, parts FROM u QUALIFY rank <= 10")
+def sub_query_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of comparisons by hybrid retrieval of the whole query and of its parts, fused again."""
+    n = fusion.fetch_size(K)
+    arm = lambda q: fusion.rrf(corpus_index(spark, sf_dir).topk(q, n), hashed_arm(spark, sf_dir, q, n), n)
+    asked = compared(spark, sf_dir)
+    found = fusion.fan_out(asked.withColumn("sub_queries", agent.sub_queries(F.col("text"), agent.query_type(F.col("text")))), arm, K)
+    shown = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["part"], p["rank"])), ",")
+    return ranking(found).join(found.select("query_id", "doc_id", F.size("parts").cast("bigint").alias("n_parts"), shown.alias("parts")), ["query_id", "doc_id"])
+
+
 @query(f"WITH {Q_SQL}, {BM25_SQL}, {DENSE_SQL} SELECT 'sparse' AS mode, query_id, doc_id, rank FROM bm WHERE rank <= 5 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dn WHERE rank <= 5")
 def batch_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of all queries in two modes, five results each."""
-    sparse = fusion.retrieve("sparse", lambda k: bm25.topk(corpus(spark, sf_dir), questions(spark, sf_dir), k), lambda k: None, 5)
+    sparse = fusion.retrieve("sparse", lambda k: corpus_index(spark, sf_dir).topk(questions(spark, sf_dir), k), lambda k: None, 5)
     near = fusion.retrieve("dense", lambda k: None, lambda k: dense.exact_topk(vectors(spark, sf_dir), probes(spark, sf_dir), k, True), 5)
     part = lambda df, m: df.select(F.lit(m).alias("mode"), "query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
     return part(sparse, "sparse").unionByName(part(near, "dense"))
@@ -175,7 +227,7 @@ def doc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """(query_id, query, doc_id, text, score, rank) of the twenty best by BM25; texts are joined for them only."""
     d, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    best = bm25.topk(d, q, k)
+    best = corpus_index(spark, sf_dir).topk(q, k)
     return best.join(d, "doc_id").join(q.withColumnRenamed("text", "query"), "query_id")
 
 
