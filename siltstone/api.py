@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import agent, attacks, bm25, chunkers, corpus, embed, evaluate, fusion
+from .operators import agent, attacks, chunkers, corpus, dense, embed, evaluate, fusion
 from .operators.chunkers import ChunkConfig
+from .operators.postings import PostingIndex
 from .operators.registry import IndexRegistry
 from .sources import benchmarks, files
 
 # --- fixed values: bounds of requests and descriptions ----------------------------------------------------------
 CORPUS_ID = r"^[a-zA-Z0-9_\-]{3,128}$"
 BOUNDS = {"query": (1, 2048), "top_k": (1, 100), "rrf_k": (1, 200), "batch": (1, 50), "chunk_size": (64, 2048), "chunk_overlap": (0, 512), "list_limit": (1, 100), "chunk_limit": (1, 200)}
+MODEL = "all-MiniLM-L6-v2"
 MODES = {"sparse": "BM25 term matching", "dense": "cosine of vectors", "hybrid": "reciprocal rank fusion of both"}
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
@@ -40,7 +42,11 @@ def metrics(spark: SparkSession) -> DataFrame:
 
 
 class Workspace:
-    """Tables under one folder: corpora, and chunks partitioned by corpus. Writes are whole tables or whole partitions."""
+    """Tables under one folder: corpora, chunks partitioned by corpus, and an index of each corpus.
+
+    Writes are whole tables or whole partitions. Ingestion brings the index to the chunks by a change set; a corpus
+    without an index (written before there were any) gets one at its first retrieval.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path, self.indexes = spark, path.rstrip("/"), IndexRegistry()
@@ -100,6 +106,7 @@ class Workspace:
         made = made.withColumn("chunk_id", chunkers.chunk_key(F.col("doc_id"), F.col("strategy"), F.col("chunk_index"))).withColumn("embedding", F.lit(None).cast("array<double>"))
         keep = ["chunk_id", "doc_id", "chunk_index", "text", "token_count", "strategy", "requested_strategy", "overlap_prev", "embedding", "corpus_id"]
         benchmarks.write_chunks(made.select(*keep), f"{self.path}/chunks")
+        self.index(corpus_id).sync(self.units(corpus_id))
         s = chunkers.statistics(self.chunks(corpus_id)).first()
         self._save(corpus_id, domain, "ready", name, fingerprint, n, s.n_chunks, s.total_tokens)
         return {"corpus_id": corpus_id, "status": "ready", "documents": n, "chunks": s.n_chunks, "skipped": False, "failures": failures}
@@ -117,19 +124,28 @@ class Workspace:
         """Remove a corpus and its chunks; LookupError if it is missing."""
         gone = corpus.get_corpus(self.corpora(), corpus_id)
         self._store(corpus.without(self.corpora(), gone))
+        self.index(corpus_id).drop()
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/chunks/corpus_id={corpus_id}")
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def retrieve(self, corpus_id: str, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, rrf_k: int = 60, model: str = "all-MiniLM-L6-v2") -> DataFrame:
-        """(query_id, doc_id, score, rank, ...) for a query frame (query_id, text); doc_id numbers the corpus' chunks."""
+    def index(self, corpus_id: str) -> PostingIndex:
+        """The stored postings and vectors of a corpus' chunks, in their newest version."""
+        return PostingIndex(self.spark, f"{self.path}/index/{corpus_id}", lambda texts: embed.embed(texts, MODEL).select("doc_id", "vec"))
+
+    def retrieve(self, corpus_id: str, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, rrf_k: int = 60, model: str = MODEL) -> DataFrame:
+        """(query_id, doc_id, score, rank, ...) for a query frame (query_id, text); doc_id numbers the corpus' chunks.
+
+        No chunk is cut into terms or embedded again, but for a model whose vectors aren't stored.
+        """
         check("top_k", top_k)
         check("rrf_k", rrf_k)
-        units = self.units(corpus_id)
+        index = self.index(corpus_id)
+        if not index.exists():
+            index.build(self.units(corpus_id))
         embedded = lambda df, i: embed.embed(df, model).select(F.col(i), "vec")
-        from .operators import dense
-
-        near = lambda k: dense.exact_topk(embedded(units, "doc_id"), embedded(queries, "query_id"), k)
-        return fusion.retrieve(mode, lambda k: bm25.topk(units, queries, k), near, top_k, rrf_k)
+        vectors = lambda: index.vectors() if model == MODEL else embedded(self.units(corpus_id), "doc_id")
+        near = lambda k: dense.exact_topk(vectors(), embedded(queries, "query_id"), k)
+        return fusion.retrieve(mode, lambda k: index.topk(queries, k), near, top_k, rrf_k)
 
     def units(self, corpus_id: str) -> DataFrame:
         """(doc_id, text, chunk_id): chunks under a numeric id."""
@@ -150,6 +166,15 @@ class Workspace:
         return attacks.report(each.join(named, "query_id").select("attack", F.col("ndcg_at_10").alias("ndcg")))
 
     def answer(self, corpus_id: str, queries: DataFrame, top_k: int = 10, mode: str = "hybrid", expand: Callable[[Column], Column] | None = None, decompose: Callable[[Column, Column], Column] = agent.sub_queries) -> DataFrame:
-        """Analysis, extractive answer, citations and confidence of every query; models that rewrite or cut up queries plug in as expressions."""
-        found = self.retrieve(corpus_id, agent.expanded(queries, expand), mode, top_k).select("query_id", "doc_id", "score", "rank")
-        return agent.answer_queries(queries, found.join(self.units(corpus_id), "doc_id"), decompose)
+        """Analysis, extractive answer, citations and confidence of every query; models that rewrite or cut up queries plug in as expressions.
+
+        A query's text, as rewritten, and its sub-queries are all retrieved in one plan and their rankings fused.
+        Scores, and with them the confidence, are those of the query's own ranking where there are no sub-queries, else the fused ones.
+        """
+        asked = agent.expanded(queries, expand).select("query_id", F.col("text").alias("asked"))
+        cut = queries.withColumn("sub_queries", decompose(F.col("text"), agent.query_type(F.col("text")))).join(asked, "query_id")
+        parts = cut.select("query_id", F.col("asked").alias("text"), "sub_queries")
+        whole = F.coalesce(F.size("sub_queries"), F.lit(0)) == 0
+        own = self.retrieve(corpus_id, parts.where(whole).select("query_id", "text"), mode, top_k).select("query_id", "doc_id", "score", "rank")
+        fused = fusion.fan_out(parts.where(~whole), lambda q: self.retrieve(corpus_id, q, mode, top_k), top_k).select("query_id", "doc_id", "score", "rank")
+        return agent.answer_queries(queries, own.unionByName(fused).join(self.units(corpus_id), "doc_id"), decompose)

@@ -106,3 +106,48 @@ def test_stored_indexes(spark, tmp_path):
         rows = [sorted((r.query_id, r.doc_id, r.rank) for r in x.search("c", queries, 3, backend).collect()) for x in (one, two)]
         assert rows[0] == rows[1] and len(rows[0]) == 15
     del registry.BACKENDS["few"]
+
+
+def test_index_follows_the_chunks(spark, tmp_path):
+    w, src = api.Workspace(spark, str(tmp_path / "ws")), folder(tmp_path)
+    w.ingest("first_one", src, config=SMALL)
+    version = w.index("first_one").manifest["version"]
+    q = spark.createDataFrame([(1, "zebra stripes"), (2, "heart report")], "query_id long, text string")
+    assert {x.query_id for x in w.retrieve("first_one", q, "sparse").collect()} == {2}
+    (tmp_path / "src" / "zebra.txt").write_text("The zebra has stripes that no other animal has. " * 8)
+    (tmp_path / "src" / "heart.txt").unlink()
+    w.ingest("first_one", src, config=SMALL)
+    index = w.index("first_one")
+    assert index.manifest["version"] == version + 1 and len(index.manifest["segments"]) == 2
+    assert index.totals()[0] == w.chunks("first_one").count()
+    found = w.retrieve("first_one", q, "sparse").join(w.units("first_one"), "doc_id").collect()
+    assert {x.query_id for x in found} == {1, 2} and not any("heart" in x.text for x in found)
+    assert w.retrieve("first_one", q, "hybrid", 3).where("query_id = 1 and rank = 1").join(w.units("first_one"), "doc_id").first().text.startswith("The zebra")
+    w.delete("first_one")
+    assert not w.index("first_one").exists()
+
+
+def test_sub_queries_are_retrieved(spark, tmp_path):
+    w = api.Workspace(spark, str(tmp_path / "ws"))
+    w.ingest("first_one", folder(tmp_path), config=SMALL)
+    q = spark.createDataFrame([(1, "compare heart versus court"), (2, "heart report")], "query_id long, text string")
+    rows = {x.query_id: x for x in w.answer("first_one", q, 4, "sparse").collect()}
+    assert rows[1].sub_queries == ["compare heart", "court"] and rows[2].sub_queries == []
+    held = " ".join(s.text for s in rows[1].sources)
+    assert "heart" in held and "court" in held and rows[2].confidence > 0
+
+
+def test_fan_out_of_rankings(spark):
+    """Two parts' rankings, added up by hand; ties go to the better rank, then the id."""
+    from siltstone.operators import fusion
+
+    q = spark.createDataFrame([(1, "a", ["b"]), (2, "c", None)], "query_id long, text string, sub_queries array<string>")
+    ranks = {"a": [10, 11, 12], "b": [12, 13], "c": [11]}
+
+    def run(parts):
+        rows = [(r.query_id, d, i) for r in parts.collect() for i, d in enumerate(ranks[r.text], 1)]
+        return spark.createDataFrame(rows, "query_id long, doc_id long, rank int")
+
+    found = [(x.query_id, x.doc_id, x["rank"], [tuple(p) for p in x.parts], round(x.score, 9)) for x in fusion.fan_out(q, run, 3).orderBy("query_id", "rank").collect()]
+    one = lambda *r: round(sum(1 / (60 + x) for x in r), 9)
+    assert found == [(1, 12, 1, [(0, 3), (1, 1)], one(3, 1)), (1, 10, 2, [(0, 1)], one(1)), (1, 11, 3, [(0, 2)], one(2)), (2, 11, 1, [(0, 1)], one(1))]
