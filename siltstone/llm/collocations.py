@@ -36,8 +36,8 @@ BITS, BLOCK, FULL = 24, 1 << 12, 255
 GATHERED = 1 << 22
 #: A prefix with more than this share of the rows is dealt by one word more.
 HOT_PARTS = 500
-#: Rows turned into words at once.
-ROWS = 1024
+#: Texts turned into words at once; what they share is counted before Spark counts on.
+ROWS = 128
 
 TABLE = bytes(0x0A if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 0x09 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
