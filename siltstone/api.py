@@ -98,7 +98,7 @@ class Workspace:
         if n == 0:
             self._save(corpus_id, domain, "failed", name, None, 0, 0, 0)
             return {"corpus_id": corpus_id, "status": "failed", "documents": 0, "chunks": 0, "skipped": False, "failures": failures}
-        fingerprint = corpus.fingerprint(docs).first().fingerprint
+        fingerprint = corpus.content_fingerprint(docs).first().fingerprint
         known = self.corpora().where(F.col("corpus_id") == corpus_id).first()
         if known is not None and known.fingerprint == fingerprint and not force:
             return {"corpus_id": corpus_id, "status": known.status, "documents": known.doc_count, "chunks": known.chunk_count, "skipped": True, "failures": failures}

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import corpus, dense, embed
+from ..operators import corpus, dense, embed, fusion
+from .indexes import corpus_index
 from .registry import query, table
+from .retrieval_queries import RRF_SQL, hashed_arm, questions
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,15 +126,28 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(level.alias("level"), "lang", "source", "n")
 
 
-@query("SELECT * FROM (VALUES ('text-embedding-3-small', 'openai', 1536, 2048), ('text-embedding-3-large', 'openai', 3072, 2048), ('embed-english-v3.0', 'cohere', 1024, 96), ('embed-multilingual-v3.0', 'cohere', 1024, 96), ('BAAI/bge-m3', 'local', 1024, 64), ('paraphrase-MiniLM-L6-v2', 'local', 384, 256), ('all-MiniLM-L6-v2', 'local', 384, 256)) t(model, provider, dimensions, max_batch)")
+_MODELS = "(VALUES ('text-embedding-3-small', 'openai', 1536, 2048), ('text-embedding-3-large', 'openai', 3072, 2048), ('embed-english-v3.0', 'cohere', 1024, 96), ('embed-multilingual-v3.0', 'cohere', 1024, 96), ('BAAI/bge-m3', 'local', 1024, 64), ('paraphrase-MiniLM-L6-v2', 'local', 384, 256), ('all-MiniLM-L6-v2', 'local', 384, 256)) t(model, provider, dimensions, max_batch)"
+
+
+@query(f"SELECT t.*, n AS n_texts, ceil(n / max_batch)::BIGINT AS n_requests FROM {_MODELS}, (SELECT count(DISTINCT text) AS n FROM documents)")
 def embed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The known embedding models."""
-    return embed.models(spark)
+    """The known embedding models, and how many requests of each all distinct documents take."""
+    n = table(spark, sf_dir, "documents").agg(F.count_distinct("text").alias("n_texts"))
+    rows = embed.models(spark).crossJoin(F.broadcast(n))  # one row
+    return rows.withColumn("n_requests", F.ceil(F.col("n_texts") / F.col("max_batch")))
+
+
+_FOUND = " UNION ALL ".join(f"SELECT '{m}' AS mode, '{d}' AS description, count(*)::BIGINT AS n_results, round(avg(score), 6) AS mean_score FROM {r} WHERE rank <= 10" for m, d, r in (("sparse", "BM25 term matching", "bm"), ("dense", "cosine of vectors", "hv"), ("hybrid", "reciprocal rank fusion of both", "h")))
 
 
-@query("SELECT * FROM (VALUES ('sparse', 'BM25 term matching'), ('dense', 'cosine of vectors'), ('hybrid', 'reciprocal rank fusion of both')) t(mode, description)")
+@query(f"{RRF_SQL} {_FOUND}")
 def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The retrieval modes."""
+    """The retrieval modes, with the number and mean score of what each finds for all passages."""
     from .. import api
 
-    return api.modes(spark)
+    q, found = questions(spark, sf_dir), None
+    for mode in api.MODES:
+        run = fusion.retrieve(mode, lambda k: corpus_index(spark, sf_dir).topk(q, k), lambda k: hashed_arm(spark, sf_dir, q, k))
+        one = run.agg(F.lit(mode).alias("mode"), F.count("*").alias("n_results"), F.round(F.avg("score"), 6).alias("mean_score"))
+        found = one if found is None else found.unionByName(one)
+    return api.modes(spark).join(found, "mode")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import agent, bm25, dense, fusion, rerank
+from ..operators import agent, bm25, dense, fusion, quantized, rerank
 from ..operators.postings import PostingIndex
 from ..session import forget_at_end, shared_dir
 from .indexes import corpus_index
@@ -109,11 +109,12 @@ def bm25_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking(bm25.padded(corpus_index(spark, sf_dir).topk(asked, K), corpus(spark, sf_dir), asked, K))
 
 
-@query(f"SELECT vec_id, round({NORM_SQL}, 6) AS norm, round(v[1] / {NORM_SQL}, 6) AS first, round(v[64] / {NORM_SQL}, 6) AS last FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+@query(f"SELECT vec_id, round({NORM_SQL}, 6) AS norm, array_to_string(list_transform(v, lambda x: round(x / {NORM_SQL} * 1000000)::BIGINT), ',') AS millionths FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and normalised ends of every vector."""
+    """Length and all normalised components of every vector, in millionths."""
     v = V.doubles(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(v), 6).alias("norm"), F.round(V.normalized(v)[0], 6).alias("first"), F.round(V.normalized(v)[63], 6).alias("last"))
+    parts = F.transform(V.normalized(v), lambda x: F.round(x * 1_000_000).cast("bigint").cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(v), 6).alias("norm"), F.array_join(parts, ",").alias("millionths"))
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dn WHERE rank <= 10")
@@ -147,6 +148,29 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking(dense.ivf_topk(vectors(spark, sf_dir), probes(spark, sf_dir), label_centres(spark, sf_dir), K, PROBES, exclude_self=True))
 
 
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, vec): the given vectors drawn towards their label's mean, and there towards one of eight vectors of the label.
+
+    The given ones have no clusters to speak of, which no index of cells can search well.
+    """
+    e = table(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", "label", V.doubles(F.col("embedding")).alias("vec"))
+    mean = label_centres(spark, sf_dir).select(F.col("cell").alias("label"), "centre")
+    first = e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id"))).where("r <= 8").select("label", "r", F.col("vec").alias("anchor"))
+    home = e.withColumn("r", (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(8)) + 1).cast("int")).join(first, ["label", "r"]).join(mean, "label")
+    drawn = F.transform(F.arrays_zip("vec", "anchor", "centre"), lambda x: 0.35 * x["vec"] + x["anchor"] + x["centre"])
+    return home.select(F.col("vec_id").alias("doc_id"), drawn.alias("vec"))
+
+
+@query()
+def quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of clustered vectors by compressed cells, as many cells as a sample says."""
+    v = clustered(spark, sf_dir)
+    book = quantized.fit(v, 32)
+    coded = quantized.encode(v, book)
+    q = v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return ranking(quantized.search(v, coded, q, book, K, quantized.calibrated(v, book), exclude_self=True))
+
+
 def hashed_arm(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
     """Dense arm over texts: cosines of the offline provider's vectors, stored for documents, with those of queries, exactly."""
     q = dense.hashed_vectors(queries.select(F.col("query_id").alias("doc_id"), "text"))
