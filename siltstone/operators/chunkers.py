@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from . import sentences as learned
+from .sentences import SentenceModel
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,7 @@ class ChunkConfig:
     max_chunk_size: int = 1024
     breakpoint: float = 0.85
     window: int = 3
+    sentences: SentenceModel | None = None  # learned boundaries for the sentence windows, the fixed rule without
 
     def __post_init__(self) -> None:
         if min(self.chunk_size, self.min_chunk_size, self.window + 1) < 1 or self.chunk_overlap < 0:
@@ -131,7 +134,8 @@ def recursive(docs: DataFrame, config: ChunkConfig) -> DataFrame:
 def sentence_window(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     """A chunk around every sentence, ``window`` sentences to each side; windows below the least size are skipped."""
     w = config.window
-    rows = docs.select("doc_id", T.sentences(F.col("text")).alias("s"))
+    cut = T.sentences(F.col("text")) if config.sentences is None else learned.sentences(F.col("text"), config.sentences)
+    rows = docs.select("doc_id", cut.alias("s"))
 
     def around(anchor: Column, i: Column) -> Column:
         first, last = F.greatest(i - w, F.lit(0)), F.least(i + w, F.size("s") - 1)

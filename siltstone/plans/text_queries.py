@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import sentences
 from ..sources import files
 from .registry import query, table
 
@@ -28,6 +29,26 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("bigint").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
+_TYPES_SQL = r"""w AS (SELECT unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents), b AS (SELECT CASE WHEN w LIKE '%.' THEN left(w, length(w) - 1) ELSE w END AS type, w LIKE '%.' AS stop FROM w),
+c AS (SELECT type, count(*) FILTER (stop) AS stopped, count(*) FILTER (NOT stop) AS bare FROM b WHERE regexp_full_match(type, '\p{L}[\p{L}.]*') GROUP BY type), p AS (SELECT sum(stopped) / sum(stopped + bare) AS p FROM c),
+a AS (SELECT type, stopped, bare, length(replace(type, '.', '')) AS letters, 2 * (stopped * ln(0.99) + bare * ln(0.01) - stopped * ln(p) - bare * ln(1 - p)) * exp(-length(replace(type, '.', ''))) * (length(type) - length(replace(type, '.', '')) + 1) * pow(length(replace(type, '.', '')), -bare) AS score FROM c, p WHERE stopped >= 2 AND p > 0 AND p < 1)"""
+
+
+@query(f"WITH {_TYPES_SQL} SELECT type, stopped::BIGINT AS stopped, bare::BIGINT AS bare, round(score, 6) + 0.0 AS score, score >= 0.3 AS abbreviation FROM a")
+def sentence_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word types that occur with a full stop, and which of them are abbreviations."""
+    found = sentences.abbreviations(sentences.type_counts(table(spark, sf_dir, "documents")))
+    return found.select("type", "stopped", "bare", F.round("score", 6).alias("score"), (F.col("score") >= sentences.ABBREVIATION).alias("abbreviation"))
+
+
+@query()
+def sentence_split_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document by boundaries learned from all of them."""
+    d = table(spark, sf_dir, "documents")
+    s = sentences.sentences(F.col("text"), sentences.fit(d))
+    return d.select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
 def _messy(text: Column, key: Column) -> Column:
     """Documents whose clean-up isn't empty: decomposed accents, line ends, empty lines and NULs by id."""
     extra = F.element_at(F.array(F.lit("é x\r\ny\r"), F.lit("\n\n\n\nÅ\n"), F.lit("a\x00b"), F.lit(" \t")), (F.pmod(key, F.lit(4)) + 1).cast("int"))
