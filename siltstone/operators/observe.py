@@ -36,6 +36,30 @@ def percentiles(rows: DataFrame, value: str, by: list[str], q: float = 0.95, exa
     return rows.groupBy(*by).agg(p.alias("p"))
 
 
+#: Size of a quantile sketch, and the share of a group's rows by which a rank that it gives may be off (with 99 % confidence).
+SKETCH, RANK_ERROR = 800, 0.01
+
+
+def sketches(rows: DataFrame, value: str, by: list[str], size: int = SKETCH) -> DataFrame:
+    """(by..., n, sketch): quantile sketches of bounded size, made by partial aggregation; they can be stored, and merged by :func:`merged`.
+
+    Nulls don't count; a group of nulls alone has an ``n`` of 0 and no sketch.
+    """
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch")).withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
+def merged(sketched: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, sketch) of coarser groups, from the sketches of finer ones: windows to days, modes to all; the values aren't read again."""
+    return sketched.where("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def quantiles(sketched: DataFrame, qs: list[float]) -> DataFrame:
+    """(..., q, value) of sketches (..., n, sketch): a row for each wanted quantile, null where there are no values."""
+    value = lambda q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    rows = sketched.withColumn("x", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), value(q).alias("value")) for q in qs))))
+    return rows.withColumn("q", F.col("x.q")).withColumn("value", F.col("x.value")).drop("sketch", "x")
+
+
 def health(rows: DataFrame) -> DataFrame:
     """(service, status): unhealthy if any check is, else degraded if any is, else healthy."""
     any_ = lambda s: F.bool_or(F.col("status") == s)

@@ -51,6 +51,21 @@ def p95_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.percentiles(events(spark, sf_dir), "value", ["event_type"]).withColumn("p", F.round("p", 6))
 
 
+_QS = [0.5, 0.95, 0.99]
+
+
+@query(f"SELECT event_type, q::DOUBLE AS q, count(value)::BIGINT AS n, true AS near FROM events, (VALUES {', '.join(f'({q})' for q in _QS)}) t(q) GROUP BY ALL")
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles by mode from sketches of each hour merged, held against exact ranks of all values: are they off by the stated share at most?"""
+    e = events(spark, sf_dir)
+    hourly = observe.sketches(e.withColumn("hour", F.date_trunc("hour", "ts")), "value", ["event_type", "hour"])
+    found = observe.quantiles(observe.merged(hourly, ["event_type"]), _QS)
+    held = F.broadcast(found.select("event_type", "q", "n", F.col("value").alias("at")))  # three rows a mode
+    ranks = e.join(held, "event_type").where("value is not null").groupBy("event_type", "q", "n").agg(F.avg((F.col("value") < F.col("at")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("at")).cast("int")).alias("up_to"))
+    near = (F.col("below") - observe.RANK_ERROR <= F.col("q")) & (F.col("q") <= F.col("up_to") + observe.RANK_ERROR)
+    return ranks.select("event_type", "q", "n", near.alias("near"))
+
+
 @query("SELECT user_id AS service, CASE WHEN bool_or(event_type = 'error') THEN 'unhealthy' WHEN bool_or(event_type = 'signup') THEN 'degraded' ELSE 'healthy' END AS status FROM events GROUP BY user_id")
 def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health of every user's events."""
