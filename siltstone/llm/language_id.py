@@ -69,13 +69,14 @@ def fit_dictionaries(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc
     zeros = 64 - F.length(F.bin(F.xxhash64("id").bitwiseXOR(F.lit(-1 << 63))))
     known = known.withColumn("zeros", zeros)
     counts: dict[str, Counter[int]] = {}
-    for lang, z, n in known.groupBy("lang", "zeros").count().collect():
+    for lang, z, n in known.select("id", "lang", "digest", "zeros").distinct().groupBy("lang", "zeros").count().collect():
         counts.setdefault(lang, Counter())[z] = n
     langs = sorted(counts, key=lambda x: (-counts[x].total(), x))
     least = [(x, max((z for z in c if sum(n for y, n in c.items() if y >= z) >= SAMPLE_DOCS), default=0)) for x, c in counts.items()]
     near = known.join(F.broadcast(docs.sparkSession.createDataFrame(least, "lang string, least int")), "lang").where("zeros >= least")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest")
-    wanted = near.select("id", "lang", "digest").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS).distinct()
+    # equal rows are merged before places are given, so repeats take none and a much repeated text is one row of its language
+    wanted = near.select("id", "lang", "digest").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
 
     def reduced(batches):
         in_worker("language_id")
@@ -83,8 +84,7 @@ def fit_dictionaries(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(map(letters, piece.column(2).to_pylist()), pa.binary())], names=["lang", "place", "data"])
 
     with temporary():
-        wanted = wanted.groupBy("id", "lang", "digest").agg(F.min("place").alias("place"))  # at most SAMPLE_DOCS rows a language
-        mine = F.broadcast(wanted.select(F.col("id").alias("i"), F.col("lang").alias("l"), F.col("digest").alias("d"), "place"))
+        mine = F.broadcast(wanted.select(F.col("id").alias("i"), F.col("lang").alias("l"), F.col("digest").alias("d"), "place"))  # at most SAMPLE_DOCS rows a language
         rows = known.join(mine, F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.col("digest") == F.col("d")))
         once = rows.select("lang", "place", "text").dropDuplicates(["lang", "place"])
         sample = materialize(once.mapInArrow(tidy(reduced), "lang string, place int, data binary").where("length(data) > 0"))

@@ -3,7 +3,8 @@
 One pass finds candidates: the base patterns' matches and other long mixed tokens of high entropy. Hashes of
 their values are counted by distinct repositories and owners over the whole corpus. A value in several repositories
 of several owners is an example that was copied from some manual; one that few owners hold, or that never leaves a
-repository, is somebody's own. If it looks random too, it is taken for live, and its value (inside a base match, or on
+repository, is somebody's own. How many owners are several, the corpus' own ownership counts say: as many as no more
+than one value in twenty reaches, two at least and EXAMPLE_OWNERS at most. If a value of somebody's own looks random too, it is taken for live, and its value (inside a base match, or on
 its own) becomes a span of the kind ``live``.
 """
 
@@ -29,8 +30,9 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 NAMES = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "live")
 #: Bits a character that a token outside the base patterns must reach, and a base value too unless this share of its
-#: length's most is less; distinct owners and repositories from which a value is an example.
-MIN_ENTROPY, ENTROPY_SHARE, EXAMPLE_OWNERS, EXAMPLE_REPOS = 3.3, 0.75, 4, 4
+#: length's most is less; distinct owners from which a value is an example in any corpus; the share of all values that
+#: fewer owners (two at least) may make examples.
+MIN_ENTROPY, ENTROPY_SHARE, EXAMPLE_OWNERS, EXAMPLE_SHARE = 3.3, 0.75, 4, 0.05
 CANDIDATE = "array<struct<kind:int,start:bigint,stop:bigint,value_start:bigint,random:boolean,hash:bigint>>"
 
 
@@ -102,18 +104,30 @@ def scan(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id",
     return map_arrow(named, make, schema)
 
 
+def owners_of_examples(counts: dict[int, int]) -> int:
+    """Least number of owners of an example, from the number of values by owners (EXAMPLE_OWNERS stands for more too)."""
+    total = sum(counts.values())
+    rare = (k for k in range(2, EXAMPLE_OWNERS) if sum(n for o, n in counts.items() if o >= k) <= EXAMPLE_SHARE * total)
+    return next(rare, EXAMPLE_OWNERS)
+
+
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repos, n_uses, example) of every candidate value; a null owner or repository is one unknown one."""
+    """(hash, n_owners, n_repos, n_uses, example) of every candidate value; a null owner or repository is one unknown one.
+
+    An example has as many repositories, too, as it needs owners.
+    """
     each = found.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), F.explode("candidates.hash").alias("hash"))
     held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
-    by_hash = held.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"), F.sum("n").alias("n_uses"))
-    return by_hash.withColumn("example", (F.col("n_owners") >= EXAMPLE_OWNERS) & (F.col("n_repos") >= EXAMPLE_REPOS))
+    by_hash = materialize(held.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"), F.sum("n").alias("n_uses")))
+    counts = by_hash.groupBy(F.least("n_owners", F.lit(EXAMPLE_OWNERS)).alias("k")).count().collect()  # EXAMPLE_OWNERS rows at most
+    least = owners_of_examples({k: n for k, n in counts})
+    return by_hash.withColumn("example", (F.col("n_owners") >= least) & (F.col("n_repos") >= least))
 
 
 def judged(found: DataFrame, key: str) -> DataFrame:
     """(key, kind, start, stop, value_start, random, hash, example) of every candidate in a written table of scanned rows."""
     each = found.where(F.size("candidates") > 0).select(key, F.explode("candidates").alias("c")).select(key, "c.*")
-    return each.join(materialize(ownership(found).select("hash", "example")), "hash")  # written: a common value's rows can be split
+    return each.join(ownership(found).select("hash", "example"), "hash")  # that is a written table: a common value's rows can be split
 
 
 def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -281,6 +281,33 @@ def test_ownership_separates_examples_from_live(spark):
     assert [by_hash[secret_scan.value_hash(values[k])] for k in ("copied", "own", "shared")] == [(6, 6, 6, True), (2, 7, 7, False), (6, 1, 6, False)]
 
 
+def test_ownership_counts_of_the_corpus_decide(spark):
+    """A value of three owners is an example where hardly any other leaves its owner, not where many do."""
+    least = secret_scan.owners_of_examples
+    assert [least(c) for c in ({1: 120, 2: 10, 3: 1}, {1: 99, 2: 1}, {1: 5, 3: 5}, {4: 9}, {1: 90, 3: 10}, {}, {1: 1})] == [3, 2, 4, 4, 4, 2, 2]
+    rare = "Qz81kLm2Xv9TtR44bNc7"
+    rows = [(100 + i, f"key {hashlib.sha256(str(i).encode()).hexdigest()}", f"s{i % 7}") for i in range(40)]
+    rows += [(i, f"see {rare}", f"s{i}") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.find_secrets(d).collect()}
+    assert all(got[i].spans == "" and got[i].n_live == 0 for i in range(3)) and all(got[100 + i].n_live == 1 for i in range(40))
+    some = {r.doc_id: r for r in secret_scan.find_secrets(d.where("doc_id < 103")).collect()}  # of four values one: not rare
+    assert all(some[i].spans == "live:4:24" for i in range(3))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert secret_scan.ownership(secret_scan.scan(docs, "source", "doc_id")).where("example").count() > 0
+
+
+def test_repeated_rows_take_no_places_of_the_dictionary(spark):
+    base = [(i, f"wort{i} und noch {i * 7} mehr davon im satz {'abcdefgh'[i % 8] * 5}", "de") for i in range(60)]
+    once = spark.createDataFrame(base, "doc_id long, text string, lang string")
+    repeated = spark.createDataFrame(base + base[:1] * 500, "doc_id long, text string, lang string")
+    sample, language_id.SAMPLE_DOCS = language_id.SAMPLE_DOCS, 50
+    try:
+        assert language_id.fit_dictionaries(once) == language_id.fit_dictionaries(repeated)
+    finally:
+        language_id.SAMPLE_DOCS = sample
+
+
 def test_redaction_with_clashing_columns(spark):
     d = spark.createDataFrame([(1, "password = Abc123xyz", "s", 20, "a", 1, "b"), (2, "clean", None, 5, None, 2, None), (3, None, "s", None, "c", 3, "d")], "doc_id long, text string, source string, n_chars long, __spans string, row long, d string")
     got = {r.doc_id: r for r in secret_scan.redact_documents(d).collect()}
