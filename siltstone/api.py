@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import agent, attacks, chunkers, corpus, dense, embed, evaluate, fusion
+from .operators import agent, attacks, chunkers, corpus, dense, embed, evaluate, fusion, outcomes
 from .operators.chunkers import ChunkConfig
 from .operators.postings import PostingIndex
 from .operators.registry import IndexRegistry
@@ -41,6 +41,11 @@ def metrics(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, kind string")
 
 
+CHUNKS = "chunk_id string, doc_id bigint, chunk_index int, text string, token_count int, strategy string, requested_strategy string, overlap_prev int, embedding array<double>, corpus_id string"
+CHUNK_COLUMNS = ["chunk_id", "doc_id", "chunk_index", "text", "token_count", "strategy", "requested_strategy", "overlap_prev", "embedding"]
+SHOWN_FAILURES = 100  # of a result's summary; the table has all
+
+
 class Workspace:
     """Tables under one folder: corpora, chunks partitioned by corpus, and an index of each corpus.
 
@@ -81,7 +86,7 @@ class Workspace:
 
     def chunks(self, corpus_id: str) -> DataFrame:
         """A corpus' chunks in order."""
-        return benchmarks.read_chunks(self.spark, f"{self.path}/chunks", corpus_id)
+        return benchmarks.read_chunks(self.spark, f"{self.path}/chunks", corpus_id) if self._exists("chunks") else self.spark.createDataFrame([], CHUNKS)
 
     def ingest(self, corpus_id: str, source: str, domain: str = "general", strategy: str | None = None, config: ChunkConfig | None = None, force: bool = False) -> dict:
         """Load, chunk and store a folder; an unchanged corpus is skipped unless forced; without documents it fails."""
@@ -90,26 +95,56 @@ class Workspace:
         config = config or ChunkConfig()
         check("chunk_size", config.chunk_size)
         check("chunk_overlap", config.chunk_overlap)
-        loaded = files.LoaderRegistry().load(self.spark, source)
+        staging = f"{self.path}/staging/{corpus_id}"
+        try:
+            return self._ingest(corpus_id, source, domain, strategy, config, force, staging)
+        finally:
+            self._fs().delete(self._path(f"staging/{corpus_id}"), True)
+
+    def _ingest(self, corpus_id, source, domain, strategy, config, force, staging) -> dict:
+        # files are read and parsed once, and documents chunked once; rows and failures are two parts of what was written
+        loaded, unread = outcomes.store(files.LoaderRegistry().load(self.spark, source).drop("doc_id"), f"{staging}/loaded")
         docs = loaded.where("status = 'ok'").select(F.lit(corpus_id).alias("corpus_id"), "source", F.xxhash64("source").alias("doc_id"), "text", "tables", F.length("text").alias("n_chars"))
-        n = docs.count()
-        failures = [(r.source, r.error) for r in loaded.where("status = 'failed'").select("source", "error").limit(100).collect()]
+        n, failed = docs.count(), unread.select("source", F.lit("load").alias("step"), "error")
+        result = lambda status, docs, chunks, skipped, failed: {"corpus_id": corpus_id, "status": status, "documents": docs, "chunks": chunks, "skipped": skipped, "failures": [(r.source, r.error) for r in failed.orderBy("source").limit(SHOWN_FAILURES).collect()]}
         name = strategy or chunkers.DOMAIN_STRATEGY[domain]
         if n == 0:
             self._save(corpus_id, domain, "failed", name, None, 0, 0, 0)
-            return {"corpus_id": corpus_id, "status": "failed", "documents": 0, "chunks": 0, "skipped": False, "failures": failures}
+            return result("failed", 0, 0, False, failed)
         fingerprint = corpus.content_fingerprint(docs).first().fingerprint
         known = self.corpora().where(F.col("corpus_id") == corpus_id).first()
         if known is not None and known.fingerprint == fingerprint and not force:
-            return {"corpus_id": corpus_id, "status": known.status, "documents": known.doc_count, "chunks": known.chunk_count, "skipped": True, "failures": failures}
-        made = chunkers.chunk(docs, name, config).withColumn("requested_strategy", F.lit(name)).withColumn("corpus_id", F.lit(corpus_id))
+            return result(known.status, known.doc_count, known.chunk_count, True, failed)
+        made = chunkers.outcomes(docs, name, config).withColumn("requested_strategy", F.lit(name))
         made = made.withColumn("chunk_id", chunkers.chunk_key(F.col("doc_id"), F.col("strategy"), F.col("chunk_index"))).withColumn("embedding", F.lit(None).cast("array<double>"))
-        keep = ["chunk_id", "doc_id", "chunk_index", "text", "token_count", "strategy", "requested_strategy", "overlap_prev", "embedding", "corpus_id"]
-        benchmarks.write_chunks(made.select(*keep), f"{self.path}/chunks")
+        _, uncut = outcomes.store(made.select(*CHUNK_COLUMNS, "error"), f"{staging}/chunked")
+        uncut = uncut.select("doc_id", F.concat(F.lit("Chunking failed: "), "error").alias("error")).join(docs.select("doc_id", "source"), "doc_id")
+        failed = failed.unionByName(uncut.select("source", F.lit("chunk").alias("step"), "error"))
+        failed.write.mode("overwrite").parquet(f"{self.path}/failures/corpus_id={corpus_id}")
+        self._move(f"staging/{corpus_id}/chunked/failed=false", f"chunks/corpus_id={corpus_id}")
         self.index(corpus_id).sync(self.units(corpus_id))
         s = chunkers.statistics(self.chunks(corpus_id)).first()
         self._save(corpus_id, domain, "ready", name, fingerprint, n, s.n_chunks, s.total_tokens)
-        return {"corpus_id": corpus_id, "status": "ready", "documents": n, "chunks": s.n_chunks, "skipped": False, "failures": failures}
+        return result("ready", n, s.n_chunks, False, self.failures(corpus_id))
+
+    FAILURES = "source string, step string, error string"
+
+    def failures(self, corpus_id: str) -> DataFrame:
+        """(source, step, error) of all files and documents of a corpus that its last ingestion couldn't load or chunk."""
+        if not self._exists(f"failures/corpus_id={corpus_id}"):
+            return self.spark.createDataFrame([], self.FAILURES)
+        return self.spark.read.schema(self.FAILURES).parquet(f"{self.path}/failures/corpus_id={corpus_id}")
+
+    def _fs(self):
+        return self._path("corpora").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _move(self, source: str, target: str) -> None:
+        """A written folder in place of another; without it, none."""
+        fs, old, new = self._fs(), self._path(target), self._path(source)
+        fs.delete(old, True)
+        if fs.exists(new):
+            fs.mkdirs(old.getParent())
+            fs.rename(new, old)
 
     def _save(self, corpus_id, domain, status, strategy, fingerprint, docs, chunks, tokens) -> None:
         row = self.spark.createDataFrame([(corpus_id, None, domain, status, strategy, fingerprint, docs, chunks, tokens, None)], self.CORPORA)
@@ -125,8 +160,8 @@ class Workspace:
         gone = corpus.get_corpus(self.corpora(), corpus_id)
         self._store(corpus.without(self.corpora(), gone))
         self.index(corpus_id).drop()
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/chunks/corpus_id={corpus_id}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for part in ("chunks", "failures"):
+            self._fs().delete(self._path(f"{part}/corpus_id={corpus_id}"), True)
 
     def index(self, corpus_id: str) -> PostingIndex:
         """The stored postings and vectors of a corpus' chunks, in their newest version."""

@@ -2,16 +2,20 @@
 
 A document frame has doc_id and text; a chunk frame has doc_id, chunk_index, text, token_count, strategy and
 overlap_prev. Chunkers leave size limits to :func:`size_filter`, which keeps the original indices.
+
+Splitters run in Python over whole texts and may fail on one. :func:`chunk` lets such an exception end the job;
+:func:`outcomes` makes it a row with ``error`` in the same pass, in place of that document's chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions import text as T
 from ..functions import vector as V
@@ -19,6 +23,10 @@ from . import sentences as learned
 from .sentences import SentenceModel
 
 
+#: A splitter maps a text to its pieces.
+Splitter = Callable[[str, "ChunkConfig"], Iterable[str]]
+
+
 @dataclass(frozen=True)
 class ChunkConfig:
     """Sizes in tokens, and the parameters of single strategies."""
@@ -30,6 +38,8 @@ class ChunkConfig:
     breakpoint: float = 0.85
     window: int = 3
     sentences: SentenceModel | None = None  # learned boundaries for the sentence windows, the fixed rule without
+    splitter: Splitter | None = None  # cuts long texts in place of the separators' hierarchy
+    failures: bool = False  # a splitter's exception is a row, and doesn't end the job
 
     def __post_init__(self) -> None:
         if min(self.chunk_size, self.min_chunk_size, self.window + 1) < 1 or self.chunk_overlap < 0:
@@ -45,14 +55,16 @@ def chunk_key(doc: Column, strategy: Column, index: Column) -> Column:
 
 
 def shaped(df: DataFrame, strategy: str, overlap: int = 0) -> DataFrame:
-    """doc_id, chunk_index and text completed to a chunk frame."""
+    """doc_id, chunk_index and text completed to a chunk frame; an ``error`` column stays."""
+    error = ["error"] if "error" in df.columns else []
     nominal = F.when(F.col("chunk_index") > 0, F.lit(overlap)).otherwise(F.lit(0))
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "text", T.token_count(F.col("text")).alias("token_count"), F.lit(strategy).alias("strategy"), nominal.alias("overlap_prev"))
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "text", T.token_count(F.col("text")).alias("token_count"), F.lit(strategy).alias("strategy"), nominal.alias("overlap_prev"), *error)
 
 
 def size_filter(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
-    """Non-blank chunks between the least and the greatest size; indices are not renumbered."""
-    return chunks.where((F.trim("text") != "") & F.col("token_count").between(config.min_chunk_size, config.max_chunk_size))
+    """Non-blank chunks between the least and the greatest size, and failures; indices are not renumbered."""
+    fits = (F.trim("text") != "") & F.col("token_count").between(config.min_chunk_size, config.max_chunk_size)
+    return chunks.where(fits | F.col("error").isNotNull() if "error" in chunks.columns else fits)
 
 
 def fixed(docs: DataFrame, config: ChunkConfig) -> DataFrame:
@@ -115,22 +127,48 @@ def merge_short(pieces: list[str], config: ChunkConfig) -> list[str]:
     return out
 
 
-def recursive(docs: DataFrame, config: ChunkConfig) -> DataFrame:
-    """Separator hierarchy from paragraphs to characters; sequential within a document, parallel over documents."""
+def cut_texts(rows: DataFrame, config: ChunkConfig) -> DataFrame:
+    """(keys..., part, text, error?) of rows (keys..., text): the non-blank pieces of each text, numbered before blank ones go.
+
+    A text whose splitter raises has no pieces; if failures are rows, it gives one with the error.
+    """
+    n, split = len(rows.columns) - 1, config.splitter or split_recursively
+
+    def pieces(text: str | None) -> list[tuple[int, str | None, str | None]]:
+        try:
+            return [(k, p.strip(), None) for k, p in enumerate(split(text or "", config)) if p.strip()]
+        except Exception as e:
+            if not config.failures:
+                raise
+            return [(0, None, f"{type(e).__name__}: {e}")]
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = []
-                for doc, text in zip(batch.column(0)[i : i + 256].to_pylist(), batch.column(1)[i : i + 256].to_pylist(), strict=True):
-                    rows += [(doc, k, t.strip()) for k, t in enumerate(split_recursively(text or "", config)) if t.strip()]
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["doc_id", "chunk_index", "text"])
-
-    out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, chunk_index int, text string")
+            for i in range(0, batch.num_rows, 128):
+                some = batch.slice(i, 128)
+                found = [(r, *x) for r, text in enumerate(some.column(n).to_pylist()) for x in pieces(text)]
+                at, part, texts, errors = zip(*found, strict=True) if found else [()] * 4
+                columns = [c.take(pa.array(at, pa.int64())) for c in some.columns[:n]] + [pa.array(part, pa.int32()), pa.array(texts, pa.string())]
+                names = [*batch.schema.names[:n], "part", "text"]
+                if config.failures:
+                    columns, names = [*columns, pa.array(errors, pa.string())], [*names, "error"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = StructType(rows.schema.fields[:n]).add("part", IntegerType()).add("text", StringType())
+    return rows.mapInArrow(run, schema.add("error", StringType()) if config.failures else schema)
+
+
+def recursive(docs: DataFrame, config: ChunkConfig) -> DataFrame:
+    """Separator hierarchy from paragraphs to characters; sequential within a document, parallel over documents."""
+    out = cut_texts(docs.select(F.col("doc_id").cast("bigint"), "text"), config).withColumnRenamed("part", "chunk_index")
     return shaped(out, "recursive", config.chunk_overlap)
 
 
+def per_document(name: str, splitter: Splitter) -> Callable[[DataFrame, ChunkConfig], DataFrame]:
+    """A strategy from a plain function of one text, for :func:`register`."""
+    return lambda docs, config: recursive(docs, replace(config, splitter=splitter)).withColumn("strategy", F.lit(name)).withColumn("overlap_prev", F.lit(0))
+
+
 def sentence_window(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     """A chunk around every sentence, ``window`` sentences to each side; windows below the least size are skipped."""
     w = config.window
@@ -171,23 +209,16 @@ def document_structure(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     rows = section_rows(docs).withColumn("whole", F.concat("heading", F.lit("\n"), "body"))
     fits = T.token_count(F.col("whole")) <= config.chunk_size
     small = rows.where(fits).select("doc_id", "section", F.lit(0).alias("part"), "heading", F.col("whole").alias("text"))
-    large = rows.where(~fits)
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                found = []
-                for *own, body in zip(*(c[i : i + 128].to_pylist() for c in batch.columns), strict=True):
-                    found += [(*own, k, t.strip()) for k, t in enumerate(split_recursively(body, config)) if t.strip()]
-                kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "section", "heading", "part", "text"])
-
-    cut = large.select(F.col("doc_id").cast("bigint"), "section", "heading", "body").mapInArrow(run, "doc_id bigint, section int, heading string, part int, text string")
-    both = small.unionByName(cut.select("doc_id", "section", "part", "heading", "text"))
+    large = rows.where(~fits).select(F.col("doc_id").cast("bigint"), "section", "heading", F.col("body").alias("text"))
+    both = small.unionByName(cut_texts(large, config), allowMissingColumns=True)
     order = Window.partitionBy("doc_id").orderBy("section", "part")
     out = both.withColumn("chunk_index", F.row_number().over(order) - 1)
-    return out.select("doc_id", "chunk_index", "text", T.token_count(F.col("text")).alias("token_count"), F.lit("document_structure").alias("strategy"), F.lit(0).alias("overlap_prev"), "heading")
+    error = []
+    if config.failures:  # a document with a failed section fails as a whole, with the first error
+        first = F.first("error", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("section", "part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        out = out.withColumn("error", first).where("error is null or chunk_index = 0").withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+        error = ["error"]
+    return out.select("doc_id", "chunk_index", "text", T.token_count(F.col("text")).alias("token_count"), F.lit("document_structure").alias("strategy"), F.lit(0).alias("overlap_prev"), "heading", *error)
 
 
 def semantic(sentence_vectors: DataFrame, config: ChunkConfig) -> DataFrame:
@@ -229,14 +260,18 @@ TABLE_BLOCK = r"(?s)\[TABLE\].*?\[/TABLE\]"
 
 
 def table_aware(docs: DataFrame, config: ChunkConfig) -> DataFrame:
-    """Recursive chunks of the prose outside table blocks, then one chunk for each non-empty table of the ``tables`` column."""
+    """Recursive chunks of the prose outside table blocks, then one chunk for each non-empty table of the ``tables`` column.
+
+    A document whose prose fails has no table chunks either.
+    """
     prose = recursive(docs.select("doc_id", F.regexp_replace("text", TABLE_BLOCK, "").alias("text")), config)
     tables = docs.select("doc_id", F.posexplode("tables").alias("t", "rows")).where(F.size("rows") > 0)
-    n_prose = prose.groupBy("doc_id").agg((F.max("chunk_index") + 1).alias("n"))
-    numbered = tables.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("t")) - 1).join(n_prose, "doc_id", "left")
+    failed = F.max(F.col("error").isNotNull()) if config.failures else F.lit(False)
+    n_prose = prose.groupBy("doc_id").agg((F.max("chunk_index") + 1).alias("n"), failed.alias("failed"))
+    numbered = tables.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("t")) - 1).join(n_prose, "doc_id", "left").where("not coalesce(failed, false)")
     text = T.table_lines(F.col("t") + 1, F.col("rows"))
     blocks = shaped(numbered.select("doc_id", (F.coalesce("n", F.lit(0)) + F.col("k")).alias("chunk_index"), text.alias("text")), "table_aware")
-    return prose.withColumn("strategy", F.lit("table_aware")).unionByName(blocks)
+    return prose.withColumn("strategy", F.lit("table_aware")).unionByName(blocks, allowMissingColumns=True)
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -259,10 +294,23 @@ def register(name: str, strategy: Callable[[DataFrame, ChunkConfig], DataFrame])
     STRATEGIES[name] = strategy
 
 
-def chunk(docs: DataFrame, strategy: str | None = None, config: ChunkConfig | None = None, domain: str = "general", **sizes) -> DataFrame:
-    """Chunks of all documents by a registered strategy (None: the domain's), within the size limits."""
+def _strategy(docs: DataFrame, strategy: str | None, config: ChunkConfig, domain: str) -> DataFrame:
     name = strategy or DOMAIN_STRATEGY[domain]
     if name not in STRATEGIES:
         raise ValueError(f"unknown chunking strategy {name!r}; registered: {sorted(STRATEGIES)}")
-    config = replace(config or ChunkConfig(), **sizes)
     return size_filter(STRATEGIES[name](docs, config), config)
+
+
+def chunk(docs: DataFrame, strategy: str | None = None, config: ChunkConfig | None = None, domain: str = "general", **sizes) -> DataFrame:
+    """Chunks of all documents by a registered strategy (None: the domain's), within the size limits."""
+    return _strategy(docs, strategy, replace(config or ChunkConfig(), failures=False, **sizes), domain)
+
+
+def outcomes(docs: DataFrame, strategy: str | None = None, config: ChunkConfig | None = None, domain: str = "general", **sizes) -> DataFrame:
+    """The rows of :func:`chunk` with a null ``error``, and one row with an error for each document that a splitter failed on.
+
+    Such a document has no other row. Strategies made of expressions fail on no single document. Keep the frame with
+    ``outcomes.store`` to use both kinds of rows without a second pass.
+    """
+    made = _strategy(docs, strategy, replace(config or ChunkConfig(), failures=True, **sizes), domain)
+    return made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string"))

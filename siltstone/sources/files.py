@@ -148,6 +148,10 @@ class LoaderRegistry:
         if fs.getFileStatus(hadoop).isFile() and not any(path.lower().endswith(e) for e in self.extensions()):
             ext = re.search(r"(\.[^./\\]+)?$", path)[0]
             return spark.createDataFrame([(path, None, None, None, None, f"No loader for extension {ext}", "failed")], schema)
+        return self.parse(files).orderBy("source")
+
+    def parse(self, files: DataFrame) -> DataFrame:
+        """What :meth:`load` returns, unsorted, for the supported files of a binary-file frame."""
         files = files.withColumn("loader", self.route(F.col("path"))).where("loader is not null")
         columns = [F.col("path").alias("source"), T.document_id(F.col("path")).alias("doc_id"), "loader", "text", "tables", "error"]
         large = F.col("length") > MAX_FILE_BYTES
@@ -156,7 +160,7 @@ class LoaderRegistry:
             out = out.unionByName(x.parse(files.where(~large & (F.col("loader") == x.name))).select(*columns))
         out = out.withColumn("text", T.preprocess(F.col("text")))
         status = F.when(F.col("error").isNotNull(), "failed").when(F.coalesce(F.length("text"), F.lit(0)) == 0, "skipped").otherwise("ok")
-        return out.withColumn("status", status).orderBy("source")
+        return out.withColumn("status", status)
 
 
 def load_summary(loaded: DataFrame) -> DataFrame:
