@@ -239,18 +239,18 @@ def semantic(sentence_vectors: DataFrame, config: ChunkConfig) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, text) of paragraphs."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("pos", "text")).where(F.trim("text") != "")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("pos", "text")).where(T.trim(F.col("text")) != "")
 
 
 def clauses(text: Column) -> Column:
     """Offline stand-in for a language model's claims: sentences cut at semicolons."""
-    return F.flatten(F.transform(T.sentences(text), lambda s: F.filter(F.transform(F.split(s, ";"), F.trim), lambda c: c != "")))
+    return F.flatten(F.transform(T.sentences(text), lambda s: F.filter(F.transform(F.split(s, ";"), T.trim), lambda c: c != "")))
 
 
 def propositional(docs: DataFrame, config: ChunkConfig, claims: Callable[[Column], Column] = clauses, short: int = 30) -> DataFrame:
     """Claims of every paragraph; paragraphs below ``short`` tokens stay as they are. ``claims`` is the pluggable model."""
     para = paragraphs(docs)
-    found = F.when(T.token_count(F.col("text")) < short, F.array(F.trim("text"))).otherwise(claims(F.col("text")))
+    found = F.when(T.token_count(F.col("text")) < short, F.array(T.trim(F.col("text")))).otherwise(claims(F.col("text")))
     rows = para.select("doc_id", "pos", F.posexplode(found).alias("k", "text"))
     out = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "k")) - 1)
     return shaped(out.select("doc_id", "chunk_index", "text"), "propositional")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from siltstone.functions import text as T
 from siltstone.operators import chunkers
 from siltstone.operators.chunkers import ChunkConfig
 
@@ -65,7 +67,7 @@ def test_overlap_hands_on_last_words():
     assert chunkers.merge_short(["a", "b c"], ChunkConfig(min_chunk_size=2)) == ["a b c"]
 
 
-@pytest.mark.parametrize("gap", ["\t", " ", "\t\t\x0b"])
+@pytest.mark.parametrize("gap", ["\t", "\u2003", "\t\t\x0b"])
 def test_recursive_keeps_words_of_any_white_space(spark, gap):
     """No word is lost where the text has none of the separators."""
     words = [f"w{i}" for i in range(1000)]
@@ -75,3 +77,12 @@ def test_recursive_keeps_words_of_any_white_space(spark, gap):
     for doc in (1, 2):
         held = [w for r in rows if r.doc_id == doc for w in r.text.split()]
         assert sorted(held) == sorted(words) and all(r.token_count <= 100 for r in rows)
+
+
+def test_spaces_of_any_width_are_trimmed(spark):
+    """Sentences and claims lose space separators at both ends, and nothing else; a vertical tab parts no words."""
+    d = docs(spark, "One two. \u00a0Three four.\u3000 Five\x0bsix. \u2003", "\u00a0", None)
+    assert [r.s for r in d.select(T.sentences(F.col("text")).alias("s")).collect()] == [["One two.", "Three four.\u3000 Five\x0bsix."], [], None]
+    assert [r.n for r in docs(spark, "a\x0bb c").select(T.token_count(F.col("text")).alias("n")).collect()] == [2]
+    claims = chunkers.propositional(docs(spark, "\u00a0a b; c d\u3000\n\n\u3000"), ChunkConfig(), short=1).orderBy("chunk_index").collect()
+    assert [r.text for r in claims] == ["a b", "c d"]
