@@ -30,5 +30,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    bound = F.transform(F.array(norm(v)), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
+    return F.get(bound, F.lit(0))  # the length is the variable of a lambda, so it isn't computed again for each component

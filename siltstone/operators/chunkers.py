@@ -227,14 +227,24 @@ def semantic(sentence_vectors: DataFrame, config: ChunkConfig) -> DataFrame:
     A break stands before a sentence whose cosine to the one before is below the threshold. The last run of a
     document is kept if it isn't blank, others only above the least size.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = sentence_vectors.withColumn("sim", V.cosine(F.lag("vec").over(order), F.col("vec")))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("sim") < config.breakpoint, 1).otherwise(0)).over(order))
-    runs = rows.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    runs = runs.select("doc_id", "run", F.array_join("s.sentence", " ").alias("text"), (F.max("run").over(Window.partitionBy("doc_id")) == F.col("run")).alias("last"))
-    kept = runs.where(F.when(F.col("last"), F.trim("text") != "").otherwise(T.token_count(F.col("text")) > config.min_chunk_size))
-    out = kept.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1)
-    return shaped(out.select("doc_id", "chunk_index", "text"), "semantic")
+    s = F.array_sort(F.collect_list(F.struct("pos", "sentence", "vec")))
+    rows = sentence_vectors.groupBy("doc_id").agg(s.alias("s"))
+    return semantic_rows(rows.select("doc_id", F.col("s.sentence").alias("sentences"), F.col("s.vec").alias("vecs")), config)
+
+
+def semantic_rows(docs: DataFrame, config: ChunkConfig) -> DataFrame:
+    """The same from documents' rows (doc_id, sentences, vecs), arrays in the order of the text: nothing is shuffled."""
+    similar = lambda x, i: V.cosine(F.get("vecs", i - 1), x)
+    breaks = F.transform("vecs", lambda x, i: F.when((i > 0) & (similar(x, i) < config.breakpoint), i))
+    rows = docs.select("doc_id", "sentences", F.concat(F.array(F.lit(0)), F.array_compact(breaks)).alias("at"))
+
+    def run(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("at", k + 1), F.size("sentences"))
+        return F.struct(F.array_join(F.slice("sentences", at + 1, end - at), " ").alias("text"), (k + 1 == F.size("at")).alias("last"))
+
+    runs = rows.select("doc_id", F.transform("at", run).alias("runs"))
+    kept = F.filter("runs", lambda r: F.when(r["last"], T.trim(r["text"]) != "").otherwise(T.token_count(r["text"]) > config.min_chunk_size))
+    return shaped(runs.select("doc_id", F.posexplode(kept["text"]).alias("chunk_index", "text")), "semantic")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:

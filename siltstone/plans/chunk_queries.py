@@ -99,10 +99,8 @@ def chunk_propositional(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of similar sentences by hashed vectors."""
-    s = docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    keyed = s.select(F.struct("doc_id", "pos", "sentence").alias("k"), "sentence")
-    v = dense.hashed_vectors(keyed, dim=16, doc_id="k", text="sentence").select("doc_id.*", "vec")
-    return digested(chunkers.size_filter(chunkers.semantic(v, ChunkConfig(min_chunk_size=10, breakpoint=0.5)), CONFIG))
+    v = dense.hashed_sentences(docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("sentences")), dim=16)
+    return digested(chunkers.size_filter(chunkers.semantic_rows(v, ChunkConfig(min_chunk_size=10, breakpoint=0.5)), CONFIG))
 
 
 WHOLE = ChunkConfig(chunk_size=1_000_000, chunk_overlap=0, min_chunk_size=1, max_chunk_size=1_000_000)

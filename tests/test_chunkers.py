@@ -67,7 +67,7 @@ def test_overlap_hands_on_last_words():
     assert chunkers.merge_short(["a", "b c"], ChunkConfig(min_chunk_size=2)) == ["a b c"]
 
 
-@pytest.mark.parametrize("gap", ["\t", "\u2003", "\t\t\x0b"])
+@pytest.mark.parametrize("gap", ["\t", " ", "\t\t\x0b"])
 def test_recursive_keeps_words_of_any_white_space(spark, gap):
     """No word is lost where the text has none of the separators."""
     words = [f"w{i}" for i in range(1000)]
@@ -86,3 +86,23 @@ def test_spaces_of_any_width_are_trimmed(spark):
     assert [r.n for r in docs(spark, "a\x0bb c").select(T.token_count(F.col("text")).alias("n")).collect()] == [2]
     claims = chunkers.propositional(docs(spark, "\u00a0a b; c d\u3000\n\n\u3000"), ChunkConfig(), short=1).orderBy("chunk_index").collect()
     assert [r.text for r in claims] == ["a b", "c d"]
+
+
+def test_semantic_chunks_shuffle_nothing(spark):
+    """The rows of the query's plan stay where they are, and equal those made from sentences in rows of their own."""
+    from siltstone.operators import dense
+
+    d = docs(spark, "The cat sat. The cat sat. Ships sail far away. Ships sail far away now.", "", None, "One. Two. Three.", ". ".join(f"w{i % 7} v{i % 3} u" for i in range(60)))
+    config = ChunkConfig(min_chunk_size=2, breakpoint=0.5)
+    got = chunkers.semantic_rows(dense.hashed_sentences(d.select("doc_id", T.sentences(F.col("text")).alias("sentences")), dim=16), config)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    s = d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    v = dense.hashed_vectors(s.select(F.struct("doc_id", "pos", "sentence").alias("k"), "sentence"), dim=16, doc_id="k", text="sentence").select("doc_id.*", "vec")
+    rows = lambda df: sorted((r.doc_id, r.chunk_index, r.text) for r in df.collect())
+    assert rows(got) == rows(chunkers.semantic(v, config)) and len(rows(got)) > 5
+
+
+def test_nfc_of_mixed_batches(spark):
+    texts = [None, "", "é", "plain", "한"] * 300
+    got = docs(spark, *texts).coalesce(1).orderBy("doc_id").select(T.nfc(F.col("text")).alias("t")).collect()
+    assert [r.t for r in got] == [None, "", "é", "plain", "한"] * 300
