@@ -5,8 +5,19 @@ A run is (query_id, doc_id, rank), qrels are (query_id, doc_id, grade); a grade
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions import text as T
+from .dense import QUERY_BLOCK
 
 # --- fixed values: cut-offs, bands and targets of the reports ---------------------------------------------------
 NDCG_CUTS, PRECISION_CUTS, RECALL_CUTS = (1, 3, 5, 10), (1, 3, 5, 10), (5, 10)
@@ -111,3 +122,60 @@ def answer_targets(means: DataFrame) -> DataFrame:
     have = {m: c for m in RAG_TARGETS for c in (m, f"{m}_proxy") if c in means.columns}
     rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"), F.lit(RAG_TARGETS[m]).alias("target"), F.coalesce(F.col(c) >= RAG_TARGETS[m], F.lit(False)).alias("met")) for m, c in have.items()))
     return means.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def window_hashes(tokens: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all windows of ``n`` tokens, of all tokens where a row has fewer; rows without tokens have none."""
+    coded = tokens.flatten().dictionary_encode()
+    if not len(coded):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)[coded.indices.to_numpy()]
+    lengths = pc.list_value_length(tokens).fill_null(0).to_numpy()
+    ends = np.cumsum(lengths)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    left = ends[row] - np.arange(len(row))  # tokens from here to the end of the row
+    rows, hashes, h = [], [], np.zeros(len(own), np.uint64)
+    for k in range(1, n + 1):  # h: of the k tokens from each place on
+        h = h[: len(own) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :]
+        at = np.flatnonzero(left[: len(h)] >= n) if k == n else (ends - lengths)[lengths == k]
+        rows.append(row[at])
+        hashes.append(h[at])
+        if k == len(own):
+            break
+    return np.concatenate(rows), np.concatenate(hashes).view(np.int64)
+
+
+def windows(texts: DataFrame, key: str, n: int, among: Broadcast | None = None) -> DataFrame:
+    """(key, g): hashes of each text's distinct windows of ``n`` tokens; only those in the sorted array ``among``, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                ids, tokens = batch.slice(i, 1024).columns
+                row, g = window_hashes(tokens, n)
+                if among is not None and len(g):
+                    wanted = among.value
+                    held = wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g if len(wanted) else np.zeros(len(g), bool)
+                    row, g = row[held], g[held]
+                order = np.lexsort((g, row))
+                row, g = row[order], g[order]
+                first = np.append(True, (np.diff(row) != 0) | (np.diff(g) != 0))[: len(row)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), pa.array(g[first])], names=[key, "g"])
+
+    rows = texts.select(key, T.tokens(F.col("text")).alias("t"))
+    return rows.mapInArrow(run, StructType([rows.schema[key], StructField("g", LongType())]))
+
+
+def window_matches(passages: DataFrame, docs: DataFrame, n: int, share: float) -> DataFrame:
+    """(query_id, doc_id, share) of documents that hold at least that share of a passage's distinct windows of ``n`` tokens.
+
+    An equi-join on hashes of windows; both sides are cut up whole. The windows of at most QUERY_BLOCK passages are
+    sent to the tasks, which then hand on no other; beyond, all are shuffled.
+    """
+    cut = windows(passages, "query_id", n)
+    sizes = cut.groupBy("query_id").agg(F.count("*").alias("n"))
+    among = None
+    if passages.count() <= QUERY_BLOCK:
+        among = docs.sparkSession.sparkContext.broadcast(np.unique(cut.select("g").toArrow().column(0).to_numpy()))
+    hits = windows(docs, "doc_id", n, among).join(cut, "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("k"))
+    return hits.join(sizes, "query_id").select("query_id", "doc_id", (F.col("k") / F.col("n")).alias("share")).where(F.col("share") >= share)

@@ -19,6 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ PUSHED = 2000
 #: What sums of the same parts in another order can differ by, at most.
 SLACK = 1e-6
 
-DOCS = "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>, part int"
+DOCS = "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>"
 POSTINGS = "term string, batch bigint, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>, bucket int"
 TERMS = "term string, df bigint, bucket int"
 GONE = "doc_id bigint"
@@ -53,24 +54,22 @@ ALL = ""
 def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, dl, digest, terms): each document's terms with their frequencies, counted in its row."""
     names = ["doc_id", "dl", "digest", "terms"]
-    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                ids, digests, tokens = (part.column(c) for c in range(3))
-                rows = tokens.to_pylist()
-                tf: list[dict[str, int]] = []
-                for t in rows:
-                    own: dict[str, int] = {}
-                    for w in t or ():
-                        own[w] = own.get(w, 0) + 1
-                    tf.append(own)
-                terms = pa.array([[{"term": w, "tf": n} for w, n in own.items()] for own in tf], kind)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([None if t is None else len(t) for t in rows], pa.int32()), digests, terms], names=names)
-
-    rows = docs.select(F.col("doc_id").cast("bigint"), digest(F.col("text")), T.tokens(F.col("text")))
+            for i in range(0, batch.num_rows, 1024):
+                ids, digests, tokens = batch.slice(i, 1024).columns
+                lengths = pc.list_value_length(tokens)
+                coded = tokens.flatten().dictionary_encode()
+                n = max(1, len(coded.dictionary))
+                row = np.repeat(np.arange(len(ids)), lengths.fill_null(0).to_numpy())
+                pairs, tf = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+                entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % n)), pa.array(tf, pa.int32())], names=["term", "tf"])
+                terms = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // n, np.arange(len(ids) + 1)), pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([ids, lengths.cast(pa.int32()), digests, terms], names=names)
+
+    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition("doc_id")  # texts are smaller than their terms, and may come in one file
+    rows = dealt.select("doc_id", digest(F.col("text")), T.tokens(F.col("text")))
     return rows.mapInArrow(run, "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>")
 
 
@@ -82,29 +81,45 @@ def digest(text: Column) -> Column:
 def blocks(docs: DataFrame) -> DataFrame:
     """(term, batch, max_tf, min_dl, docs, tfs, dls) of documents (doc_id, dl, terms)."""
     names = ["term", "batch", "max_tf", "min_dl", "docs", "tfs", "dls"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
-    def given(held: dict[str, list[tuple[int, int, int]]], batch: int) -> Iterator[pa.RecordBatch]:
-        terms = sorted(held)
-        for i in range(0, len(terms), 4096):
-            rows = [held[t] for t in terms[i : i + 4096]]
-            columns = [terms[i : i + 4096], [batch] * len(rows), [max(p[1] for p in r) for r in rows], [min(p[2] for p in r) for r in rows], *([[p[k] for p in r] for r in rows] for k in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    def made(terms: pa.Array, starts: np.ndarray, batch: int, ids: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.RecordBatch:
+        """Blocks of postings that are sorted by term; each term's begin at its start."""
+        ends = pa.array(np.append(starts, len(ids)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((ids, pa.int64()), (tf, pa.int32()), (dl, pa.int32()))]
+        most, least = (pa.array(f.reduceat(x, starts), pa.int32()) for f, x in ((np.maximum, tf), (np.minimum, dl)))
+        return pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(starts), batch), pa.int64()), most, least, *lists], names=names)
+
+    def given(held: list[pa.RecordBatch], batch: int) -> Iterator[pa.RecordBatch]:
+        some = pa.Table.from_batches(held).combine_chunks()
+        ids, dl = some.column(0).to_numpy(), some.column(1).fill_null(0).to_numpy()
+        yield made(pa.array([ALL]), np.zeros(1, np.int64), batch, ids, np.zeros(len(ids), np.int32), dl)
+        entries = some.column(2).combine_chunks()
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(entries).fill_null(0).to_numpy())
+        if not len(row):
+            return
+        entries = entries.flatten()
+        coded, tf = entries.field("term").dictionary_encode(), entries.field("tf").to_numpy()
+        order = pc.sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        at = place[coded.indices.to_numpy()]
+        by_term = np.argsort(at, kind="stable")
+        row = row[by_term]
+        yield made(coded.dictionary.take(order), np.searchsorted(at[by_term], np.arange(len(order))), batch, ids[row], tf[by_term], dl[row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[int, int, int]]] = {}
+        held: list[pa.RecordBatch] = []
         n, number = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                for d, dl, terms in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
-                    held.setdefault(ALL, []).append((d, 0, dl or 0))
-                    for x in terms:
-                        held.setdefault(x["term"], []).append((d, x["tf"], dl))
-                    n += 1
-                    if n == BLOCK:
-                        yield from given(held, number)
-                        held, n, number = {}, 0, number + 1
-        yield from given(held, number)
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, BLOCK - n))
+                at, n = at + held[-1].num_rows, n + held[-1].num_rows
+                if n == BLOCK:
+                    yield from given(held, number)
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield from given(held, number)
 
     return docs.select("doc_id", "dl", "terms").mapInArrow(run, "term string, batch bigint, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>")
 
@@ -175,7 +190,7 @@ class PostingIndex:
 
     def documents(self) -> DataFrame:
         """(doc_id, dl, digest, terms, segment) of all documents of this version."""
-        return self._live(self._read("docs").drop("part"))
+        return self._live(self._read("docs"))
 
     def vectors(self) -> DataFrame:
         """(doc_id, vec) of all documents of this version."""
@@ -214,7 +229,6 @@ class PostingIndex:
     def _commit(self, rows: DataFrame, docs: DataFrame | None, gone: DataFrame | None, before: list[int]) -> PostingIndex:
         """Write a segment after those of ``before`` and the manifest that names them."""
         segment = self.manifest["version"] + 1
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
         wanted = self.manifest["vectors"] if before or docs is None else self.embed is not None
         if wanted and docs is None:
             self._write("vectors", segment, self.vectors())
@@ -222,7 +236,7 @@ class PostingIndex:
             raise ValueError("the index has vectors: open it with the function that makes them")
         elif wanted:
             self._write("vectors", segment, self.embed(docs).select("doc_id", F.col("vec").cast("array<double>")))
-        self._write("docs", segment, rows.withColumn("part", part).repartition("part"), "part")
+        self._write("docs", segment, rows)
         mine = self._read("docs", [segment])
         dead = None
         if gone is not None:
@@ -235,7 +249,7 @@ class PostingIndex:
             self._write("dead", segment, held)
         else:
             self._write("gone", segment, mine.select("doc_id").limit(0))
-            self._write("dead", segment, self.spark.createDataFrame([], DEAD))
+            self._write("dead", segment, mine.limit(0).select(F.lit(0).alias("of"), F.col("doc_id").alias("batch"), F.array("doc_id").alias("docs")))
         if gone is not None and not before:
             raise ValueError("there is nothing to remove from")
         sums = (F.count("*").alias("n_docs"), F.count("dl").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))  # a null text has no length
@@ -248,10 +262,10 @@ class PostingIndex:
         buckets = self.manifest["buckets"] if before else min(BUCKETS, max(8, -(-n_docs // BUCKET_DOCS)))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         self._write("postings", segment, blocks(mine).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
-        change = mine.select(F.explode("terms").alias("t"), F.lit(1).alias("d"))
+        change = self._read("postings", [segment]).where(F.col("term") != ALL).select("term", F.size("docs").alias("d"))  # a row for each block, where the documents' terms are one for each posting
         if dead is not None:
-            change = change.union(dead.select(F.explode("terms").alias("t"), F.lit(-1).alias("d")))
-        change = change.groupBy(F.col("t.term").alias("term")).agg(F.sum("d").alias("df")).where("df <> 0")
+            change = change.union(dead.select(F.explode("terms.term").alias("term"), F.lit(-1).alias("d")))
+        change = change.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0")
         self._write("terms", segment, change.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
         df = self._read("terms", [*before, segment]).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         shape = df.groupBy("df").agg(F.count("*").alias("terms"))  # idfs depend on the frequency alone
@@ -289,7 +303,7 @@ class PostingIndex:
 
     def weights(self, wanted: DataFrame, config: Bm25) -> DataFrame:
         """(query_id, term, w) of query terms (query_id, term, qtf) that the index holds."""
-        df = self._read("terms").join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        df = self._read("terms").join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         raw = bm25.raw_idf(F.lit(self.manifest["n_docs"]), F.col("df"))
         idf = F.when(raw < 0, config.epsilon * self.manifest["mean_idf"]).otherwise(raw)
         return wanted.join(df, "term").select("query_id", "term", (idf * F.col("qtf")).alias("w"))
@@ -302,7 +316,7 @@ class PostingIndex:
             named = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.manifest["buckets"])).cast("int").alias("b"))
             blocks = self._read("postings").where(F.col("bucket").isin([r.b for r in named.distinct().collect()]) & F.col("term").isin(terms)).drop("bucket")
         else:
-            blocks = blocks.join(wanted.select("term").distinct(), "term", "left_semi")
+            blocks = blocks.join(F.broadcast(self.spark.createDataFrame(pa.table({"term": rows.column(1).unique()}))), "term", "left_semi")  # of a block of queries; without the hint all postings may be shuffled
         blocks = blocks.select("segment", "batch", "term", "max_tf", "min_dl", "docs", "tfs", "dls")
         if len(self.manifest["segments"]) > 1:
             none = F.array().cast("array<int>")
@@ -315,7 +329,7 @@ class PostingIndex:
                 scorer.add(batch)
             yield scorer.results()
 
-        dealt = blocks.repartition("segment", "batch").sortWithinPartitions("segment", "batch")
+        dealt = blocks.repartition("segment", "batch").sortWithinPartitions("segment", "batch", "term")
         return dealt.mapInArrow(run, "query_id string, doc_id bigint, score double")
 
 

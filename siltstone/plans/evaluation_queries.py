@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import attacks, dense, evaluate, report
-from .indexes import corpus_index
+from ..session import forget_at_end, shared_dir
+from .indexes import corpus_index, stamp
 from .registry import query, table
 from .retrieval_queries import BM25_SQL, DENSE_SQL, HASHED_SQL, Q_SQL, corpus, hashed_arm, probes, questions, rounded, vectors
 from .text_queries import TOKENS_SQL
@@ -45,18 +47,21 @@ LABEL_SQL = f"WITH {DENSE_SQL}, run AS (SELECT * FROM dn WHERE rank <= 10), qs A
 WINDOW, SHARE = 8, 0.5
 
 
+_stored: dict[tuple[str, ...], str] = {}
+
+
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded qrels of passages: documents that hold half of a passage's windows of eight words, one grade higher if of good quality.
-
-    An equi-join on hashes of windows; both sides are cut up whole, and a document's windows are filtered by the
-    passages' before they are counted.
-    """
-    cut = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("t")).select(key, T.windows(F.col("t"), WINDOW).alias("g"))
-    passages = cut(questions(spark, sf_dir), "query_id").withColumn("n", F.size("g")).select("query_id", "n", F.explode_outer("g").alias("g")).where("g is not null")
-    held = cut(corpus(spark, sf_dir), "doc_id").select("doc_id", F.explode_outer("g").alias("g")).where("g is not null")  # unlike explode, it makes no filter that computes the windows at the scan
-    hits = held.join(passages, "g").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= SHARE)
-    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return hits.join(good, "doc_id", "left").select("query_id", "doc_id", (1.0 + F.coalesce("quality", F.lit(0))).alias("grade"))
+    """Graded qrels of passages, made at their first use and kept for the session; anew when the tables' files change."""
+    stamps = [stamp(spark, f"{sf_dir}/{name}.parquet") for name in ("benchmark", "documents", "labels")]
+    key = (spark.sparkContext.applicationId, *stamps)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/known-{uuid.uuid4().hex}"
+        forget_at_end(spark, path)
+        good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        hits = evaluate.window_matches(questions(spark, sf_dir), corpus(spark, sf_dir), WINDOW, SHARE)
+        hits.join(good, "doc_id", "left").select("query_id", "doc_id", (1.0 + F.coalesce("quality", F.lit(0))).alias("grade")).write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema("query_id bigint, doc_id bigint, grade double").parquet(_stored[key])
 
 
 def _windows_sql(key: str, relation: str) -> str:

@@ -51,3 +51,19 @@ def test_plans_push_down(spark):
 
     plan = r.bm25_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "lang" not in plan.split("Physical Plan")[-1]
+
+
+def test_window_matches_equal_plain_sets(spark, monkeypatch):
+    """Texts of any length, repeated windows, nulls; the same whether or not the passages' windows are sent to the tasks."""
+    texts = ["a b c d e", "a b c d x", "a b", "", None, "b", "a b c a b c a b c", "x y z a b c d e"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, "a b a b")], "doc_id long, text string")
+
+    def cut(text):
+        t = (text or "").split()
+        return {tuple(t[i : i + 3]) for i in range(len(t) - 2)} if len(t) >= 3 else {tuple(t)} if t else set()
+
+    wanted = {(q, d.doc_id) for q, text in enumerate(texts) for d in docs.collect() if cut(text) and len(cut(text) & cut(d.text)) / len(cut(text)) >= 0.5}
+    for block in (evaluate.QUERY_BLOCK, 1):
+        monkeypatch.setattr(evaluate, "QUERY_BLOCK", block)
+        assert {(r.query_id, r.doc_id) for r in evaluate.window_matches(asked, docs, 3, 0.5).collect()} == wanted
