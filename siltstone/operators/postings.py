@@ -9,11 +9,13 @@ a version and the corpus' totals; it is renamed into place when all else is writ
 and a commit that was cut short is written again. No query reads a text.
 
 Batches are of the tasks that read the documents, so a term that all documents hold is many blocks and never one group.
+Most terms are rare, so blocks are stored many to a row: what a batch has of a bucket of terms, some ``PACK`` postings a row.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -27,50 +29,65 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import bm25
 from .bm25 import Bm25
-from .dense import best_of
+from .dense import best_of, vector_lists
 
 #: Documents of a batch; queries that are sent to the tasks at once, and scored together.
 BLOCK, QUERY_BLOCK, TILE = 1024, 10_000, 512
 #: Documents for each bucket of terms; buckets at most. Segments from which on they are merged.
-BUCKET_DOCS, BUCKETS, SEGMENTS = 50_000, 4096, 8
-#: Distinct query terms up to which the scan itself filters by them.
-PUSHED = 2000
+BUCKET_DOCS, BUCKETS, SEGMENTS = 5_000, 4096, 8
+#: Postings of a stored row, up to one block more; (query, document) shares that are added up at once, as far as queries can be parted.
+PACK, SHARES = 1024, 2_000_000
+#: The form of stored segments; those before it had a row for each block.
+FORM = 2
 #: What sums of the same parts in another order can differ by, at most.
 SLACK = 1e-6
 
-DOCS = "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>"
+DOCS = "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>, v array<double>"
+PACKED = "batch bigint, terms array<string>, ns array<int>, max_tfs array<int>, min_dls array<int>, docs array<bigint>, tfs array<int>, dls array<int>, bucket int"
 POSTINGS = "term string, batch bigint, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>, bucket int"
 TERMS = "term string, df bigint, bucket int"
 GONE = "doc_id bigint"
 DEAD = "of int, batch bigint, docs array<bigint>"
 VECTORS = "doc_id bigint, vec array<double>"
-SCHEMAS = {"docs": DOCS, "postings": POSTINGS, "terms": TERMS, "gone": GONE, "dead": DEAD, "vectors": VECTORS}
+SCHEMAS = {"docs": DOCS, "packed": PACKED, "postings": POSTINGS, "terms": TERMS, "gone": GONE, "dead": DEAD, "vectors": VECTORS}
 
 
 #: No token is empty: under this term a batch has all its documents.
 ALL = ""
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(doc_id, dl, digest, terms): each document's terms with their frequencies, counted in its row."""
-    names = ["doc_id", "dl", "digest", "terms"]
+def counted(docs: DataFrame, buckets: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, dl, digest, terms, v): each document's terms with their frequencies, counted in its row.
+
+    ``v`` is how many tokens fall into each of the 64 ``buckets`` that a function gives distinct terms; null without one.
+    """
+    names = ["doc_id", "dl", "digest", "terms", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                ids, digests, tokens = batch.slice(i, 1024).columns
-                lengths = pc.list_value_length(tokens)
-                coded = tokens.flatten().dictionary_encode()
-                n = max(1, len(coded.dictionary))
-                row = np.repeat(np.arange(len(ids)), lengths.fill_null(0).to_numpy())
-                pairs, tf = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+                ids, digests, text = batch.slice(i, 1024).columns
+                for c in "\t\n\f\r":
+                    text = pc.replace_substring(text, c, " ")
+                cut = pc.split_pattern(text, " ")  # as T.tokens cuts, without the empty ones below
+                coded = cut.flatten().dictionary_encode()
+                at, n = coded.indices.to_numpy(), max(1, len(coded.dictionary))
+                row = np.repeat(np.arange(len(ids)), pc.list_value_length(cut).fill_null(0).to_numpy())
+                empty = pc.index(coded.dictionary, "").as_py()
+                if empty >= 0:
+                    kept = at != empty
+                    at, row = at[kept], row[kept]
+                lengths = pa.array(np.bincount(row, minlength=len(ids)), pa.int32(), mask=text.is_null().to_numpy(zero_copy_only=False))
+                pairs, tf = np.unique(row * n + at, return_counts=True)
                 entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % n)), pa.array(tf, pa.int32())], names=["term", "tf"])
                 terms = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // n, np.arange(len(ids) + 1)), pa.int32()), entries)
-                yield pa.RecordBatch.from_arrays([ids, lengths.cast(pa.int32()), digests, terms], names=names)
+                v = pa.nulls(len(ids), pa.list_(pa.float64()))
+                if buckets:
+                    v = vector_lists(np.bincount(row * 64 + buckets(coded.dictionary)[at], minlength=len(ids) * 64).reshape(len(ids), 64).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([ids, lengths, digests, terms, v], names=names)
 
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition("doc_id")  # texts are smaller than their terms, and may come in one file
-    rows = dealt.select("doc_id", digest(F.col("text")), T.tokens(F.col("text")))
-    return rows.mapInArrow(run, "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>")
+    return dealt.select("doc_id", digest(F.col("text")), F.lower("text")).mapInArrow(run, DOCS)
 
 
 def digest(text: Column) -> Column:
@@ -78,34 +95,46 @@ def digest(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(term, batch, max_tf, min_dl, docs, tfs, dls) of documents (doc_id, dl, terms)."""
-    names = ["term", "batch", "max_tf", "min_dl", "docs", "tfs", "dls"]
+def bucket_of(terms: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each term."""
+    return np.array([zlib.crc32(t) % buckets for t in terms.cast(pa.binary()).to_pylist()], np.int64)
+
+
+def blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed blocks of documents (doc_id, dl, terms): a row has some of a batch's terms of a bucket, in order, and their postings."""
+    names = [c.split()[0] for c in PACKED.split(", ")]
 
-    def made(terms: pa.Array, starts: np.ndarray, batch: int, ids: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.RecordBatch:
-        """Blocks of postings that are sorted by term; each term's begin at its start."""
-        ends = pa.array(np.append(starts, len(ids)), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((ids, pa.int64()), (tf, pa.int32()), (dl, pa.int32()))]
-        most, least = (pa.array(f.reduceat(x, starts), pa.int32()) for f, x in ((np.maximum, tf), (np.minimum, dl)))
-        return pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(starts), batch), pa.int64()), most, least, *lists], names=names)
+    def made(terms: pa.Array, starts: np.ndarray, bucket: np.ndarray, batch: int, ids: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.RecordBatch:
+        """Rows of postings that are sorted by bucket and term; each term's begin at its start."""
+        n = np.diff(np.append(starts, len(ids)))
+        first = starts[np.searchsorted(bucket, bucket)]  # of the bucket
+        piece = (starts - first) // PACK
+        cut = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(piece) != 0)))  # first terms of rows
+        by_term, by_posting = pa.array(np.append(cut, len(terms)), pa.int32()), pa.array(np.append(starts[cut], len(ids)), pa.int32())
+        of_terms = [terms, *(pa.array(x, pa.int32()) for x in (n, np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)))]
+        of_postings = [pa.array(x, kind) for x, kind in ((ids, pa.int64()), (tf, pa.int32()), (dl, pa.int32()))]
+        lists = [pa.ListArray.from_arrays(by_term, x) for x in of_terms] + [pa.ListArray.from_arrays(by_posting, x) for x in of_postings]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), batch), pa.int64()), *lists, pa.array(bucket[cut], pa.int32())], names=names)
 
     def given(held: list[pa.RecordBatch], batch: int) -> Iterator[pa.RecordBatch]:
         some = pa.Table.from_batches(held).combine_chunks()
         ids, dl = some.column(0).to_numpy(), some.column(1).fill_null(0).to_numpy()
-        yield made(pa.array([ALL]), np.zeros(1, np.int64), batch, ids, np.zeros(len(ids), np.int32), dl)
+        all_ = pa.array([ALL])
+        yield made(all_, np.zeros(1, np.int64), bucket_of(all_, buckets), batch, ids, np.zeros(len(ids), np.int32), dl)
         entries = some.column(2).combine_chunks()
         row = np.repeat(np.arange(len(ids)), pc.list_value_length(entries).fill_null(0).to_numpy())
         if not len(row):
             return
         entries = entries.flatten()
         coded, tf = entries.field("term").dictionary_encode(), entries.field("tf").to_numpy()
-        order = pc.sort_indices(coded.dictionary)
-        place = np.empty(len(order), np.int64)
-        place[order.to_numpy()] = np.arange(len(order))
+        bucket, place = bucket_of(coded.dictionary, buckets), np.empty(len(coded.dictionary), np.int64)
+        by_name = pc.sort_indices(coded.dictionary).to_numpy()
+        order = by_name[np.argsort(bucket[by_name], kind="stable")]
+        place[order] = np.arange(len(order))
         at = place[coded.indices.to_numpy()]
         by_term = np.argsort(at, kind="stable")
         row = row[by_term]
-        yield made(coded.dictionary.take(order), np.searchsorted(at[by_term], np.arange(len(order))), batch, ids[row], tf[by_term], dl[row])
+        yield made(coded.dictionary.take(pa.array(order)), np.searchsorted(at[by_term], np.arange(len(order))), bucket[order], batch, ids[row], tf[by_term], dl[row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -121,7 +150,27 @@ def blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield from given(held, number)
 
-    return docs.select("doc_id", "dl", "terms").mapInArrow(run, "term string, batch bigint, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>")
+    return docs.select("doc_id", "dl", "terms").mapInArrow(run, PACKED)
+
+
+def unpacked(packed: DataFrame, terms: pa.Array | None = None) -> DataFrame:
+    """(segment, batch, term, max_tf, min_dl, docs, tfs, dls): a row for each block of the given terms, of all if none are given."""
+    names = ["segment", "batch", "term", "max_tf", "min_dl", "docs", "tfs", "dls"]
+    shared = packed.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                term, n, most, least, ids, tf, dl = (part.column(c).flatten() for c in range(2, 9))
+                at = pa.array(np.arange(len(term)) if wanted is None else np.flatnonzero(pc.is_in(term, value_set=wanted).to_numpy(zero_copy_only=False)))
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy())[at.to_numpy()]
+                ends = pa.array(np.append(0, np.cumsum(n.to_numpy())), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x).take(at) for x in (ids, tf, dl)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in (0, 1)), term.take(at), most.take(at), least.take(at), *lists], names=names)
+
+    return packed.select("segment", *(c.split()[0] for c in PACKED.split(", ")[:-1])).mapInArrow(run, "segment int, batch bigint, term string, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>")
 
 
 class PostingIndex:
@@ -142,7 +191,7 @@ class PostingIndex:
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
         versions = sorted(n for n in names if n.startswith("manifest-") and n.endswith(".json"))
         if not versions:
-            return {"version": 0, "segments": [], "n_docs": 0, "texts": 0, "length": 0, "mean_idf": 0.0, "buckets": 1, "vectors": False}
+            return {"version": 0, "segments": [], "n_docs": 0, "texts": 0, "length": 0, "mean_idf": 0.0, "buckets": 1, "vectors": False, "form": FORM}
         stream = fs.open(self._fs(versions[-1])[1])
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -169,6 +218,8 @@ class PostingIndex:
 
     def _read(self, name: str, segments: list[int] | None = None) -> DataFrame:
         """A table of the given segments with the column ``segment``."""
+        if name == "postings" and self.manifest.get("form") == FORM:
+            return unpacked(self._read("packed", segments))
         schema = f"{SCHEMAS[name]}, segment int"
         paths = [f"{self.path}/{name}/segment={s}" for s in (self.manifest["segments"] if segments is None else segments)]
         if not paths:
@@ -198,7 +249,10 @@ class PostingIndex:
 
     def build(self, docs: DataFrame) -> PostingIndex:
         """Index documents (doc_id, text) anew; earlier versions are no longer read."""
-        return self._commit(counted(docs), docs, None, [])
+        return self._commit(self._counted(docs), docs, None, [])
+
+    def _counted(self, docs: DataFrame) -> DataFrame:
+        return counted(docs, getattr(self.embed, "buckets", None))
 
     def sync(self, docs: DataFrame) -> PostingIndex:
         """Make the index that of the documents (doc_id, text): new, changed and missing ones make the next segment.
@@ -217,8 +271,10 @@ class PostingIndex:
         """The next version: documents (doc_id, text) put in or replaced, others (doc_id) removed."""
         if not self.exists():
             return self.build(changed)
+        if self.manifest.get("form") != FORM:
+            self.compact()
         gone = changed.select(F.col("doc_id").cast("bigint").alias("doc_id")).union(removed.select(F.col("doc_id").cast("bigint"))).distinct()
-        self._commit(counted(changed), changed, gone, self.manifest["segments"])
+        self._commit(self._counted(changed), changed, gone, self.manifest["segments"])
         return self.compact() if len(self.manifest["segments"]) >= SEGMENTS else self
 
     def compact(self) -> PostingIndex:
@@ -230,13 +286,17 @@ class PostingIndex:
         """Write a segment after those of ``before`` and the manifest that names them."""
         segment = self.manifest["version"] + 1
         wanted = self.manifest["vectors"] if before or docs is None else self.embed is not None
-        if wanted and docs is None:
-            self._write("vectors", segment, self.vectors())
-        elif wanted and not self.embed:
+        if wanted and docs is not None and not self.embed:
             raise ValueError("the index has vectors: open it with the function that makes them")
-        elif wanted:
-            self._write("vectors", segment, self.embed(docs).select("doc_id", F.col("vec").cast("array<double>")))
         self._write("docs", segment, rows)
+        if wanted:
+            if docs is None:
+                vectors = self.vectors()
+            elif hasattr(self.embed, "of_counts"):
+                vectors = self.embed.of_counts(self._read("docs", [segment]).select("doc_id", "v"))
+            else:
+                vectors = self.embed(docs)
+            self._write("vectors", segment, vectors.select("doc_id", F.col("vec").cast("array<double>")))
         mine = self._read("docs", [segment])
         dead = None
         if gone is not None:
@@ -244,7 +304,7 @@ class PostingIndex:
             self._write("gone", segment, have.join(gone, "doc_id", "left_semi").select("doc_id"))
             removed = self._read("gone", [segment]).select("doc_id")
             dead = have.join(removed, "doc_id", "left_semi")
-            members = self._read("postings").where(F.col("term") == ALL).select(F.col("segment").alias("of"), "batch", F.explode("docs").alias("doc_id"))
+            members = self._blocks(pa.array([ALL])).select(F.col("segment").alias("of"), "batch", F.explode("docs").alias("doc_id"))
             held = members.join(removed, "doc_id").groupBy("of", "batch").agg(F.collect_set("doc_id").alias("docs"))  # at most a batch
             self._write("dead", segment, held)
         else:
@@ -260,18 +320,19 @@ class PostingIndex:
         now = {k: totals[k] + (self.manifest[k] - lost[k] if lost else 0) for k in ("n_docs", "texts", "length")}
         n_docs = now["n_docs"]
         buckets = self.manifest["buckets"] if before else min(BUCKETS, max(8, -(-n_docs // BUCKET_DOCS)))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self._write("postings", segment, blocks(mine).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
-        change = self._read("postings", [segment]).where(F.col("term") != ALL).select("term", F.size("docs").alias("d"))  # a row for each block, where the documents' terms are one for each posting
+        self._write("packed", segment, blocks(mine, buckets).repartition("bucket").sortWithinPartitions("bucket", "batch"), "bucket")
+        held = self._read("packed", [segment]).select(F.explode(F.arrays_zip("terms", "ns")).alias("t"))  # a row for each block, where the documents' terms are one for each posting
+        change = held.select(F.col("t.terms").alias("term"), F.col("t.ns").alias("d")).where(F.col("term") != ALL)
         if dead is not None:
             change = change.union(dead.select(F.explode("terms.term").alias("term"), F.lit(-1).alias("d")))
         change = change.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(max(8, buckets // 10))).cast("int")
         self._write("terms", segment, change.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
         df = self._read("terms", [*before, segment]).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         shape = df.groupBy("df").agg(F.count("*").alias("terms"))  # idfs depend on the frequency alone
         raw = bm25.raw_idf(F.lit(n_docs), F.col("df"))
         mean = shape.agg((F.sum(raw * F.col("terms")) / F.sum("terms")).alias("mean")).first().mean
-        self._publish({"version": segment, "segments": [*before, segment], **now, "mean_idf": mean or 0.0, "buckets": buckets, "vectors": wanted})
+        self._publish({"version": segment, "segments": [*before, segment], **now, "mean_idf": mean or 0.0, "buckets": buckets, "vectors": wanted, "form": FORM})
         return self
 
     # --- reading ----------------------------------------------------------------------------------------------
@@ -308,16 +369,19 @@ class PostingIndex:
         idf = F.when(raw < 0, config.epsilon * self.manifest["mean_idf"]).otherwise(raw)
         return wanted.join(df, "term").select("query_id", "term", (idf * F.col("qtf")).alias("w"))
 
+    def _blocks(self, terms: pa.Array) -> DataFrame:
+        """(segment, batch, term, max_tf, min_dl, docs, tfs, dls) of some terms; folders of other buckets are left out."""
+        if self.manifest.get("form") != FORM:
+            named = F.broadcast(self.spark.createDataFrame(pa.table({"term": terms})))
+            return self._read("postings").join(named, "term", "left_semi").select("segment", "batch", "term", "max_tf", "min_dl", "docs", "tfs", "dls")
+        packed, buckets = self._read("packed"), sorted(set(bucket_of(terms, self.manifest["buckets"]).tolist()))
+        if len(buckets) < self.manifest["buckets"]:
+            packed = packed.where(F.col("bucket").isin(buckets))
+        return unpacked(packed, terms)
+
     def _block_topk(self, wanted: DataFrame, k: int, config: Bm25, skip: bool) -> DataFrame:
         rows = self.weights(wanted, config).select(F.col("query_id").cast("string"), "term", "w").toArrow()  # of at most QUERY_BLOCK queries
-        terms = rows.column(1).unique().to_pylist()
-        blocks = self._read("postings").drop("bucket")
-        if len(terms) <= PUSHED:  # whole folders and row groups are left out
-            named = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.manifest["buckets"])).cast("int").alias("b"))
-            blocks = self._read("postings").where(F.col("bucket").isin([r.b for r in named.distinct().collect()]) & F.col("term").isin(terms)).drop("bucket")
-        else:
-            blocks = blocks.join(F.broadcast(self.spark.createDataFrame(pa.table({"term": rows.column(1).unique()}))), "term", "left_semi")  # of a block of queries; without the hint all postings may be shuffled
-        blocks = blocks.select("segment", "batch", "term", "max_tf", "min_dl", "docs", "tfs", "dls")
+        blocks = self._blocks(rows.column(1).unique())
         if len(self.manifest["segments"]) > 1:
             none = F.array().cast("array<int>")
             blocks = blocks.union(self._read("dead").select("of", "batch", F.lit(ALL), F.lit(0), F.lit(0), "docs", none, none))
@@ -386,20 +450,32 @@ class Scorer:
             return
         docs = np.unique(np.concatenate([b[3] for b in blocks]))
         live = ~np.isin(docs, np.concatenate(dead)) if dead else np.ones(len(docs), bool)
-        parts = [(self.of[b[0]], np.searchsorted(docs, b[3]), self.part(b[4].astype(np.float64), b[5])) for b in blocks]
+        sizes = np.array([len(b[3]) for b in blocks])
+        starts = np.append(0, np.cumsum(sizes))
+        at = np.searchsorted(docs, np.concatenate([b[3] for b in blocks]))
+        part = self.part(np.concatenate([b[4] for b in blocks]).astype(np.float64), np.concatenate([b[5] for b in blocks]))
+        query = np.concatenate([self.of[b[0]][0] for b in blocks])
+        weight = np.concatenate([self.of[b[0]][1] for b in blocks])
+        block = np.repeat(np.arange(len(blocks)), [len(self.of[b[0]][0]) for b in blocks])
+        order = np.argsort(query, kind="stable")  # a query's terms stay in order, so equal documents have equal sums
+        order = order[hit[query[order]]]
+        query, weight, block = query[order], weight[order], block[order]
         open_ = np.flatnonzero(hit)
-        for i in range(0, len(open_), TILE):
-            rows = open_[i : i + TILE]
-            place = np.full(len(self.names), -1)
-            place[rows] = np.arange(len(rows))
-            scores, found = np.zeros((len(rows), len(docs))), np.zeros((len(rows), len(docs)), bool)
-            for (q, w), at, part in parts:
-                mine = place[q] >= 0
-                to = np.ix_(place[q[mine]], at)
-                scores[to] += w[mine, None] * part
-                found[to] = True
+        first = np.append(np.searchsorted(query, open_), len(query))
+        shares = np.append(0, np.cumsum(sizes[block]))[first]
+        i = 0
+        while i < len(open_):
+            j = min(max(i + 1, int(np.searchsorted(shares, shares[i] + SHARES, "right")) - 1), i + TILE, len(open_))
+            rows, some = open_[i:j], slice(first[i], first[j])
+            n = sizes[block[some]]
+            each = np.repeat(starts[block[some]] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+            cell = np.repeat(np.searchsorted(rows, query[some]), n) * len(docs) + at[each]
+            shape = (len(rows), len(docs))
+            scores = np.bincount(cell, np.repeat(weight[some], n) * part[each], len(rows) * len(docs)).reshape(shape)
+            found = np.bincount(cell, minlength=len(rows) * len(docs)).reshape(shape) > 0
             scores[~(found & live)] = -np.inf
             self.score[rows], self.doc[rows] = best_of(self.score[rows], self.doc[rows], scores, docs, self.k)
+            i = j
 
     def results(self) -> pa.RecordBatch:
         """(query_id, doc_id, score) of the best of all batches."""
