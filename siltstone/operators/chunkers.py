@@ -127,12 +127,13 @@ def merge_short(pieces: list[str], config: ChunkConfig) -> list[str]:
     return out
 
 
-def cut_texts(rows: DataFrame, config: ChunkConfig) -> DataFrame:
+def cut_texts(rows: DataFrame, config: ChunkConfig, fits: bool = False) -> DataFrame:
     """(keys..., part, text, error?) of rows (keys..., text): the non-blank pieces of each text, numbered before blank ones go.
 
-    A text whose splitter raises has no pieces; if failures are rows, it gives one with the error.
+    A text whose splitter raises has no pieces; if failures are rows, it gives one with the error. With ``fits`` the column
+    before the text tells which ones stay as they are.
     """
-    n, split = len(rows.columns) - 1, config.splitter or split_recursively
+    n, split = len(rows.columns) - 1 - fits, config.splitter or split_recursively
 
     def pieces(text: str | None) -> list[tuple[int, str | None, str | None]]:
         try:
@@ -146,7 +147,8 @@ def cut_texts(rows: DataFrame, config: ChunkConfig) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 some = batch.slice(i, 128)
-                found = [(r, *x) for r, text in enumerate(some.column(n).to_pylist()) for x in pieces(text)]
+                stays = some.column(n).to_pylist() if fits else [False] * some.num_rows
+                found = [(r, *x) for r, text in enumerate(some.column(n + fits).to_pylist()) for x in ([(0, text, None)] if stays[r] else pieces(text))]
                 at, part, texts, errors = zip(*found, strict=True) if found else [()] * 4
                 columns = [c.take(pa.array(at, pa.int64())) for c in some.columns[:n]] + [pa.array(part, pa.int32()), pa.array(texts, pa.string())]
                 names = [*batch.schema.names[:n], "part", "text"]
@@ -198,19 +200,18 @@ def section_rows(docs: DataFrame) -> DataFrame:
     def section(at: Column, k: Column) -> Column:
         end = F.coalesce(F.get("at", k + 1), F.size("lines"))
         heading = F.when(at < 0, "Introduction").otherwise(trimmed(F.get("lines", at)))
-        return F.struct(heading.alias("heading"), F.array_join(F.slice("lines", at + 2, end - at - 1), "\n").alias("body"))
+        return F.struct(heading.alias("heading"), trimmed(F.array_join(F.slice("lines", at + 2, end - at - 1), "\n")).alias("body"))
 
     sections = rows.select("doc_id", F.posexplode(F.transform("at", section)).alias("section", "s"))
-    return sections.select("doc_id", "section", F.col("s.heading").alias("heading"), trimmed(F.col("s.body")).alias("body")).where("body <> ''")
+    return sections.select("doc_id", "section", F.col("s.heading").alias("heading"), F.col("s.body").alias("body")).where("body <> ''")
 
 
 def document_structure(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     """A chunk for every section, heading first; sections above the size are cut recursively, without their heading."""
     rows = section_rows(docs).withColumn("whole", F.concat("heading", F.lit("\n"), "body"))
     fits = T.token_count(F.col("whole")) <= config.chunk_size
-    small = rows.where(fits).select("doc_id", "section", F.lit(0).alias("part"), "heading", F.col("whole").alias("text"))
-    large = rows.where(~fits).select(F.col("doc_id").cast("bigint"), "section", "heading", F.col("body").alias("text"))
-    both = small.unionByName(cut_texts(large, config), allowMissingColumns=True)
+    marked = rows.select(F.col("doc_id").cast("bigint"), "section", "heading", fits.alias("fits"), "whole", "body")
+    both = cut_texts(marked.select("doc_id", "section", "heading", "fits", F.when(F.col("fits"), F.col("whole")).otherwise(F.col("body")).alias("text")), config, fits=True)  # one pass: sections are found once
     order = Window.partitionBy("doc_id").orderBy("section", "part")
     out = both.withColumn("chunk_index", F.row_number().over(order) - 1)
     error = []
