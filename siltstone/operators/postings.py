@@ -1,6 +1,6 @@
 """A BM25 index that is stored once and kept up: blocks of postings by term, read through versioned manifests.
 
-An index is a folder of segments. Each has its documents (length, digest, terms), their postings, changes of document
+An index is a folder of segments. Each has its documents (length, digest), their postings, changes of document
 frequencies, the documents of earlier segments that it replaces or removes, and, if wanted, vectors. Documents are
 taken in batches of at most ``BLOCK``; a block is what one batch has of a term, with its largest term frequency and
 smallest length. So the bounds of a query's terms in a batch add up to a bound of all scores in it, and a task that
@@ -10,6 +10,7 @@ and a commit that was cut short is written again. No query reads a text.
 
 Batches are of the tasks that read the documents, so a term that all documents hold is many blocks and never one group.
 Most terms are rare, so blocks are stored many to a row: what a batch has of a bucket of terms, some ``PACK`` postings a row.
+Documents' own rows come from the same pass over the texts and lie beside them, in buckets below zero.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -37,57 +40,62 @@ BLOCK, QUERY_BLOCK, TILE = 1024, 10_000, 512
 BUCKET_DOCS, BUCKETS, SEGMENTS = 5_000, 4096, 8
 #: Postings of a stored row, up to one block more; (query, document) shares that are added up at once, as far as queries can be parted.
 PACK, SHARES = 1024, 2_000_000
-#: The form of stored segments; those before it had a row for each block.
-FORM = 2
+#: The form of stored segments. Those of form 2 had their documents in a table of their own, with their terms; those before it also had a row for each block.
+FORM = 3
 #: What sums of the same parts in another order can differ by, at most.
 SLACK = 1e-6
 
-DOCS = "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>, v array<double>"
+DOCS = "doc_id bigint, dl int, digest bigint, v array<double>"
+WITH_TERMS = "doc_id bigint, dl int, digest bigint, terms array<struct<term string, tf int>>, v array<double>"
 PACKED = "batch bigint, terms array<string>, ns array<int>, max_tfs array<int>, min_dls array<int>, docs array<bigint>, tfs array<int>, dls array<int>, bucket int"
+MADE = f"{DOCS}, {PACKED}"
 POSTINGS = "term string, batch bigint, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>, bucket int"
 TERMS = "term string, df bigint, bucket int"
 GONE = "doc_id bigint"
 DEAD = "of int, batch bigint, docs array<bigint>"
 VECTORS = "doc_id bigint, vec array<double>"
-SCHEMAS = {"docs": DOCS, "packed": PACKED, "postings": POSTINGS, "terms": TERMS, "gone": GONE, "dead": DEAD, "vectors": VECTORS}
+SCHEMAS = {"docs": WITH_TERMS, "packed": PACKED, "postings": POSTINGS, "terms": TERMS, "gone": GONE, "dead": DEAD, "vectors": VECTORS}
 
 
 #: No token is empty: under this term a batch has all its documents.
 ALL = ""
 
 
-def counted(docs: DataFrame, buckets: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, dl, digest, terms, v): each document's terms with their frequencies, counted in its row.
+@dataclass
+class Cut:
+    """Documents of a batch and their terms: ``row`` and ``at`` are a document and a term of ``terms`` for each token, or, with ``tf``, for each distinct one."""
+
+    ids: pa.Array
+    dl: pa.Array
+    digests: pa.Array
+    v: pa.Array
+    terms: pa.Array
+    row: np.ndarray
+    at: np.ndarray
+    tf: np.ndarray | None = None
+
+
+def cut_texts(docs: pa.Table, buckets: Callable[[pa.Array], np.ndarray] | None = None) -> Cut:
+    """Documents (doc_id, digest, lower-case text) cut into terms.
 
     ``v`` is how many tokens fall into each of the 64 ``buckets`` that a function gives distinct terms; null without one.
     """
-    names = ["doc_id", "dl", "digest", "terms", "v"]
+    ids, digests, text = (c.combine_chunks() for c in docs.columns)
+    row, terms, at = T.cut_lower(text)
+    dl = pa.array(np.bincount(row, minlength=len(ids)), pa.int32(), mask=text.is_null().to_numpy(zero_copy_only=False))
+    v = pa.nulls(len(ids), pa.list_(pa.float64()))
+    if buckets:
+        v = vector_lists(np.bincount(row * 64 + buckets(terms)[at], minlength=len(ids) * 64).reshape(len(ids), 64).astype(np.float64))
+    return Cut(ids, dl, digests, v, terms, row, at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                ids, digests, text = batch.slice(i, 1024).columns
-                for c in "\t\n\f\r":
-                    text = pc.replace_substring(text, c, " ")
-                cut = pc.split_pattern(text, " ")  # as T.tokens cuts, without the empty ones below
-                coded = cut.flatten().dictionary_encode()
-                at, n = coded.indices.to_numpy(), max(1, len(coded.dictionary))
-                row = np.repeat(np.arange(len(ids)), pc.list_value_length(cut).fill_null(0).to_numpy())
-                empty = pc.index(coded.dictionary, "").as_py()
-                if empty >= 0:
-                    kept = at != empty
-                    at, row = at[kept], row[kept]
-                lengths = pa.array(np.bincount(row, minlength=len(ids)), pa.int32(), mask=text.is_null().to_numpy(zero_copy_only=False))
-                pairs, tf = np.unique(row * n + at, return_counts=True)
-                entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % n)), pa.array(tf, pa.int32())], names=["term", "tf"])
-                terms = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // n, np.arange(len(ids) + 1)), pa.int32()), entries)
-                v = pa.nulls(len(ids), pa.list_(pa.float64()))
-                if buckets:
-                    v = vector_lists(np.bincount(row * 64 + buckets(coded.dictionary)[at], minlength=len(ids) * 64).reshape(len(ids), 64).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([ids, lengths, digests, terms, v], names=names)
-
-    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition("doc_id")  # texts are smaller than their terms, and may come in one file
-    return dealt.select("doc_id", digest(F.col("text")), F.lower("text")).mapInArrow(run, DOCS)
+
+def cut_terms(docs: pa.Table) -> Cut:
+    """Documents (doc_id, dl, digest, v, terms) whose terms are counted."""
+    ids, dl, digests, v, entries = (c.combine_chunks() for c in docs.columns)
+    row = np.repeat(np.arange(len(ids)), pc.list_value_length(entries).fill_null(0).to_numpy())
+    entries = entries.flatten()
+    coded = entries.field("term").dictionary_encode()
+    return Cut(ids, dl, digests, v, coded.dictionary, row, coded.indices.to_numpy(), entries.field("tf").to_numpy())
 
 
 def digest(text: Column) -> Column:
@@ -95,46 +103,83 @@ def digest(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
 
 
-def bucket_of(terms: pa.Array, buckets: int) -> np.ndarray:
-    """The bucket of each term."""
-    return np.array([zlib.crc32(t) % buckets for t in terms.cast(pa.binary()).to_pylist()], np.int64)
+#: CRC-32 of each byte.
+CRC = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], np.uint32)
+#: Bytes of a term that are taken a place at a time.
+SHORT = 32
+
 
+def bucket_of(terms: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each term: its CRC-32, computed for all terms a byte at a time; long ones singly."""
+    terms = terms.cast(pa.large_binary())
+    n = pc.binary_length(terms).fill_null(0).to_numpy()
+    if not len(n):
+        return np.empty(0, np.int64)
+    ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)
+    order = np.argsort(-n, kind="stable")
+    starts, alive = ends[:-1][order], np.searchsorted(-n[order], -np.arange(SHORT + 1))  # how many are longer than each place
+    crc = np.full(len(n), 0xFFFFFFFF, np.uint32)
+    for i in range(SHORT):
+        m = alive[i]
+        if not m:
+            break
+        crc[:m] = CRC[(crc[:m] ^ data[starts[:m] + i]) & 0xFF] ^ (crc[:m] >> np.uint32(8))
+    crc ^= np.uint32(0xFFFFFFFF)
+    long = alive[SHORT]
+    crc[:long] = [zlib.crc32(data[a : a + k].tobytes()) for a, k in zip(starts[:long].tolist(), n[order[:long]].tolist())]
+    out = np.empty(len(n), np.int64)
+    out[order] = crc.astype(np.int64) % buckets
+    return out
+
+
+def segment_rows(docs: DataFrame, buckets: int, cut: Callable[[pa.Table], Cut]) -> DataFrame:
+    """Rows of a segment, made in one pass over documents that ``cut`` takes: each document's own and packed blocks.
+
+    A packed row has some of a batch's terms of a bucket, in order, and their postings. Documents must come in an order
+    that a repeated task sees again, as batches are known by their place in it.
+    """
+    kinds = {c: arrow_type(kind) for c, kind in (x.split() for x in MADE.split(", "))}
 
-def blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed blocks of documents (doc_id, dl, terms): a row has some of a batch's terms of a bucket, in order, and their postings."""
-    names = [c.split()[0] for c in PACKED.split(", ")]
+    def whole(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        n = len(columns["bucket"])
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kinds[c]) for c in kinds], names=list(kinds))
 
     def made(terms: pa.Array, starts: np.ndarray, bucket: np.ndarray, batch: int, ids: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.RecordBatch:
         """Rows of postings that are sorted by bucket and term; each term's begin at its start."""
         n = np.diff(np.append(starts, len(ids)))
         first = starts[np.searchsorted(bucket, bucket)]  # of the bucket
         piece = (starts - first) // PACK
-        cut = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(piece) != 0)))  # first terms of rows
-        by_term, by_posting = pa.array(np.append(cut, len(terms)), pa.int32()), pa.array(np.append(starts[cut], len(ids)), pa.int32())
-        of_terms = [terms, *(pa.array(x, pa.int32()) for x in (n, np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)))]
-        of_postings = [pa.array(x, kind) for x, kind in ((ids, pa.int64()), (tf, pa.int32()), (dl, pa.int32()))]
-        lists = [pa.ListArray.from_arrays(by_term, x) for x in of_terms] + [pa.ListArray.from_arrays(by_posting, x) for x in of_postings]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), batch), pa.int64()), *lists, pa.array(bucket[cut], pa.int32())], names=names)
+        at = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(piece) != 0)))  # first terms of rows
+        by_term, by_posting = pa.array(np.append(at, len(terms)), pa.int32()), pa.array(np.append(starts[at], len(ids)), pa.int32())
+        of_terms = {"terms": terms, "ns": pa.array(n, pa.int32()), "max_tfs": pa.array(np.maximum.reduceat(tf, starts), pa.int32()), "min_dls": pa.array(np.minimum.reduceat(dl, starts), pa.int32())}
+        of_postings = {"docs": pa.array(ids, pa.int64()), "tfs": pa.array(tf, pa.int32()), "dls": pa.array(dl, pa.int32())}
+        lists = {c: pa.ListArray.from_arrays(by_term, x) for c, x in of_terms.items()} | {c: pa.ListArray.from_arrays(by_posting, x) for c, x in of_postings.items()}
+        return whole({"batch": pa.array(np.full(len(at), batch), pa.int64()), **lists, "bucket": pa.array(bucket[at], pa.int32())})
 
     def given(held: list[pa.RecordBatch], batch: int) -> Iterator[pa.RecordBatch]:
-        some = pa.Table.from_batches(held).combine_chunks()
-        ids, dl = some.column(0).to_numpy(), some.column(1).fill_null(0).to_numpy()
+        c = cut(pa.Table.from_batches(held))
+        ids, dl = c.ids.to_numpy(), c.dl.fill_null(0).to_numpy()
+        below = -1 - ((batch >> 32) + (batch & 0xFFFFFFFF)) % buckets
+        yield whole({"doc_id": c.ids, "dl": c.dl, "digest": c.digests, "v": c.v, "batch": pa.array(np.full(len(ids), batch), pa.int64()), "bucket": pa.array(np.full(len(ids), below), pa.int32())})
         all_ = pa.array([ALL])
         yield made(all_, np.zeros(1, np.int64), bucket_of(all_, buckets), batch, ids, np.zeros(len(ids), np.int32), dl)
-        entries = some.column(2).combine_chunks()
-        row = np.repeat(np.arange(len(ids)), pc.list_value_length(entries).fill_null(0).to_numpy())
-        if not len(row):
+        if not len(c.row):
             return
-        entries = entries.flatten()
-        coded, tf = entries.field("term").dictionary_encode(), entries.field("tf").to_numpy()
-        bucket, place = bucket_of(coded.dictionary, buckets), np.empty(len(coded.dictionary), np.int64)
-        by_name = pc.sort_indices(coded.dictionary).to_numpy()
+        bucket, by_name = bucket_of(c.terms, buckets), pc.sort_indices(c.terms).to_numpy()
         order = by_name[np.argsort(bucket[by_name], kind="stable")]
+        place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        at = place[coded.indices.to_numpy()]
-        by_term = np.argsort(at, kind="stable")
-        row = row[by_term]
-        yield made(coded.dictionary.take(pa.array(order)), np.searchsorted(at[by_term], np.arange(len(order))), bucket[order], batch, ids[row], tf[by_term], dl[row])
+        key = place[c.at] * len(ids) + c.row
+        if c.tf is None:
+            key, tf = np.unique(key, return_counts=True)
+        else:
+            by_term = np.argsort(key)
+            key, tf = key[by_term], c.tf[by_term]
+        at, row = np.divmod(key, len(ids))
+        held_ = np.unique(at)  # the empty token is none
+        order = order[held_]
+        yield made(c.terms.take(pa.array(order)), np.searchsorted(at, held_), bucket[order], batch, ids[row], tf, dl[row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -150,7 +195,12 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from given(held, number)
 
-    return docs.select("doc_id", "dl", "terms").mapInArrow(run, PACKED)
+    return docs.mapInArrow(run, MADE)
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    """Arrow's type of a column type of this module."""
+    return pa.list_(arrow_type(kind[6:-1])) if kind.startswith("array<") else {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[kind]
 
 
 def unpacked(packed: DataFrame, terms: pa.Array | None = None) -> DataFrame:
@@ -218,9 +268,20 @@ class PostingIndex:
 
     def _read(self, name: str, segments: list[int] | None = None) -> DataFrame:
         """A table of the given segments with the column ``segment``."""
-        if name == "postings" and self.manifest.get("form") == FORM:
+        if name == "postings" and self.manifest.get("form", 1) > 1:
             return unpacked(self._read("packed", segments))
-        schema = f"{SCHEMAS[name]}, segment int"
+        if name == "docs" and self.manifest.get("form") == FORM:
+            return self._made(segments).where("bucket < 0").select(*(c.split()[0] for c in DOCS.split(", ")), "segment")
+        if name == "packed":
+            return self._made(segments).where("bucket >= 0").select(*(c.split()[0] for c in PACKED.split(", ")), "segment")
+        return self._stored(name, SCHEMAS[name], segments)
+
+    def _made(self, segments: list[int] | None = None) -> DataFrame:
+        """Documents' rows, in buckets below zero, and packed blocks."""
+        return self._stored("packed", MADE, segments)
+
+    def _stored(self, name: str, columns: str, segments: list[int] | None) -> DataFrame:
+        schema = f"{columns}, segment int"
         paths = [f"{self.path}/{name}/segment={s}" for s in (self.manifest["segments"] if segments is None else segments)]
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -240,19 +301,29 @@ class PostingIndex:
         return rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_by") > F.col("segment")), "left_anti")
 
     def documents(self) -> DataFrame:
-        """(doc_id, dl, digest, terms, segment) of all documents of this version."""
+        """(doc_id, dl, digest, v, segment) of all documents of this version."""
         return self._live(self._read("docs"))
 
+    def _entries(self, docs: DataFrame) -> DataFrame:
+        """(segment, doc_id, term, tf) of documents (segment, doc_id); only their batches are opened."""
+        keys = docs.select("segment", "doc_id")
+        members = self._blocks(pa.array([ALL])).select("segment", "batch", F.explode("docs").alias("doc_id"))
+        packed = self._read("packed").join(members.join(keys, ["segment", "doc_id"], "left_semi").select("segment", "batch").distinct(), ["segment", "batch"], "left_semi")
+        each = unpacked(packed).where(F.col("term") != ALL).select("segment", "term", F.explode(F.arrays_zip("docs", "tfs")).alias("p"))
+        return each.select("segment", F.col("p.docs").alias("doc_id"), "term", F.col("p.tfs").alias("tf")).join(keys, ["segment", "doc_id"], "left_semi")
+
     def vectors(self) -> DataFrame:
         """(doc_id, vec) of all documents of this version."""
         return self._live(self._read("vectors")).select("doc_id", "vec")
 
     def build(self, docs: DataFrame) -> PostingIndex:
         """Index documents (doc_id, text) anew; earlier versions are no longer read."""
-        return self._commit(self._counted(docs), docs, None, [])
+        return self._commit(partial(self._cut, docs), docs, None, [], docs.count())
 
-    def _counted(self, docs: DataFrame) -> DataFrame:
-        return counted(docs, getattr(self.embed, "buckets", None))
+    def _cut(self, docs: DataFrame, buckets: int) -> DataFrame:
+        dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition("doc_id")  # texts are smaller than their terms, and may come in one file
+        lower = dealt.select("doc_id", digest(F.col("text")).alias("digest"), F.lower("text").alias("text"))
+        return segment_rows(lower.sortWithinPartitions("digest", "doc_id"), buckets, partial(cut_texts, buckets=getattr(self.embed, "buckets", None)))
 
     def sync(self, docs: DataFrame) -> PostingIndex:
         """Make the index that of the documents (doc_id, text): new, changed and missing ones make the next segment.
@@ -274,33 +345,38 @@ class PostingIndex:
         if self.manifest.get("form") != FORM:
             self.compact()
         gone = changed.select(F.col("doc_id").cast("bigint").alias("doc_id")).union(removed.select(F.col("doc_id").cast("bigint"))).distinct()
-        self._commit(self._counted(changed), changed, gone, self.manifest["segments"])
+        self._commit(partial(self._cut, changed), changed, gone, self.manifest["segments"])
         return self.compact() if len(self.manifest["segments"]) >= SEGMENTS else self
 
     def compact(self) -> PostingIndex:
         """Merge all segments into one."""
-        live = self.documents().drop("segment")
-        return self._commit(live, None, None, [])
-
-    def _commit(self, rows: DataFrame, docs: DataFrame | None, gone: DataFrame | None, before: list[int]) -> PostingIndex:
-        """Write a segment after those of ``before`` and the manifest that names them."""
+        live = self.documents()
+        if self.manifest.get("form") == FORM:
+            entries = self._entries(live).groupBy("segment", "doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # a document's terms
+            live = live.join(entries, ["segment", "doc_id"], "left")
+        live = live.select("doc_id", "dl", "digest", "v", "terms").repartition("doc_id").sortWithinPartitions("digest", "doc_id")
+        return self._commit(partial(segment_rows, live, cut=cut_terms), None, None, [], self.manifest["n_docs"])
+
+    def _commit(self, rows: Callable[[int], DataFrame], docs: DataFrame | None, gone: DataFrame | None, before: list[int], n_rows: int = 0) -> PostingIndex:
+        """Write a segment after those of ``before`` and the manifest that names them; rows are a function of the number of buckets."""
         segment = self.manifest["version"] + 1
         wanted = self.manifest["vectors"] if before or docs is None else self.embed is not None
         if wanted and docs is not None and not self.embed:
             raise ValueError("the index has vectors: open it with the function that makes them")
-        self._write("docs", segment, rows)
+        buckets = self.manifest["buckets"] if before else min(BUCKETS, max(8, -(-n_rows // BUCKET_DOCS)))
+        self._write("packed", segment, rows(buckets).repartition("bucket").sortWithinPartitions("bucket", "batch"), "bucket")
+        mine = self._made([segment]).where("bucket < 0")
         if wanted:
             if docs is None:
                 vectors = self.vectors()
             elif hasattr(self.embed, "of_counts"):
-                vectors = self.embed.of_counts(self._read("docs", [segment]).select("doc_id", "v"))
+                vectors = self.embed.of_counts(mine.select("doc_id", "v"))
             else:
                 vectors = self.embed(docs)
             self._write("vectors", segment, vectors.select("doc_id", F.col("vec").cast("array<double>")))
-        mine = self._read("docs", [segment])
         dead = None
         if gone is not None:
-            have = self.documents().drop("segment")
+            have = self.documents()
             self._write("gone", segment, have.join(gone, "doc_id", "left_semi").select("doc_id"))
             removed = self._read("gone", [segment]).select("doc_id")
             dead = have.join(removed, "doc_id", "left_semi")
@@ -319,12 +395,10 @@ class PostingIndex:
             return self  # no change, no version
         now = {k: totals[k] + (self.manifest[k] - lost[k] if lost else 0) for k in ("n_docs", "texts", "length")}
         n_docs = now["n_docs"]
-        buckets = self.manifest["buckets"] if before else min(BUCKETS, max(8, -(-n_docs // BUCKET_DOCS)))
-        self._write("packed", segment, blocks(mine, buckets).repartition("bucket").sortWithinPartitions("bucket", "batch"), "bucket")
-        held = self._read("packed", [segment]).select(F.explode(F.arrays_zip("terms", "ns")).alias("t"))  # a row for each block, where the documents' terms are one for each posting
+        held = self._made([segment]).where("bucket >= 0").select(F.explode(F.arrays_zip("terms", "ns")).alias("t"))  # a row for each block, where the documents' terms are one for each posting
         change = held.select(F.col("t.terms").alias("term"), F.col("t.ns").alias("d")).where(F.col("term") != ALL)
         if dead is not None:
-            change = change.union(dead.select(F.explode("terms.term").alias("term"), F.lit(-1).alias("d")))
+            change = change.union(self._entries(dead).select("term", F.lit(-1).alias("d")))
         change = change.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0")
         bucket = F.pmod(F.xxhash64("term"), F.lit(max(8, buckets // 10))).cast("int")
         self._write("terms", segment, change.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
@@ -371,7 +445,7 @@ class PostingIndex:
 
     def _blocks(self, terms: pa.Array) -> DataFrame:
         """(segment, batch, term, max_tf, min_dl, docs, tfs, dls) of some terms; folders of other buckets are left out."""
-        if self.manifest.get("form") != FORM:
+        if self.manifest.get("form", 1) < 2:
             named = F.broadcast(self.spark.createDataFrame(pa.table({"term": terms})))
             return self._read("postings").join(named, "term", "left_semi").select("segment", "batch", "term", "max_tf", "min_dl", "docs", "tfs", "dls")
         packed, buckets = self._read("packed"), sorted(set(bucket_of(terms, self.manifest["buckets"]).tolist()))
@@ -423,13 +497,15 @@ class Scorer:
 
     def add(self, batch: pa.RecordBatch) -> None:
         """Take blocks (segment, batch, term, max_tf, min_dl, docs, tfs, dls), sorted by segment and batch."""
-        segments, numbers, terms, tfs, dls = (batch.column(i).to_pylist() for i in range(5))
-        lists = [batch.column(i) for i in (5, 6, 7)]
+        segments, numbers, tfs, dls = (batch.column(i).to_numpy().tolist() for i in (0, 1, 3, 4))
+        terms, ends = batch.column(2).to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(batch.column(5)).to_numpy())).tolist()
+        n_ends = np.append(0, np.cumsum(pc.list_value_length(batch.column(6)).to_numpy())).tolist()  # marks of removed documents have none
+        ids, *of = (batch.column(i).flatten().to_numpy() for i in (5, 6, 7))
         for i in range(batch.num_rows):
             if self.at != (segments[i], numbers[i]):
                 self.close()
                 self.at = (segments[i], numbers[i])
-            self.held.append((terms[i], tfs[i], dls[i], *(x[i].values.to_numpy() for x in lists)))
+            self.held.append((terms[i], tfs[i], dls[i], ids[ends[i] : ends[i + 1]], *(x[n_ends[i] : n_ends[i + 1]] for x in of)))
 
     def close(self) -> None:
         """Score the batch that is held."""
