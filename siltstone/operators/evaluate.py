@@ -124,15 +124,14 @@ def answer_targets(means: DataFrame) -> DataFrame:
     return means.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def window_hashes(tokens: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of all windows of ``n`` tokens, of all tokens where a row has fewer; rows without tokens have none."""
-    coded = tokens.flatten().dictionary_encode()
-    if not len(coded):
+def window_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all windows of ``n`` tokens of lower-case texts, of all tokens where a row has fewer; rows without tokens have none."""
+    row, terms, at = T.cut_lower(texts)
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)[coded.indices.to_numpy()]
-    lengths = pc.list_value_length(tokens).fill_null(0).to_numpy()
+    own = pd.util.hash_array(terms.to_numpy(zero_copy_only=False), categorize=False)[at]
+    lengths = np.bincount(row, minlength=len(texts))
     ends = np.cumsum(lengths)
-    row = np.repeat(np.arange(len(lengths)), lengths)
     left = ends[row] - np.arange(len(row))  # tokens from here to the end of the row
     rows, hashes, h = [], [], np.zeros(len(own), np.uint64)
     for k in range(1, n + 1):  # h: of the k tokens from each place on
@@ -149,12 +148,17 @@ def windows(texts: DataFrame, key: str, n: int, among: Broadcast | None = None)
     """(key, g): hashes of each text's distinct windows of ``n`` tokens; only those in the sorted array ``among``, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = among.value if among is not None else None
+        ends = np.zeros(1 << 20, bool)  # the last bits of wanted ones: most others are left out by one look
+        if wanted is not None:
+            ends[wanted & (len(ends) - 1)] = True
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                ids, tokens = batch.slice(i, 1024).columns
-                row, g = window_hashes(tokens, n)
-                if among is not None and len(g):
-                    wanted = among.value
+                ids, lower = batch.slice(i, 1024).columns
+                row, g = window_hashes(lower, n)
+                if wanted is not None:
+                    near = ends[g & (len(ends) - 1)]
+                    row, g = row[near], g[near]
                     held = wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g if len(wanted) else np.zeros(len(g), bool)
                     row, g = row[held], g[held]
                 order = np.lexsort((g, row))
@@ -162,7 +166,7 @@ def windows(texts: DataFrame, key: str, n: int, among: Broadcast | None = None)
                 first = np.append(True, (np.diff(row) != 0) | (np.diff(g) != 0))[: len(row)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), pa.array(g[first])], names=[key, "g"])
 
-    rows = texts.select(key, T.tokens(F.col("text")).alias("t"))
+    rows = texts.select(key, F.lower("text").alias("t"))
     return rows.mapInArrow(run, StructType([rows.schema[key], StructField("g", LongType())]))
 
 
