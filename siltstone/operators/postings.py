@@ -38,7 +38,7 @@ from .dense import best_of, vector_lists
 BLOCK, QUERY_BLOCK, TILE = 1024, 10_000, 512
 #: Documents for each bucket of terms; buckets at most. Segments from which on they are merged.
 BUCKET_DOCS, BUCKETS, SEGMENTS = 5_000, 4096, 8
-#: Postings of a stored row, up to one block more; (query, document) shares that are added up at once, as far as queries can be parted.
+#: Postings of a stored row, up to one block more; scores of (query, document) that are held at once, as far as queries can be parted.
 PACK, SHARES = 1024, 2_000_000
 #: The form of stored segments. Those of form 2 had their documents in a table of their own, with their terms; those before it also had a row for each block.
 FORM = 3
@@ -50,6 +50,8 @@ WITH_TERMS = "doc_id bigint, dl int, digest bigint, terms array<struct<term stri
 PACKED = "batch bigint, terms array<string>, ns array<int>, max_tfs array<int>, min_dls array<int>, docs array<bigint>, tfs array<int>, dls array<int>, bucket int"
 MADE = f"{DOCS}, {PACKED}"
 POSTINGS = "term string, batch bigint, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>, bucket int"
+BLOCKS = "segment int, batch bigint, term string, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>"
+SEALED = "segment int, batch bigint, blocks binary"
 TERMS = "term string, df bigint, bucket int"
 GONE = "doc_id bigint"
 DEAD = "of int, batch bigint, docs array<bigint>"
@@ -205,22 +207,57 @@ def arrow_type(kind: str) -> pa.DataType:
 
 def unpacked(packed: DataFrame, terms: pa.Array | None = None) -> DataFrame:
     """(segment, batch, term, max_tf, min_dl, docs, tfs, dls): a row for each block of the given terms, of all if none are given."""
-    names = ["segment", "batch", "term", "max_tf", "min_dl", "docs", "tfs", "dls"]
     shared = packed.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                term, n, most, least, ids, tf, dl = (part.column(c).flatten() for c in range(2, 9))
-                at = pa.array(np.arange(len(term)) if wanted is None else np.flatnonzero(pc.is_in(term, value_set=wanted).to_numpy(zero_copy_only=False)))
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy())[at.to_numpy()]
-                ends = pa.array(np.append(0, np.cumsum(n.to_numpy())), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, x).take(at) for x in (ids, tf, dl)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in (0, 1)), term.take(at), most.take(at), least.take(at), *lists], names=names)
-
-    return packed.select("segment", *(c.split()[0] for c in PACKED.split(", ")[:-1])).mapInArrow(run, "segment int, batch bigint, term string, max_tf int, min_dl int, docs array<bigint>, tfs array<int>, dls array<int>")
+    return packed.select("segment", *(c.split()[0] for c in PACKED.split(", ")[:-1])).mapInArrow(lambda batches: unpack(batches, shared.value), BLOCKS)
+
+
+def unpack(batches: Iterator[pa.RecordBatch], wanted: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """Blocks of packed rows, of the given terms if any are given."""
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            term, n, most, least, ids, tf, dl = (part.column(c).flatten() for c in range(2, 9))
+            at = pa.array(np.arange(len(term)) if wanted is None else np.flatnonzero(pc.is_in(term, value_set=wanted).to_numpy(zero_copy_only=False)))
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy())[at.to_numpy()]
+            ends = pa.array(np.append(0, np.cumsum(n.to_numpy())), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x).take(at) for x in (ids, tf, dl)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in (0, 1)), term.take(at), most.take(at), least.take(at), *lists], names=names)
+
+
+def seal(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, batch, blocks): blocks of a batch that follow one another are one value, which is copied whole where lists are copied by element."""
+    kinds = pa.schema([(c, arrow_type(kind)) for c, kind in (x.split() for x in BLOCKS.split(", ")[2:])])
+    for b in blocks:
+        keys = [b.column(i).to_numpy() for i in (0, 1)]
+        ends = np.flatnonzero(np.append((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0), True)[: b.num_rows]) + 1
+        starts = np.append(0, ends)[: len(ends)]
+        inner = pa.RecordBatch.from_arrays([b.column(i + 2).cast(f.type) for i, f in enumerate(kinds)], schema=kinds)
+        values = [inner.slice(i, j - i).serialize().to_pybytes() for i, j in zip(starts.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0][starts], pa.int32()), pa.array(keys[1][starts], pa.int64()), pa.array(values, pa.binary())], names=["segment", "batch", "blocks"])
+
+
+def unseal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a batch at a time, sorted by term, of sealed ones that are sorted by segment and batch."""
+    kinds = pa.schema([(c, arrow_type(kind)) for c, kind in (x.split() for x in BLOCKS.split(", ")[2:])])
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+
+    def whole(key: tuple[int, int], held: list[bytes]) -> pa.RecordBatch:
+        each = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(x), kinds) for x in held]).combine_chunks()
+        each = each.take(pc.sort_indices(each.column("term"))).combine_chunks().to_batches()[0]
+        n = each.num_rows
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key[0]), pa.int32()), pa.array(np.full(n, key[1]), pa.int64()), *each.columns], names=names)
+
+    at, held = None, []
+    for batch in batches:
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if key != at and held:
+                yield whole(at, held)
+                held = []
+            at = key
+            held.append(batch.column(2)[i].as_py())
+    if held:
+        yield whole(at, held)
 
 
 class PostingIndex:
@@ -448,26 +485,39 @@ class PostingIndex:
         if self.manifest.get("form", 1) < 2:
             named = F.broadcast(self.spark.createDataFrame(pa.table({"term": terms})))
             return self._read("postings").join(named, "term", "left_semi").select("segment", "batch", "term", "max_tf", "min_dl", "docs", "tfs", "dls")
+        return unpacked(self._rows_of(terms), terms)
+
+    def _rows_of(self, terms: pa.Array) -> DataFrame:
+        """Packed rows of the buckets that some terms fall into."""
         packed, buckets = self._read("packed"), sorted(set(bucket_of(terms, self.manifest["buckets"]).tolist()))
-        if len(buckets) < self.manifest["buckets"]:
-            packed = packed.where(F.col("bucket").isin(buckets))
-        return unpacked(packed, terms)
+        return packed.where(F.col("bucket").isin(buckets)) if len(buckets) < self.manifest["buckets"] else packed
+
+    def _sealed(self, terms: pa.Array) -> DataFrame:
+        """(segment, batch, blocks) of some terms, and marks of removed documents under ``ALL``."""
+        if self.manifest.get("form", 1) < 2:
+            found = self._blocks(terms).mapInArrow(seal, SEALED)
+        else:
+            shared = self.spark.sparkContext.broadcast(terms)
+            rows = self._rows_of(terms).select("segment", *(c.split()[0] for c in PACKED.split(", ")[:-1]))
+            found = rows.mapInArrow(lambda batches: seal(unpack(batches, shared.value)), SEALED)
+        if len(self.manifest["segments"]) < 2:
+            return found
+        none = F.array().cast("array<int>")
+        dead = self._read("dead").select(F.col("of").alias("segment"), "batch", F.lit(ALL).alias("term"), F.lit(0).alias("max_tf"), F.lit(0).alias("min_dl"), "docs", none.alias("tfs"), none.alias("dls"))
+        return found.union(dead.mapInArrow(seal, SEALED))
 
     def _block_topk(self, wanted: DataFrame, k: int, config: Bm25, skip: bool) -> DataFrame:
         rows = self.weights(wanted, config).select(F.col("query_id").cast("string"), "term", "w").toArrow()  # of at most QUERY_BLOCK queries
-        blocks = self._blocks(rows.column(1).unique())
-        if len(self.manifest["segments"]) > 1:
-            none = F.array().cast("array<int>")
-            blocks = blocks.union(self._read("dead").select("of", "batch", F.lit(ALL), F.lit(0), F.lit(0), "docs", none, none))
+        blocks = self._sealed(rows.column(1).unique())
         shared, avgdl = self.spark.sparkContext.broadcast(rows), self.totals()[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(shared.value, k, config, avgdl, skip)
-            for batch in batches:
+            for batch in unseal(batches):
                 scorer.add(batch)
             yield scorer.results()
 
-        dealt = blocks.repartition("segment", "batch").sortWithinPartitions("segment", "batch", "term")
+        dealt = blocks.repartition("segment", "batch").sortWithinPartitions("segment", "batch")
         return dealt.mapInArrow(run, "query_id string, doc_id bigint, score double")
 
 
@@ -513,45 +563,58 @@ class Scorer:
         self.held = []
         if not blocks:
             return
-        bound, hit = np.zeros(len(self.names)), np.zeros(len(self.names), bool)
-        for term, max_tf, min_dl, *_ in blocks:
-            q, w = self.of[term]
-            bound[q] += np.maximum(w, 0) * self.part(max_tf, min_dl)
-            hit[q] = True
+        of = [self.of[b[0]] for b in blocks]
+        query, weight = (np.concatenate([x[i] for x in of]) for i in (0, 1))
+        block = np.repeat(np.arange(len(blocks)), [len(x[0]) for x in of])
+        most = self.part(np.array([b[1] for b in blocks], np.float64), np.array([b[2] for b in blocks]))
+        bound, hit = np.bincount(query, np.maximum(weight, 0) * most[block], len(self.names)), np.bincount(query, minlength=len(self.names)) > 0
         self.seen += int(hit.sum())
         if self.skip:
             hit &= bound >= self.score[:, -1] - SLACK
         self.opened += int(hit.sum())
         if not hit.any():
             return
-        docs = np.unique(np.concatenate([b[3] for b in blocks]))
+        ids = np.concatenate([b[3] for b in blocks])
+        docs = np.unique(ids)
         live = ~np.isin(docs, np.concatenate(dead)) if dead else np.ones(len(docs), bool)
-        sizes = np.array([len(b[3]) for b in blocks])
-        starts = np.append(0, np.cumsum(sizes))
-        at = np.searchsorted(docs, np.concatenate([b[3] for b in blocks]))
+        starts = np.append(0, np.cumsum([len(b[3]) for b in blocks])).tolist()
+        at = np.searchsorted(docs, ids)
         part = self.part(np.concatenate([b[4] for b in blocks]).astype(np.float64), np.concatenate([b[5] for b in blocks]))
-        query = np.concatenate([self.of[b[0]][0] for b in blocks])
-        weight = np.concatenate([self.of[b[0]][1] for b in blocks])
-        block = np.repeat(np.arange(len(blocks)), [len(self.of[b[0]][0]) for b in blocks])
-        order = np.argsort(query, kind="stable")  # a query's terms stay in order, so equal documents have equal sums
-        order = order[hit[query[order]]]
-        query, weight, block = query[order], weight[order], block[order]
-        open_ = np.flatnonzero(hit)
-        first = np.append(np.searchsorted(query, open_), len(query))
-        shares = np.append(0, np.cumsum(sizes[block]))[first]
-        i = 0
-        while i < len(open_):
-            j = min(max(i + 1, int(np.searchsorted(shares, shares[i] + SHARES, "right")) - 1), i + TILE, len(open_))
-            rows, some = open_[i:j], slice(first[i], first[j])
-            n = sizes[block[some]]
-            each = np.repeat(starts[block[some]] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-            cell = np.repeat(np.searchsorted(rows, query[some]), n) * len(docs) + at[each]
-            shape = (len(rows), len(docs))
-            scores = np.bincount(cell, np.repeat(weight[some], n) * part[each], len(rows) * len(docs)).reshape(shape)
-            found = np.bincount(cell, minlength=len(rows) * len(docs)).reshape(shape) > 0
-            scores[~(found & live)] = -np.inf
-            self.score[rows], self.doc[rows] = best_of(self.score[rows], self.doc[rows], scores, docs, self.k)
-            i = j
+        kept = hit[query]
+        row, weight, block = (np.cumsum(hit) - 1)[query[kept]], weight[kept], block[kept]
+        step = min(TILE, max(1, SHARES // len(docs)))
+        order = np.argsort(row // step, kind="stable")  # a query's terms stay in order, so equal documents have equal sums
+        row, weight, block = row[order], weight[order], block[order]
+        tile = row // step
+        ends = np.flatnonzero(np.append((np.diff(tile) != 0) | (np.diff(block) != 0), True)) + 1
+        firsts = np.append(0, ends[:-1])
+        open_, some_below = np.flatnonzero(hit), bool((weight <= 0).any())
+        row %= step
+        held = None
+        for first, end, b, t in zip(firsts.tolist(), ends.tolist(), block[firsts].tolist(), tile[firsts].tolist()):
+            if t != held:
+                if held is not None:
+                    self._keep(open_[held * step : (held + 1) * step], scores, found, live, docs)
+                held = t
+                shape = (min(step, len(open_) - t * step), len(docs))
+                scores, found = np.zeros(shape), np.zeros(shape, bool) if some_below else None
+            rows, here, p = row[first:end], at[starts[b] : starts[b + 1]], part[starts[b] : starts[b + 1]]
+            if end - first == 1:
+                scores[rows[0]][here] += weight[first] * p
+            elif 4 * len(here) > len(docs):
+                wide = np.zeros(len(docs))  # what isn't held adds nothing
+                wide[here] = p
+                scores[rows] += weight[first:end, None] * wide
+            else:
+                scores[rows[:, None], here] += weight[first:end, None] * p
+            if some_below:
+                found[rows[:, None], here] = True
+        self._keep(open_[held * step : (held + 1) * step], scores, found, live, docs)
+
+    def _keep(self, rows: np.ndarray, scores: np.ndarray, found: np.ndarray | None, live: np.ndarray, docs: np.ndarray) -> None:
+        """Keep the best of some queries' scores; without ``found`` those above zero were found."""
+        scores[~((scores > 0 if found is None else found) & live)] = -np.inf
+        self.score[rows], self.doc[rows] = best_of(self.score[rows], self.doc[rows], scores, docs, self.k)
 
     def results(self) -> pa.RecordBatch:
         """(query_id, doc_id, score) of the best of all batches."""
