@@ -18,6 +18,8 @@ from .text_queries import TOKENS_SQL
 K = 10
 #: Cells that the registered index search looks into.
 PROBES = 9
+#: Candidates that are sent to the tasks that read documents; if there are more, texts are dealt out by document.
+SENT = 1_000_000
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,9 +251,11 @@ def doc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    """(query_id, query, doc_id, text, score, rank) of the twenty best by BM25; texts are joined for them only."""
+    """(query_id, query, doc_id, text, score, rank) of the twenty best by BM25; texts are joined for them only, and no others are shuffled."""
     d, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    best = corpus_index(spark, sf_dir).topk(q, k)
+    best = corpus_index(spark, sf_dir).topk(q, k).checkpoint()  # some rows a query
+    if q.count() * k <= SENT:
+        best = F.broadcast(best)
     return best.join(d, "doc_id").join(q.withColumnRenamed("text", "query"), "query_id")
 
 

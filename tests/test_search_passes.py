@@ -1,4 +1,4 @@
-"""What a search moves: sealed blocks."""
+"""What a search moves: sealed blocks, candidates' texts only."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import pyarrow as pa
 
 from siltstone.operators import postings
 from siltstone.operators.bm25 import Bm25
+from siltstone.plans import retrieval_queries
+
+DATA = "/root/testdata/sf0.001"
 
 
 def blocks(rows: list[tuple]) -> pa.RecordBatch:
@@ -45,3 +48,14 @@ def test_common_and_rare_blocks_give_a_documents_sum_in_one_order():
             assert len(mine) == 13
             if sign > 0:
                 assert set(mine.values()) == {total} and sorted(mine) == [*range(12), 100]
+
+
+def test_texts_of_candidates_alone_are_moved(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as if documents were many
+    try:
+        plan = retrieval_queries.candidates(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(doc_id" not in plan
