@@ -145,9 +145,10 @@ def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retrieval modes, with the number and mean score of what each finds for all passages."""
     from .. import api
 
-    q, found = questions(spark, sf_dir), None
+    q, n, found = questions(spark, sf_dir), fusion.fetch_size(10), None
+    sparse, near = corpus_index(spark, sf_dir).topk(q, n).checkpoint(), hashed_arm(spark, sf_dir, q, n).checkpoint()  # each arm is searched once, modes take the first of its rows
     for mode in api.MODES:
-        run = fusion.retrieve(mode, lambda k: corpus_index(spark, sf_dir).topk(q, k), lambda k: hashed_arm(spark, sf_dir, q, k))
+        run = fusion.retrieve(mode, lambda k: sparse.where(F.col("rank") <= k), lambda k: near.where(F.col("rank") <= k))
         one = run.agg(F.lit(mode).alias("mode"), F.count("*").alias("n_results"), F.round(F.avg("score"), 6).alias("mean_score"))
         found = one if found is None else found.unionByName(one)
     return api.modes(spark).join(found, "mode")

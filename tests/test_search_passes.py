@@ -1,4 +1,4 @@
-"""What a search moves: sealed blocks, candidates' texts only."""
+"""What a search moves: sealed blocks, candidates' texts only, each arm once."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from siltstone.operators import postings
 from siltstone.operators.bm25 import Bm25
-from siltstone.plans import retrieval_queries
+from siltstone.plans import corpus_queries, retrieval_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +59,11 @@ def test_texts_of_candidates_alone_are_moved(spark):
     finally:
         spark.conf.set(key, before)
     assert "BroadcastHashJoin" in plan and "hashpartitioning(doc_id" not in plan
+
+
+def test_each_arm_is_searched_once(spark, monkeypatch):
+    calls, search, near = [], postings.PostingIndex.topk, corpus_queries.hashed_arm
+    monkeypatch.setattr(postings.PostingIndex, "topk", lambda self, q, k=10, *a, **b: calls.append(("sparse", k)) or search(self, q, k, *a, **b))
+    monkeypatch.setattr(corpus_queries, "hashed_arm", lambda s, d, q, k: calls.append(("dense", k)) or near(s, d, q, k))
+    rows = {r["mode"]: r.n_results for r in corpus_queries.retrieval_modes(spark, DATA).collect()}
+    assert calls == [("sparse", 20), ("dense", 20)] and set(rows) == {"sparse", "dense", "hybrid"}
