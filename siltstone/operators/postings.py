@@ -10,7 +10,8 @@ and a commit that was cut short is written again. No query reads a text.
 
 Batches are of the tasks that read the documents, so a term that all documents hold is many blocks and never one group.
 Most terms are rare, so blocks are stored many to a row: what a batch has of a bucket of terms, some ``PACK`` postings a row.
-Documents' own rows come from the same pass over the texts and lie beside them, in buckets below zero.
+Documents' own rows come from the same pass over the texts and lie beside them, in buckets below zero. A merge takes
+stored batches whole, one task all of a batch, so no posting is a row.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ SEALED = "segment int, batch bigint, blocks binary"
 TERMS = "term string, df bigint, bucket int"
 GONE = "doc_id bigint"
 DEAD = "of int, batch bigint, docs array<bigint>"
+#: What a merge takes of a batch, one after another: documents that are no longer in it, its documents, their postings.
+PARTS = ("docs array<bigint>", DOCS, "terms array<string>, ns array<int>, docs array<bigint>, tfs array<int>")
 VECTORS = "doc_id bigint, vec array<double>"
 SCHEMAS = {"docs": WITH_TERMS, "packed": PACKED, "postings": POSTINGS, "terms": TERMS, "gone": GONE, "dead": DEAD, "vectors": VECTORS}
 
@@ -100,6 +103,74 @@ def cut_terms(docs: pa.Table) -> Cut:
     return Cut(ids, dl, digests, v, coded.dictionary, row, coded.indices.to_numpy(), entries.field("tf").to_numpy())
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], size: int, cut: Callable[[pa.Table], Cut]) -> Iterator[Cut]:
+    """Documents that ``cut`` takes, ``size`` at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, size - n))
+            at, n = at + held[-1].num_rows, n + held[-1].num_rows
+            if n == size:
+                yield cut(pa.Table.from_batches(held))
+                held, n = [], 0
+    if held:
+        yield cut(pa.Table.from_batches(held))
+
+
+def remaining(own: pa.Table, dead: np.ndarray, postings: pa.Table) -> Cut:
+    """A stored batch without its removed documents."""
+    own = own.sort_by([("doc_id", "ascending"), ("digest", "ascending")]).combine_chunks()
+    ids = own.column(0).to_numpy()
+    live = ~np.isin(ids, dead)
+    own = own.filter(pa.array(live)).combine_chunks()
+    terms, ns, docs, tfs = (c.combine_chunks().flatten() for c in postings.columns)
+    ns, row = ns.to_numpy(), np.searchsorted(ids, docs.to_numpy())
+    kept = live[row] & np.repeat(pc.not_equal(terms, ALL).to_numpy(zero_copy_only=False), ns)
+    return Cut(*(c.combine_chunks() for c in own.columns), terms, (np.cumsum(live) - 1)[row[kept]], np.repeat(np.arange(len(terms)), ns)[kept], tfs.to_numpy()[kept])
+
+
+def together(cuts: list[Cut]) -> Cut:
+    """Documents of several batches as one, each term once."""
+    ids, dl, digests, v, terms = (pa.concat_arrays([getattr(c, name) for c in cuts]) for name in ("ids", "dl", "digests", "v", "terms"))
+    coded = terms.dictionary_encode()
+    docs_before, terms_before = (np.cumsum([0, *(len(getattr(c, name)) for c in cuts[:-1])]) for name in ("ids", "terms"))
+    row, at = (np.concatenate([getattr(c, name) + n for c, n in zip(cuts, before)]) for name, before in (("row", docs_before), ("at", terms_before)))
+    return Cut(ids, dl, digests, v, coded.dictionary, row, coded.indices.to_numpy()[at], np.concatenate([c.tf for c in cuts]))
+
+
+def cut_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Cut]:
+    """Stored batches of sealed parts (segment, batch, blocks, kind) that are sorted by segment and batch; neighbours of together at most ``size`` documents become one."""
+    kinds = [columns_of(x) for x in PARTS]
+
+    def whole(held: list[list[pa.RecordBatch]]) -> Cut:
+        dead, own, postings = (pa.Table.from_batches(x, k) for x, k in zip(held, kinds))
+        return remaining(own, dead.column(0).combine_chunks().flatten().to_numpy(), postings)
+
+    def stored() -> Iterator[Cut]:
+        at, held = None, [[] for _ in PARTS]
+        for batch in batches:
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key != at and at is not None:
+                    yield whole(held)
+                    held = [[] for _ in PARTS]
+                at, kind = key, batch.column(3)[i].as_py()
+                held[kind].append(pa.ipc.read_record_batch(pa.py_buffer(batch.column(2)[i].as_py()), kinds[kind]))
+        if at is not None:
+            yield whole(held)
+
+    few: list[Cut] = []
+    for one in stored():
+        if sum(len(c.ids) for c in few) + len(one.ids) > size and few:
+            yield together(few)
+            few = []
+        if len(one.ids):
+            few.append(one)
+    if few:
+        yield together(few)
+
+
 def digest(text: Column) -> Column:
     """What tells whether a text has changed."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
@@ -135,11 +206,11 @@ def bucket_of(terms: pa.Array, buckets: int) -> np.ndarray:
     return out
 
 
-def segment_rows(docs: DataFrame, buckets: int, cut: Callable[[pa.Table], Cut]) -> DataFrame:
-    """Rows of a segment, made in one pass over documents that ``cut`` takes: each document's own and packed blocks.
+def segment_rows(docs: DataFrame, buckets: int, cuts: Callable[[Iterator[pa.RecordBatch]], Iterator[Cut]]) -> DataFrame:
+    """Rows of a segment, made in one pass over rows that ``cuts`` makes batches of: each document's own and packed blocks.
 
-    A packed row has some of a batch's terms of a bucket, in order, and their postings. Documents must come in an order
-    that a repeated task sees again, as batches are known by their place in it.
+    A packed row has some of a batch's terms of a bucket, in order, and their postings. Batches must come in an order
+    that a repeated task sees again, as they are known by their place in it.
     """
     kinds = {c: arrow_type(kind) for c, kind in (x.split() for x in MADE.split(", "))}
 
@@ -159,8 +230,7 @@ def segment_rows(docs: DataFrame, buckets: int, cut: Callable[[pa.Table], Cut])
         lists = {c: pa.ListArray.from_arrays(by_term, x) for c, x in of_terms.items()} | {c: pa.ListArray.from_arrays(by_posting, x) for c, x in of_postings.items()}
         return whole({"batch": pa.array(np.full(len(at), batch), pa.int64()), **lists, "bucket": pa.array(bucket[at], pa.int32())})
 
-    def given(held: list[pa.RecordBatch], batch: int) -> Iterator[pa.RecordBatch]:
-        c = cut(pa.Table.from_batches(held))
+    def given(c: Cut, batch: int) -> Iterator[pa.RecordBatch]:
         ids, dl = c.ids.to_numpy(), c.dl.fill_null(0).to_numpy()
         below = -1 - ((batch >> 32) + (batch & 0xFFFFFFFF)) % buckets
         yield whole({"doc_id": c.ids, "dl": c.dl, "digest": c.digests, "v": c.v, "batch": pa.array(np.full(len(ids), batch), pa.int64()), "bucket": pa.array(np.full(len(ids), below), pa.int32())})
@@ -184,18 +254,8 @@ def segment_rows(docs: DataFrame, buckets: int, cut: Callable[[pa.Table], Cut])
         yield made(c.terms.take(pa.array(order)), np.searchsorted(at, held_), bucket[order], batch, ids[row], tf, dl[row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n, number = 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                held.append(batch.slice(at, BLOCK - n))
-                at, n = at + held[-1].num_rows, n + held[-1].num_rows
-                if n == BLOCK:
-                    yield from given(held, number)
-                    held, n, number = [], 0, number + 1
-        if held:
-            yield from given(held, number)
+        for number, c in enumerate(cuts(batches), TaskContext.get().partitionId() << 32):
+            yield from given(c, number)
 
     return docs.mapInArrow(run, MADE)
 
@@ -205,6 +265,11 @@ def arrow_type(kind: str) -> pa.DataType:
     return pa.list_(arrow_type(kind[6:-1])) if kind.startswith("array<") else {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[kind]
 
 
+def columns_of(kinds: str) -> pa.Schema:
+    """Arrow's schema of columns of this module."""
+    return pa.schema([(c, arrow_type(kind)) for c, kind in (x.split() for x in kinds.split(", "))])
+
+
 def unpacked(packed: DataFrame, terms: pa.Array | None = None) -> DataFrame:
     """(segment, batch, term, max_tf, min_dl, docs, tfs, dls): a row for each block of the given terms, of all if none are given."""
     shared = packed.sparkSession.sparkContext.broadcast(terms)
@@ -225,9 +290,9 @@ def unpack(batches: Iterator[pa.RecordBatch], wanted: pa.Array | None) -> Iterat
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in (0, 1)), term.take(at), most.take(at), least.take(at), *lists], names=names)
 
 
-def seal(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def seal(blocks: Iterator[pa.RecordBatch], columns: str = BLOCKS) -> Iterator[pa.RecordBatch]:
     """(segment, batch, blocks): blocks of a batch that follow one another are one value, which is copied whole where lists are copied by element."""
-    kinds = pa.schema([(c, arrow_type(kind)) for c, kind in (x.split() for x in BLOCKS.split(", ")[2:])])
+    kinds = columns_of(columns.split(", ", 2)[2])
     for b in blocks:
         keys = [b.column(i).to_numpy() for i in (0, 1)]
         ends = np.flatnonzero(np.append((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0), True)[: b.num_rows]) + 1
@@ -239,7 +304,7 @@ def seal(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def unseal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of a batch at a time, sorted by term, of sealed ones that are sorted by segment and batch."""
-    kinds = pa.schema([(c, arrow_type(kind)) for c, kind in (x.split() for x in BLOCKS.split(", ")[2:])])
+    kinds = columns_of(BLOCKS.split(", ", 2)[2])
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def whole(key: tuple[int, int], held: list[bytes]) -> pa.RecordBatch:
@@ -360,7 +425,7 @@ class PostingIndex:
     def _cut(self, docs: DataFrame, buckets: int) -> DataFrame:
         dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition("doc_id")  # texts are smaller than their terms, and may come in one file
         lower = dealt.select("doc_id", digest(F.col("text")).alias("digest"), F.lower("text").alias("text"))
-        return segment_rows(lower.sortWithinPartitions("digest", "doc_id"), buckets, partial(cut_texts, buckets=getattr(self.embed, "buckets", None)))
+        return segment_rows(lower.sortWithinPartitions("digest", "doc_id"), buckets, partial(in_blocks, size=BLOCK, cut=partial(cut_texts, buckets=getattr(self.embed, "buckets", None))))
 
     def sync(self, docs: DataFrame) -> PostingIndex:
         """Make the index that of the documents (doc_id, text): new, changed and missing ones make the next segment.
@@ -386,13 +451,23 @@ class PostingIndex:
         return self.compact() if len(self.manifest["segments"]) >= SEGMENTS else self
 
     def compact(self) -> PostingIndex:
-        """Merge all segments into one."""
-        live = self.documents()
+        """Merge all segments into one: a task takes whole batches, leaves out what is gone and puts small ones together."""
         if self.manifest.get("form") == FORM:
-            entries = self._entries(live).groupBy("segment", "doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # a document's terms
-            live = live.join(entries, ["segment", "doc_id"], "left")
-        live = live.select("doc_id", "dl", "digest", "v", "terms").repartition("doc_id").sortWithinPartitions("digest", "doc_id")
-        return self._commit(partial(segment_rows, live, cut=cut_terms), None, None, [], self.manifest["n_docs"])
+            rows = partial(segment_rows, self._parts(), cuts=partial(cut_parts, size=BLOCK))
+        else:
+            live = self.documents().select("doc_id", "dl", "digest", "v", "terms").repartition("doc_id").sortWithinPartitions("digest", "doc_id")
+            rows = partial(segment_rows, live, cuts=partial(in_blocks, size=BLOCK, cut=cut_terms))
+        return self._commit(rows, None, None, [], self.manifest["n_docs"])
+
+    def _parts(self) -> DataFrame:
+        """(segment, batch, blocks, kind): all ``PARTS`` of stored batches, sealed, dealt and sorted by batch."""
+        held = (self._read("dead").withColumn("segment", F.col("of")), self._made().where("bucket < 0"), self._read("packed"))
+        found = None
+        for kind, (rows, part) in enumerate(zip(held, PARTS)):
+            columns = f"segment int, batch bigint, {part}"
+            sealed = rows.select(*(c.split()[0] for c in columns.split(", "))).mapInArrow(partial(seal, columns=columns), SEALED).withColumn("kind", F.lit(kind))
+            found = sealed if found is None else found.union(sealed)
+        return found.repartition("segment", "batch").sortWithinPartitions("segment", "batch")
 
     def _commit(self, rows: Callable[[int], DataFrame], docs: DataFrame | None, gone: DataFrame | None, before: list[int], n_rows: int = 0) -> PostingIndex:
         """Write a segment after those of ``before`` and the manifest that names them; rows are a function of the number of buckets."""

@@ -96,10 +96,12 @@ def bm25_after_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
     path = f"{shared_dir(spark)}/upkeep-{uuid.uuid4().hex}"
     forget_at_end(spark, path)
-    other = docs.select(F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 3 == 1, F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    first = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0))).first()[0]
+    leaves = F.col("doc_id") % 3 == 0  # under an id below all others
+    other = docs.select(F.when(leaves, first - 1 - (F.col("doc_id") - first)).otherwise(F.col("doc_id")).alias("doc_id"), F.when(leaves, F.col("text")).otherwise(F.concat_ws(" ", F.reverse("text"), F.lit("before"))).alias("text"))
     index = PostingIndex(spark, path).build(other)
-    index.apply(docs.where("doc_id % 3 = 1"), other.where("doc_id < 0 and doc_id % 2 = 0").select("doc_id"))
-    return ranking(index.sync(docs).topk(questions(spark, sf_dir), K))
+    index.apply(docs.where("doc_id % 3 = 1"), other.where((F.col("doc_id") < first) & (F.col("doc_id") % 2 == 0)).select("doc_id"))
+    return ranking(index.sync(docs).compact().topk(questions(spark, sf_dir), K))
 
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'zzqx unknownword' ELSE text END AS text FROM benchmark), {BM25_SQL}, a AS (SELECT q.query_id, d.doc_id, coalesce(b.score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN bm b ON b.query_id = q.query_id AND b.doc_id = d.doc_id),
