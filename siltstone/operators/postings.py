@@ -10,8 +10,8 @@ and a commit that was cut short is written again. No query reads a text.
 
 Batches are of the tasks that read the documents, so a term that all documents hold is many blocks and never one group.
 Most terms are rare, so blocks are stored many to a row: what a batch has of a bucket of terms, some ``PACK`` postings a row.
-Documents' own rows come from the same pass over the texts and lie beside them, in buckets below zero. A merge takes
-stored batches whole, one task all of a batch, so no posting is a row.
+Documents' own rows come from the same pass over the texts and lie beside them, in buckets below zero. Change sets and
+merges take stored batches whole, one task all of a batch, so no posting is a row.
 """
 
 from __future__ import annotations
@@ -56,8 +56,9 @@ SEALED = "segment int, batch bigint, blocks binary"
 TERMS = "term string, df bigint, bucket int"
 GONE = "doc_id bigint"
 DEAD = "of int, batch bigint, docs array<bigint>"
-#: What a merge takes of a batch, one after another: documents that are no longer in it, its documents, their postings.
+#: What is taken of a stored batch: removed documents and, for a merge, its documents and their postings, for a change set the postings' documents.
 PARTS = ("docs array<bigint>", DOCS, "terms array<string>, ns array<int>, docs array<bigint>, tfs array<int>")
+LOST = ("docs array<bigint>", "terms array<string>, ns array<int>, docs array<bigint>")
 VECTORS = "doc_id bigint, vec array<double>"
 SCHEMAS = {"docs": WITH_TERMS, "packed": PACKED, "postings": POSTINGS, "terms": TERMS, "gone": GONE, "dead": DEAD, "vectors": VECTORS}
 
@@ -140,28 +141,36 @@ def together(cuts: list[Cut]) -> Cut:
     return Cut(ids, dl, digests, v, coded.dictionary, row, coded.indices.to_numpy()[at], np.concatenate([c.tf for c in cuts]))
 
 
-def cut_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Cut]:
-    """Stored batches of sealed parts (segment, batch, blocks, kind) that are sorted by segment and batch; neighbours of together at most ``size`` documents become one."""
-    kinds = [columns_of(x) for x in PARTS]
-
-    def whole(held: list[list[pa.RecordBatch]]) -> Cut:
-        dead, own, postings = (pa.Table.from_batches(x, k) for x, k in zip(held, kinds))
-        return remaining(own, dead.column(0).combine_chunks().flatten().to_numpy(), postings)
-
-    def stored() -> Iterator[Cut]:
-        at, held = None, [[] for _ in PARTS]
-        for batch in batches:
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if key != at and at is not None:
-                    yield whole(held)
-                    held = [[] for _ in PARTS]
-                at, kind = key, batch.column(3)[i].as_py()
-                held[kind].append(pa.ipc.read_record_batch(pa.py_buffer(batch.column(2)[i].as_py()), kinds[kind]))
-        if at is not None:
-            yield whole(held)
+def dealt(parts: list[DataFrame], columns: tuple[str, ...]) -> DataFrame:
+    """(segment, batch, blocks, kind): frames (segment, batch, ...) of some columns each, sealed, dealt and sorted by batch."""
+    found = None
+    for kind, (rows, some) in enumerate(zip(parts, columns)):
+        some = f"segment int, batch bigint, {some}"
+        sealed = rows.select(*(c.split()[0] for c in some.split(", "))).mapInArrow(partial(seal, columns=some), SEALED).withColumn("kind", F.lit(kind))
+        found = sealed if found is None else found.union(sealed)
+    return found.repartition("segment", "batch").sortWithinPartitions("segment", "batch")
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[pa.Table]]:
+    """The parts of a stored batch at a time, of dealt ones."""
+    kinds = [columns_of(x) for x in columns]
+    at, held = None, [[] for _ in kinds]
+    for batch in batches:
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if key != at and at is not None:
+                yield [pa.Table.from_batches(x, k) for x, k in zip(held, kinds)]
+                held = [[] for _ in kinds]
+            at, kind = key, batch.column(3)[i].as_py()
+            held[kind].append(pa.ipc.read_record_batch(pa.py_buffer(batch.column(2)[i].as_py()), kinds[kind]))
+    if at is not None:
+        yield [pa.Table.from_batches(x, k) for x, k in zip(held, kinds)]
+
 
+def cut_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Cut]:
+    """What remains of stored batches, of dealt ``PARTS``; neighbours of together at most ``size`` documents become one."""
     few: list[Cut] = []
-    for one in stored():
+    for dead, own, postings in parts_of(batches, PARTS):
+        one = remaining(own, dead.column(0).combine_chunks().flatten().to_numpy(), postings)
         if sum(len(c.ids) for c in few) + len(one.ids) > size and few:
             yield together(few)
             few = []
@@ -171,6 +180,16 @@ def cut_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Cut]:
         yield together(few)
 
 
+def count_lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, d): how many removed documents of a batch hold a term, below zero, of dealt ``LOST``."""
+    for dead, postings in parts_of(batches, LOST):
+        terms, ns, docs = (c.combine_chunks().flatten() for c in postings.columns)
+        hit = np.isin(docs.to_numpy(), dead.column(0).combine_chunks().flatten().to_numpy())
+        n = np.bincount(np.repeat(np.arange(len(terms)), ns.to_numpy())[hit], minlength=len(terms))
+        some = pa.array((n > 0) & pc.not_equal(terms, ALL).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([terms.filter(some), pc.negate(pa.array(n, pa.int32())).filter(some)], names=["term", "d"])
+
+
 def digest(text: Column) -> Column:
     """What tells whether a text has changed."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
@@ -422,9 +441,10 @@ class PostingIndex:
         """Index documents (doc_id, text) anew; earlier versions are no longer read."""
         return self._commit(partial(self._cut, docs), docs, None, [], docs.count())
 
-    def _cut(self, docs: DataFrame, buckets: int) -> DataFrame:
-        dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition("doc_id")  # texts are smaller than their terms, and may come in one file
-        lower = dealt.select("doc_id", digest(F.col("text")).alias("digest"), F.lower("text").alias("text"))
+    def _cut(self, docs: DataFrame, buckets: int, only: DataFrame | None = None) -> DataFrame:
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition("doc_id")  # texts are smaller than their terms, and may come in one file
+        rows = rows if only is None else rows.join(only, "doc_id", "left_semi")  # dealt by the same key
+        lower = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.lower("text").alias("text"))
         return segment_rows(lower.sortWithinPartitions("digest", "doc_id"), buckets, partial(in_blocks, size=BLOCK, cut=partial(cut_texts, buckets=getattr(self.embed, "buckets", None))))
 
     def sync(self, docs: DataFrame) -> PostingIndex:
@@ -435,19 +455,23 @@ class PostingIndex:
         if not self.exists():
             return self.build(docs)
         have = self.documents().select("doc_id", F.col("digest").alias("_digest"))
-        marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(have, "doc_id", "left")
-        changed = marked.where(~F.col("_digest").eqNullSafe(digest(F.col("text")))).select("doc_id", "text")
-        missing = have.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
-        return self.apply(changed, missing)
+        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        marked = docs.select("doc_id", digest(F.col("text")).alias("_now")).join(have, "doc_id", "left")  # no text is shuffled to be compared
+        changed = marked.where(~F.col("_digest").eqNullSafe(F.col("_now"))).select("doc_id")
+        missing = have.join(docs.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+        return self._change(partial(self._cut, docs, only=changed), docs.join(changed, "doc_id", "left_semi"), changed.union(missing))
 
     def apply(self, changed: DataFrame, removed: DataFrame) -> PostingIndex:
         """The next version: documents (doc_id, text) put in or replaced, others (doc_id) removed."""
         if not self.exists():
             return self.build(changed)
+        gone = changed.select(F.col("doc_id").cast("bigint").alias("doc_id")).union(removed.select(F.col("doc_id").cast("bigint")))
+        return self._change(partial(self._cut, changed), changed, gone)
+
+    def _change(self, rows: Callable[[int], DataFrame], changed: DataFrame, gone: DataFrame) -> PostingIndex:
         if self.manifest.get("form") != FORM:
             self.compact()
-        gone = changed.select(F.col("doc_id").cast("bigint").alias("doc_id")).union(removed.select(F.col("doc_id").cast("bigint"))).distinct()
-        self._commit(partial(self._cut, changed), changed, gone, self.manifest["segments"])
+        self._commit(rows, changed, gone.distinct(), self.manifest["segments"])
         return self.compact() if len(self.manifest["segments"]) >= SEGMENTS else self
 
     def compact(self) -> PostingIndex:
@@ -460,14 +484,17 @@ class PostingIndex:
         return self._commit(rows, None, None, [], self.manifest["n_docs"])
 
     def _parts(self) -> DataFrame:
-        """(segment, batch, blocks, kind): all ``PARTS`` of stored batches, sealed, dealt and sorted by batch."""
-        held = (self._read("dead").withColumn("segment", F.col("of")), self._made().where("bucket < 0"), self._read("packed"))
-        found = None
-        for kind, (rows, part) in enumerate(zip(held, PARTS)):
-            columns = f"segment int, batch bigint, {part}"
-            sealed = rows.select(*(c.split()[0] for c in columns.split(", "))).mapInArrow(partial(seal, columns=columns), SEALED).withColumn("kind", F.lit(kind))
-            found = sealed if found is None else found.union(sealed)
-        return found.repartition("segment", "batch").sortWithinPartitions("segment", "batch")
+        """``PARTS`` of the stored batches that still have documents."""
+        dead, own = self._read("dead").select(F.col("of").alias("segment"), "batch", "docs"), self._made().where("bucket < 0")
+        gone = dead.select("segment", "batch", F.explode("docs").alias("doc_id"))
+        left = F.broadcast(own.select("segment", "batch", "doc_id").join(gone, ["segment", "batch", "doc_id"], "left_anti").select("segment", "batch").distinct())  # a row for each batch
+        return dealt([x.join(left, ["segment", "batch"], "left_semi") for x in (dead, own, self._read("packed"))], PARTS)
+
+    def _lost(self, segment: int) -> DataFrame:
+        """(term, d): what the documents that a segment removes take from the frequencies, by batch."""
+        dead = self._read("dead", [segment]).select(F.col("of").alias("segment"), "batch", "docs")
+        some = F.broadcast(dead.select("segment", "batch"))  # a row for each batch
+        return dealt([dead, self._read("packed").join(some, ["segment", "batch"], "left_semi")], LOST).mapInArrow(count_lost, "term string, d int")
 
     def _commit(self, rows: Callable[[int], DataFrame], docs: DataFrame | None, gone: DataFrame | None, before: list[int], n_rows: int = 0) -> PostingIndex:
         """Write a segment after those of ``before`` and the manifest that names them; rows are a function of the number of buckets."""
@@ -493,7 +520,8 @@ class PostingIndex:
             removed = self._read("gone", [segment]).select("doc_id")
             dead = have.join(removed, "doc_id", "left_semi")
             members = self._blocks(pa.array([ALL])).select(F.col("segment").alias("of"), "batch", F.explode("docs").alias("doc_id"))
-            held = members.join(removed, "doc_id").groupBy("of", "batch").agg(F.collect_set("doc_id").alias("docs"))  # at most a batch
+            members = members.join(dead.select(F.col("segment").alias("of"), "doc_id"), ["of", "doc_id"], "left_semi")  # a document is marked once
+            held = members.groupBy("of", "batch").agg(F.collect_set("doc_id").alias("docs"))  # at most a batch
             self._write("dead", segment, held)
         else:
             self._write("gone", segment, mine.select("doc_id").limit(0))
@@ -510,7 +538,7 @@ class PostingIndex:
         held = self._made([segment]).where("bucket >= 0").select(F.explode(F.arrays_zip("terms", "ns")).alias("t"))  # a row for each block, where the documents' terms are one for each posting
         change = held.select(F.col("t.terms").alias("term"), F.col("t.ns").alias("d")).where(F.col("term") != ALL)
         if dead is not None:
-            change = change.union(self._entries(dead).select("term", F.lit(-1).alias("d")))
+            change = change.union(self._lost(segment))
         change = change.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0")
         bucket = F.pmod(F.xxhash64("term"), F.lit(max(8, buckets // 10))).cast("int")
         self._write("terms", segment, change.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
